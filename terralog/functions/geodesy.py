@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terralog.functions.numeric import is_finite
+from terralog.functions.numeric import is_finite, let
 
 # Fixed values of WGS84.
 SEMI_MAJOR_M = 6378137.0
@@ -75,10 +75,15 @@ def quaternion(m: Sequence[Sequence[Column]]) -> Column:
 def earth_to_map(origin_lat: Column, origin_lon: Column, origin_ecef: Column, origin_map: Column) -> Column:
     """Pose of the map frame in earth-centred axes: {tx, ty, tz, rotation{qx, qy, qz, qw}}."""
     east, north, up = _axes(origin_lat, origin_lon)
-    rows = [[east[i], up[i], -north[i]] for i in range(3)]
-    at = [origin_map[c] for c in "xyz"]
-    shift = [origin_ecef[c] - _dot(rows[i], at) for i, c in enumerate("xyz")]
-    return F.struct(shift[0].alias("tx"), shift[1].alias("ty"), shift[2].alias("tz"), quaternion(rows).alias("rotation"))
+    matrix = F.array(*[v for i in range(3) for v in (east[i], up[i], -north[i])])
+
+    def frame(m: Column) -> Column:
+        rows = [[m[r * 3 + c] for c in range(3)] for r in range(3)]
+        at = [origin_map[c] for c in "xyz"]
+        shift = [(origin_ecef[c] - _dot(rows[i], at)).alias(f"t{c}") for i, c in enumerate("xyz")]
+        return F.struct(*shift, quaternion(rows).alias("rotation"))
+
+    return let(matrix, frame)
 
 
 def pose_from_matrix(m: Column) -> Column:

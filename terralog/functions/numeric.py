@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,3 +31,8 @@ def clamp(value: Column, low, high) -> Column:
 def quantize(value: Column, scale: float = 1e4) -> Column:
     """Scaled integer form: compares equal between engines where a rounded double may not."""
     return F.floor(value * F.lit(scale) + F.lit(0.5)).cast("bigint")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]

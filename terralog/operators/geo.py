@@ -80,36 +80,54 @@ def _multiply(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def _rotate(q: dict[str, Column], v: dict[str, Column]) -> dict[str, Column]:
-    """v turned by the unit quaternion q: v + 2w(u x v) + 2u x (u x v)."""
-    def cross(a, b):
-        return {"x": a["y"] * b["z"] - a["z"] * b["y"], "y": a["z"] * b["x"] - a["x"] * b["z"], "z": a["x"] * b["y"] - a["y"] * b["x"]}
+def _cross(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    return {"x": a["y"] * b["z"] - a["z"] * b["y"], "y": a["z"] * b["x"] - a["x"] * b["z"], "z": a["x"] * b["y"] - a["y"] * b["x"]}
 
-    t = cross(q, v)
-    tt = cross(q, t)
-    return {c: v[c] + F.lit(2.0) * q["w"] * t[c] + F.lit(2.0) * tt[c] for c in "xyz"}
+
+def _vector(values: dict[str, Column]) -> Column:
+    return F.struct(*[v.alias(c) for c, v in values.items()])
+
+
+def _parts(name: str, axes: str = "xyz") -> dict[str, Column]:
+    return {c: F.col(f"{name}.{c}") for c in axes}
 
 
 def odometry_twist(poses: DataFrame, key: Sequence[str] = ("session_id",)) -> DataFrame:
     """Body-frame linear (vx, vy, vz) and angular (wx, wy, wz) velocity from the pose before; 0 on the first row and
-    where less than 0.1 ms has passed."""
+    where less than 0.1 ms has passed.
+
+    Each step is its own column, so that no later formula repeats an earlier one and the code stays small enough to
+    compile.
+    """
     rows = OrderedRows(poses, key, ["stamp_ns", "seq"]).previous("_b", "stamp_ns", "x", "y", "z", "qx", "qy", "qz", "qw").result()
-    dt = (F.col("stamp_ns") - F.col("_b.stamp_ns")) / F.lit(1e9)
-    usable = F.col("_b").isNotNull() & (dt > F.lit(1e-4))
     q = {c: F.col(f"q{c}") for c in "xyzw"}
     before = {c: F.col(f"_b.q{c}") for c in "xyzw"}
-    delta = _multiply(q, _conjugate(before))
-    w = F.least(F.greatest(delta["w"], F.lit(-1.0)), F.lit(1.0))
-    turn = F.lit(2.0) * F.acos(w)
-    angle = F.when(turn > F.pi(), turn - F.lit(2.0) * F.pi()).otherwise(turn)
-    sine = F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - w * w))
-    axis = {c: F.when(sine > F.lit(1e-6), delta[c] / sine).otherwise(F.lit(0.0)) for c in "xyz"}
-    body = _conjugate(q)
-    linear = _rotate(body, {c: (F.col(c) - F.col(f"_b.{c}")) / dt for c in "xyz"})
-    angular = _rotate(body, {c: axis[c] * angle / dt for c in "xyz"})
-    out = {f"v{c}": F.when(usable, linear[c]).otherwise(F.lit(0.0)) for c in "xyz"}
-    out |= {f"w{c}": F.when(usable, angular[c]).otherwise(F.lit(0.0)) for c in "xyz"}
-    return rows.withColumns(out).drop("_b")
+    rows = rows.withColumn("_dt", (F.col("stamp_ns") - F.col("_b.stamp_ns")) / F.lit(1e9))
+    dt = F.col("_dt")
+    # turn since the row before, and the way back from the world to the body
+    rows = rows.withColumns({"_turn": _vector(_multiply(q, _conjugate(before))), "_body": _vector(_conjugate(q))})
+    w = F.least(F.greatest(F.col("_turn.w"), F.lit(-1.0)), F.lit(1.0))
+    rows = rows.withColumns({"_sine": F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - w * w)), "_double": F.lit(2.0) * F.acos(w)})
+    angle = F.when(F.col("_double") > F.pi(), F.col("_double") - F.lit(2.0) * F.pi()).otherwise(F.col("_double"))
+    rows = rows.withColumn("_rate", F.when(F.col("_sine") > F.lit(1e-6), angle / F.col("_sine") / dt).otherwise(F.lit(0.0)))
+    rows = rows.withColumns(
+        {
+            "_v": _vector({c: (F.col(c) - F.col(f"_b.{c}")) / dt for c in "xyz"}),
+            "_w": _vector({c: F.col(f"_turn.{c}") * F.col("_rate") for c in "xyz"}),
+        }
+    )
+    # v turned by the unit quaternion: v + 2w(u x v) + 2u x (u x v)
+    body = _parts("_body", "xyzw")
+    rows = rows.withColumns({f"_t{n}": _vector(_cross(body, _parts(n))) for n in ("_v", "_w")})
+    usable = F.col("_b").isNotNull() & (dt > F.lit(1e-4))
+    out = {}
+    for name, vector in (("v", "_v"), ("w", "_w")):
+        v, first = _parts(vector), _parts(f"_t{vector}")
+        second = _cross(body, first)
+        for c in "xyz":
+            turned = v[c] + F.lit(2.0) * body["w"] * first[c] + F.lit(2.0) * second[c]
+            out[f"{name}{c}"] = F.when(usable, turned).otherwise(F.lit(0.0))
+    return rows.withColumns(out).drop("_b", "_dt", "_turn", "_body", "_sine", "_double", "_rate", "_v", "_w", "_t_v", "_t_w")
 
 
 def tf_rows(poses: DataFrame, origins: DataFrame, key: Sequence[str] = ("session_id",)) -> DataFrame:
@@ -123,12 +141,13 @@ def tf_rows(poses: DataFrame, origins: DataFrame, key: Sequence[str] = ("session
 
     zero, one = F.lit(0.0), F.lit(1.0)
     none = ([zero] * 3, [zero, zero, zero, one])
-    joined = poses.join(origins.select(*key, "origin"), list(key), "left")
     o = F.col("origin")
     earth = geodesy.earth_to_map(
         o["lat"], o["lon"], geodesy.to_ecef(o["lat"], o["lon"], o["alt"]), F.struct(o["mx"].alias("x"), o["my"].alias("y"), o["mz"].alias("z"))
     )
-    joined = joined.withColumn("_earth", F.when(o.isNotNull() & (o["stamp_ns"] <= F.col("stamp_ns")), earth))
+    # the frame is computed once per session, not per pose
+    frames = origins.select(*key, o["stamp_ns"].alias("_since"), earth.alias("_frame"))
+    joined = poses.join(frames, list(key), "left").withColumn("_earth", F.when(F.col("_since") <= F.col("stamp_ns"), F.col("_frame")))
     e = F.col("_earth")
     chain = F.array(
         edge("map", "odom", *none),
