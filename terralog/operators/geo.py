@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terralog.dimensions import PROVIDERS, REGIONS, provider_array
 from terralog.functions import geodesy, tiles
+from terralog.functions.binary import base64_text
 from terralog.functions.numeric import finite_or, is_finite
 from terralog.operators.joins import asof_join
 from terralog.operators.ordered import OrderedRows
@@ -262,7 +263,7 @@ def tile_message(requests: DataFrame, data: str | None = None) -> DataFrame:
         F.when(F.col("date") != "static", F.col("date")).alias("time"),
     ]
     if data is not None:
-        columns += [p["encoding"].alias("encoding"), F.base64(F.col(data)).alias("data")]
+        columns += [p["encoding"].alias("encoding"), base64_text(F.col(data)).alias("data")]
     return requests.select(*columns)
 
 

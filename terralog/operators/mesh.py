@@ -14,6 +14,7 @@ from terralog.functions import camera
 from terralog.functions.numeric import finite_or, is_finite
 from terralog.operators.ordered import OrderedRows, fold_rows
 from terralog.operators.payloads import envelope_base, fit_snapshot, pack_rows
+from terralog.session import freeze
 
 MAX_TRIANGLES = 600_000
 MIN_JUMP_M = 0.45
@@ -206,8 +207,9 @@ def collect_snapshot(
 
     ``meshes`` is (snapshot_id, mesh_id, mesh_order, m) with the 4x4 transform to the map frame.
     """
-    budgeted = triangle_budget(face, vertex, meshes, max_points // 3, limit)
-    remap = remap_vertices(budgeted, limit)
+    # at most max_points rows per snapshot are left here and read several times below, so they are written once
+    budgeted = freeze(triangle_budget(face, vertex, meshes, max_points // 3, limit))
+    remap = freeze(remap_vertices(budgeted, limit))
     totals = source_counts(face, vertex, meshes)
     header = F.struct(F.lit("map").alias("frame_id"))
     sized = totals.withColumn(

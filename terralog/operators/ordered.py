@@ -45,8 +45,8 @@ class OrderedRows:
     def __init__(self, df: DataFrame, key: Sequence[str], order: Sequence[str], limit: int | None = None):
         self.key, self.order = list(key), list(order)
         limit = limit or hot_rows(df.sparkSession)
-        largest, total = key_sizes(df, self.key)
-        self.hot = largest > limit
+        self.largest, total = key_sizes(df, self.key)
+        self.hot = self.largest > limit
         self.blocks = self.key + ([BLOCK] if self.hot else [])
         if self.hot:
             pieces = max(2, -(-total // limit))

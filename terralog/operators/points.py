@@ -18,6 +18,7 @@ VOXEL = ("vx", "vy", "vz")
 LIDAR_STEP = 4
 FUSION_CAP = 64
 SURFEL_VOXEL_M = 0.04
+ARRAY_ROWS = 20_000
 
 
 # --- clouds from depth -------------------------------------------------------------------------------------------------
@@ -146,10 +147,14 @@ def fuse_surfels(
     voxel = max(0.01, voxel)
     finite = points.filter(is_finite(F.col("x")) & is_finite(F.col("y")) & is_finite(F.col("z"))).withColumns(voxel_columns(voxel))
     cell = [*key, *VOXEL]
-    ranked = OrderedRows(finite, cell, list(order), limit).rank("_i").total("_n", F.lit(1).cast("bigint")).result()
+    in_order = OrderedRows(finite, cell, list(order), limit)
+    ranked = in_order.rank("_i").total("_n", F.lit(1).cast("bigint")).result()
     weighted = ranked.withColumn("_w", surfel_weights(F.col("_i"), F.col("_n")))
+    # up to the cap the running mean is the plain mean, whose sum of whole colours is exact
+    plain = F.count("*") <= FUSION_CAP + 1
+    means = [F.when(plain, F.sum(c) / F.count("*")).otherwise(F.sum(F.col("_w") * F.col(c))).alias(c) for c in ("x", "y", "z", "r", "g", "b")]
     fused = weighted.groupBy(*cell).agg(
-        *[F.sum(F.col("_w") * F.col(c)).alias(c) for c in ("x", "y", "z", "r", "g", "b")],
+        *means,
         F.count("*").alias("observation_count"),
         F.max_by("stamp_ns", F.struct(*order)).alias("updated_at"),
     )
@@ -162,19 +167,48 @@ def fuse_surfels(
     )
     if not normals:
         return out
-    delta = {c: F.col(f"o{c}") - F.col(c) for c in "xyz"}
-    length = F.sqrt(delta["x"] * delta["x"] + delta["y"] * delta["y"] + delta["z"] * delta["z"])
+    facing = [c.alias(f"in{a}") for a, c in zip("xyz", _towards_observer())]
+    incoming = ranked.select(*cell, *order, "_n", *facing)
+    array_rows = min(limit or ARRAY_ROWS, ARRAY_ROWS)
+    blended = _array_normals(incoming.filter(F.col("_n") <= array_rows), cell, list(order))
+    if in_order.largest > array_rows:
+        crowded = incoming.filter(F.col("_n") > array_rows).drop("_n")
+        schema = T.StructType(
+            [incoming.schema[c] for c in cell] + [T.StructField(c, T.DoubleType()) for c in ("nx", "ny", "nz")] + [T.StructField("_seen", T.LongType())]
+        )
+        parts = fold_rows(crowded, cell, list(order), _blend_normals, schema, limit)
+        last = parts.groupBy(*cell).agg(F.max_by(F.struct("nx", "ny", "nz"), "_seen").alias("_m")).select(*cell, "_m.*")
+        blended = blended.unionByName(last)
+    return out.join(blended, cell)
+
+
+def _towards_observer() -> list[Column]:
+    delta = [F.col(f"o{c}") - F.col(c) for c in "xyz"]
+    length = F.sqrt(delta[0] * delta[0] + delta[1] * delta[1] + delta[2] * delta[2])
     usable = is_finite(length) & (length > F.lit(1e-6))
-    fallback = {"x": 0.0, "y": 1.0, "z": 0.0}
-    incoming = finite.select(
-        *cell, *order, *[F.when(usable, delta[c] / length).otherwise(F.lit(fallback[c])).alias(f"in{c}") for c in "xyz"]
-    )
-    schema = T.StructType(
-        [incoming.schema[c] for c in cell] + [T.StructField(c, T.DoubleType()) for c in ("nx", "ny", "nz")] + [T.StructField("_seen", T.LongType())]
-    )
-    parts = fold_rows(incoming, cell, list(order), _blend_normals, schema, limit)
-    last = parts.groupBy(*cell).agg(F.max_by(F.struct("nx", "ny", "nz"), "_seen").alias("_m")).select(*cell, "_m.*")
-    return out.join(last, cell)
+    return [F.when(usable, d / length).otherwise(F.lit(f)) for d, f in zip(delta, (0.0, 1.0, 0.0))]
+
+
+def _array_normals(incoming: DataFrame, cell: list[str], order: list[str]) -> DataFrame:
+    """Blended normal of cells with few points (at most ``ARRAY_ROWS``, counted before): a fold over the sorted array.
+
+    The running value keeps the sum and its length, and is brought to unit length when it is next used.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(*order, "inx", "iny", "inz")))
+    kind = "struct<n:int,x:double,y:double,z:double,l:double>"
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("l")).cast(kind)
+
+    def unit(a: Column) -> list[Column]:
+        usable = is_finite(a["l"]) & (a["l"] > F.lit(1e-6))
+        return [F.when(usable, a[c] / a["l"]).otherwise(F.lit(f)) for c, f in zip("xyz", (0.0, 1.0, 0.0))]
+
+    def merge(a: Column, p: Column) -> Column:
+        x, y, z = (u * a["n"] + p[f"in{c}"] for u, c in zip(unit(a), "xyz"))
+        seen = F.least(a["n"] + 1, F.lit(FUSION_CAP))
+        return F.struct(seen.alias("n"), x.alias("x"), y.alias("y"), z.alias("z"), F.sqrt(x * x + y * y + z * z).alias("l")).cast(kind)
+
+    folded = incoming.groupBy(*cell).agg(F.aggregate(listed, start, merge).alias("_a"))
+    return folded.select(*cell, *[u.alias(f"n{c}") for c, u in zip("xyz", unit(F.col("_a")))])
 
 
 def top_surfels(surfels: DataFrame, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terralog import dimensions
 from terralog.functions import names, stamps
+from terralog.functions.binary import base64_text
 from terralog.operators import gates, joins, log, quality
 from terralog.plans.registry import query, sql
 from terralog.plans.views import Tables, nanos
@@ -398,7 +399,7 @@ def implemented_messages(t: Tables) -> DataFrame:
 def jpeg_payloads(t: Tables) -> DataFrame:
     e = F.col("event_id")
     formats = F.when(e % 3 == 0, "JPEG").when(e % 3 == 1, "rgb8; jpg compressed").otherwise("png")
-    rows = t.table("events").select(e.alias("row_id"), formats.alias("format"), F.base64(F.concat(F.lit("img"), e.cast("string")).cast("binary")).alias("data"))
+    rows = t.table("events").select(e.alias("row_id"), formats.alias("format"), base64_text(F.concat(F.lit("img"), e.cast("string")).cast("binary")).alias("data"))
     return log.jpeg_payload(rows).select("row_id", F.octet_length("image").cast("bigint").alias("bytes"))
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralog.operators.ordered import OrderedRows
+from terralog.session import freeze
+
 SQL_VIEWS = {
     "S_msg": """
         SELECT user_id % 8 AS session_id, user_id AS source, '/' || event_type AS topic, epoch_us(ts) * 1000 AS stamp_ns,
@@ -189,16 +192,16 @@ class Tables:
         )
 
     def vertices(self) -> DataFrame:
-        """Mesh of 64 orders each; every row is a vertex, numbered within its mesh."""
-        from terralog.operators.ordered import OrderedRows
-
+        """Mesh of 64 orders each; every row is a vertex, numbered within its mesh.  Mesh operators read their vertices
+        several times, so the table is written once, as a landed one would be."""
         base = self.table("lineitem").withColumn("mesh_id", F.floor(F.col("l_orderkey") / 64))
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
         needed = base.select("mesh_id", *order, "l_quantity", "l_discount")
-        return OrderedRows(needed, ["mesh_id"], order).rank("vid").result().select(
+        numbered = OrderedRows(needed, ["mesh_id"], order).rank("vid").result().select(
             "mesh_id", (F.col("vid") - 1).alias("vid"), (F.col("l_quantity") * F.lit(0.1)).alias("x"),
             (F.col("l_extendedprice") / F.lit(20000.0)).alias("y"), (F.col("l_discount") * F.lit(10.0) + F.lit(0.0)).alias("z"),
         )
+        return freeze(numbered)
 
     def faces(self, vertex: DataFrame) -> DataFrame:
         """One triangle per vertex; some point past the end of their mesh."""

@@ -12,7 +12,8 @@ from terralog.operators.mesh import valid_faces
 
 
 def _number(name: str) -> Column:
-    return finite_or(F.col(name).cast("double"), 0.0)
+    """Coordinates are written from single precision."""
+    return finite_or(F.col(name).cast("float").cast("double"), 0.0)
 
 
 def ply_lines(points: DataFrame, order: str, source: str, frame: str, captured_at: str) -> DataFrame:
