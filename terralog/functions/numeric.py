@@ -36,3 +36,8 @@ def quantize(value: Column, scale: float = 1e4) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
+
+
+def whole_div(value: Column, by: int | Column) -> Column:
+    """Integer division of whole numbers; stamps in nanoseconds are too large to divide as doubles."""
+    return F.call_function("div", value, by if isinstance(by, Column) else F.lit(by))

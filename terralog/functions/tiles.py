@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terralog.functions.numeric import whole_div
+
 # Fixed values of the web-mercator scheme.
 MAX_LATITUDE = 85.05112878
 EARTH_RADIUS_M = 6378137.0
@@ -77,7 +79,7 @@ def bbox_param(bounds: Column) -> Column:
 
 def tile_date(stamp: Column, offset_days: Column) -> Column:
     """UTC day moved by the provider's offset; null where the provider has none.  ``stamp`` is nanoseconds."""
-    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(stamp / F.lit(86400 * 10**9)).cast("int") + offset_days)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), whole_div(stamp, 86400 * 10**9).cast("int") + offset_days)
     return F.date_format(day, "yyyy-MM-dd")
 
 

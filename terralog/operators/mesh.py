@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terralog.functions import camera
-from terralog.functions.numeric import finite_or, is_finite
+from terralog.functions.numeric import finite_or, is_finite, whole_div
 from terralog.operators.ordered import OrderedRows, fold_rows
 from terralog.operators.payloads import envelope_base, fit_snapshot, pack_rows
 from terralog.session import freeze
@@ -217,7 +217,7 @@ def collect_snapshot(
         envelope_base(topic, header, F.col("snapshot_id").cast("string"), "arkit_mesh", "map", F.col("anchor_count"), F.col("original_vertex_count"), F.col("original_triangle_count")),
     )
     if max_bytes is not None:
-        new = remap.groupBy("snapshot_id", (F.floor(F.col("first") / 3) + 1).cast("bigint").alias("tri")).agg(F.count("*").alias("new_vertices"))
+        new = remap.groupBy("snapshot_id", (whole_div(F.col("first"), 3) + 1).cast("bigint").alias("tri")).agg(F.count("*").alias("new_vertices"))
         per_tri = budgeted.select("snapshot_id", "tri").join(new, ["snapshot_id", "tri"], "left").fillna(0, ["new_vertices"])
         fitted = fit_snapshot(per_tri, sized, max_bytes)
         budgeted = budgeted.join(fitted, "snapshot_id").filter(F.col("tri") <= F.col("fitted")).drop("fitted")
@@ -253,7 +253,7 @@ def merge_meshes(face: DataFrame, vertex: DataFrame, meshes: DataFrame, limit: i
     good = index.filter((F.col("vid") >= 0) & (F.col("vid") < F.col("vertices")))
     ranked = OrderedRows(good, ["snapshot_id"], ["mesh_order", "fid", "corner"], limit).rank("_i").result()
     place = F.col("_i") - 1
-    rows = ranked.select("snapshot_id", F.floor(place / 3).cast("bigint").alias("fid"), (place % 3).alias("k"), (F.col("vid") + F.col("_o")).alias("v"))
+    rows = ranked.select("snapshot_id", whole_div(place, 3).alias("fid"), (place % 3).alias("k"), (F.col("vid") + F.col("_o")).alias("v"))
     corners = [F.max(F.when(F.col("k") == i, F.col("v"))).alias(x) for i, x in enumerate("abc")]
     out_face = rows.groupBy("snapshot_id", "fid").agg(*corners).filter("a is not null and b is not null and c is not null")
     return out_vertex, out_face

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terralog.functions.numeric import whole_div
 from terralog.session import freeze, hot_rows
 
 BLOCK = "_blk"
@@ -193,10 +194,10 @@ def _mark_chain(jumps: DataFrame, key: Sequence[str], limit: int) -> DataFrame:
     That graph is walked, and each block then marks its own part from the entries that were reached.
     """
     key = list(key)
-    block = F.floor((F.col("_idx") - 1) / F.lit(limit)).cast("bigint")
+    block = whole_div((F.col("_idx") - 1), limit)
     rows = jumps.withColumn(BLOCK, block)
     entries = (
-        rows.filter(F.floor((F.col("_next") - 1) / F.lit(limit)) != F.col(BLOCK))
+        rows.filter(whole_div((F.col("_next") - 1), limit) != F.col(BLOCK))
         .select(*key, F.col("_next").alias("_idx"))
         .unionByName(rows.select(*key, F.lit(1).cast("bigint").alias("_idx")).distinct())
         .distinct()
@@ -301,7 +302,7 @@ def fold_rows(
         return df.groupBy(*key).applyInPandas(whole, schema)
 
     ranked = OrderedRows(df, key, order, limit).rank("_idx").result()
-    rows = freeze(ranked.withColumn(BLOCK, F.floor((F.col("_idx") - 1) / F.lit(limit)).cast("bigint")))
+    rows = freeze(ranked.withColumn(BLOCK, whole_div((F.col("_idx") - 1), limit)))
     blocks = [*key, BLOCK]
     state_schema = T.StructType([rows.schema[k] for k in blocks] + [T.StructField("_state", T.StringType())])
 

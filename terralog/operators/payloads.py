@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terralog.functions.numeric import whole_div
 from terralog.functions.binary import base64_text
 from terralog.functions.camera import pack_rgb
 from terralog.operators.ordered import OrderedRows
@@ -138,7 +139,7 @@ def pack_rows(rows: DataFrame, group: Sequence[str], index: str, fields: Sequenc
         columns |= {"_part": table["_part"].slice(0, 1), "_rows": pa.array([len(records)], pa.int64()), "_bytes": pa.array([records.tobytes()], pa.binary())}
         return pa.table(columns)
 
-    needed = rows.select(*group, index, *[c for c, _ in fields]).withColumn("_part", F.floor(F.col(index) / F.lit(PACK_ROWS)).cast("bigint"))
+    needed = rows.select(*group, index, *[c for c, _ in fields]).withColumn("_part", whole_div(F.col(index), PACK_ROWS))
     parts = needed.groupBy(*group, "_part").applyInArrow(pack, schema)
     listed = F.array_sort(F.collect_list(F.struct("_part", base64_text(F.col("_bytes")).alias("_text"))))
     return parts.groupBy(*group).agg(F.sum("_rows").alias("rows"), F.concat_ws("", F.transform(listed, lambda p: p["_text"])).alias("data"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from terralog import dimensions
 from terralog.functions import names, stamps
 from terralog.functions.binary import base64_text
+from terralog.functions.numeric import sanitize, whole_div
+from terralog.functions.radio import dedup_key
 from terralog.operators import gates, joins, log, quality
 from terralog.plans.registry import query, sql
 from terralog.plans.views import Tables, nanos
@@ -83,7 +85,7 @@ def topics_in_first_order(t: Tables) -> DataFrame:
 def uptime_stamps(t: Tables) -> DataFrame:
     seconds = stamps.uptime_to_epoch(F.lit(1700000000.0), F.lit(5000.0), F.col("event_id") + F.col("value") / F.lit(1000.0))
     split = t.table("events").select(F.col("event_id").alias("row_id"), stamps.split_stamp(seconds).alias("s"))
-    return split.select("row_id", "s.sec", F.floor(F.col("s.nanosec") / 1000).alias("micros"))
+    return split.select("row_id", "s.sec", whole_div(F.col("s.nanosec"), 1000).alias("micros"))
 
 
 @query("B8", """
@@ -238,10 +240,10 @@ def messages_with_topic(t: Tables) -> DataFrame:
     ON a.session_id = b.session_id AND a.stamp_ns = b.stamp_ns GROUP BY ALL""", "S_msg"))
 def stamped_pairs(t: Tables) -> DataFrame:
     """Image and camera messages of the same (half-hour) stamp."""
-    half = F.floor(F.col("stamp_ns") / 1_800_000_000_000) * 1_800_000_000_000
+    half = whole_div(F.col("stamp_ns"), 1_800_000_000_000) * 1_800_000_000_000
     rows = t.msg().select("session_id", "topic", half.alias("stamp_ns")).distinct()
     paired = joins.pair_stamp(rows.filter("topic = '/view'").drop("topic"), rows.filter("topic = '/click'").drop("topic"))
-    return paired.groupBy("session_id", F.floor(F.col("stamp_ns") / 1_800_000_000_000).alias("half_hour")).agg(F.count("*").alias("pairs"))
+    return paired.groupBy("session_id", whole_div(F.col("stamp_ns"), 1_800_000_000_000).alias("half_hour")).agg(F.count("*").alias("pairs"))
 
 
 @query("C10 A13", """
@@ -261,8 +263,6 @@ def messages_on_enabled_topics(t: Tables) -> DataFrame:
 @query("C12 B38", sql("""
     SELECT kind, count(*) AS fresh FROM S_radio r WHERE NOT EXISTS (SELECT 1 FROM S_radio p WHERE p.seq % 3 = 0 AND p.source = r.source AND p.kind = r.kind AND p.stamp_ns // 1000 = r.stamp_ns // 1000) GROUP BY kind""", "S_radio"))
 def unpublished_radio(t: Tables) -> DataFrame:
-    from terralog.functions.radio import dedup_key
-
     key = dedup_key(F.lit("ble_advertisement"), F.col("kind"), F.col("source").cast("string"), F.col("stamp_ns") / F.lit(1e9))
     rows = t.radio().withColumn("dedup_key", key)
     return joins.unpublished(rows, rows.filter("seq % 3 = 0")).groupBy("kind").agg(F.count("*").alias("fresh"))
@@ -280,7 +280,7 @@ def unpublished_radio(t: Tables) -> DataFrame:
     SELECT source, count(stamp_ns) AS kept, CAST(sum(stamp_ns // 1000000000) AS BIGINT) AS seconds FROM chain WHERE stamp_ns IS NOT NULL GROUP BY source""", "S_msg"))
 def rate_gated(t: Tables) -> DataFrame:
     kept = gates.rate_gate(t.msg().select("source", "stamp_ns", "row_id"), ["source"], 43_200_000_000_000)
-    return kept.groupBy("source").agg(F.count("*").alias("kept"), F.sum(F.floor(F.col("stamp_ns") / 1_000_000_000)).alias("seconds"))
+    return kept.groupBy("source").agg(F.count("*").alias("kept"), F.sum(whole_div(F.col("stamp_ns"), 1_000_000_000)).alias("seconds"))
 
 
 @query("E8", sql("""
@@ -303,7 +303,7 @@ def rebuild_requests(t: Tables) -> DataFrame:
     e = F.col("event_id")
     kind = F.when(e % 13 == 0, "force").when(e % 29 == 0, "remove").when(e % 3 == 0, "finish").otherwise("begin")
     events = t.table("events").select(
-        (F.col("user_id") % 64).alias("anchor"), e.alias("seq"), (nanos("ts") / F.lit(1e9)).alias("ts"), kind.alias("kind"), F.floor(e / 40).alias("token")
+        (F.col("user_id") % 64).alias("anchor"), e.alias("seq"), (nanos("ts") / F.lit(1e9)).alias("ts"), kind.alias("kind"), whole_div(e, 40).alias("token")
     )
     out = gates.rebuild_gate(events, 3600.0)
     return out.groupBy("anchor", "kind").agg(F.count("*").alias("requests"), F.count_if("accepted").alias("accepted"))
@@ -346,7 +346,8 @@ def checked_finite(t: Tables) -> DataFrame:
     SELECT event_id AS row_id, CASE WHEN event_id % 17 = 0 THEN -100 ELSE CAST(floor(value * 100 + 0.5e0) AS BIGINT) END AS accuracy,
            CASE WHEN event_id % 23 = 0 THEN 0 ELSE CAST(floor(value * 100 + 0.5e0) AS BIGINT) END AS latitude FROM events""")
 def sanitized_readings(t: Tables) -> DataFrame:
-    from terralog.functions.numeric import sanitize
+    from terralog.functions.numeric import sanitize, whole_div
+from terralog.functions.radio import dedup_key
 
     e, v = F.col("event_id"), F.col("value")
     rows = t.table("events").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralog.functions.numeric import whole_div
 from terralog.operators import calibration, mesh, payloads
 from terralog.plans.registry import query, sql
 from terralog.plans.views import Tables
@@ -24,7 +25,7 @@ def _meshes(vertex: DataFrame, per_snapshot: int | None = 16) -> DataFrame:
     i = F.col("mesh_id")
     one, zero = F.lit(1.0), F.lit(0.0)
     m = F.array(zero, zero, one, (i % 5).cast("double"), zero, one, zero, F.lit(2.0), -one, zero, zero, F.lit(3.0), zero, zero, zero, one)
-    snapshot = F.floor(i / per_snapshot) if per_snapshot else F.lit(0).cast("bigint")
+    snapshot = whole_div(i, per_snapshot) if per_snapshot else F.lit(0).cast("bigint")
     return vertex.select("mesh_id").distinct().select(snapshot.alias("snapshot_id"), "mesh_id", i.alias("mesh_order"), m.alias("m"))
 
 
@@ -140,8 +141,8 @@ def fitted_snapshots(t: Tables) -> DataFrame:
     SELECT mesh_id, points, CASE WHEN points <= 170 THEN points END AS uncut FROM (SELECT l_orderkey // 64 AS mesh_id, count(*) // 3 * 3 AS points FROM lineitem GROUP BY ALL)""")
 def fitted_point_lists(t: Tables) -> DataFrame:
     """Lists that fit stay as they are; 170 points are below the limit and 240 above it."""
-    lists = t.table("lineitem").groupBy(F.floor(F.col("l_orderkey") / 64).alias("mesh_id")).agg((F.floor(F.count("*") / 3) * 3).alias("points"))
-    base = payloads.envelope_base("/mapping/mesh_snapshot", F.struct(F.lit("map").alias("frame_id")), F.col("mesh_id").cast("string"), "s", "map", F.lit(1), F.col("points"), F.floor(F.col("points") / 3))
+    lists = t.table("lineitem").groupBy(whole_div(F.col("l_orderkey"), 64).alias("mesh_id")).agg((whole_div(F.count("*"), 3) * 3).alias("points"))
+    base = payloads.envelope_base("/mapping/mesh_snapshot", F.struct(F.lit("map").alias("frame_id")), F.col("mesh_id").cast("string"), "s", "map", F.lit(1), F.col("points"), whole_div(F.col("points"), 3))
     out = payloads.fit_points(lists.withColumn("base_bytes", base), 5_000)
     return out.select("mesh_id", "points", F.when(F.col("points") <= 170, F.col("fitted")).alias("uncut"))
 
@@ -151,7 +152,7 @@ def fitted_markers(t: Tables) -> DataFrame:
     """One marker per mesh, sixteen per message; points as JSON text."""
     vertex = t.vertices()
     point = F.octet_length(F.to_json(F.struct("x", "y", "z"))).cast("bigint")
-    rows = vertex.select(F.floor(F.col("mesh_id") / 16).alias("message_id"), (F.col("mesh_id") % 16).alias("marker"), F.col("vid").alias("position"), point.alias("point_bytes"), F.lit(180).cast("bigint").alias("marker_bytes"))
+    rows = vertex.select(whole_div(F.col("mesh_id"), 16).alias("message_id"), (F.col("mesh_id") % 16).alias("marker"), F.col("vid").alias("position"), point.alias("point_bytes"), F.lit(180).cast("bigint").alias("marker_bytes"))
     return payloads.fit_markers(rows, 64, 40_000)
 
 

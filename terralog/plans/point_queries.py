@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog.functions import camera
-from terralog.functions.numeric import quantize
+from terralog.functions.numeric import quantize, whole_div
 from terralog.operators import calibration, joins, payloads, points
+from terralog.operators.mesh import surfel_triangles
 from terralog.plans.registry import query, sql
 from terralog.plans.views import Tables
 from terralog.sources import artifacts
@@ -223,8 +224,6 @@ def fused_surfels(t: Tables) -> DataFrame:
 @query("D10 H13")
 def surfel_normals(t: Tables) -> DataFrame:
     """Fused surfels with normals, as preview triangles."""
-    from terralog.operators.mesh import surfel_triangles
-
     corners = surfel_triangles(_fused(t, 0.5, True))
     return corners.select("session_id", "vx", "vy", "vz", "corner", *[_near(F.col(c), 1e5).alias(c) for c in "xyz"])
 
@@ -274,7 +273,7 @@ def pointcloud_sidecar(t: Tables) -> DataFrame:
 
 
 def _clouds(t: Tables) -> DataFrame:
-    rows = t.points().withColumn("stamp_ns", F.floor(F.col("frame") / 512))
+    rows = t.points().withColumn("stamp_ns", whole_div(F.col("frame"), 512))
     return payloads.collect_cloud(rows.withColumn("seq", F.struct("frame", "seq")))
 
 

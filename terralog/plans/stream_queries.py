@@ -1 +1,121 @@
-"""Queries."""
+"""The operators as streams: the tables arrive as files, all that is there is processed, and the output is read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terralog.operators import points, telemetry
+from terralog.functions.numeric import quantize, whole_div
+from terralog.plans import geo_queries, log_queries, point_queries, telemetry_queries  # noqa: F401  (their oracles are used)
+from terralog.plans.registry import all_queries, query, sql
+from terralog.plans.views import Tables
+from terralog.streaming import stateful, stateless
+from terralog.streaming.run import run_available
+
+
+def _oracle(name: str) -> str:
+    """The batch form of the same operator has the same result."""
+    return all_queries()[name].oracle
+
+
+class StreamTables(Tables):
+    """The same views over the tables as streams of files."""
+
+    def table(self, name: str) -> DataFrame:
+        schema = self.spark.read.parquet(self.path(name)).schema
+        # as a pattern, so that a table that is one file can be a stream too
+        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(self.path(name) + "*")
+
+
+def _streams(t: Tables) -> StreamTables:
+    return StreamTables(t.spark, t.folder)
+
+
+@query("I1", _oracle("decoded_envelopes"))
+def stream_decoded(t: Tables) -> DataFrame:
+    rows = stateless.stream_decode(_streams(t).envelopes())
+    return run_available(rows.select("session_id", "row_id", "topic", "stamp_ns"), "decode")
+
+
+@query("I2", sql("SELECT DISTINCT kind || ':' || source || ':' || (stamp_ns // 86400000000000) AS dedup_key FROM S_radio", "S_radio"))
+def stream_deduplicated(t: Tables) -> DataFrame:
+    day = whole_div(F.col("stamp_ns"), 86_400_000_000_000).cast("string")
+    rows = _streams(t).radio().withColumn("dedup_key", F.concat_ws(":", "kind", F.col("source").cast("string"), day))
+    return run_available(stateless.stream_dedup(rows, "1 day").select("dedup_key"), "dedup")
+
+
+@query("I3")
+def stream_buffered(t: Tables) -> DataFrame:
+    e = F.col("row_id")
+    kind = F.when(e % 97 == 0, "reconnect").when(e % 211 == 0, "clear").when(e % 3 == 0, "mesh").otherwise("cloud")
+    events = _streams(t).msg().select("session_id", e.alias("seq"), kind.alias("kind"), (F.col("bytes") * 100).alias("bytes"))
+    return run_available(stateful.bounded_buffer(events), "buffer")
+
+
+@query("I4", _oracle("rate_gated"))
+def stream_rate_gated(t: Tables) -> DataFrame:
+    rows = _streams(t).msg().select("source", "stamp_ns", "row_id")
+    kept = run_available(stateful.stream_rate_gate(rows, ["source"], 43_200_000_000_000), "gate")
+    return kept.groupBy("source").agg(F.count("*").alias("kept"), F.sum(whole_div(F.col("stamp_ns"), 1_000_000_000)).alias("seconds"))
+
+
+@query("I5", _oracle("thinned_points"))
+def stream_thinned(t: Tables) -> DataFrame:
+    first = stateful.stream_voxels(_streams(t).points(), 0.5, ["frame", "seq"])
+    return run_available(first, "voxels").select("session_id", "vx", "vy", "vz", "frame", "seq")
+
+
+@query("I6", _oracle("fused_surfels"))
+def stream_fused(t: Tables) -> DataFrame:
+    rows = _streams(t).points().withColumns({"ox": F.lit(0.0), "oy": F.lit(0.0), "oz": F.lit(9.0)})
+    cell = ["session_id", "vx", "vy", "vz"]
+    fused = points.trim_surfels(run_available(stateful.stream_surfels(rows, 1.0), "surfels", cell))
+    red = F.when(F.col("observation_count") <= 65, F.col("r")).alias("r")
+    return fused.select(*cell, "observation_count", "updated_at", quantize(F.col("confidence")).alias("confidence"), *[point_queries._near(F.col(c), 1e5).alias(c) for c in "xyz"], red)
+
+
+@query("I7", _oracle("payload_metrics"))
+def stream_payload_metrics(t: Tables) -> DataFrame:
+    rows = _streams(t).payloads().withColumn("seq", F.struct("seq", "original_bytes"))
+    out = run_available(telemetry.payload_metrics(rows), "metrics", ["stream"])
+    return out.select("stream", "message_count", "original_bytes_total", "encoded_bytes_total", "max_encoded_bytes", "last_original_bytes", quantize(F.col("compression_ratio"), 1e9).alias("ratio"))
+
+
+@query("I8", sql("""
+    SELECT session_id, topic, stamp_ns // 3600000000000 * 3600000000000 AS start_ns, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS bytes FROM S_msg
+    WHERE stamp_ns // 3600000000000 * 3600000000000 + 3600000000000 <= (SELECT max(stamp_ns) // 1000000 * 1000000 FROM S_msg) - 300000000000 GROUP BY ALL""", "S_msg"))
+def stream_topic_rates(t: Tables) -> DataFrame:
+    """Final hours: those that the watermark (five minutes behind the newest message) has passed."""
+    rates = stateless.stream_topic_rates(_streams(t).msg(), "1 hour")
+    return run_available(rates.select("session_id", "topic", "start_ns", "messages", "bytes"), "rates")
+
+
+@query("I9", sql("""
+    SELECT session_id, stamp_ns AS last_ns FROM (SELECT session_id, stamp_ns, lead(stamp_ns) OVER (PARTITION BY session_id ORDER BY stamp_ns) AS next_ns FROM S_msg)
+    WHERE next_ns - stamp_ns > 1800000000000 OR (next_ns IS NULL AND stamp_ns + 1800000000000 < (SELECT max(stamp_ns) FROM S_msg) - 2000000000)""", "S_msg"))
+def stream_stale(t: Tables) -> DataFrame:
+    return run_available(stateful.stream_staleness(_streams(t).msg().select("session_id", "stamp_ns"), 1800.0), "stale")
+
+
+@query("I10", _oracle("session_states"))
+def stream_session_states(t: Tables) -> DataFrame:
+    rows = _streams(t).session_events().withColumn("last_error", F.coalesce("last_error", F.lit("")))
+    return run_available(telemetry.session_state(rows), "sessions", ["session_id"]).drop("enabled_streams")
+
+
+@query("I10", sql("""
+    SELECT source, min(stamp_ns) AS start_ns, max(stamp_ns) + 21600000000000 AS end_ns, count(*) AS messages FROM (
+        SELECT source, stamp_ns, sum(new) OVER (PARTITION BY source ORDER BY stamp_ns) AS g FROM (
+            SELECT source, stamp_ns, CASE WHEN stamp_ns - lag(stamp_ns) OVER (PARTITION BY source ORDER BY stamp_ns) < 21600000000000 THEN 0 ELSE 1 END AS new FROM S_msg))
+    GROUP BY source, g HAVING max(stamp_ns) + 21600000000000 <= (SELECT max(stamp_ns) // 1000000 * 1000000 FROM S_msg) - 300000000000""", "S_msg"))
+def stream_gap_sessions(t: Tables) -> DataFrame:
+    return run_available(stateless.stream_gap_sessions(_streams(t).msg(), "6 hours"), "gaps")
+
+
+@query("I11", _oracle("georeferenced_fixes"))
+def stream_georeferenced(t: Tables) -> DataFrame:
+    s = _streams(t)
+    placed = run_available(stateful.stream_origin(s.fixes(), s.poses()), "origin")
+    return placed.select("session_id", "seq", F.col("reason").isNull().alias("established"), "reason", *[quantize(F.col(f"map.{c}"), 10.0).alias(c) for c in "xyz"])
+

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralog.functions.numeric import whole_div
 from terralog.operators.ordered import OrderedRows
 from terralog.session import freeze
 
@@ -149,7 +150,7 @@ class Tables:
     def depth(self) -> DataFrame:
         o, relative = F.col("o_orderkey"), F.lit(0.1) + (F.col("o_custkey") % 50) / F.lit(50.0)
         return self.table("orders").select(
-            F.floor(o / 1024).alias("frame"), (o % 32).alias("px"), (F.floor(o / 32) % 32).alias("py"), relative.alias("relative"),
+            whole_div(o, 1024).alias("frame"), (o % 32).alias("px"), (whole_div(o, 32) % 32).alias("py"), relative.alias("relative"),
             (F.lit(0.5) + F.lit(2.0) * relative + (o % 7) * F.lit(0.01)).alias("depth"), (o % 3).alias("confidence"),
         )
 
@@ -158,7 +159,7 @@ class Tables:
         f = F.col("frame")
         one, zero = F.lit(1.0), F.lit(0.0)
         m = F.array(zero, zero, one, f.cast("double"), zero, one, zero, F.lit(2.0), -one, zero, zero, F.lit(3.0), zero, zero, zero, one)
-        return self.table("orders").select(F.floor(F.col("o_orderkey") / 1024).alias("frame")).distinct().select(
+        return self.table("orders").select(whole_div(F.col("o_orderkey"), 1024).alias("frame")).distinct().select(
             "frame", F.lit(600.0).alias("fx"), F.lit(590.0).alias("fy"), F.lit(320.0).alias("cx"), F.lit(240.0).alias("cy"),
             F.lit(640).alias("image_w"), F.lit(480).alias("image_h"), F.lit(32).alias("depth_w"), F.lit(32).alias("depth_h"), m.alias("m"),
         )
@@ -194,7 +195,7 @@ class Tables:
     def vertices(self) -> DataFrame:
         """Mesh of 64 orders each; every row is a vertex, numbered within its mesh.  Mesh operators read their vertices
         several times, so the table is written once, as a landed one would be."""
-        base = self.table("lineitem").withColumn("mesh_id", F.floor(F.col("l_orderkey") / 64))
+        base = self.table("lineitem").withColumn("mesh_id", whole_div(F.col("l_orderkey"), 64))
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
         needed = base.select("mesh_id", *order, "l_quantity", "l_discount")
         numbered = OrderedRows(needed, ["mesh_id"], order).rank("vid").result().select(
@@ -221,7 +222,7 @@ def messages(events: DataFrame) -> DataFrame:
     return events.select(
         (F.col("user_id") % 8).alias("session_id"), F.col("user_id").alias("source"), F.concat(F.lit("/"), "event_type").alias("topic"),
         nanos("ts").alias("stamp_ns"), (nanos("ts") + (F.col("event_id") % 1000) * 1000).alias("recv_ns"), whole(F.col("value") * 100).alias("bytes"),
-        F.col("event_id").alias("row_id"), F.floor(F.col("event_id") / 2000).alias("chunk"),
+        F.col("event_id").alias("row_id"), whole_div(F.col("event_id"), 2000).alias("chunk"),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralog.functions.numeric import whole_div
 from terralog.functions.stamps import message_stamp_ns
 from terralog.operators.log import hydrate_good
 from terralog.schemas import MESSAGE_FIELDS
@@ -63,7 +64,7 @@ def write_topics(decoded: DataFrame, path: str, types: Sequence[str], force: boo
         # a type with a field named like a key column stays nested
         clash = {"session_id", "topic", "stamp_ns"} & {n for n, _ in known[name]}
         out = rows.select("session_id", "topic", "stamp_ns", "message" if clash else "message.*")
-        spread = out.repartition("session_id", "topic", F.floor(F.col("stamp_ns") / F.lit(3600 * 10**9)))
+        spread = out.repartition("session_id", "topic", whole_div(F.col("stamp_ns"), 3600 * 10**9))
         spread.write.mode("overwrite" if force else "errorifexists").partitionBy("session_id", "topic").parquet(target)
         written.append(target)
     return written

@@ -189,34 +189,49 @@ def stream_surfels(points: DataFrame, voxel: float = 0.04, order: Sequence[str]
 
 
 class _Staleness(StatefulProcessor):
+    """Holds the newest stamp and whether its silence was reported; silences inside a batch are reported from the data."""
+
     def __init__(self, key: str, seconds: float):
-        self.key, self.seconds = key, seconds
+        self.key, self.wait_ns = key, int(seconds * 1e9)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", T.StructType([T.StructField("stamp_ns", T.LongType())]))
+        self.last = handle.getValueState("last", T.StructType([T.StructField("stamp_ns", T.LongType()), T.StructField("told", T.BooleanType())]))
+
+    def _rows(self, key, stamps) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(stamps), "last_ns": stamps})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = max((int(p["stamp_ns"].max()) for p in rows if len(p)), default=None)
-        if newest is None or (self.last.exists() and newest <= self.last.get()[0]):
+        stamps = np.sort(np.concatenate([p["stamp_ns"].to_numpy() for p in rows] or [np.empty(0, dtype=np.int64)]))
+        before, told = self.last.get() if self.last.exists() else (None, False)
+        if len(stamps) == 0 or (before is not None and stamps[-1] <= before):
             return
+        fresh = stamps if before is None else stamps[stamps > before]
+        line = fresh if before is None else np.concatenate([[before], fresh])
+        silent = np.diff(line) > self.wait_ns
+        if before is not None and told:
+            silent[0] = False
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.last.update((newest,))
-        self.handle.registerTimer(newest // 1_000_000 + int(self.seconds * 1000))
-        return
-        yield
+        newest = int(stamps[-1])
+        self.last.update((newest, False))
+        self.handle.registerTimer((newest + self.wait_ns) // 1_000_000 + 1)
+        if silent.any():
+            yield self._rows(key, line[:-1][silent])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists():
-            yield pd.DataFrame({self.key: [key[0]], "last_ns": [self.last.get()[0]]})
+        newest, told = self.last.get()
+        if not told:
+            self.last.update((newest, True))
+            yield self._rows(key, [newest])
 
     def close(self) -> None:
         pass
 
 
 def stream_staleness(fixes: DataFrame, seconds: float = 10.0, watermark: str = "1 second", key: str = "session_id") -> DataFrame:
-    """One row whenever a session has had no fix for ``seconds`` of event time."""
+    """One row (the last stamp before it) for each time a session had no fix for ``seconds`` of event time: as soon as the
+    watermark shows it, or from the next fix, whichever comes first."""
     timed = fixes.withColumn("event_time", event_time(F.col("stamp_ns"))).withWatermark("event_time", watermark)
     schema = T.StructType([fixes.schema[key], T.StructField("last_ns", T.LongType())])
     return _apply(timed.select(key, "stamp_ns", "event_time"), [key], _Staleness(key, seconds), schema, "Append", "EventTime")

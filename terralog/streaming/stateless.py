@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralog.functions.numeric import whole_div
 from terralog.operators.log import decode_envelope, hydrate_good
 
 
 def event_time(stamp_ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(stamp_ns / F.lit(1000)).cast("bigint"))
+    return F.timestamp_micros(whole_div(stamp_ns, 1000))
 
 
 def stream_decode(envelopes: DataFrame, message_type: str | None = None) -> DataFrame:
