@@ -14,6 +14,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,7 @@ from terralog.functions.numeric import whole_div
 from terralog.session import freeze, hot_rows
 
 BLOCK = "_blk"
+BEYOND = 1 << 62  # past the last row
 
 
 def join_same(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "left") -> DataFrame:
@@ -179,7 +181,7 @@ def mark_jumps(
         ahead.carry("_next", F.col("_hit"), reverse=True)
         .result()
         .filter(F.col("_hit").isNull())
-        .select(*key, "_idx", F.greatest(F.col("_next"), F.col("_idx") + 1).alias("_next"))
+        .select(*key, "_idx", F.when(F.col("_next").isNotNull(), F.greatest(F.col("_next"), F.col("_idx") + 1)).alias("_next"))
     )
     marks = _mark_chain(freeze(jumps), key, limit)
     joined = join_same(ranked, marks.withColumn(name, F.lit(True)), [*key, "_idx"])
@@ -210,14 +212,13 @@ def _mark_chain(jumps: DataFrame, key: Sequence[str], limit: int) -> DataFrame:
     def exits(table: pa.Table) -> pa.Table:
         table = table.sort_by("_idx")
         idx = table["_idx"].to_numpy()
-        leave = table["_next"].to_pandas().fillna(1 << 62).to_numpy(dtype=np.int64).copy()
+        leave = pc.fill_null(table["_next"], BEYOND).to_numpy().copy()
         first, last = int(idx[0]), int(idx[-1])
         for i in range(len(leave) - 1, -1, -1):
             if leave[i] <= last:
                 leave[i] = leave[int(leave[i]) - first]
-        chosen = table["_entry"].to_pandas().fillna(False).to_numpy(dtype=bool)
         out = table.select([*key, "_idx"]).append_column("_next", pa.array(leave))
-        return out.filter(pa.array(chosen))
+        return out.filter(pc.fill_null(table["_entry"], False))
 
     between = freeze(rows.groupBy(*key, BLOCK).applyInArrow(exits, exit_schema))
     largest, _ = key_sizes(between, key)
@@ -241,9 +242,9 @@ def _mark_chain(jumps: DataFrame, key: Sequence[str], limit: int) -> DataFrame:
     def marks(table: pa.Table) -> pa.Table:
         table = table.sort_by("_idx")
         first = int(table["_idx"][0].as_py())
-        follow = table["_next"].to_pandas().fillna(1 << 62).to_numpy(dtype=np.int64)
+        follow = pc.fill_null(table["_next"], BEYOND).to_numpy()
         on = np.zeros(len(follow), dtype=bool)
-        for seed in np.flatnonzero(table["_seed"].to_pandas().fillna(False).to_numpy(dtype=bool)):
+        for seed in np.flatnonzero(pc.fill_null(table["_seed"], False).to_numpy()):
             at = int(seed)
             while at < len(on) and not on[at]:
                 on[at] = True
