@@ -346,9 +346,6 @@ def checked_finite(t: Tables) -> DataFrame:
     SELECT event_id AS row_id, CASE WHEN event_id % 17 = 0 THEN -100 ELSE CAST(floor(value * 100 + 0.5e0) AS BIGINT) END AS accuracy,
            CASE WHEN event_id % 23 = 0 THEN 0 ELSE CAST(floor(value * 100 + 0.5e0) AS BIGINT) END AS latitude FROM events""")
 def sanitized_readings(t: Tables) -> DataFrame:
-    from terralog.functions.numeric import sanitize, whole_div
-from terralog.functions.radio import dedup_key
-
     e, v = F.col("event_id"), F.col("value")
     rows = t.table("events").select(
         e.alias("row_id"), F.when(e % 17 == 0, F.lit(float("nan"))).otherwise(v).alias("accuracy"), F.when(e % 23 == 0, F.lit(float("inf"))).otherwise(v).alias("latitude")

@@ -13,11 +13,11 @@ from terralog.sources import artifacts
 
 
 def _near(value: Column, scale: float = 1e5) -> Column:
-    return F.floor(value * F.lit(scale) + F.lit(0.37)).cast("bigint")
+    return F.floor(value * F.lit(scale) + F.lit(0.371931)).cast("bigint")
 
 
 def _qn(expression: str, scale: str = "1e5") -> str:
-    return f"CAST(floor(({expression}) * {scale} + 0.37e0) AS BIGINT)"
+    return f"CAST(floor(({expression}) * {scale} + 0.371931e0) AS BIGINT)"
 
 
 def _meshes(vertex: DataFrame, per_snapshot: int | None = 16) -> DataFrame:

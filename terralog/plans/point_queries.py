@@ -20,11 +20,11 @@ def _q(expression: str, scale: str = "1e4") -> str:
 
 def _near(value: Column, scale: float) -> Column:
     """Like ``quantize``, but cut where means of whole numbers do not fall."""
-    return F.floor(value * F.lit(scale) + F.lit(0.37)).cast("bigint")
+    return F.floor(value * F.lit(scale) + F.lit(0.371931)).cast("bigint")
 
 
 def _qn(expression: str, scale: str = "1e4") -> str:
-    return f"CAST(floor(({expression}) * {scale} + 0.37e0) AS BIGINT)"
+    return f"CAST(floor(({expression}) * {scale} + 0.371931e0) AS BIGINT)"
 
 
 # --- cells ---------------------------------------------------------------------------------------------------------------
@@ -78,8 +78,8 @@ _FIT_SAMPLES = """
 
 def _fit(weight: str) -> str:
     return f"""
-    SELECT frame, samples, CASE WHEN samples > 50 AND abs(d) > 1e-6 THEN CAST(floor((sw * sxy - sx * sy) / d * 1e6 + 0.37e0) AS BIGINT) END AS scale,
-           CASE WHEN samples > 50 AND abs(d) > 1e-6 THEN CAST(floor((sy * sxx - sx * sxy) / d * 1e6 + 0.37e0) AS BIGINT) END AS offset_
+    SELECT frame, samples, CASE WHEN samples > 50 AND abs(d) > 1e-6 THEN CAST(floor((sw * sxy - sx * sy) / d * 1e6 + 0.371931e0) AS BIGINT) END AS scale,
+           CASE WHEN samples > 50 AND abs(d) > 1e-6 THEN CAST(floor((sy * sxx - sx * sxy) / d * 1e6 + 0.371931e0) AS BIGINT) END AS offset_
     FROM (SELECT *, sw * sxx - sx * sx AS d FROM (SELECT frame, count(*) AS samples, sum({weight}) AS sw, sum({weight} * x) AS sx, sum({weight} * y) AS sy, sum({weight} * x * x) AS sxx, sum({weight} * x * y) AS sxy
           FROM ({_FIT_SAMPLES}) GROUP BY frame))"""
 
@@ -145,7 +145,7 @@ def relative_points(t: Tables) -> DataFrame:
 
 
 @query("B22b", sql(f"""
-    WITH fit AS ({_fit('w').replace('CAST(floor((sw * sxy - sx * sy) / d * 1e6 + 0.37e0) AS BIGINT)', '(sw * sxy - sx * sy) / d').replace('CAST(floor((sy * sxx - sx * sxy) / d * 1e6 + 0.37e0) AS BIGINT)', '(sy * sxx - sx * sxy) / d')})
+    WITH fit AS ({_fit('w').replace('CAST(floor((sw * sxy - sx * sy) / d * 1e6 + 0.371931e0) AS BIGINT)', '(sw * sxy - sx * sy) / d').replace('CAST(floor((sy * sxx - sx * sxy) / d * 1e6 + 0.371931e0) AS BIGINT)', '(sy * sxx - sx * sxy) / d')})
     SELECT frame, count(*) AS points, {_qn('sum(d) / count(*)', '1e5')} AS mean_depth FROM (SELECT frame, scale * relative + offset_ AS d FROM S_depth JOIN fit USING (frame)) WHERE d > 0.1e0 GROUP BY frame""", "S_depth"))
 def fused_points(t: Tables) -> DataFrame:
     """Relative depth made metric by the fit of its own frame."""
@@ -285,7 +285,7 @@ def cloud_messages(t: Tables) -> DataFrame:
 
 @query("H1 H3", sql("""
     SELECT session_id, stamp_ns, row_number() OVER (PARTITION BY session_id, stamp_ns ORDER BY frame, s) - 1 AS seq,
-           CAST(floor(CAST(CAST(x AS FLOAT) AS DOUBLE) * 1e6 + 0.37e0) AS BIGINT) AS x, CAST(floor(CAST(CAST(y AS FLOAT) AS DOUBLE) * 1e6 + 0.37e0) AS BIGINT) AS y, r, g, b
+           CAST(floor(CAST(CAST(x AS FLOAT) AS DOUBLE) * 1e6 + 0.371931e0) AS BIGINT) AS x, CAST(floor(CAST(CAST(y AS FLOAT) AS DOUBLE) * 1e6 + 0.371931e0) AS BIGINT) AS y, r, g, b
     FROM (SELECT session_id, frame // 512 AS stamp_ns, frame, seq AS s, x, y, r, g, b FROM S_point)""", "S_point"))
 def cloud_points(t: Tables) -> DataFrame:
     """Points packed into messages and read back: single precision is what the payload holds."""
@@ -295,7 +295,7 @@ def cloud_points(t: Tables) -> DataFrame:
 
 @query("H2", sql(f"""
     SELECT session_id, vx AS stamp_ns, row_number() OVER (PARTITION BY session_id, vx ORDER BY vy, vz) - 1 AS seq, observation_count,
-           CAST(floor(CAST(CAST(least(1e0, 0.2e0 + 0.04e0 * (observation_count - 1)) AS FLOAT) AS DOUBLE) * 1e5 + 0.37e0) AS BIGINT) AS confidence
+           CAST(floor(CAST(CAST(least(1e0, 0.2e0 + 0.04e0 * (observation_count - 1)) AS FLOAT) AS DOUBLE) * 1e5 + 0.371931e0) AS BIGINT) AS confidence
     FROM ({_FUSED.format(voxel='0.5e0')})""", "S_point"))
 def surfel_payloads(t: Tables) -> DataFrame:
     fused = _fused(t, 0.5).withColumns({"normal_x": F.lit(0.0), "normal_y": F.lit(1.0), "normal_z": F.lit(0.0)})

@@ -56,7 +56,7 @@ def publisher_stats(t: Tables) -> DataFrame:
 
 
 @query("D13", """
-    SELECT session_id, count(*) AS probes, count(*) FILTER (WHERE NOT ok) AS failures, CAST(floor(avg(bytes * n / (greatest(ms, 1e0) / 1000e0)) FILTER (WHERE ok) + 0.37e0) AS BIGINT) AS mean_rate
+    SELECT session_id, count(*) AS probes, count(*) FILTER (WHERE NOT ok) AS failures, CAST(floor(avg(bytes * n / (greatest(ms, 1e0) / 1000e0)) FILTER (WHERE ok) + 0.371931e0) AS BIGINT) AS mean_rate
     FROM (SELECT o_custkey % 16 AS session_id, o_orderstatus <> 'F' AS ok, 65536 AS bytes, o_orderkey % 8 + 1 AS n, (o_orderkey % 50) / 4e0 AS ms FROM orders) GROUP BY session_id""")
 def probe_summary(t: Tables) -> DataFrame:
     o = F.col("o_orderkey")
@@ -64,11 +64,11 @@ def probe_summary(t: Tables) -> DataFrame:
         (F.col("o_custkey") % 16).alias("session_id"), (F.col("o_orderstatus") != "F").alias("success"), F.lit(65536).alias("payload_bytes"), (o % 8 + 1).alias("message_count"),
         ((o % 50) / F.lit(4.0)).alias("elapsed_ms"), ((o % 90) / F.lit(2.0)).alias("rtt_ms"),
     )
-    return telemetry.probe_summary(rows).select("session_id", "probes", "failures", F.floor(F.col("mean_rate") + F.lit(0.37)).alias("mean_rate"))
+    return telemetry.probe_summary(rows).select("session_id", "probes", "failures", F.floor(F.col("mean_rate") + F.lit(0.371931)).alias("mean_rate"))
 
 
 @query("D13", """
-    SELECT o_orderkey AS seq, CASE WHEN o_orderstatus <> 'F' THEN CAST(floor(65536e0 * 4 / (greatest((o_orderkey % 50) / 4e0, 1e0) / 1000e0) + 0.37e0) AS BIGINT) ELSE 0 END AS rate,
+    SELECT o_orderkey AS seq, CASE WHEN o_orderstatus <> 'F' THEN CAST(floor(65536e0 * 4 / (greatest((o_orderkey % 50) / 4e0, 1e0) / 1000e0) + 0.371931e0) AS BIGINT) ELSE 0 END AS rate,
            CASE WHEN o_orderstatus <> 'F' THEN CAST(o_orderkey % 90 AS BIGINT) ELSE -1 END AS rtt_ms FROM orders""")
 def probe_rates(t: Tables) -> DataFrame:
     o = F.col("o_orderkey")
@@ -76,7 +76,7 @@ def probe_rates(t: Tables) -> DataFrame:
         o.alias("seq"), (F.col("o_orderstatus") != "F").alias("success"), F.lit(65536.0).alias("payload_bytes"), F.lit(4).alias("message_count"),
         ((o % 50) / F.lit(4.0)).alias("elapsed_ms"), (o % 90).cast("double").alias("rtt_ms"),
     )
-    return telemetry.probe_throughput(rows).select("seq", F.floor(F.col("rate") + F.lit(0.37)).alias("rate"), F.col("rtt_ms").cast("bigint").alias("rtt_ms"))
+    return telemetry.probe_throughput(rows).select("seq", F.floor(F.col("rate") + F.lit(0.371931)).alias("rate"), F.col("rtt_ms").cast("bigint").alias("rtt_ms"))
 
 
 @query("D14", """
@@ -333,11 +333,11 @@ def positioned_radio(t: Tables) -> DataFrame:
 
 @query("D15", sql(f"""
     SELECT session_id, CAST(floor(x / 0.5e0) AS BIGINT) AS cx, CAST(floor(y / 0.5e0) AS BIGINT) AS cy, count(*) AS samples, {_q('max(rssi)')} AS max_rssi, {_q('min(rssi)')} AS min_rssi,
-           CAST(floor(avg(rssi) * 1e4 + 0.37e0) AS BIGINT) AS mean_rssi FROM ({_POSITIONED}) WHERE local_ok GROUP BY ALL""", "S_radio"))
+           CAST(floor(avg(rssi) * 1e4 + 0.371931e0) AS BIGINT) AS mean_rssi FROM ({_POSITIONED}) WHERE local_ok GROUP BY ALL""", "S_radio"))
 def signal_map(t: Tables) -> DataFrame:
     rows = _positioned(t).withColumnRenamed("rssi", "rssi_dbm")
     out = telemetry.signal_grid(rows, 0.5)
-    return out.select("session_id", "cx", "cy", "samples", quantize(F.col("max_rssi")).alias("max_rssi"), quantize(F.col("min_rssi")).alias("min_rssi"), F.floor(F.col("mean_rssi") * F.lit(1e4) + F.lit(0.37)).alias("mean_rssi"))
+    return out.select("session_id", "cx", "cy", "samples", quantize(F.col("max_rssi")).alias("max_rssi"), quantize(F.col("min_rssi")).alias("min_rssi"), F.floor(F.col("mean_rssi") * F.lit(1e4) + F.lit(0.371931)).alias("mean_rssi"))
 
 
 @query("B49", sql("SELECT row_id, greatest(0, recv_ns - stamp_ns - 500000) AS duration_ns FROM S_msg", "S_msg"))

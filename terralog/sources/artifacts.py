@@ -12,8 +12,11 @@ from terralog.operators.mesh import valid_faces
 
 
 def _number(name: str) -> Column:
-    """Coordinates are written from single precision."""
-    return finite_or(F.col(name).cast("float").cast("double"), 0.0)
+    """Six decimals of the single-precision value, as C prints it: exact ties go to the even digit, the sign of zero stays."""
+    value = finite_or(F.col(name).cast("float").cast("double"), 0.0)
+    exact = F.bround(F.abs(value).try_cast("decimal(38,15)"), 6).cast("string")
+    signed = F.when(F.startswith(value.cast("string"), F.lit("-")), F.concat(F.lit("-"), exact)).otherwise(exact)
+    return F.coalesce(signed, F.format_string("%.6f", value))
 
 
 def ply_lines(points: DataFrame, order: str, source: str, frame: str, captured_at: str) -> DataFrame:
@@ -25,7 +28,7 @@ def ply_lines(points: DataFrame, order: str, source: str, frame: str, captured_a
         F.lit("element vertex "), F.col("n"),
         F.lit("\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header"),
     )
-    line = F.format_string("%.6f %.6f %.6f %d %d %d", _number("x"), _number("y"), _number("z"), F.col("r"), F.col("g"), F.col("b"))
+    line = F.concat_ws(" ", *[_number(c) for c in "xyz"], *[F.col(c).cast("string") for c in "rgb"])
     body = points.select(F.lit(1).alias("section"), F.col(order).cast("bigint").alias("position"), line.alias("value"))
     return count.select(F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("position"), header.alias("value")).unionByName(body)
 
@@ -39,7 +42,7 @@ def obj_lines(vertex: DataFrame, face: DataFrame, source: str, frame: str, captu
         F.lit(f"# final overlay mesh\n# source: {source}\n# coordinate_frame: {frame}\n# captured_at: {captured_at}\n# vertex_count: "),
         F.col("n"), F.lit("\n# triangle_count: "), F.col("t"), F.lit("\no final_overlay_mesh"),
     )
-    v = F.format_string("v %.6f %.6f %.6f", _number("x"), _number("y"), _number("z"))
+    v = F.concat_ws(" ", F.lit("v"), *[_number(c) for c in "xyz"])
     f = F.format_string("f %d %d %d", F.col("a") + 1, F.col("b") + 1, F.col("c") + 1)
     rows = total.select(F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("position"), header.alias("value"))
     rows = rows.unionByName(vertex.select(F.lit(1).alias("section"), F.col("vid").cast("bigint").alias("position"), v.alias("value")))

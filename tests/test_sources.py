@@ -193,3 +193,13 @@ def test_empty_cloud_header(spark):
     empty = spark.createDataFrame([], "seq bigint, x double, y double, z double, r int, g int, b int")
     assert "element vertex 0" in artifacts.ply_lines(empty, "seq", "s", "map", "").first()["value"]
     assert artifacts.pointcloud_metadata(empty.withColumn("k", F.lit(1)), "s", "map", "").count() == 1
+
+
+def test_numbers_are_written_as_c_prints_them(spark):
+    values = [3.6015625, -3.6015625, 3.6015635, -0.0, -1e-9, 1e25, float("inf"), 0.1, 12345.678]
+    df = spark.createDataFrame([(i, v, 0.0, 0.0, 1, 1, 1) for i, v in enumerate(values)], "seq bigint, x double, y double, z double, r int, g int, b int")
+    import struct
+
+    got = [r["value"].split(" ")[0] for r in artifacts.ply_lines(df, "seq", "s", "map", "").filter("section = 1").orderBy("position").collect()]
+    single = [struct.unpack("<f", struct.pack("<f", v))[0] for v in values]
+    assert got == ["%.6f" % (0.0 if v == float("inf") else v) for v in single]
