@@ -41,3 +41,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def whole_div(value: Column, by: int | Column) -> Column:
     """Integer division of whole numbers; stamps in nanoseconds are too large to divide as doubles."""
     return F.call_function("div", value, by if isinstance(by, Column) else F.lit(by))
+
+
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    A plain column would be repeated in every filter that the optimizer moves below it; an exploded one-element array is
+    a step that filters on the column stay above.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -12,6 +12,9 @@ from terralog.operators.ordered import OrderedRows
 from terralog.session import broadcast_rows
 
 
+FEW_BOXES = 64
+
+
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Mark a side for broadcast only if counting shows that it is small; else leave the choice to the planner."""
     limit = limit or broadcast_rows(df.sparkSession)
@@ -98,10 +101,9 @@ def nearest_sample(
 
 
 def in_region(fixes: DataFrame, regions: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Fixes inside a region box.  The box table must be a small dimension; its size is counted, not assumed."""
+    """Fixes inside a region box.  A handful of boxes (counted) is tested on every fix; more are joined by degree."""
     boxes = regions.select(*[F.col(c).alias(f"_r_{c}") for c in regions.columns])
-    limit = broadcast_rows(fixes.sparkSession)
-    if boxes.limit(limit + 1).count() > limit:
+    if boxes.limit(FEW_BOXES + 1).count() > FEW_BOXES:
         return _in_region_by_degree(fixes, boxes, how)
     inside = region_contains(F.col("lat"), F.col("lon"), F.col("_r_south"), F.col("_r_west"), F.col("_r_north"), F.col("_r_east"))
     return fixes.join(F.broadcast(boxes), inside, how)

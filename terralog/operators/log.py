@@ -8,26 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralog.functions.names import rewrite_topic, rewrite_type
-from terralog.functions.stamps import duration_ns, message_stamp_ns
+from terralog.functions.numeric import with_once
+from terralog.functions.stamps import duration_ns, join_stamp
 from terralog.operators.joins import small
 from terralog.schemas import MESSAGE_FIELDS
 
 # --- envelopes ---------------------------------------------------------------------------------------------------------
 
 
-def _envelope_error(data: Column) -> Column:
-    """Null for a usable envelope, else what is wrong with it."""
-    parsed = F.try_parse_json(data)
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
 
-    def is_object(value: Column) -> Column:
-        return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
 
-    op = F.get_json_object(data, "$.op")
+def _envelope_error(parsed: Column) -> Column:
+    """Null for a usable envelope, else what is wrong with it.  ``parsed`` is the payload as a variant."""
+    op = F.try_variant_get(parsed, "$.op", "variant")
+    name = F.coalesce(F.try_variant_get(parsed, "$.op", "string"), F.to_json(op))
     return (
         F.when(parsed.isNull(), F.lit("payload is not JSON"))
-        .when(~is_object(parsed), F.lit("payload is not an object"))
-        .when(op.isNotNull() & (op != "publish"), F.concat(F.lit("unsupported op "), op))
-        .when(~is_object(F.try_variant_get(parsed, "$.msg", "variant")), F.lit("payload has no object msg"))
+        .when(~_is_object(parsed), F.lit("payload is not an object"))
+        .when(op.isNotNull() & ~F.is_variant_null(op) & (name != "publish"), F.concat(F.lit("unsupported op "), name))
+        .when(~_is_object(F.try_variant_get(parsed, "$.msg", "variant")), F.lit("payload has no object msg"))
     )
 
 
@@ -35,28 +36,34 @@ def decode_envelope(df: DataFrame, mode: str = "permissive", legacy_root: str =
     """Add ``topic`` (payload's own, else the record's), ``msg`` (JSON text) and ``stamp_ns`` from ``data``.
 
     ``strict`` stops at the first bad row; ``permissive`` keeps only good rows, see ``envelope_rejects`` for the rest.
+    The payload is parsed once to a variant, and all fields are read from that.
     """
-    checked = df.withColumn("_error", _envelope_error(F.col("data")))
+    parsed = with_once(df, "_v", F.try_parse_json("data"))
+    v = F.col("_v")
     if mode == "strict":
-        good = checked.filter(
-            F.when(F.col("_error").isNotNull(), F.raise_error(F.col("_error")).cast("boolean")).otherwise(F.lit(True))
-        )
+        error = _envelope_error(v)
+        good = parsed.filter(F.when(error.isNotNull(), F.raise_error(error).cast("boolean")).otherwise(F.lit(True)))
     else:
-        good = checked.filter(F.col("_error").isNull())
-    own = F.get_json_object("data", "$.topic")
+        good = parsed.filter(_envelope_error(v).isNull())
+    own = F.try_variant_get(v, "$.topic", "string")
     topic = F.when(own.isNotNull() & (own != ""), own).otherwise(F.col("topic"))
-    msg = F.get_json_object("data", "$.msg")
-    return (
-        good.drop("_error")
-        .withColumn("topic", rewrite_topic(topic, legacy_root, root))
-        .withColumn("msg", msg)
-        .withColumn("stamp_ns", message_stamp_ns(F.col("msg"), F.col("stamp_ns")))
-    )
+
+    def stamp(path: str) -> Column:
+        return join_stamp(F.try_variant_get(v, f"{path}.stamp.sec", "bigint"), F.try_variant_get(v, f"{path}.stamp.nanosec", "bigint"))
+
+    return good.withColumns(
+        {
+            "topic": rewrite_topic(topic, legacy_root, root),
+            "msg": F.get_json_object("data", "$.msg"),
+            "stamp_ns": F.coalesce(stamp("$.msg.header"), stamp("$.msg.transforms[0].header"), F.col("stamp_ns").cast("bigint")),
+        }
+    ).drop("_v")
 
 
 def envelope_rejects(df: DataFrame) -> DataFrame:
     """The rows that do not decode, with ``error``."""
-    return df.withColumn("error", _envelope_error(F.col("data"))).filter(F.col("error").isNotNull())
+    parsed = with_once(df, "_v", F.try_parse_json("data"))
+    return parsed.withColumn("error", _envelope_error(F.col("_v"))).filter(F.col("error").isNotNull()).drop("_v")
 
 
 def rewrite_names(df: DataFrame, legacy_root: str, root: str, legacy_package: str, package: str) -> DataFrame:
@@ -188,7 +195,7 @@ def hydrate(df: DataFrame, message_type: str, fields: Mapping[str, tuple] = MESS
     if message_type not in fields:
         raise KeyError(f"no schema for {message_type}")
     declared = fields[message_type]
-    parsed = df.withColumn("_raw", F.from_json("msg", _raw_type(declared), {"mode": "PERMISSIVE"}))
+    parsed = with_once(df, "_raw", F.from_json("msg", _raw_type(declared), {"mode": "PERMISSIVE"}))
     value, failed = _coerce(F.col("_raw"), declared)
     return parsed.withColumn("message", value).withColumn("_failed", F.coalesce(failed, F.lit(True))).drop("_raw")
 

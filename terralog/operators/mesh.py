@@ -176,11 +176,11 @@ def triangle_budget(face: DataFrame, vertex: DataFrame, meshes: DataFrame, n: in
     return OrderedRows(rows, ["snapshot_id"], ["mesh_order", "fid"], limit).rank("tri").result().filter(F.col("tri") <= n)
 
 
-def remap_vertices(budgeted: DataFrame, limit: int | None = None) -> DataFrame:
+def remap_vertices(budgeted: DataFrame, limit: int | None = None, bound: int | None = None) -> DataFrame:
     """Dense vertex ids per snapshot in order of first use: (snapshot_id, mesh_id, vid, first, gid)."""
     corners = _corners(budgeted, "snapshot_id", "tri")
     first = corners.groupBy("snapshot_id", "mesh_id", "vid").agg(F.min((F.col("tri") - 1) * 3 + F.col("corner")).alias("first"))
-    return OrderedRows(first, ["snapshot_id"], ["first"], limit).rank("gid").result().withColumn("gid", F.col("gid") - 1)
+    return OrderedRows(first, ["snapshot_id"], ["first"], limit, bound).rank("gid").result().withColumn("gid", F.col("gid") - 1)
 
 
 def remapped_faces(budgeted: DataFrame, remap: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def collect_snapshot(
     """
     # at most max_points rows per snapshot are left here and read several times below, so they are written once
     budgeted = freeze(triangle_budget(face, vertex, meshes, max_points // 3, limit))
-    remap = freeze(remap_vertices(budgeted, limit))
+    remap = freeze(remap_vertices(budgeted, limit, bound=max_points))
     totals = source_counts(face, vertex, meshes)
     header = F.struct(F.lit("map").alias("frame_id"))
     sized = totals.withColumn(
@@ -243,9 +243,9 @@ def merge_meshes(face: DataFrame, vertex: DataFrame, meshes: DataFrame, limit: i
     index is dropped from the index list, and the list is then read in threes again."""
     counts = vertex_counts(vertex).join(face.select("mesh_id").distinct(), "mesh_id", "left_semi")
     usable = meshes.join(counts, "mesh_id")
-    # one row per mesh, so this running sum is over a small table
-    before = Window.partitionBy("snapshot_id").orderBy("mesh_order").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = usable.withColumn("_o", F.coalesce(F.sum("vertices").over(before), F.lit(0)))
+    # vertices of the meshes before; one row per mesh, read by both results below
+    ends = OrderedRows(usable, ["snapshot_id"], ["mesh_order"], limit).cumulative("_o", F.col("vertices")).result()
+    offsets = ends.withColumn("_o", F.col("_o") - F.col("vertices"))
     moved = vertex.join(offsets.select("snapshot_id", "mesh_id", "m", "_o"), "mesh_id")
     world = camera.to_map(F.struct("x", "y", "z"), F.col("m"))
     out_vertex = moved.select("snapshot_id", (F.col("vid") + F.col("_o")).alias("vid"), world.alias("_w")).select("snapshot_id", "vid", "_w.*")

@@ -42,13 +42,14 @@ def key_sizes(df: DataFrame, key: Sequence[str]) -> tuple[int, int]:
 class OrderedRows:
     """Rows in order per key; adds columns that look back (or ahead) along that order.
 
-    ``order`` must be a total order within the key, so that the result does not depend on partitioning.
+    ``order`` must be a total order within the key, so that the result does not depend on partitioning.  ``bound`` is a
+    proven largest number of rows per key; where it is within the limit nothing is counted.
     """
 
-    def __init__(self, df: DataFrame, key: Sequence[str], order: Sequence[str], limit: int | None = None):
+    def __init__(self, df: DataFrame, key: Sequence[str], order: Sequence[str], limit: int | None = None, bound: int | None = None):
         self.key, self.order = list(key), list(order)
         limit = limit or hot_rows(df.sparkSession)
-        self.largest, total = key_sizes(df, self.key)
+        self.largest, total = (bound, 0) if bound is not None and bound <= limit else key_sizes(df, self.key)
         self.hot = self.largest > limit
         self.blocks = self.key + ([BLOCK] if self.hot else [])
         if self.hot:

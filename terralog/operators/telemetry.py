@@ -218,9 +218,10 @@ STATUS_NAMES = (
 
 
 def status_row(name: str, outcome: Column, values: dict[str, Column]) -> Column:
-    pairs = [x for key, value in values.items() for x in (F.lit(key), F.coalesce(value.cast("string"), F.lit("")))]
-    entries = health.status_values(F.create_map(*pairs)) if pairs else F.array().cast("array<struct<key:string,value:string>>")
-    return F.struct(F.lit(name).alias("name"), outcome["level"].alias("level"), outcome["message"].alias("message"), entries.alias("values"))
+    """One named status; the keys are known here, so their order is fixed without sorting at run time."""
+    pairs = [F.struct(F.lit(k).alias("key"), F.coalesce(values[k].cast("string"), F.lit("")).alias("value")) for k in sorted(values)]
+    entries = F.array(*pairs) if pairs else F.array().cast("array<struct<key:string,value:string>>")
+    return F.struct(F.lit(name).alias("name"), outcome.alias("outcome"), entries.alias("values"))
 
 
 def health_report(ticks: DataFrame) -> DataFrame:
@@ -261,7 +262,7 @@ def health_report(ticks: DataFrame) -> DataFrame:
         ),
     )
     rows = F.array(*[status_row(name, outcome, values) for name, (outcome, values) in zip(STATUS_NAMES, outcomes)])
-    return ticks.select("session_id", "tick", F.explode(rows).alias("_s")).select("session_id", "tick", "_s.*")
+    return ticks.select("session_id", "tick", F.explode(rows).alias("_s")).select("session_id", "tick", "_s.name", "_s.outcome.*", "_s.values")
 
 
 def worst_level(report: DataFrame) -> DataFrame:

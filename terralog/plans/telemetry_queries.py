@@ -197,8 +197,7 @@ def health_levels(t: Tables) -> DataFrame:
         "mapping/ros2_bridge": "bridge", "mapping/publish_queue": "queue", "mapping/local_sample_buffer": "buffer", "mapping/local_bag_storage": "bag", "mapping/geotiles": "tiles",
         "mapping/gps_quality": "gps", "mapping/indoor_localization": "indoor", "mapping/current_wifi": "wifi", "mapping/ble_beacons": "ble", "mapping/network_path": "path", "mapping/recorder_probe": "probe",
     }
-    wide = report.groupBy("tick").pivot("name", list(names)).agg(F.max("level"))
-    return wide.select("tick", *[F.col(f"`{n}`").alias(a) for n, a in names.items()])
+    return report.groupBy("tick").agg(*[F.max(F.when(F.col("name") == n, F.col("level"))).alias(a) for n, a in names.items()])
 
 
 @query("B54", f"""

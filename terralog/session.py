@@ -50,11 +50,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared folder, so every later use sees the same rows even if executors are lost."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write the rows once as a table in the shared folder and read that.
+
+    Every later use sees the same rows even if executors are lost, reads only the columns it needs, and the planner
+    knows the table's size.
+    """
+    path = scratch_path(df.sparkSession, "frozen")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hot_rows(spark: SparkSession) -> int:
