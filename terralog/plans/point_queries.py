@@ -179,7 +179,18 @@ def camera_messages(t: Tables) -> DataFrame:
     return rows.select("seq", *[c(f"m.{x}")[i].cast("bigint").alias(f"{x}{i}") for x, i in (("k", 0), ("k", 5), ("p", 2), ("p", 10))], quantize(c("v")[7]).alias("c7"), quantize(c("v")[8]).alias("c8"))
 
 
-@query("E7")
+_FIT_RAW = _fit("w").replace("CAST(floor((sw * sxy - sx * sy) / d * 1e6 + 0.371931e0) AS BIGINT)", "(sw * sxy - sx * sy) / d")
+
+
+@query("E7", sql(f"""
+    WITH RECURSIVE frames AS MATERIALIZED (SELECT frame % 3 AS session_id, frame, scale, row_number() OVER (PARTITION BY frame % 3 ORDER BY frame) AS k FROM ({_FIT_RAW})),
+    chain AS (
+        SELECT session_id, k, frame, false AS reused, scale AS used, CASE WHEN scale IS NOT NULL THEN frame END AS entry, scale AS held FROM frames WHERE k = 1
+        UNION ALL
+        SELECT session_id, k, frame, reused, CASE WHEN reused THEN held ELSE scale END, CASE WHEN reused OR scale IS NULL THEN entry ELSE frame END, CASE WHEN reused OR scale IS NULL THEN held ELSE scale END
+        FROM (SELECT f.*, c.entry, c.held, coalesce((f.frame - c.entry) * 0.4e0 <= 1.25e0 AND (f.frame - c.entry) * 0.03e0 <= 0.2e0, false) AS reused
+              FROM chain c JOIN frames f ON f.session_id = c.session_id AND f.k = c.k + 1))
+    SELECT session_id, frame, reused, {_qn('used', '1e6')} AS scale FROM chain""", "S_depth"))
 def reused_calibrations(t: Tables) -> DataFrame:
     """One calibration per depth frame, frames 0.4 s apart per session, camera moving a little."""
     fits = calibration.fit_calibration(_pairs(t))
@@ -228,6 +239,45 @@ def surfel_normals(t: Tables) -> DataFrame:
     return corners.select("session_id", "vx", "vy", "vz", "corner", *[_near(F.col(c), 1e5).alias(c) for c in "xyz"])
 
 
+@query("D10", sql(f"""
+    WITH RECURSIVE seen AS MATERIALIZED (
+        SELECT session_id, vx, vy, vz, i, dx / l AS ix, dy / l AS iy, dz / l AS iz FROM (
+            SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS l, row_number() OVER (PARTITION BY session_id, vx, vy, vz ORDER BY stamp_ns, seq) AS i
+            FROM (SELECT *, -x AS dx, stamp_ns % 7 - y AS dy, 9e0 - z AS dz, {_CELL.format(s='0.5e0')} FROM S_point))),
+    blend AS (
+        SELECT session_id, vx, vy, vz, i, ix AS nx, iy AS ny, iz AS nz FROM seen WHERE i = 1
+        UNION ALL
+        SELECT session_id, vx, vy, vz, i, ux / l, uy / l, uz / l FROM (
+            SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS l FROM (
+                SELECT s.session_id, s.vx, s.vy, s.vz, s.i, b.nx * least(b.i, 64) + s.ix AS ux, b.ny * least(b.i, 64) + s.iy AS uy, b.nz * least(b.i, 64) + s.iz AS uz
+                FROM blend b JOIN seen s ON s.session_id = b.session_id AND s.vx = b.vx AND s.vy = b.vy AND s.vz = b.vz AND s.i = b.i + 1)))
+    SELECT session_id, vx, vy, vz, {_qn('arg_max(nx, i)', '1e6')} AS nx, {_qn('arg_max(ny, i)', '1e6')} AS ny, {_qn('arg_max(nz, i)', '1e6')} AS nz FROM blend GROUP BY ALL""", "S_point"))
+def blended_normals(t: Tables) -> DataFrame:
+    return _fused(t, 0.5, True).select("session_id", "vx", "vy", "vz", *[_near(F.col(c), 1e6).alias(c) for c in ("nx", "ny", "nz")])
+
+
+_UPRIGHT = "abs(ny) < 0.9e0"
+
+
+@query("H13", sql(f"""
+    SELECT session_id, frame, seq, {_qn('x + tx * rad')} AS x0, {_qn('y + ty * rad')} AS y0, {_qn('z - tz * rad * 0.5e0 + bz * rad * 0.86e0')} AS z1, {_qn('x - tx * rad * 0.5e0 - bx * rad * 0.86e0')} AS x2
+    FROM (SELECT *, ny * tz - nz * ty AS bx, nx * ty - ny * tx AS bz FROM (
+        SELECT *, hx / h AS tx, hy / h AS ty, hz / h AS tz FROM (
+            SELECT *, sqrt(hx * hx + hy * hy + hz * hz) AS h FROM (
+                SELECT *, CASE WHEN {_UPRIGHT} THEN nz ELSE 0e0 END AS hx, CASE WHEN {_UPRIGHT} THEN 0e0 ELSE -nz END AS hy, CASE WHEN {_UPRIGHT} THEN -nx ELSE ny END AS hz FROM (
+                    SELECT *, (x + 1e0) / l AS nx, (y - 2e0) / l AS ny, (z + 1e0) / l AS nz, least(greatest(r / 5000e0, 0.008e0), 0.045e0) AS rad FROM (
+                        SELECT *, sqrt((x + 1e0) * (x + 1e0) + (y - 2e0) * (y - 2e0) + (z + 1e0) * (z + 1e0)) AS l FROM S_point))))))""", "S_point"))
+def surfel_corners(t: Tables) -> DataFrame:
+    """Every point as a surfel."""
+    rows = t.points().withColumns({"nx": F.col("x") + 1, "ny": F.col("y") - 2, "nz": F.col("z") + 1, "radius": F.col("r") / F.lit(5000.0)})
+    corners = surfel_triangles(rows, ["session_id", "frame", "seq"])
+
+    def one(corner: int, axis: str) -> Column:
+        return _near(F.max(F.when(F.col("corner") == corner, F.col(axis))), 1e4).alias(f"{axis}{corner}")
+
+    return corners.groupBy("session_id", "frame", "seq").agg(one(0, "x"), one(0, "y"), one(1, "z"), one(2, "x"))
+
+
 @query("F2", sql(f"SELECT session_id, vx, vy, vz FROM ({_FUSED.format(voxel='0.5e0')}) ORDER BY confidence DESC, updated_at DESC, vx, vy, vz LIMIT 100", "S_point"))
 def best_surfels(t: Tables) -> DataFrame:
     return points.top_surfels(_fused(t, 0.5), 100).select("session_id", "vx", "vy", "vz")
