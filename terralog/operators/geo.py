@@ -11,57 +11,69 @@ from terralog.dimensions import PROVIDERS, REGIONS, provider_array
 from terralog.functions import geodesy, tiles
 from terralog.functions.binary import base64_text
 from terralog.functions.numeric import finite_or, is_finite
-from terralog.operators.joins import asof_join
+from terralog.operators.joins import asof_join, asof_rows
 from terralog.operators.ordered import OrderedRows
 
 MAX_ORIGIN_ACCURACY_M = 25.0
 
 
-def _good_origin(max_accuracy: float) -> Column:
-    acc = F.col("hacc")
-    usable = geodesy.usable_fix(F.col("lat"), F.col("lon"), F.col("alt"))
-    return usable & is_finite(acc) & (acc >= 0) & (acc <= F.lit(max_accuracy)) & F.col("pose_ns").isNotNull()
+ORIGIN_FIX = ("stamp_ns", "seq", "lat", "lon", "alt", "hacc")
+POSE_AT_FIX = ("pose_ns", "mx", "my", "mz")
+
+
+def _good_origin(fix: dict[str, Column], pose_ns: Column, max_accuracy: float) -> Column:
+    acc = fix["hacc"]
+    usable = geodesy.usable_fix(fix["lat"], fix["lon"], fix["alt"])
+    return usable & is_finite(acc) & (acc >= 0) & (acc <= F.lit(max_accuracy)) & pose_ns.isNotNull()
 
 
 def first_origin(fixes: DataFrame, key: Sequence[str] = ("session_id",), max_accuracy: float = MAX_ORIGIN_ACCURACY_M) -> DataFrame:
     """Per session the first fix that may be its origin (``fixes`` carry the latest pose as ``pose_ns, mx, my, mz``)."""
-    chosen = F.min_by(F.struct("stamp_ns", "seq", "lat", "lon", "alt", "hacc", "pose_ns", "mx", "my", "mz"), F.struct("stamp_ns", "seq"))
-    return fixes.filter(_good_origin(max_accuracy)).groupBy(*key).agg(chosen.alias("origin"))
+    chosen = F.min_by(F.struct(*ORIGIN_FIX, *POSE_AT_FIX), F.struct("stamp_ns", "seq"))
+    good = _good_origin({c: F.col(c) for c in ORIGIN_FIX}, F.col("pose_ns"), max_accuracy)
+    return fixes.filter(good).groupBy(*key).agg(chosen.alias("origin"))
+
+
+def _poses_for_fixes(poses: DataFrame, key: Sequence[str]) -> DataFrame:
+    return poses.select(*key, F.col("stamp_ns").alias("pose_ns"), F.col("x").alias("mx"), F.col("y").alias("my"), F.col("z").alias("mz"), "seq")
 
 
 def with_pose(fixes: DataFrame, poses: DataFrame, key: Sequence[str] = ("session_id",)) -> DataFrame:
     """Latest pose at each fix as ``pose_ns, mx, my, mz``."""
-    renamed = poses.select(*key, F.col("stamp_ns").alias("pose_ns"), F.col("x").alias("mx"), F.col("y").alias("my"), F.col("z").alias("mz"), "seq")
-    return asof_join(fixes, renamed, key, "stamp_ns", "pose_ns", ["pose_ns", "mx", "my", "mz"], left_tie=["seq"], right_tie=["seq"])
+    renamed = _poses_for_fixes(poses, key)
+    return asof_join(fixes, renamed, key, "stamp_ns", "pose_ns", list(POSE_AT_FIX), left_tie=["seq"], right_tie=["seq"])
 
 
 def georeference(
-    fixes: DataFrame, poses: DataFrame, key: Sequence[str] = ("session_id",), max_accuracy: float = MAX_ORIGIN_ACCURACY_M
+    fixes: DataFrame, poses: DataFrame, key: Sequence[str] = ("session_id",), max_accuracy: float = MAX_ORIGIN_ACCURACY_M, limit: int | None = None
 ) -> DataFrame:
     """Local position of every fix.
 
     The session's origin is its first usable fix that is accurate enough and has a pose; fixes before it, and unusable
-    ones, stay with a ``reason`` and no position.  The pose is attached once and used for both the origin and the reason.
+    ones, stay with a ``reason`` and no position.  The latest pose and the first origin are carried along the same
+    ordered rows, so fixes and poses are shuffled once.
     """
-    located = with_pose(fixes, poses, key)
-    origin = first_origin(located, key, max_accuracy)
-    joined = located.join(origin, list(key), "left")
+    rows = asof_rows(fixes, _poses_for_fixes(poses, key), key, "stamp_ns", "pose_ns", list(POSE_AT_FIX), left_tie=["seq"], right_tie=["seq"], limit=limit)
+    fix, pose = {c: F.col(f"_left.{c}") for c in ORIGIN_FIX}, F.col("_match")
+    candidate = F.struct(*[c.alias(n) for n, c in fix.items()], *[pose[c].alias(c) for c in POSE_AT_FIX])
+    good = (F.col("_side") == 1) & _good_origin(fix, pose["pose_ns"], max_accuracy)
+    carried = rows.first_seen("origin", F.when(good, candidate)).result().filter(F.col("_side") == 1)
+    left_cols = [c for c in fixes.columns if c not in key]
+    joined = carried.select(*key, *[F.col(f"_left.{c}").alias(c) for c in left_cols], F.col("_match.pose_ns").alias("pose_ns"), "origin")
     o = F.col("origin")
     usable = geodesy.usable_fix(F.col("lat"), F.col("lon"), F.col("alt"))
-    after = o.isNotNull() & (F.struct("stamp_ns", "seq") >= F.struct(o["stamp_ns"], o["seq"]))
     enu = geodesy.to_enu(
         geodesy.to_ecef(F.col("lat"), F.col("lon"), F.col("alt")), geodesy.to_ecef(o["lat"], o["lon"], o["alt"]), o["lat"], o["lon"]
     )
     at = F.struct(o["mx"].alias("x"), o["my"].alias("y"), o["mz"].alias("z"))
     reason = (
-        F.when(after, F.lit(None).cast("string"))
+        F.when(o.isNotNull(), F.lit(None).cast("string"))
         .when(F.col("pose_ns").isNull(), F.lit("waiting_for_arkit_map_pose"))
         .otherwise(F.lit("waiting_for_accurate_gps_origin"))
     )
-    placed = joined.withColumn("established", F.coalesce(after, F.lit(False))).withColumn("reason", reason)
+    placed = joined.withColumn("established", o.isNotNull()).withColumn("reason", reason)
     placed = placed.withColumn("enu", F.when(F.col("established") & usable, enu))
-    placed = placed.withColumn("map", F.when(F.col("enu").isNotNull(), geodesy.enu_to_map(F.col("enu"), at)))
-    return placed.drop("mx", "my", "mz")
+    return placed.withColumn("map", F.when(F.col("enu").isNotNull(), geodesy.enu_to_map(F.col("enu"), at)))
 
 
 # --- odometry and frames -----------------------------------------------------------------------------------------------

@@ -26,24 +26,12 @@ def with_topic(messages: DataFrame, topics: DataFrame) -> DataFrame:
     return messages.join(topics, ["chunk", "topic_id"])
 
 
-def asof_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    left_ts: str,
-    right_ts: str,
-    right_cols: Sequence[str],
-    *,
-    left_tie: Sequence[str] = (),
-    right_tie: Sequence[str] = (),
-    tolerance=None,
-    limit: int | None = None,
-) -> DataFrame:
-    """For each left row the latest right row whose stamp is not after it (within ``tolerance``); left rows all stay.
-
-    Both sides are put in one stream ordered by stamp, right before left on equal stamps, and the last right row is
-    carried along: one shuffle, no range-join blow-up.  ``*_tie`` columns make the order total.
-    """
+def asof_rows(
+    left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, right_cols: Sequence[str], *,
+    left_tie: Sequence[str] = (), right_tie: Sequence[str] = (), limit: int | None = None,
+) -> OrderedRows:
+    """Both sides in one stream ordered by stamp, right before left on equal stamps, with the last right row carried
+    along as ``_match``.  Left rows have ``_side`` 1 and their columns in ``_left``."""
     on = list(on)
     left_cols = [c for c in left.columns if c not in on]
     payload = F.struct(F.col(right_ts).alias("_rts"), *[F.col(c).alias(c) for c in right_cols])
@@ -63,10 +51,23 @@ def asof_join(
         F.lit(None).alias("_left"), payload.alias("_right"),
     )
     order = ["_ts", "_side", *[f"_tie{i}" for i in range(ties)]]
-    rows = OrderedRows(lefts.unionByName(rights), on, order, limit).carry("_match", F.col("_right")).result()
+    return OrderedRows(lefts.unionByName(rights), on, order, limit).carry("_match", F.col("_right"))
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, right_cols: Sequence[str], *,
+    left_tie: Sequence[str] = (), right_tie: Sequence[str] = (), tolerance=None, limit: int | None = None,
+) -> DataFrame:
+    """For each left row the latest right row whose stamp is not after it (within ``tolerance``); left rows all stay.
+
+    One shuffle, no range-join blow-up.  ``*_tie`` columns make the order total.
+    """
+    on = list(on)
+    rows = asof_rows(left, right, on, left_ts, right_ts, right_cols, left_tie=left_tie, right_tie=right_tie, limit=limit).result()
     match = F.col("_match")
     if tolerance is not None:
         match = F.when(F.col("_ts") - F.col("_match._rts") <= F.lit(tolerance), match)
+    left_cols = [c for c in left.columns if c not in on]
     return (
         rows.filter(F.col("_side") == 1)
         .withColumn("_match", match)

@@ -90,10 +90,13 @@ def _corners(face: DataFrame, *more: str) -> DataFrame:
 
 
 def face_vertices(face: DataFrame, vertex: DataFrame) -> DataFrame:
-    """Each face with its three points ``p0, p1, p2``; a face with a missing vertex is left out."""
-    found = _corners(face).join(vertex.select("mesh_id", "vid", F.struct("x", "y", "z").alias("_p")), ["mesh_id", "vid"])
-    points = [F.max(F.when(F.col("corner") == i, F.col("_p"))).alias(f"p{i}") for i in range(3)]
-    return found.groupBy("mesh_id", "fid").agg(*points).filter("p0 is not null and p1 is not null and p2 is not null")
+    """Each face ``(mesh_id, fid, a, b, c)`` with its three points ``p0, p1, p2``; a face with a missing vertex is left out."""
+    found = _corners(face).join(vertex.select("mesh_id", "vid", "x", "y", "z"), ["mesh_id", "vid"])
+    # plain numbers, so that the aggregation is a hash aggregation
+    at = [F.max(F.when(F.col("corner") == i, F.col(v))).alias(f"_{v}{i}") for i in range(3) for v in ("vid", *"xyz")]
+    wide = found.groupBy("mesh_id", "fid").agg(F.count("*").alias("_k"), *at).filter("_k = 3")
+    points = [F.struct(*[F.col(f"_{v}{i}").alias(v) for v in "xyz"]).alias(f"p{i}") for i in range(3)]
+    return wide.select("mesh_id", "fid", *[F.col(f"_vid{i}").alias(x) for i, x in enumerate("abc")], *points)
 
 
 def mesh_stats(face: DataFrame, vertex: DataFrame, published: DataFrame | None = None, key: Sequence[str] = ("session_id",)) -> DataFrame:
@@ -130,7 +133,7 @@ def vertex_normals(face: DataFrame, vertex: DataFrame) -> DataFrame:
     n = _cross(_difference(F.col("p1"), F.col("p0")), _difference(F.col("p2"), F.col("p0")))
     size = _square(n)
     flat = face_vertices(face, vertex).withColumn("_n", F.when(size > MIN_LENGTH_SQUARED, F.struct(*[(n[c] / F.sqrt(size)).alias(c) for c in "xyz"])))
-    units = flat.filter(F.col("_n").isNotNull()).select("mesh_id", "fid", "_n").join(face, ["mesh_id", "fid"])
+    units = flat.filter(F.col("_n").isNotNull()).select("mesh_id", "fid", "a", "b", "c", "_n")
     sums = _corners(units, "_n").groupBy("mesh_id", "vid").agg(*[F.sum(f"_n.{c}").alias(f"_s{c}") for c in "xyz"])
     joined = vertex.join(sums, ["mesh_id", "vid"], "left")
     total = {c: F.coalesce(F.col(f"_s{c}"), F.lit(0.0)) for c in "xyz"}
@@ -285,7 +288,7 @@ def triangle_soup(face: DataFrame, vertex: DataFrame, meshes: DataFrame, max_poi
 
     chosen = fold_rows(rows, ["snapshot_id"], ["mesh_order", "fid"], step, out_schema, limit)
     points = face_vertices(face.join(chosen.select("mesh_id", "fid"), ["mesh_id", "fid"], "left_semi"), vertex)
-    placed = chosen.join(points, ["mesh_id", "fid"]).join(meshes.select("mesh_id", "m"), "mesh_id")
+    placed = chosen.join(points.drop("a", "b", "c"), ["mesh_id", "fid"]).join(meshes.select("mesh_id", "m"), "mesh_id")
     corners = F.array(*[F.struct(F.lit(i).alias("corner"), camera.to_map(F.col(f"p{i}"), F.col("m")).alias("p")) for i in range(3)])
     return placed.select("snapshot_id", "mesh_order", "mesh_id", "fid", F.explode(corners).alias("_k")).select(
         "snapshot_id", "mesh_order", "mesh_id", "fid", "_k.corner", "_k.p.*"

@@ -83,6 +83,18 @@ class OrderedRows:
         self.df = joined.withColumn(name, F.coalesce(F.col(name), F.col("_carried"))).drop("_carried")
         return self
 
+    def first_seen(self, name: str, value: Column) -> OrderedRows:
+        """First non-null value of the key, on the row that has it and on all rows after."""
+        local = F.first(value, ignorenulls=True).over(self._window(False, 0))
+        if not self.hot:
+            self.df = self.df.withColumn(name, local)
+            return self
+        summary = self.df.groupBy(*self.blocks).agg(F.min_by(value, F.when(value.isNotNull(), F.struct(*self.order))).alias("_value"))
+        carried = summary.select(*self.blocks, F.first("_value", ignorenulls=True).over(self._block_window(False)).alias("_carried"))
+        joined = join_same(self.df.withColumn(name, local), carried, self.blocks)
+        self.df = joined.withColumn(name, F.coalesce(F.col("_carried"), F.col(name))).drop("_carried")
+        return self
+
     def previous(self, name: str, *cols: str) -> OrderedRows:
         """The row before, as a struct of ``cols``; null on the first row."""
         return self.carry(name, F.struct(*cols), inclusive=False)

@@ -156,7 +156,7 @@ def fuse_surfels(
     fused = weighted.groupBy(*cell).agg(
         *means,
         F.count("*").alias("observation_count"),
-        F.max_by("stamp_ns", F.struct(*order)).alias("updated_at"),
+        F.max(F.when(F.col("_i") == F.col("_n"), F.col("stamp_ns"))).alias("updated_at"),
     )
     out = fused.withColumns(
         {

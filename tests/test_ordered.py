@@ -42,13 +42,14 @@ def by_key(log):
 def test_carry_previous_total_rank(frame, log, limit):
     o = OrderedRows(frame, ["k"], ["ts", "id"], limit)
     assert o.hot == (limit is not None)
-    o.carry("last", F.col("v")).carry("ahead", F.col("v"), reverse=True).previous("before", "id").cumulative("sum", F.col("bytes")).rank("n").total("all", F.col("bytes"))
+    o.carry("last", F.col("v")).carry("ahead", F.col("v"), reverse=True).first_seen("first", F.col("v")).previous("before", "id").cumulative("sum", F.col("bytes")).rank("n").total("all", F.col("bytes"))
     got = {r["id"]: r for r in o.result().collect()}
     for part in by_key(log).values():
         last, total, before = None, 0, None
         for n, r in enumerate(part, 1):
             last = r[3] if r[3] is not None else last
             total += r[4]
+            assert got[r[2]]["first"] == next((x[3] for x in part[:n] if x[3] is not None), None)
             ahead = next((x[3] for x in part[n - 1 :] if x[3] is not None), None)
             g = got[r[2]]
             assert (g["last"], g["ahead"], g["sum"], g["n"], g["all"]) == (last, ahead, total, n, sum(x[4] for x in part))
