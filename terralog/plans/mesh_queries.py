@@ -222,7 +222,18 @@ def grid_meshes(t: Tables) -> DataFrame:
     return face
 
 
-@query("H4 D8", None)
+_FITS = """(SELECT frame, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS scale, (sy * sxx - sx * sxy) / (sw * sxx - sx * sx) AS shift FROM (
+    SELECT frame, sum(w) AS sw, sum(w * relative) AS sx, sum(w * depth) AS sy, sum(w * relative * relative) AS sxx, sum(w * relative * depth) AS sxy FROM (
+        SELECT *, CASE confidence WHEN 0 THEN 0.2e0 WHEN 1 THEN 0.65e0 ELSE 1e0 END / (greatest(0.015e0, 0.012e0 + 0.004e0 * depth * depth) * greatest(0.015e0, 0.012e0 + 0.004e0 * depth * depth)) AS w
+        FROM S_depth WHERE px % 4 = 0 AND py % 4 = 0 AND depth > 0.2e0 AND depth < 5e0) GROUP BY frame HAVING count(*) > 50))"""
+
+
+@query("H4 D8", sql(f"""
+    WITH G AS MATERIALIZED (SELECT frame, px, py, scale * relative + shift AS d FROM S_depth JOIN {_FITS} USING (frame) WHERE scale * relative + shift > 0.1e0),
+    T AS (SELECT p.frame FROM G p JOIN G q ON q.frame = p.frame AND q.px = p.px AND q.py = p.py + 1 JOIN G r ON r.frame = p.frame AND r.px = p.px + 1 AND r.py = p.py WHERE {_SMOOTH}
+          UNION ALL SELECT p.frame FROM G p JOIN G q ON q.frame = p.frame AND q.px = p.px - 1 AND q.py = p.py + 1 JOIN G r ON r.frame = p.frame AND r.px = p.px AND r.py = p.py + 1 WHERE {_SMOOTH})
+    SELECT frame AS mesh_id, vertices, triangles, mean_x FROM (SELECT frame, count(*) AS vertices, {_qn('sum(frame - d) / count(*)', '1e4')} AS mean_x FROM G GROUP BY frame)
+    JOIN (SELECT frame, count(*) AS triangles FROM T GROUP BY frame) USING (frame)""", "S_depth"))
 def calibrated_grid_meshes(t: Tables) -> DataFrame:
     """Vertices and triangles per frame with each frame's own calibration."""
     fits = calibration.fit_calibration(t.depth().withColumnsRenamed({"px": "lx", "py": "ly"}))
