@@ -5,20 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terralog.llm.exact_dedup import exact_dedup
 from terralog.llm.hilbert import hilbert_shards
+from terralog.llm.packing import packed_pieces
+from terralog.llm.repair import token_file_digest
 from terralog.llm.simhash import near_groups
+from terralog.llm.token_counts import token_counts
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """Place of a public tokenizer file; the package that holds them is installed on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packed_pieces(_documents(spark, folder), _tokenizer("byte_bpe_50k.json"), 1024)
+    return pieces.withColumn("ids_crc32", F.crc32("ids").cast("bigint")).drop("ids")
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(_documents(spark, folder))
 
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_file_digest(_documents(spark, folder), _tokenizer("byte_bpe_50k.json"))
+
+
 def op5_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert_shards(_documents(spark, folder), 40)
 
@@ -27,7 +47,11 @@ def op6_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(_documents(spark, folder), radius=2)
 
 
-_ALL = (op2_exact_dedup, op5_hilbert_shards, op6_simhash_groups)
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(_documents(spark, folder), _tokenizer("piece_bpe_32k.model"), 4096)
+
+
+_ALL = (op1_packing, op2_exact_dedup, op4_token_files, op5_hilbert_shards, op6_simhash_groups, op10_token_counts)
 
 _SQL = {
     "op2_exact_dedup": r"""
