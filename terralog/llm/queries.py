@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralog.llm.decontamination import contamination
 from terralog.llm.exact_dedup import exact_dedup
 from terralog.llm.hilbert import hilbert_shards
 from terralog.llm.packing import packed_pieces
@@ -35,6 +36,10 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(_documents(spark, folder))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_file_digest(_documents(spark, folder), _tokenizer("byte_bpe_50k.json"))
 
@@ -51,7 +56,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_documents(spark, folder), _tokenizer("piece_bpe_32k.model"), 4096)
 
 
-_ALL = (op1_packing, op2_exact_dedup, op4_token_files, op5_hilbert_shards, op6_simhash_groups, op10_token_counts)
+_ALL = (op1_packing, op2_exact_dedup, op3_decontamination, op4_token_files, op5_hilbert_shards, op6_simhash_groups, op10_token_counts)
 
 _SQL = {
     "op2_exact_dedup": r"""
@@ -59,6 +64,37 @@ _SQL = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY body)
     """,
+    "op3_decontamination": r"""
+        WITH lowered AS (
+            SELECT doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark
+        ), worded AS (
+            SELECT doc_id, item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
+            ) AS words FROM lowered
+        ), sized AS (
+            SELECT item_id, words, least(13, len(words)) AS size FROM worded WHERE item_id IS NOT NULL AND len(words) > 0
+        ), phrases AS (
+            SELECT DISTINCT item_id, size, array_to_string(words[p : p + size - 1], ' ') AS phrase
+            FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS p FROM sized)
+        ), docs AS (
+            SELECT doc_id, words FROM worded WHERE item_id IS NULL
+        ), found AS (
+            SELECT doc_id, p, size, item_id FROM (
+                SELECT doc_id, p, size, array_to_string(words[p : p + size - 1], ' ') AS phrase FROM (
+                    SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS p
+                    FROM docs, (SELECT DISTINCT size FROM phrases) WHERE len(words) >= size
+                )
+            ) JOIN phrases USING (size, phrase)
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS place FROM found) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
 
 
