@@ -13,6 +13,7 @@ from terralog.llm.hilbert import hilbert_shards
 from terralog.llm.packing import packed_pieces
 from terralog.llm.repair import token_file_digest
 from terralog.llm.simhash import near_groups
+from terralog.llm.suffix_dedup import repeated_bytes
 from terralog.llm.token_counts import token_counts
 
 
@@ -52,11 +53,17 @@ def op6_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(_documents(spark, folder), radius=2)
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_bytes(_documents(spark, folder))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("bigint")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_documents(spark, folder), _tokenizer("piece_bpe_32k.model"), 4096)
 
 
-_ALL = (op1_packing, op2_exact_dedup, op3_decontamination, op4_token_files, op5_hilbert_shards, op6_simhash_groups, op10_token_counts)
+_ALL = (op1_packing, op2_exact_dedup, op3_decontamination, op4_token_files, op5_hilbert_shards, op6_simhash_groups, op7_suffix_dedup, op10_token_counts)
 
 _SQL = {
     "op2_exact_dedup": r"""
