@@ -11,7 +11,11 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _RUN_OR_EDGE = re.compile(r"\s\s|^\s|\s$")
 
 #: Distinct pieces that a worker remembers before it starts anew; this bounds memory and changes no result.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
+#: Texts that a caller should encode together; their pieces are Python strings meanwhile.
+TEXT_BYTES = 2 << 20
+#: Pieces given to the library at once; its results take many times the bytes of the ids.
+AT_ONCE = 4096
 
 _loaded: dict[str, UnitEncoder] = {}
 
@@ -47,8 +51,10 @@ class UnitEncoder:
         return _LONE_SPACE.split(text) if _RUN_OR_EDGE.search(text) else text.split(" ")
 
     def _learn(self, units: list[str]) -> None:
-        for unit, found in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False)):
-            self.known[unit] = array("I", found.ids).tobytes()
+        for at in range(0, len(units), AT_ONCE):
+            part = units[at : at + AT_ONCE]
+            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[unit] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralog.llm.byte_bpe import encoder
+from terralog.llm.byte_bpe import TEXT_BYTES, encoder
 from terralog.llm.common import batches, texts_of
 
 #: Model width for which the quadratic share of a token's cost is estimated.
@@ -90,7 +90,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str, most: int = 1024, id_col: str
             first += used
             return pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for rows in batches(parts):
+        for rows in batches(parts, TEXT_BYTES):
             for key, found in zip(rows.column("id").to_pylist(), encode(rows.column("body").to_pylist())):
                 ids.append(key)
                 tokens.append(found + _END)

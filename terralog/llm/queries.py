@@ -11,16 +11,22 @@ from terralog.llm.decontamination import contamination
 from terralog.llm.exact_dedup import exact_dedup
 from terralog.llm.hilbert import hilbert_shards
 from terralog.llm.packing import packed_pieces
+from terralog.llm.quality import quality_scores
 from terralog.llm.repair import token_file_digest
 from terralog.llm.simhash import near_groups
 from terralog.llm.suffix_dedup import repeated_bytes
 from terralog.llm.token_counts import token_counts
+from terralog.llm.toxicity import toxicity_scores
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
 def _tokenizer(name: str) -> str:
     """Place of a public tokenizer file; the package that holds them is installed on every worker."""
     import public_tokenizers
@@ -59,11 +65,20 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(_documents(spark, folder), _labels(spark, folder), "toxic", 5, 0)
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_scores(_documents(spark, folder).select("doc_id", "text"), _labels(spark, folder), "quality", 4, 2)
+    return found.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_documents(spark, folder), _tokenizer("piece_bpe_32k.model"), 4096)
 
 
-_ALL = (op1_packing, op2_exact_dedup, op3_decontamination, op4_token_files, op5_hilbert_shards, op6_simhash_groups, op7_suffix_dedup, op10_token_counts)
+_ALL = (op1_packing, op2_exact_dedup, op3_decontamination, op4_token_files, op5_hilbert_shards, op6_simhash_groups, op7_suffix_dedup, op8_toxicity, op9_quality, op10_token_counts)
 
 _SQL = {
     "op2_exact_dedup": r"""

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralog.llm.byte_bpe import encoder
+from terralog.llm.byte_bpe import TEXT_BYTES, encoder
 from terralog.llm.common import batches, texts_of
 from terralog.session import scratch_path
 
@@ -115,7 +115,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
             names = [f.split()[0] for f in FILE_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
-        for rows in batches(parts):
+        for rows in batches(parts, TEXT_BYTES):
             for key, found in zip(rows.column("id").to_pylist(), encode(rows.column("body").to_pylist())):
                 size = len(found) // 4 + 1
                 if keys and held + size > BLOCK_IDS:
