@@ -28,9 +28,9 @@ from terralog.llm.common import batches, texts_of
 from terralog.session import freeze, scratch_path
 
 WINDOW = 100
-# A difference cover of period 73 (every remainder is the difference of two members).
-PERIOD = 73
-COVER = (1, 2, 4, 8, 16, 32, 37, 55, 64)
+# A difference cover of period 57 (every remainder is the difference of two members).
+PERIOD = 57
+COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 
 #: Text bytes of a block (a longer document is a block alone), of a text bucket, and per bucket of keys.
 BLOCK_BYTES, TEXT_BUCKET_BYTES, KEY_BUCKET_BYTES = 4 << 20, 32 << 20, 16 << 20
