@@ -6,67 +6,97 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_RUN_OR_EDGE = re.compile(r"\s\s|^\s|\s$")
 
-#: Distinct pieces that a worker remembers before it starts anew; this bounds memory and changes no result.
-REMEMBERED = 1 << 19
+# Letters and numbers below U+0250, and the byte-level split of a text in terms of them.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+_PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+
+#: Distinct words in one generation of a worker's memory; this bounds memory and changes no result.
+WORDS = 1 << 18
 #: Texts that a caller should encode together; their pieces are Python strings meanwhile.
 TEXT_BYTES = 2 << 20
-#: Pieces given to the library at once; its results take many times the bytes of the ids.
-AT_ONCE = 4096
 
 _loaded: dict[str, UnitEncoder] = {}
 
 
-def _cuts_are_safe(tokenizer) -> bool:
-    """Whether ids of a text are those of its pieces when it is cut before lone spaces.
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as a letter: itself if it prints, else the next one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(others)}
 
-    A byte-level split puts a lone space in front of the word that follows it, whatever stands around.  Normalisers,
-    added prefixes or added tokens that look at their surroundings would break this.
-    """
-    spec = json.loads(tokenizer.to_str())
-    pre = spec.get("pre_tokenizer") or {}
-    plain = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens") or [])
-    level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
-    return bool(level and plain and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
+
+class Recent:
+    """The ids of what was met lately: a full generation becomes the old one, from which what is met again returns."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+
+    def of(self, key: str, make: Callable[[str], bytes]) -> bytes:
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            self.new[key] = found = make(key) if found is None else found
+        return found
 
 
 class UnitEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers in bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers in bytes.
+
+    Texts of common letters are split into words, and the library's model gives the ids of each distinct word once.
+    Other texts are first cut before lone spaces, which a byte-level split always puts in front of the word that
+    follows; what has other letters or an added token is encoded whole.  Tokenizers that look beyond words
+    (normalisers, added prefixes, added tokens with spaces) get whole texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = _cuts_are_safe(self.tokenizer)
-        self.known: dict[str, bytes] = {}
-
-    def _units(self, text: str) -> list[str]:
-        """Pieces whose ids joined are the text's; all but the first are named without their leading space."""
-        if not self.cut:
-            return [text]
-        return _LONE_SPACE.split(text) if _RUN_OR_EDGE.search(text) else text.split(" ")
-
-    def _learn(self, units: list[str]) -> None:
-        for at in range(0, len(units), AT_ONCE):
-            part = units[at : at + AT_ONCE]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[unit] = array("I", found.ids).tobytes()
+        spec = json.loads(self.tokenizer.to_str())
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+        level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        plain = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self.cut = bool(level and plain and not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and spec["model"]["type"] == "BPE")
+        self.added = [t["content"] for t in added]
+        self.letters = _byte_letters()
+        self.words = Recent(WORDS)
+
+    def _word(self, word: str) -> bytes:
+        spelt = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+
+    def _plain(self, text: str) -> bool:
+        return self.cut and _PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def _spelt(self, text: str) -> bytes:
+        words = _SPLIT.findall(text)
+        for word in set(words).difference(self.words.new):
+            self.words.of(word, self._word)
+        return b"".join(map(self.words.new.__getitem__, words))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _mixed(self, text: str) -> bytes:
+        head, *tail = _LONE_SPACE.split(text)
+        return b"".join([self._spelt(u) if self._plain(u) else self._whole(u) for u in (head, *[f" {u}" for u in tail])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        rows = [self._units(t) for t in texts]
-        heads = [units[0] for units in rows]
-        tails = [[f" {u}" for u in units[1:]] for units in rows]
-        wanted = set(heads).union(*tails)
-        wanted.difference_update(self.known)
-        self._learn(list(wanted))
-        known = self.known
-        return [known[head] + b"".join(map(known.__getitem__, tail)) for head, tail in zip(heads, tails)]
+        out = []
+        for text in texts:
+            self.words.turn()
+            out.append(self._spelt(text) if self._plain(text) else self._mixed(text) if self.cut else self._whole(text))
+        return out
 
 
 def encoder(path: str) -> UnitEncoder:
