@@ -15,6 +15,8 @@ BROADCAST_ROWS_CONF = "terralog.broadcastRows"
 DEFAULT_HOT_ROWS = 4_000_000
 DEFAULT_BROADCAST_ROWS = 200_000
 
+_local_folders: dict[str, tempfile.TemporaryDirectory] = {}
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and bench; a cluster brings its own session."""
@@ -33,15 +35,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's own setting, or a temporary folder in local mode only."""
+    """The folder every executor can reach: the cluster's own setting, or a temporary folder in local mode only.
+
+    The temporary folder lasts as long as the Python process.
+    """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="terralog-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.TemporaryDirectory(prefix="terralog-", ignore_cleanup_errors=True)
+    return _local_folders[app].name
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
