@@ -98,7 +98,7 @@ def _passes(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
 
 def contaminated_spans(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """One row per document: id, n_words, spans (merged [start, stop) word ranges to remove), items (names that occur).
 
@@ -117,7 +117,7 @@ def contaminated_spans(
     sc, found = docs.sparkSession.sparkContext, None
     schema = "place bigint, id bigint, n_words bigint, spans array<array<bigint>>, items array<string>"
     for block in blocks:
-        search = plain.select("place", "id", "body").mapInArrow(_searcher(sc.broadcast(block)), schema)
+        search = plain.select("place", "id", "body").mapInArrow(_searcher(sc.broadcast(block), shard_words), schema)
         found = search if found is None else found.unionByName(search)
     if len(blocks) > 1:
         found = found.groupBy("place").agg(
@@ -140,7 +140,7 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def _searcher(shared):
+def _searcher(shared, shard_words: int):
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = shared.value
         heads, shard, held = [], [], 0
@@ -160,7 +160,7 @@ def _searcher(shared):
                 words = words_of(text)
                 runs = phrases.known_runs(words)
                 size = sum(len(r) + 1 for r in runs[0])
-                if heads and (held + size > SHARD_WORDS or len(heads) >= SHARD_WORDS):
+                if heads and (held + size > shard_words or len(heads) >= shard_words):
                     yield told()
                     heads, shard, held = [], [], 0
                 heads.append((place, key, len(words)))
@@ -181,10 +181,26 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256 (sorted names, comma-joined), contaminated."""
-    spans = contaminated_spans(docs, benchmark, window)
+def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per row of ``contaminated_spans``: id, n_words, n_hit, n_items, items_sha256 (sorted names, comma-joined), contaminated."""
     return spans.select(
-        "doc_id", "n_words", _hits().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        id_col, "n_words", _hits().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The digest of every document's contaminated spans."""
+    return digest(contaminated_spans(docs, benchmark, window))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents that ``contamination`` does not call contaminated, with all their columns.
+
+    Rows are told apart by their place, so null or repeated ids do no harm; they are written once with it, since a row's
+    place may differ when a plan runs again.
+    """
+    placed = freeze(docs.select(*[F.col(c).alias(f"_c_{c}") for c in docs.columns]).withColumn("_place", F.monotonically_increasing_id()))
+    asked = placed.select(F.col("_place").alias("doc_id"), F.col("_c_text").alias("text"))
+    marked = contamination(asked, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_place"))
+    return placed.join(marked, "_place", "left_anti").select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ def _labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file; the package that holds them is installed on every worker."""
     import public_tokenizers
 
@@ -35,7 +35,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packed_pieces(_documents(spark, folder), _tokenizer("byte_bpe_50k.json"), 1024)
+    pieces = packed_pieces(_documents(spark, folder), tokenizer_path("byte_bpe_50k.json"), 1024)
     return pieces.withColumn("ids_crc32", F.crc32("ids").cast("bigint")).drop("ids")
 
 
@@ -48,7 +48,7 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    return token_file_digest(_documents(spark, folder), _tokenizer("byte_bpe_50k.json"))
+    return token_file_digest(_documents(spark, folder), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op5_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts(_documents(spark, folder), _tokenizer("piece_bpe_32k.model"), 4096)
+    return token_counts(_documents(spark, folder), tokenizer_path("piece_bpe_32k.model"), 4096)
 
 
 _ALL = (op1_packing, op2_exact_dedup, op3_decontamination, op4_token_files, op5_hilbert_shards, op6_simhash_groups, op7_suffix_dedup, op8_toxicity, op9_quality, op10_token_counts)

@@ -90,3 +90,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = SHINGLE_WORDS) -> DataFrame:
+    """One document of each group of ``near_groups``: the one with the smallest id; all columns are kept.
+
+    Rows that share an id stay or go together, and rows without id stay where no other of their group has one.
+    """
+    groups = near_groups(docs.select(id_col, text_col), id_col, text_col, radius, words)
+    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
+    return docs.join(stay, F.col(id_col).cast("bigint").eqNullSafe(F.col("_stays")), "left_semi")
