@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from terralog.operators.ordered import OrderedRows, fold_rows, mark_jumps
+from terralog.operators.ordered import OrderedRows, mark_jumps
 
 
 def rate_gate(
@@ -31,32 +29,3 @@ def assign_chunks(
     marked = mark_jumps(starts, key, order, "_start", "_end", max_bytes, strict=True, name="_new", limit=limit)
     numbered = OrderedRows(marked, key, order, limit).cumulative("chunk", F.col("_new").cast("bigint")).result()
     return numbered.withColumn("chunk", F.col("chunk") - 1).drop("_start", "_end", "_new")
-
-
-def rebuild_gate(events: DataFrame, interval: float, key: Sequence[str] = ("anchor",), limit: int | None = None) -> DataFrame:
-    """Outcome of each request (``kind`` begin, force, finish, remove; ``ts`` seconds; ``token``).
-
-    A begin is refused while a rebuild is active or within ``interval`` of the last accepted one; force always wins; a
-    finish counts only with the active token; remove forgets the anchor.
-    """
-    out_cols = [*key, "seq", "ts", "kind", "token"]
-    schema = T.StructType([events.schema[c] for c in out_cols] + [T.StructField("accepted", T.BooleanType())])
-
-    def step(state: list | None, rows: pd.DataFrame) -> tuple[list | None, pd.DataFrame]:
-        active, last = state or [None, None]
-        accepted = []
-        for ts, kind, token in zip(rows["ts"], rows["kind"], rows["token"]):
-            ok = True
-            if kind == "remove":
-                active, last = None, None
-            elif kind == "finish":
-                ok = active is not None and active == int(token)
-                active = None if ok else active
-            elif kind == "force" or (active is None and (last is None or ts - last >= interval)):
-                active, last = int(token), float(ts)
-            else:
-                ok = False
-            accepted.append(ok)
-        return [active, last], rows[out_cols].assign(accepted=accepted)
-
-    return fold_rows(events.select(*out_cols), key, ["seq"], step, schema, limit)

@@ -298,28 +298,6 @@ def rotated_chunks(t: Tables) -> DataFrame:
     return rows.groupBy("session_id", "chunk").agg(F.min("row_id").alias("first_row"), F.count("*").alias("messages"), F.sum("bytes").alias("bytes"))
 
 
-@query("E2", """
-    WITH RECURSIVE ev AS MATERIALIZED (
-        SELECT user_id % 64 AS anchor, row_number() OVER (PARTITION BY user_id % 64 ORDER BY event_id) AS k, epoch_us(ts) * 1000 / 1e9 AS t, event_id // 40 AS token,
-               CASE WHEN event_id % 13 = 0 THEN 'force' WHEN event_id % 29 = 0 THEN 'remove' WHEN event_id % 3 = 0 THEN 'finish' ELSE 'begin' END AS kind FROM events),
-    chain AS (
-        SELECT anchor, CAST(0 AS BIGINT) AS k, '' AS kind, false AS ok, CAST(NULL AS BIGINT) AS active, CAST(NULL AS DOUBLE) AS since FROM ev GROUP BY anchor
-        UNION ALL
-        SELECT anchor, k, kind, ok, CASE WHEN kind = 'remove' OR (kind = 'finish' AND ok) THEN NULL WHEN kind <> 'finish' AND ok THEN token ELSE active END,
-               CASE WHEN kind = 'remove' THEN NULL WHEN kind <> 'finish' AND ok THEN t ELSE since END
-        FROM (SELECT e.*, c.active, c.since, CASE e.kind WHEN 'begin' THEN c.active IS NULL AND (c.since IS NULL OR e.t - c.since >= 3600) WHEN 'finish' THEN coalesce(c.active = e.token, false) ELSE true END AS ok
-              FROM chain c JOIN ev e ON e.anchor = c.anchor AND e.k = c.k + 1))
-    SELECT anchor, kind, count(*) AS requests, count(*) FILTER (WHERE ok) AS accepted FROM chain WHERE k > 0 GROUP BY ALL""")
-def rebuild_requests(t: Tables) -> DataFrame:
-    e = F.col("event_id")
-    kind = F.when(e % 13 == 0, "force").when(e % 29 == 0, "remove").when(e % 3 == 0, "finish").otherwise("begin")
-    events = t.table("events").select(
-        (F.col("user_id") % 64).alias("anchor"), e.alias("seq"), (nanos("ts") / F.lit(1e9)).alias("ts"), kind.alias("kind"), whole_div(e, 40).alias("token")
-    )
-    out = gates.rebuild_gate(events, 3600.0)
-    return out.groupBy("anchor", "kind").agg(F.count("*").alias("requests"), F.count_if("accepted").alias("accepted"))
-
-
 # --- checks --------------------------------------------------------------------------------------------------------------
 
 

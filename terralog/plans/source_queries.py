@@ -2,66 +2,40 @@
 
 from __future__ import annotations
 
-import json
-import os
-import sqlite3
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralog.functions.binary import base64_text
-from terralog.operators import log, quality
+from terralog.operators import joins, log, quality
 from terralog.plans.registry import query, sql
 from terralog.plans.views import Tables
 from terralog.session import scratch_path
 from terralog.sources import bag, envelopes
 
-SESSIONS = 8
-
-
-def _local(path: str) -> str:
-    return path.removeprefix("file:")
-
-
-def _write_chunks(t: Tables) -> list[str]:
-    """The message view as chunk files, one task per file; returns the session folders."""
-    root = _local(scratch_path(t.spark, "chunks"))
-
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_id")
-        folder = os.path.join(root, f"session_{rows['session_id'].iloc[0]}")
-        os.makedirs(folder, exist_ok=True)
-        final = os.path.join(folder, f"log_{rows['chunk'].iloc[0]:012d}.db3")
-        part = f"{final}.{os.getpid()}"
-        topics = {name: i for i, name in enumerate(sorted(rows["topic"].unique()), 1)}
-        with sqlite3.connect(part) as c:
-            c.execute("CREATE TABLE topics(id INTEGER PRIMARY KEY, name TEXT, type TEXT, serialization_format TEXT, offered_qos_profiles TEXT)")
-            c.execute("CREATE TABLE messages(id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
-            c.executemany("INSERT INTO topics VALUES (?, ?, ?, 'rosbridge_json', '')", [(i, n, f"std_msgs{n}") for n, i in topics.items()])
-            data = [(int(r.row_id), topics[r.topic], int(r.stamp_ns), json.dumps({"op": "publish", "msg": {"k": int(r.bytes)}}).encode()) for r in rows.itertuples()]
-            c.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", data)
-        c.close()
-        # a task that runs again puts the same file in place
-        os.replace(part, final)
-        return pd.DataFrame({"written": [len(rows)]})
-
-    t.msg().select("session_id", "chunk", "row_id", "topic", "stamp_ns", "bytes").groupBy("session_id", "chunk").applyInPandas(write, "written bigint").write.format("noop").mode("overwrite").save()
-    return [f"{root}/session_{i}" for i in range(SESSIONS) if os.path.isdir(f"{root}/session_{i}")]
-
-
-@query("A1 A2 C1", sql("""
-    SELECT 'session_' || session_id AS session_id, chunk AS chunk, row_id, topic, 'std_msgs' || topic AS type, stamp_ns, bytes AS k FROM S_msg""", "S_msg"))
+@query("C1", sql("""
+    SELECT session_id, chunk, row_id, topic, 'std_msgs' || topic AS type, stamp_ns, bytes AS k FROM S_msg""", "S_msg"))
 def messages_from_chunks(t: Tables) -> DataFrame:
-    rows = bag.read_bag(t.spark, _write_chunks(t))
-    number = F.regexp_extract("chunk", r"_(\d+)\.", 1).cast("bigint")
-    return rows.select("session_id", number.alias("chunk"), "row_id", "topic", "type", "stamp_ns", F.get_json_object("data", "$.msg.k").cast("bigint").alias("k"))
+    """Messages with topic ids per chunk, landed as Parquet, read back and joined with their topics."""
+    rows = t.msg().select("session_id", "chunk", "row_id", "topic", "stamp_ns", "bytes")
+    topics = rows.groupBy(F.col("chunk"), "topic").count().select(
+        "chunk", F.xxhash64("topic").alias("topic_id"), F.col("topic").alias("name"), F.concat(F.lit("std_msgs"), "topic").alias("type")
+    )
+    path = scratch_path(t.spark, "landed")
+    bag.land_messages(rows.withColumn("data", F.format_string('{"op":"publish","msg":{"k":%d}}', "bytes")), path)
+    landed = bag.read_landed(t.spark, path).withColumn("topic_id", F.xxhash64("topic")).drop("topic")
+    joined = joins.with_topic(landed, topics)
+    return joined.select("session_id", "chunk", "row_id", F.col("name").alias("topic"), "type", "stamp_ns", F.get_json_object("data", "$.msg.k").cast("bigint").alias("k"))
 
 
-@query("A2 A6 D14", sql("SELECT 'session_' || session_id AS session_id, count(DISTINCT chunk) AS chunks, count(DISTINCT chunk) AS files FROM S_msg GROUP BY session_id", "S_msg"))
+@query("A6 D14", sql("SELECT 'session_id=' || session_id AS session_id, count(DISTINCT chunk) AS chunks, count(DISTINCT chunk) AS files FROM S_msg GROUP BY session_id", "S_msg"))
 def session_folders(t: Tables) -> DataFrame:
-    folders = _write_chunks(t)
-    return bag.list_sessions(t.spark, os.path.dirname(folders[0])).select("session_id", "chunks", "files")
+    """Chunks as files that Spark writes, one per session and chunk, listed and counted."""
+    path = scratch_path(t.spark, "chunks")
+    lines = t.msg().select("session_id", "chunk", F.to_json(F.struct("row_id", "topic", "stamp_ns", "bytes")).alias("value"))
+    lines.repartition("session_id", "chunk").write.partitionBy("session_id", "chunk").text(path)
+    listed = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    named = listed.withColumn("path", F.regexp_replace("path", r"/chunk=(\d+)/[^/]+$", "/log_$1.db3"))
+    return bag.sessions_of(bag.recording_files(named)).select("session_id", "chunks", "files")
 
 
 _FILES = "SELECT session_id, chunk, count(*) AS messages, arg_min(stamp_ns, row_id) AS start_ns, arg_max(stamp_ns, row_id) AS end_ns FROM S_msg GROUP BY ALL"

@@ -45,14 +45,6 @@ def stream_deduplicated(t: Tables) -> DataFrame:
     return run_available(stateless.stream_dedup(rows, "1 day").select("dedup_key"), "dedup")
 
 
-@query("I3")
-def stream_buffered(t: Tables) -> DataFrame:
-    e = F.col("row_id")
-    kind = F.when(e % 97 == 0, "reconnect").when(e % 211 == 0, "clear").when(e % 3 == 0, "mesh").otherwise("cloud")
-    events = _streams(t).msg().select("session_id", e.alias("seq"), kind.alias("kind"), (F.col("bytes") * 100).alias("bytes"))
-    return run_available(stateful.bounded_buffer(events), "buffer")
-
-
 @query("I4", _oracle("rate_gated"))
 def stream_rate_gated(t: Tables) -> DataFrame:
     rows = _streams(t).msg().select("source", "stamp_ns", "row_id")

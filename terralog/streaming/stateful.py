@@ -88,50 +88,6 @@ def stream_rate_gate(df: DataFrame, key: Sequence[str], interval, stamp: str = "
     return _apply(df, key, _RateGate([stamp, *tie], stamp, interval, strict), df.schema)
 
 
-# --- offline buffer ----------------------------------------------------------------------------------------------------
-
-
-class _Buffer(_JsonState):
-    def __init__(self, order, caps, max_bytes, key):
-        super().__init__(order)
-        self.caps, self.max_bytes, self.key = caps, max_bytes, key
-
-    def advance(self, state, rows):
-        held, dropped, replayed = state or [[], 0, 0]
-        out = []
-        for row in rows.itertuples(index=False):
-            session = getattr(row, self.key)
-            if row.kind == "reconnect":
-                replayed += len(held)
-                out += [(session, s, k, b, int(row.seq), "replayed") for s, k, b in sorted(held)]
-                held = []
-                continue
-            if row.kind == "clear":
-                held = []
-                continue
-            held.append([int(row.seq), row.kind, int(row.bytes)])
-            gone = []
-            for kind, cap in self.caps.items():
-                while sum(h[1] == kind for h in held) > cap:
-                    gone.append(held.pop(next(i for i, h in enumerate(held) if h[1] == kind)))
-            while held and sum(h[2] for h in held) > self.max_bytes:
-                gone.append(held.pop(0))
-            dropped += len(gone)
-            out += [(session, s, k, b, int(row.seq), "dropped") for s, k, b in gone]
-        return [held, dropped, replayed], pd.DataFrame(out, columns=[self.key, "seq", "kind", "bytes", "at_seq", "outcome"])
-
-
-def bounded_buffer(events: DataFrame, caps: dict[str, int] | None = None, max_bytes: int = 20_000_000, key: str = "session_id") -> DataFrame:
-    """Samples kept while offline: at most 30 clouds, 5 meshes and 20 MB per session, the oldest of the kind (then of
-    all) dropped first.  ``kind`` reconnect replays what is held in sequence, clear forgets it.  Output: what was
-    replayed or dropped, and by which event.  The state is bounded by the caps."""
-    schema = T.StructType(
-        [events.schema[key]]
-        + [T.StructField(n, t) for n, t in (("seq", T.LongType()), ("kind", T.StringType()), ("bytes", T.LongType()), ("at_seq", T.LongType()), ("outcome", T.StringType()))]
-    )
-    return _apply(events, [key], _Buffer(["seq"], caps or {"cloud": 30, "mesh": 5}, max_bytes, key), schema)
-
-
 # --- voxels and surfels ------------------------------------------------------------------------------------------------
 
 

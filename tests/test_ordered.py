@@ -125,18 +125,6 @@ def test_fold_is_sequential_whatever_the_guess(frame, log, warm):
             assert got[r[2]] == total
 
 
-@pytest.mark.parametrize("limit", [None, HOT])
-def test_rebuild_gate_example(spark, limit):
-    events = [("m", 1, 1.0, "begin", 1), ("m", 2, 1.1, "begin", 2), ("m", 3, 1.15, "finish", 1), ("m", 4, 1.2, "begin", 3), ("m", 5, 1.6, "begin", 4),
-              ("m", 6, 1.7, "force", 5), ("m", 7, 1.8, "finish", 4), ("m", 8, 1.9, "finish", 5), ("m", 9, 2.0, "remove", 0), ("m", 10, 2.01, "begin", 6)]
-    events += [("m", 10 + i, 3.0 + i, "begin" if i % 2 else "finish", 6 + i // 2) for i in range(1, 30)]
-    df = spark.createDataFrame(events, "anchor string, seq bigint, ts double, kind string, token bigint")
-    got = [r["accepted"] for r in gates.rebuild_gate(df, 0.5, limit=limit).orderBy("seq").collect()]
-    assert got[:10] == [True, False, True, False, True, True, False, True, True, True]
-    if limit:
-        assert got == [r["accepted"] for r in gates.rebuild_gate(df, 0.5).orderBy("seq").collect()]
-
-
 def _observations(spark, n=300):
     rng = random.Random(5)
     data = [("s", i, i, rng.uniform(0, 0.9), rng.uniform(0, 0.9), 0.1, rng.randint(0, 255), 10, 20, rng.uniform(-3, 3), rng.uniform(-3, 3), 5.0) for i in range(n)]

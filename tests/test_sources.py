@@ -1,24 +1,16 @@
 """Chunk files, summaries, envelopes and artifacts on disk."""
 
 import json
-import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from terralog.operators import gates, log, quality
+from terralog.schemas import MESSAGE_DDL
 from terralog.sources import artifacts, bag, envelopes
 from tests.conftest import rows
 
 
-def write_chunk(path, topics, messages):
-    with sqlite3.connect(path) as c:
-        c.execute("CREATE TABLE topics(id INTEGER PRIMARY KEY, name TEXT, type TEXT, serialization_format TEXT, offered_qos_profiles TEXT)")
-        c.execute("CREATE TABLE messages(id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
-        c.executemany("INSERT INTO topics VALUES (?, ?, ?, 'rosbridge_json', '')", topics)
-        c.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", messages)
-
-
 SUMMARY = """rosbag2_bagfile_information:
   version: 8
   storage_identifier: sqlite3
@@ -68,66 +60,51 @@ SUMMARY = """rosbag2_bagfile_information:
 def folder(tmp_path_factory):
     path = tmp_path_factory.mktemp("logs") / "session_a"
     path.mkdir()
-    fix = [(1, "/mapping/gps/fix", "sensor_msgs/NavSatFix")]
-
-    def envelope(topic, msg):
-        return json.dumps({"op": "publish", "topic": topic, "msg": msg}).encode()
-
-    write_chunk(path / "log_0.db3", fix + [(2, "/it's", "std_msgs/msg/String")], [
-        (1, 1, 10, envelope("/mapping/gps/fix", {"latitude": 1.5, "header": {"stamp": {"sec": 7, "nanosec": 9}}})),
-        (2, 2, 30, envelope("/it's", {"data": "x"})), (3, 1, 20, envelope("/mapping/gps/fix", {"latitude": 2.5})),
-    ])
-    write_chunk(path / "log_1.db3", [(1, "/mapping/gps/fix", "sensor_msgs/NavSatFix")], [(4, 1, 40, b"not json")])
-    write_chunk(path / "other.db3", fix, [(9, 1, 99, b"{}")])
+    for name in ("log_0.db3", "log_1.db3", "other.db3", "notes.txt"):
+        (path / name).write_text("x")
     (path / "metadata.yaml").write_text(SUMMARY)
-    (path / "notes.txt").write_text("x")
     return path
 
 
-def test_chunks_follow_the_summary(folder):
-    assert [p.rsplit("/", 1)[1] for p in bag.list_chunks(str(folder))] == ["log_1.db3", "log_0.db3"]
-    one = str(folder / "log_0.db3")
-    assert bag.list_chunks([one, str(folder), one])[0] == one and len(bag.list_chunks([one, str(folder)])) == 2
-    with pytest.raises(ValueError):
-        bag.list_chunks([str(folder / "notes.txt")])
+@pytest.fixture(scope="module")
+def messages(spark):
+    def envelope(topic, msg):
+        return json.dumps({"op": "publish", "topic": topic, "msg": msg})
+
+    fix, text = ("/mapping/gps/fix", "sensor_msgs/NavSatFix"), ("/it's", "std_msgs/msg/String")
+    data = [
+        ("session_a", "log_0.db3", 1, *fix, 10, envelope(fix[0], {"latitude": 1.5, "header": {"stamp": {"sec": 7, "nanosec": 9}}})),
+        ("session_a", "log_0.db3", 2, *text, 30, envelope(text[0], {"data": "x"})),
+        ("session_a", "log_0.db3", 3, *fix, 20, envelope(fix[0], {"latitude": 2.5})),
+        ("session_a", "log_1.db3", 4, *fix, 40, "not json"),
+    ]
+    return spark.createDataFrame(data, MESSAGE_DDL)
 
 
-def test_read_bag(spark, folder):
-    df = bag.read_bag(spark, str(folder))
-    assert [tuple(r) for r in log.merge_chunks(df).select("stamp_ns", "chunk", "row_id", "topic").collect()] == [
+def test_chunks_merge_in_time_order(messages):
+    assert [tuple(r) for r in log.merge_chunks(messages).select("stamp_ns", "chunk", "row_id", "topic").collect()] == [
         (10, "log_0.db3", 1, "/mapping/gps/fix"), (20, "log_0.db3", 3, "/mapping/gps/fix"), (30, "log_0.db3", 2, "/it's"), (40, "log_1.db3", 4, "/mapping/gps/fix"),
     ]
-    assert rows(bag.read_bag_topics(spark, str(folder)).select("chunk", "topic_id", "topic")) == [("log_0.db3", 1, "/mapping/gps/fix"), ("log_0.db3", 2, "/it's"), ("log_1.db3", 1, "/mapping/gps/fix")]
-
-
-def test_split_chunks_read_the_same(spark, folder, monkeypatch):
-    whole = rows(bag.read_bag(spark, str(folder)).select("row_id", "stamp_ns"))
-    monkeypatch.setattr(bag, "SPLIT_BYTES", 4096)
-    reader = bag.MessageLogReader({"path": str(folder)}, "messages")
-    parts = reader.partitions()
-    assert len(parts) > 2
-    got = sorted((r["row_id"], r["stamp_ns"]) for p in parts for b in reader.read(p) for r in b.to_pylist())
-    assert got == whole
 
 
-def test_summary_documents(spark, folder):
+def test_summary_documents(spark, folder, messages):
     session, topics, files = bag.read_bag_metadata(spark, str(folder / "metadata.yaml"))
     assert rows(session) == [("session_a", "sqlite3", 30, 10, 4)]
     assert rows(topics.select("position", "topic", "messages")) == [(0, "/mapping/gps/fix", 3), (1, "/it's", 1)]
     assert rows(files.select("path", "start_ns", "duration_ns", "messages")) == [("log_0.db3", 10, 20, 3), ("log_1.db3", 40, 0, 1)]
-    found = log.bag_topics(bag.read_bag(spark, str(folder)))
+    found = log.bag_topics(messages)
     assert rows(quality.check_counts(topics, found).select("topic", "ok")) == [("/it's", True), ("/mapping/gps/fix", True)]
 
 
-def test_summary_of_the_log_agrees(spark, folder):
-    got = log.bag_summary(bag.read_bag(spark, str(folder))).first()
+def test_summary_of_the_log_agrees(messages):
+    got = log.bag_summary(messages).first()
     # the last written row of the first chunk is row 3 at 20, not the newest stamp
     assert (got["messages"], got["files"], got["start_ns"], got["end_ns"]) == (4, 2, 10, 40)
-    assert rows(log.bag_files(bag.read_bag(spark, str(folder))).select("chunk", "end_ns")) == [("log_0.db3", 20), ("log_1.db3", 40)]
+    assert rows(log.bag_files(messages).select("chunk", "end_ns")) == [("log_0.db3", 20), ("log_1.db3", 40)]
 
 
-def test_conversion(spark, folder, tmp_path):
-    renamed = log.rewrite_names(bag.read_bag(spark, str(folder)), "/legacy", "/mapping", "legacy_msgs", "mapping_msgs")
+def test_conversion(spark, messages, tmp_path):
+    renamed = log.rewrite_names(messages, "/legacy", "/mapping", "legacy_msgs", "mapping_msgs")
     decoded = log.decode_envelope(renamed)
     out = str(tmp_path / "typed")
     targets = envelopes.write_topics(decoded, out, ["sensor_msgs/msg/NavSatFix"])
@@ -139,9 +116,9 @@ def test_conversion(spark, folder, tmp_path):
     assert log.envelope_rejects(renamed).count() == 1
 
 
-def test_landing(spark, folder, tmp_path):
+def test_landing(spark, messages, tmp_path):
     out = str(tmp_path / "landed")
-    bag.land_messages(bag.read_bag(spark, str(folder)), out)
+    bag.land_messages(messages, out)
     plan = log.select_topics(spark.read.parquet(out), ["/mapping/gps/fix"])
     assert plan.count() == 3 and "PartitionFilters: [topic" in plan._jdf.queryExecution().executedPlan().toString().replace("isnotnull(topic", "topic")
 

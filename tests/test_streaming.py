@@ -56,29 +56,6 @@ def test_voxels_and_surfels(stream_of):
         assert all(abs(g[c] - w[c]) < 1e-9 for c in ("x", "y", "z", "nx", "ny", "nz", "confidence", "radius"))
 
 
-def test_buffer(stream_of):
-    data = [("s", i, "mesh" if i % 4 == 0 else "cloud", 10) for i in range(20)] + [("s", 20, "reconnect", 0), ("s", 21, "cloud", 10), ("s", 22, "clear", 0), ("s", 23, "mesh", 999), ("s", 24, "reconnect", 0)]
-    live, _ = stream_of(data, "session_id string, seq bigint, kind string, bytes bigint")
-    got = run_available(stateful.bounded_buffer(live, {"cloud": 6, "mesh": 2}, 70), "b")
-    held, want = [], []
-    for _, seq, kind, size in data:
-        if kind == "reconnect":
-            want += [(s, seq, "replayed") for s, _, _ in held]
-            held = []
-        elif kind == "clear":
-            held = []
-        else:
-            held.append((seq, kind, size))
-            for name, cap in (("cloud", 6), ("mesh", 2)):
-                while len([h for h in held if h[1] == name]) > cap:
-                    gone = next(h for h in held if h[1] == name)
-                    held.remove(gone)
-                    want.append((gone[0], seq, "dropped"))
-            while held and sum(h[2] for h in held) > 70:
-                want.append((held.pop(0)[0], seq, "dropped"))
-    assert rows(got.select("seq", "at_seq", "outcome")) == sorted(want)
-
-
 def test_staleness_is_told_once(stream_of):
     second = 10**9
     stamps = [0, 5, 8, 30, 31, 60, 62, 64, 100]
