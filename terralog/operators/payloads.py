@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -167,10 +166,6 @@ def collect_surfels(surfels: DataFrame, key: Sequence[str] = ("session_id", "sta
 # --- fitting into a payload limit --------------------------------------------------------------------------------------
 
 
-def base64_length(n: int) -> int:
-    return 4 * ((n + 2) // 3)
-
-
 def envelope_base(topic: str, header: Column, snapshot_id: Column, source: str, frame_id: str, anchors: Column, original_vertices: Column, original_triangles: Column, metadata: str = "{}") -> Column:
     """Bytes of a mesh envelope without its two blobs, its two counts and its truncated flag."""
     message = F.struct(
@@ -185,96 +180,62 @@ def envelope_base(topic: str, header: Column, snapshot_id: Column, source: str,
     return F.octet_length(text) + F.lit(len('"is_truncated":,"triangle_count":,"vertex_count":,'))
 
 
-def mesh_bytes(base: int, vertices: int, triangles: int, original: int) -> int:
-    truncated = len("true") if triangles < original else len("false")
-    return base + truncated + len(str(triangles)) + len(str(vertices)) + base64_length(12 * vertices) + base64_length(12 * triangles)
+def _digits(number: Column) -> Column:
+    return F.length(number.cast("string"))
+
+
+def _base64_length(number: Column) -> Column:
+    return whole_div(number + 2, 3) * 4
 
 
-def fit_triangles(base: int, new_vertices: np.ndarray, original: int, max_bytes: int) -> int:
-    """Most triangles, by the shrink rule, whose envelope fits: cut by the size ratio and by one at least, until it fits."""
-    used = np.concatenate([[0], np.cumsum(new_vertices)])
-    limit = len(new_vertices)
-    while limit > 0:
-        size = mesh_bytes(base, int(used[limit]), limit, original)
-        if size <= max_bytes:
-            return limit
-        limit = max(0, min(limit - 1, int(limit * max_bytes / size)))
-    return 0
+def fit_snapshot(triangles: DataFrame, snapshots: DataFrame, max_bytes: int, limit: int | None = None) -> DataFrame:
+    """(snapshot_id, fitted): the most triangles of each snapshot, from the first on, whose envelope fits; 0 if none does.
+
+    ``triangles`` has ``snapshot_id, tri`` (from 1) and ``new_vertices``; ``snapshots`` has ``base_bytes`` and
+    ``original_triangle_count``.  The size of each prefix follows from its counts.
+    """
+    used = OrderedRows(triangles.select("snapshot_id", "tri", "new_vertices"), ["snapshot_id"], ["tri"], limit)
+    counted = used.cumulative("_vertices", F.col("new_vertices")).result()
+    sized = counted.join(snapshots.select("snapshot_id", "base_bytes", "original_triangle_count"), "snapshot_id")
+    tri, vertices = F.col("tri"), F.col("_vertices")
+    flag = F.when(tri < F.col("original_triangle_count"), len("true")).otherwise(len("false"))
+    size = F.col("base_bytes") + flag + _digits(tri) + _digits(vertices) + _base64_length(12 * vertices) + _base64_length(12 * tri)
+    return sized.groupBy("snapshot_id").agg(F.coalesce(F.max(F.when(size <= max_bytes, tri)), F.lit(0)).cast("bigint").alias("fitted"))
 
 
-def fit_snapshot(triangles: DataFrame, snapshots: DataFrame, max_bytes: int) -> DataFrame:
-    """(snapshot_id, fitted): how many triangles of each snapshot are published.
+def fit_points(lists: DataFrame, max_bytes: int) -> DataFrame:
+    """List form: ``fitted`` points of ``points``, the largest multiple of three whose envelope fits; needs only the counts.
 
-    ``triangles`` has ``snapshot_id, tri`` (from 1) and ``new_vertices`` and was cut to the triangle budget before, so a
-    group has a fixed largest size; ``snapshots`` has ``base_bytes`` and ``original_triangle_count``.
+    A triangle takes 64 bytes in the two blobs, and the digits of the counts take less than that, so the answer is the
+    room divided by 64, or one less.
     """
-    schema = T.StructType([triangles.schema["snapshot_id"], T.StructField("fitted", T.LongType())])
+    base, points = F.col("base_bytes"), F.col("points")
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("tri")
-        first = rows.iloc[0]
-        count = fit_triangles(int(first["base_bytes"]), rows["new_vertices"].to_numpy(), int(first["original_triangle_count"]), max_bytes)
-        return rows[["snapshot_id"]].iloc[:1].assign(fitted=count)
+    def size(triangles: Column, flag: str) -> Column:
+        return base + len(flag) + triangles * 64 + _digits(triangles) + _digits(triangles * 3)
 
-    sizes = snapshots.select("snapshot_id", "base_bytes", "original_triangle_count")
-    return triangles.join(sizes, "snapshot_id").groupBy("snapshot_id").applyInPandas(fit, schema)
+    all_of = whole_div(points, 3)
+    room = whole_div(F.greatest(max_bytes - base - len("true"), F.lit(0)), 64)
+    part = F.least(room, F.when(points % 3 == 0, all_of - 1).otherwise(all_of))
+    cut = F.when(size(part, "true") <= max_bytes, part).otherwise(F.greatest(part - 1, F.lit(0)))
+    whole = (points % 3 == 0) & (size(all_of, "false") <= max_bytes)
+    return lists.withColumn("fitted", F.when(whole, points).otherwise(F.greatest(cut, F.lit(0)) * 3).cast("bigint"))
 
 
-def fit_points(lists: DataFrame, max_bytes: int) -> DataFrame:
-    """List form: ``fitted`` points of ``points`` (a multiple of three) whose envelope fits; needs only the counts."""
-    @F.pandas_udf("bigint")
-    def fitted(base: pd.Series, points: pd.Series) -> pd.Series:
-        out = []
-        for b, n in zip(base, points):
-            original, n = int(n), int(n)
-            while n > 0:
-                truncated = len("true") if n < original else len("false")
-                size = int(b) + truncated + len(str(n // 3)) + len(str(n)) + base64_length(12 * n) + base64_length(4 * n)
-                if size <= max_bytes:
-                    break
-                cut = min(n - 3, int(n * max_bytes / size))
-                n = max(0, cut - cut % 3)
-                n = n if n >= 3 else 0
-            out.append(n)
-        return pd.Series(out)
-
-    return lists.withColumn("fitted", fitted("base_bytes", "points"))
-
-
-def fit_markers(points: DataFrame, base_bytes: int, max_bytes: int) -> DataFrame:
-    """Points kept per marker so that the marker message fits: the last marker is shrunk by the size ratio, and dropped
-    below one triangle.
+def fit_markers(points: DataFrame, base_bytes: int, max_bytes: int, limit: int | None = None) -> DataFrame:
+    """(message_id, marker, kept): the most points, from the first on, with which the marker message fits.
 
+    Markers before the last kept one stay whole; that one stays whole or keeps a multiple of three points.
     ``points`` has ``message_id, marker, position`` (both from 0), ``point_bytes`` (JSON text of the point) and
-    ``marker_bytes`` (the marker's JSON without points).  A message was cut to the point budget before.
+    ``marker_bytes`` (the marker's JSON without points).  Bytes are summed in order, so a message may have any number.
     """
-    schema = T.StructType([points.schema["message_id"], T.StructField("marker", T.LongType()), T.StructField("kept", T.LongType())])
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["marker", "position"])
-        markers, bases, sizes = [], [], []
-        for marker, part in rows.groupby("marker", sort=True):
-            markers.append(int(marker))
-            bases.append(int(part["marker_bytes"].iloc[0]))
-            sizes.append(np.concatenate([[0], np.cumsum(part["point_bytes"].to_numpy())]))
-        kept = [len(s) - 1 for s in sizes]
-
-        def one(i: int) -> int:
-            return bases[i] + int(sizes[i][kept[i]]) + max(0, kept[i] - 1)
-
-        while kept:
-            total = base_bytes + sum(one(i) for i in range(len(kept))) + len(kept) - 1
-            if total <= max_bytes:
-                break
-            count = kept[-1]
-            cut = min(count - 3, math.floor(count * max_bytes / total)) if count > 3 else 0
-            cut = max(0, cut - cut % 3)
-            if cut >= 3:
-                kept[-1] = cut
-            else:
-                kept.pop()
-        out = pd.DataFrame({"marker": pd.Series(markers[: len(kept)], dtype="int64"), "kept": pd.Series(kept, dtype="int64")})
-        out.insert(0, "message_id", rows["message_id"].iloc[0])
-        return out
-
-    return points.groupBy("message_id").applyInPandas(fit, schema)
+    first = F.col("position") == 0
+    # what a point adds: itself and a comma; the first of a marker has none, but brings the marker and its comma
+    adds = F.col("point_bytes") + F.when(first, F.col("marker_bytes") + (F.col("marker") > 0).cast("int")).otherwise(1)
+    rows = points.select("message_id", "marker", "position", adds.cast("bigint").alias("_adds"))
+    summed = OrderedRows(rows, ["message_id"], ["marker", "position"], limit).cumulative("_bytes", F.col("_adds")).result()
+    counts = points.groupBy("message_id", "marker").agg(F.count("*").alias("_n"))
+    ends = summed.join(counts, ["message_id", "marker"]).filter(((F.col("position") + 1) % 3 == 0) | (F.col("position") + 1 == F.col("_n")))
+    last = ends.filter(F.col("_bytes") + base_bytes <= max_bytes).groupBy("message_id").agg(F.max(F.struct("marker", "position")).alias("_last"))
+    kept = counts.join(last, "message_id").filter(F.col("marker") <= F.col("_last.marker"))
+    return kept.select("message_id", "marker", F.when(F.col("marker") == F.col("_last.marker"), F.col("_last.position") + 1).otherwise(F.col("_n")).cast("bigint").alias("kept"))

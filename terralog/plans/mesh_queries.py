@@ -40,11 +40,12 @@ def valid_faces(t: Tables) -> DataFrame:
 
 
 @query("C9", sql(f"""
-    SELECT f.mesh_id, f.fid, {_qn('p.x')} AS x0, {_qn('q.y')} AS y1, {_qn('r.z')} AS z2 FROM S_face f
-    JOIN S_vertex p ON p.mesh_id = f.mesh_id AND p.vid = f.a JOIN S_vertex q ON q.mesh_id = f.mesh_id AND q.vid = f.b JOIN S_vertex r ON r.mesh_id = f.mesh_id AND r.vid = f.c""", "S_vertex", "S_face"))
+    WITH P AS MATERIALIZED (SELECT mesh_id, vid, x, y, z FROM S_vertex), F AS MATERIALIZED (SELECT mesh_id, fid, a, b, c FROM S_face),
+    K AS (SELECT mesh_id, fid, corner, x, y, z FROM (SELECT mesh_id, fid, unnest([0, 1, 2]) AS corner, unnest([a, b, c]) AS vid FROM F) JOIN P USING (mesh_id, vid))
+    SELECT mesh_id, fid, {", ".join(f"{_qn(f'max({c}) FILTER (WHERE corner = {i})')} AS {c}{i}" for i in range(3) for c in "xyz")} FROM K GROUP BY ALL HAVING count(*) = 3""", "S_vertex", "S_face"))
 def face_points(t: Tables) -> DataFrame:
     vertex = t.vertices()
-    return mesh.face_vertices(t.faces(vertex), vertex).select("mesh_id", "fid", _near(F.col("p0.x")).alias("x0"), _near(F.col("p1.y")).alias("y1"), _near(F.col("p2.z")).alias("z2"))
+    return mesh.face_vertices(t.faces(vertex), vertex).select("mesh_id", "fid", *[_near(F.col(f"p{i}.{c}")).alias(f"{c}{i}") for i in range(3) for c in "xyz"])
 
 
 _FLAT = f"""
@@ -130,28 +131,58 @@ def snapshot_faces(t: Tables) -> DataFrame:
     return face.select("snapshot_id", "fid", "a", "b", "c")
 
 
-@query("H7")
+# Fixed text of a mesh envelope without its blobs, its two counts and its truncated flag; the counts and the name vary.
+_ENVELOPE = (
+    """'{"msg":{"anchor_count":' || anchors || ',"compression":"mesh_snapshot_binary_base64","frame_id":"map","header":{"frame_id":"map"},"index_data":"","index_encoding":"uint32_le_base64","""
+    """"index_stride_bytes":4,"metadata_json":"{}","original_payload_bytes":0,"original_triangle_count":' || triangles || ',"original_vertex_count":' || vertices || ',"published_payload_bytes":0,"""
+    """"schema_version":1,"snapshot_id":"' || name || '","source":"' || source || '","vertex_data":"","vertex_encoding":"float32_xyz_le_base64","vertex_stride_bytes":12},"op":"publish","topic":"/mapping/mesh_snapshot"}'"""
+)
+_BASE = f"strlen({_ENVELOPE}) + {len('\"is_truncated\":,\"triangle_count\":,\"vertex_count\":,')}"
+_WIDE = _REMAP.replace("<= 1500", "<= 4000")
+
+
+@query("H7", sql(f"""
+    WITH totals AS (
+        SELECT mesh_id // 16 AS snapshot_id, (mesh_id // 16)::VARCHAR AS name, 'arkit_mesh' AS source, count(*) AS vertices, count(DISTINCT mesh_id) AS anchors,
+               (SELECT count(*) FROM S_face f WHERE f.mesh_id // 16 = v.mesh_id // 16) AS triangles FROM S_vertex v GROUP BY ALL),
+    used AS (SELECT snapshot_id, first // 3 + 1 AS tri, count(*) AS new FROM {_WIDE} GROUP BY ALL),
+    prefixes AS (
+        SELECT snapshot_id, tri, CAST(sum(coalesce(new, 0)) OVER (PARTITION BY snapshot_id ORDER BY tri) AS BIGINT) AS seen
+        FROM (SELECT snapshot_id, tri FROM {_BUDGET.replace("<= 1500", "<= 4000")}) LEFT JOIN used USING (snapshot_id, tri)),
+    sized AS (
+        SELECT snapshot_id, tri, seen, triangles, {_BASE} + CASE WHEN tri < triangles THEN 4 ELSE 5 END + strlen(tri::VARCHAR) + strlen(seen::VARCHAR) + (12 * seen + 2) // 3 * 4 + (12 * tri + 2) // 3 * 4 AS bytes
+        FROM prefixes JOIN totals USING (snapshot_id))
+    SELECT snapshot_id, max(seen) AS vertex_count, max(tri) AS triangle_count, max(tri) < any_value(triangles) AS is_truncated, CAST(arg_max(bytes, tri) AS BIGINT) AS published_payload_bytes
+    FROM sized WHERE bytes <= 16000 GROUP BY snapshot_id""", "S_vertex", "S_face"))
 def fitted_snapshots(t: Tables) -> DataFrame:
     vertex = t.vertices()
     packed = mesh.collect_snapshot(t.faces(vertex), vertex, _meshes(vertex), 12_000, 16_000)
     return packed.select("snapshot_id", "vertex_count", "triangle_count", "is_truncated", "published_payload_bytes")
 
 
-@query("H7", """
-    SELECT mesh_id, points, CASE WHEN points <= 170 THEN points END AS uncut FROM (SELECT l_orderkey // 64 AS mesh_id, count(*) // 3 * 3 AS points FROM lineitem GROUP BY ALL)""")
+@query("H7", f"""
+    WITH lists AS (SELECT l_orderkey // 64 AS mesh_id, (l_orderkey // 64)::VARCHAR AS name, 's' AS source, 1 AS anchors, count(*) // 3 * 3 AS vertices, count(*) // 3 AS triangles FROM lineitem GROUP BY ALL),
+    sized AS (SELECT *, {_BASE} AS base FROM lists),
+    tried AS (SELECT mesh_id, vertices, k, base + CASE WHEN k < triangles THEN 4 ELSE 5 END + 64 * k + strlen(k::VARCHAR) + strlen((3 * k)::VARCHAR) AS bytes FROM (SELECT *, unnest(range(0, triangles + 1)) AS k FROM sized))
+    SELECT mesh_id, vertices AS points, CAST(coalesce(max(3 * k) FILTER (WHERE bytes <= 5000), 0) AS BIGINT) AS fitted FROM tried GROUP BY ALL""")
 def fitted_point_lists(t: Tables) -> DataFrame:
-    """Lists that fit stay as they are; 170 points are below the limit and 240 above it."""
+    """Lists that fit stay as they are; the others are cut to the most triangles that fit."""
     lists = t.table("lineitem").groupBy(whole_div(F.col("l_orderkey"), 64).alias("mesh_id")).agg((whole_div(F.count("*"), 3) * 3).alias("points"))
     base = payloads.envelope_base("/mapping/mesh_snapshot", F.struct(F.lit("map").alias("frame_id")), F.col("mesh_id").cast("string"), "s", "map", F.lit(1), F.col("points"), whole_div(F.col("points"), 3))
-    out = payloads.fit_points(lists.withColumn("base_bytes", base), 5_000)
-    return out.select("mesh_id", "points", F.when(F.col("points") <= 170, F.col("fitted")).alias("uncut"))
+    return payloads.fit_points(lists.withColumn("base_bytes", base), 5_000).select("mesh_id", "points", "fitted")
 
 
-@query("H8")
+@query("H8", sql(f"""
+    WITH p AS MATERIALIZED (
+        SELECT mesh_id // 16 AS message_id, mesh_id % 16 AS marker, vid AS position, count(*) OVER (PARTITION BY mesh_id) AS n,
+               strlen('{{"x":' || {_qn('x', '1e3')} || ',"y":' || {_qn('y', '1e3')} || ',"z":' || {_qn('z', '1e3')} || '}}') AS bytes FROM S_vertex),
+    s AS (SELECT *, sum(bytes + CASE WHEN position > 0 THEN 1 ELSE 180 + CASE WHEN marker > 0 THEN 1 ELSE 0 END END) OVER (PARTITION BY message_id ORDER BY marker, position) AS total FROM p),
+    k AS (SELECT message_id, max((marker, position)) AS last FROM s WHERE ((position + 1) % 3 = 0 OR position + 1 = n) AND total + 64 <= 40000 GROUP BY message_id)
+    SELECT message_id, marker, CASE WHEN marker = last[1] THEN last[2] + 1 ELSE n END AS kept FROM (SELECT DISTINCT message_id, marker, n FROM p) JOIN k USING (message_id) WHERE marker <= last[1]""", "S_vertex"))
 def fitted_markers(t: Tables) -> DataFrame:
-    """One marker per mesh, sixteen per message; points as JSON text."""
+    """One marker per mesh, sixteen per message; points as JSON text in whole millimetres."""
     vertex = t.vertices()
-    point = F.octet_length(F.to_json(F.struct("x", "y", "z"))).cast("bigint")
+    point = F.octet_length(F.to_json(F.struct(*[_near(F.col(c), 1e3).alias(c) for c in "xyz"]))).cast("bigint")
     rows = vertex.select(whole_div(F.col("mesh_id"), 16).alias("message_id"), (F.col("mesh_id") % 16).alias("marker"), F.col("vid").alias("position"), point.alias("point_bytes"), F.lit(180).cast("bigint").alias("marker_bytes"))
     return payloads.fit_markers(rows, 64, 40_000)
 

@@ -173,23 +173,25 @@ def test_payload_limit(spark):
     assert 0 < fitted[600, 9000] < 9000 and fitted[600, 9000] % 3 == 0
 
 
-def test_marker_limit(spark):
-    """Against the rule in a plain loop."""
-    data = [(1, m, p, 20, 100) for m, n in ((0, 30), (1, 60), (2, 9)) for p in range(n)]
+@pytest.mark.parametrize("limit", [None, 7])
+def test_marker_limit(spark, limit):
+    """Against all ways to cut, longest first."""
+    data = [(1, m, p, 20, 100) for m, n in ((0, 30), (1, 61), (2, 9)) for p in range(n)]
     df = spark.createDataFrame(data, "message_id bigint, marker bigint, position bigint, point_bytes bigint, marker_bytes bigint")
-    kept = [30, 60, 9]
-
-    def size():
-        return 50 + sum(100 + 20 * k + k - 1 for k in kept) + len(kept) - 1
-
-    while kept and size() > 1500:
-        cut = min(kept[-1] - 3, int(kept[-1] * 1500 / size())) if kept[-1] > 3 else 0
-        cut -= cut % 3
-        if cut >= 3:
-            kept[-1] = cut
-        else:
-            kept.pop()
-    assert rows(payloads.fit_markers(df, 50, 1500).select("marker", "kept")) == list(enumerate(kept))
+    whole = [30, 61, 9]
+    ways = [whole[:m] + [k] for m in range(3) for k in range(1, whole[m] + 1) if k % 3 == 0 or k == whole[m]]
+    size = {tuple(w): 50 + sum(100 + 20 * k + k - 1 for k in w) + len(w) - 1 for w in ways}
+    for most in (130, 300, 1500, 2050, 2200, 9999):
+        best = max((w for w in size if size[w] <= most), key=sum, default=())
+        assert rows(payloads.fit_markers(df, 50, most, limit).select("marker", "kept")) == list(enumerate(best))
+
+
+def test_point_limit_is_the_largest(spark):
+    lists = spark.createDataFrame([(b, 3 * k) for b in (0, 100, 4990, 6000) for k in (0, 1, 2, 31, 32, 33, 74, 75, 76, 77, 78, 500)], "base_bytes bigint, points bigint")
+    for r in payloads.fit_points(lists, 5000).collect():
+        n = r["points"] // 3
+        fits = [k for k in range(n + 1) if r["base_bytes"] + (4 if k < n else 5) + 64 * k + len(str(k)) + len(str(3 * k)) <= 5000]
+        assert r["fitted"] == 3 * max(fits, default=0)
 
 
 def test_bad_faces_and_budgets(spark):
