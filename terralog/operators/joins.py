@@ -7,18 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralog.functions.tiles import region_contains
+from terralog.functions.tiles import normal_longitude, region_contains
 from terralog.operators.ordered import OrderedRows
-from terralog.session import broadcast_rows
-
-
-FEW_BOXES = 64
-
-
-def small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Mark a side for broadcast only if counting shows that it is small; else leave the choice to the planner."""
-    limit = limit or broadcast_rows(df.sparkSession)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def with_topic(messages: DataFrame, topics: DataFrame) -> DataFrame:
@@ -102,21 +92,18 @@ def nearest_sample(
 
 
 def in_region(fixes: DataFrame, regions: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Fixes inside a region box.  A handful of boxes (counted) is tested on every fix; more are joined by degree."""
+    """Fixes inside a region box.  Boxes are listed by the degree cells they touch and joined on the cell; the planner
+    sends the list to all tasks where it is small in bytes."""
     boxes = regions.select(*[F.col(c).alias(f"_r_{c}") for c in regions.columns])
-    if boxes.limit(FEW_BOXES + 1).count() > FEW_BOXES:
-        return _in_region_by_degree(fixes, boxes, how)
-    inside = region_contains(F.col("lat"), F.col("lon"), F.col("_r_south"), F.col("_r_west"), F.col("_r_north"), F.col("_r_east"))
-    return fixes.join(F.broadcast(boxes), inside, how)
-
-
-def _in_region_by_degree(fixes: DataFrame, boxes: DataFrame, how: str) -> DataFrame:
-    """Large box tables: boxes are listed per degree of latitude they touch, and joined on that degree first."""
-    low, high = F.floor("_r_south"), F.floor("_r_north")
-    listed = boxes.withColumn("_deg", F.explode(F.sequence(low, high)))
-    keyed = fixes.withColumn("_fdeg", F.floor("lat"))
+    south, north = F.floor("_r_south"), F.floor("_r_north")
+    left, right = normal_longitude(F.col("_r_west")), normal_longitude(F.col("_r_east"))
+    west, east = F.floor(left), F.floor(right)
+    around = F.concat(F.sequence(west, F.lit(180).cast("bigint")), F.sequence(F.lit(-180).cast("bigint"), east))
+    lons = F.when(left <= right, F.sequence(west, east)).otherwise(around)
+    listed = boxes.withColumn("_r_row", F.explode(F.sequence(south, north))).withColumn("_r_column", F.explode(lons))
     inside = region_contains(F.col("lat"), F.col("lon"), F.col("_r_south"), F.col("_r_west"), F.col("_r_north"), F.col("_r_east"))
-    return keyed.join(listed, (F.col("_fdeg") == F.col("_deg")) & inside, how).drop("_fdeg", "_deg")
+    cell = (F.floor("lat") == F.col("_r_row")) & (F.floor(normal_longitude(F.col("lon"))) == F.col("_r_column"))
+    return fixes.join(listed, cell & inside, how).drop("_r_row", "_r_column")
 
 
 TILE_KEY = ("provider", "layer", "date", "z", "x", "y")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from terralog.functions.names import rewrite_topic, rewrite_type
 from terralog.functions.numeric import with_once
 from terralog.functions.stamps import duration_ns, join_stamp
-from terralog.operators.joins import small
 from terralog.schemas import MESSAGE_FIELDS
 
 # --- envelopes ---------------------------------------------------------------------------------------------------------
@@ -75,7 +74,7 @@ def rewrite_names(df: DataFrame, legacy_root: str, root: str, legacy_package: st
 def override_types(df: DataFrame, overrides: Mapping[str, str] | DataFrame) -> DataFrame:
     """Replace the type of the named topics; a mapping becomes an expression, a table is joined."""
     if isinstance(overrides, DataFrame):
-        table = small(overrides.select("topic", F.col("type").alias("_type")))
+        table = overrides.select("topic", F.col("type").alias("_type"))
         return df.join(table, "topic", "left").withColumn("type", F.coalesce("_type", "type")).drop("_type")
     picked = F.lit(None).cast("string")
     for topic, type_ in overrides.items():

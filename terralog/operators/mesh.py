@@ -16,15 +16,13 @@ from terralog.operators.ordered import OrderedRows, fold_rows
 from terralog.operators.payloads import envelope_base, fit_snapshot, pack_rows
 from terralog.session import freeze
 
-MAX_TRIANGLES = 600_000
 MIN_JUMP_M = 0.45
 RELATIVE_JUMP = 0.18
 MIN_LENGTH_SQUARED = 1e-6
-SNAPSHOT_POINTS = 12_000
 
 
 def grid_mesh(
-    depth: DataFrame, intrinsics: DataFrame, calibration: DataFrame, step: int = 1, max_triangles: int = MAX_TRIANGLES,
+    depth: DataFrame, intrinsics: DataFrame, calibration: DataFrame, step: int = 1, max_triangles: int | None = None,
     min_depth: float = 0.1, max_depth: float | None = None, limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Mesh over the sampled depth grid of each frame: (vertex, face) with the frame as mesh id.
@@ -61,7 +59,8 @@ def grid_mesh(
 
     both = F.array_compact(F.array(triangle(c("ci"), 0, c("u"), c("l"), c("ur")), triangle(c("ci") - 1, 1, c("u"), c("ll"), c("l"))))
     edges = upper.join(lower, ["frame", "ri", "ci"]).select("frame", "ri", F.explode(both).alias("_t")).select("frame", "ri", "_t.*")
-    faces = OrderedRows(edges, ["frame"], ["ri", "cc", "half"], limit).rank("fid").result().filter(c("fid") <= max_triangles)
+    faces = OrderedRows(edges, ["frame"], ["ri", "cc", "half"], limit).rank("fid").result()
+    faces = faces if max_triangles is None else faces.filter(c("fid") <= max_triangles)
     face = faces.select(c("frame").alias("mesh_id"), (c("fid") - 1).alias("fid"), "a", "b", "c")
     used = face.select("mesh_id").distinct()
     vertex = ranked.select(c("frame").alias("mesh_id"), "vid", "_w.*").join(used, "mesh_id", "left_semi")
@@ -173,10 +172,11 @@ def _in_snapshot(face: DataFrame, meshes: DataFrame) -> DataFrame:
     return face.join(meshes.select("snapshot_id", "mesh_id", "mesh_order"), "mesh_id")
 
 
-def triangle_budget(face: DataFrame, vertex: DataFrame, meshes: DataFrame, n: int, limit: int | None = None) -> DataFrame:
-    """First ``n`` valid faces per snapshot in mesh and face order, as ``tri`` from 1; bad faces use no budget."""
+def triangle_budget(face: DataFrame, vertex: DataFrame, meshes: DataFrame, n: int | None, limit: int | None = None) -> DataFrame:
+    """First ``n`` valid faces (None: all) per snapshot in mesh and face order, as ``tri`` from 1; bad faces use no budget."""
     rows = _in_snapshot(valid_faces(face, vertex), meshes)
-    return OrderedRows(rows, ["snapshot_id"], ["mesh_order", "fid"], limit).rank("tri").result().filter(F.col("tri") <= n)
+    ranked = OrderedRows(rows, ["snapshot_id"], ["mesh_order", "fid"], limit).rank("tri").result()
+    return ranked if n is None else ranked.filter(F.col("tri") <= n)
 
 
 def remap_vertices(budgeted: DataFrame, limit: int | None = None, bound: int | None = None) -> DataFrame:
@@ -203,15 +203,16 @@ def source_counts(face: DataFrame, vertex: DataFrame, meshes: DataFrame) -> Data
 
 
 def collect_snapshot(
-    face: DataFrame, vertex: DataFrame, meshes: DataFrame, max_points: int = SNAPSHOT_POINTS, max_bytes: int | None = None,
+    face: DataFrame, vertex: DataFrame, meshes: DataFrame, max_points: int | None = None, max_bytes: int | None = None,
     topic: str = "/mapping/mesh_snapshot", limit: int | None = None,
 ) -> DataFrame:
-    """One packed message row per snapshot; with ``max_bytes`` the triangles are cut until the envelope fits.
+    """One packed message row per snapshot; ``max_points`` (three per triangle) and ``max_bytes`` of the envelope cut it.
+    The row tells how many vertices and triangles there were and whether some were left out.
 
     ``meshes`` is (snapshot_id, mesh_id, mesh_order, m) with the 4x4 transform to the map frame.
     """
-    # at most max_points rows per snapshot are left here and read several times below, so they are written once
-    budgeted = freeze(triangle_budget(face, vertex, meshes, max_points // 3, limit))
+    # what is left of a snapshot is read several times below, so it is written once
+    budgeted = freeze(triangle_budget(face, vertex, meshes, max_points and max_points // 3, limit))
     remap = freeze(remap_vertices(budgeted, limit, bound=max_points))
     totals = source_counts(face, vertex, meshes)
     header = F.struct(F.lit("map").alias("frame_id"))

@@ -1,8 +1,9 @@
 """Order-dependent work per key that does not rely on keys being small.
 
-Below a counted row limit per key a plain window (one shuffle) does the work.  Above it the rows are range-partitioned
-on (key, order), so one hot key spreads over many even blocks; the blocks are written once to the shared folder, each
-block computes a local result, and a small per-block summary carries the state across block borders.
+Plans are lazy: a window (one shuffle) does the work, and nothing runs before the action.  Where a caller or the session
+(``terralog.hotKeyRows``) states how many rows of a key one task may hold, rows are range-partitioned on (key, order)
+instead, so one hot key spreads over many even blocks; the blocks are written once to the shared folder, each block
+computes a local result, and a small per-block summary carries the state across block borders.  Both give the same rows.
 """
 
 from __future__ import annotations
@@ -42,19 +43,18 @@ def key_sizes(df: DataFrame, key: Sequence[str]) -> tuple[int, int]:
 class OrderedRows:
     """Rows in order per key; adds columns that look back (or ahead) along that order.
 
-    ``order`` must be a total order within the key, so that the result does not depend on partitioning.  ``bound`` is a
-    proven largest number of rows per key; where it is within the limit nothing is counted.
+    ``order`` must be a total order within the key, so that the result does not depend on partitioning.  With ``limit``
+    (or the session's) rows of a key are spread over blocks, unless ``bound``, a proven largest number of rows per key,
+    is within it.
     """
 
     def __init__(self, df: DataFrame, key: Sequence[str], order: Sequence[str], limit: int | None = None, bound: int | None = None):
         self.key, self.order = list(key), list(order)
         limit = limit or hot_rows(df.sparkSession)
-        self.largest, total = (bound, 0) if bound is not None and bound <= limit else key_sizes(df, self.key)
-        self.hot = self.largest > limit
+        self.hot = limit is not None and not (bound is not None and bound <= limit)
         self.blocks = self.key + ([BLOCK] if self.hot else [])
         if self.hot:
-            pieces = max(2, -(-total // limit))
-            ranged = df.repartitionByRange(pieces, *self.key, *self.order)
+            ranged = df.repartitionByRange(max(2, -(-df.count() // limit)), *self.key, *self.order)
             df = freeze(ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
         self.df = df
 
@@ -124,8 +124,12 @@ class OrderedRows:
         return self
 
     def rank(self, name: str) -> OrderedRows:
-        """Position in the order, from 1."""
-        return self.cumulative(name, F.lit(1).cast("bigint"))
+        """Position in the order, from 1; a plain row number, so that a filter on the first n drops rows before the shuffle."""
+        if self.hot:
+            return self.cumulative(name, F.lit(1).cast("bigint"))
+        place = F.row_number().over(Window.partitionBy(*self.blocks).orderBy(*self.order))
+        self.df = self.df.withColumn(name, place.cast("bigint"))
+        return self
 
     def result(self) -> DataFrame:
         return self.df.drop(BLOCK)
@@ -134,10 +138,6 @@ class OrderedRows:
 # --- marks along a chain of jumps ------------------------------------------------------------------------------------
 
 
-def _append(table: pa.Table, name: str, values) -> pa.Table:
-    return table.append_column(name, pa.array(values))
-
-
 def _jump_flags(start: np.ndarray, end: np.ndarray, width: float, strict: bool) -> np.ndarray:
     """True for the first row and for each row reached by jumping ``width`` on from the last true row."""
     kept = np.zeros(len(start), dtype=bool)
@@ -164,19 +164,23 @@ def mark_jumps(
     """Flag each row where ``end`` has moved ``width`` past ``start`` of the last flagged row.
 
     ``start`` and ``end`` must not fall along the order.  This depends on the last *flagged* row, so it is a chain, not
-    a window.  Small keys walk it in one Arrow group; for hot keys the jump of every row is found with a look-ahead
-    and the chain is then followed block by block (``_mark_chain``).
+    a window.  It is walked in one Arrow group per key that holds nothing but key, order, start and end, and the flags
+    are joined back to the rows; with a row limit the jump of every row is found with a look-ahead and the chain is
+    followed block by block (``_mark_chain``).
     """
     limit = limit or hot_rows(df.sparkSession)
-    largest, _ = key_sizes(df, key)
-    if largest <= limit:
-        schema = T.StructType(df.schema.fields + [T.StructField(name, T.BooleanType())])
+    if limit is None:
+        identity = list(dict.fromkeys([*key, *order]))
+        narrow = df.select(*dict.fromkeys([*identity, start, end]))
 
         def walk(table: pa.Table) -> pa.Table:
             table = table.sort_by([(c, "ascending") for c in order])
-            return _append(table, name, _jump_flags(table[start].to_numpy(), table[end].to_numpy(), width, strict))
+            flags = _jump_flags(table[start].to_numpy(), table[end].to_numpy(), width, strict)
+            return table.select(identity).filter(pa.array(flags))
 
-        return df.groupBy(*key).applyInArrow(walk, schema)
+        chosen = narrow.groupBy(*key).applyInArrow(walk, T.StructType([df.schema[c] for c in identity]))
+        marked = join_same(df, chosen.withColumn(name, F.lit(True)), identity)
+        return marked.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
     ranked = freeze(OrderedRows(df, key, order, limit).rank("_idx").result())
     probe_side, row_side = (1, 0) if strict else (0, 1)
@@ -307,8 +311,7 @@ def fold_rows(
     """
     key, order = list(key), list(order)
     limit = limit or hot_rows(df.sparkSession)
-    largest, _ = key_sizes(df, key)
-    if largest <= limit:
+    if limit is None:
 
         def whole(rows: pd.DataFrame) -> pd.DataFrame:
             return step(None, rows.sort_values(order, kind="stable"))[1]

@@ -5,20 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terralog.functions import camera
 from terralog.functions.numeric import clamp, is_finite
-from terralog.operators.ordered import OrderedRows, fold_rows
+from terralog.operators.ordered import OrderedRows
 
 VOXEL = ("vx", "vy", "vz")
 LIDAR_STEP = 4
 FUSION_CAP = 64
 SURFEL_VOXEL_M = 0.04
-ARRAY_ROWS = 20_000
+NORMAL_TAIL = 4096
 
 
 # --- clouds from depth -------------------------------------------------------------------------------------------------
@@ -113,19 +111,6 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / length if np.isfinite(length) and length > 1e-6 else np.array([0.0, 1.0, 0.0])
 
 
-def _blend_normals(state: list | None, rows: pd.DataFrame) -> tuple[list | None, pd.DataFrame]:
-    """State: seen count and unit normal; the normal is brought to unit length after every observation."""
-    seen, normal = (0, None) if state is None else (int(state[0]), np.array(state[1:4]))
-    for nx, ny, nz in zip(rows["inx"].to_numpy(), rows["iny"].to_numpy(), rows["inz"].to_numpy()):
-        incoming = np.array([nx, ny, nz])
-        normal = incoming if normal is None else _unit(normal * min(seen, FUSION_CAP) + incoming)
-        seen += 1
-    out = rows.iloc[:1][[c for c in rows.columns if c in ("session_id", *VOXEL)]].assign(
-        nx=float(normal[0]), ny=float(normal[1]), nz=float(normal[2]), _seen=seen
-    )
-    return [seen, float(normal[0]), float(normal[1]), float(normal[2])], out
-
-
 def surfel_weights(index: Column, total: Column) -> Column:
     """Weight of observation ``index`` (from 1) among ``total`` in a running mean whose weight stops growing at 64."""
     cap = FUSION_CAP + 1
@@ -141,8 +126,7 @@ def fuse_surfels(
     radius, unit normal towards the observer (``ox, oy, oz`` of each point), last update.
 
     Position and colour have a closed form: rank and number of the point in its cell give its weight, and the weighted
-    sums are plain aggregates.  Ranks come from ``OrderedRows``, so one crowded cell is spread over blocks.  Only the
-    normal needs an ordered fold, because it is brought to unit length at each step.
+    sums are plain aggregates.  Only the normal needs an ordered fold, because it is brought to unit length at each step.
     """
     voxel = max(0.01, voxel)
     finite = points.filter(is_finite(F.col("x")) & is_finite(F.col("y")) & is_finite(F.col("z"))).withColumns(voxel_columns(voxel))
@@ -168,18 +152,9 @@ def fuse_surfels(
     if not normals:
         return out
     facing = [c.alias(f"in{a}") for a, c in zip("xyz", _towards_observer())]
-    incoming = ranked.select(*cell, *order, "_n", *facing)
-    array_rows = min(limit or ARRAY_ROWS, ARRAY_ROWS)
-    blended = _array_normals(incoming.filter(F.col("_n") <= array_rows), cell, list(order))
-    if in_order.largest > array_rows:
-        crowded = incoming.filter(F.col("_n") > array_rows).drop("_n")
-        schema = T.StructType(
-            [incoming.schema[c] for c in cell] + [T.StructField(c, T.DoubleType()) for c in ("nx", "ny", "nz")] + [T.StructField("_seen", T.LongType())]
-        )
-        parts = fold_rows(crowded, cell, list(order), _blend_normals, schema, limit)
-        last = parts.groupBy(*cell).agg(F.max_by(F.struct("nx", "ny", "nz"), "_seen").alias("_m")).select(*cell, "_m.*")
-        blended = blended.unionByName(last)
-    return out.join(blended, cell)
+    incoming = ranked.select(*cell, *order, "_i", "_n", *facing)
+    recent = incoming.filter(F.col("_i") > F.col("_n") - NORMAL_TAIL)
+    return out.join(_blended_normals(recent, cell, list(order)), cell)
 
 
 def _towards_observer() -> list[Column]:
@@ -189,10 +164,12 @@ def _towards_observer() -> list[Column]:
     return [F.when(usable, d / length).otherwise(F.lit(f)) for d, f in zip(delta, (0.0, 1.0, 0.0))]
 
 
-def _array_normals(incoming: DataFrame, cell: list[str], order: list[str]) -> DataFrame:
-    """Blended normal of cells with few points (at most ``ARRAY_ROWS``, counted before): a fold over the sorted array.
+def _blended_normals(incoming: DataFrame, cell: list[str], order: list[str]) -> DataFrame:
+    """Blended normal of each cell: a fold over its last ``NORMAL_TAIL`` observations in order.
 
-    The running value keeps the sum and its length, and is brought to unit length when it is next used.
+    A step weighs what came before by 64 in 65 at most, so what lies further back has less than the last bit of a double
+    (64 / 65 to the power of 4096 is below 1e-27).  The array is bounded and one rule serves cells of any size.  The
+    running value keeps the sum and its length, and is brought to unit length when it is next used.
     """
     listed = F.array_sort(F.collect_list(F.struct(*order, "inx", "iny", "inz")))
     kind = "struct<n:int,x:double,y:double,z:double,l:double>"
@@ -227,8 +204,10 @@ def top_surfels_per(surfels: DataFrame, n: int, key: Sequence[str] = ("session_i
     return _first_n(surfels, key, ["confidence", "updated_at"], n, limit)
 
 
-def trim_surfels(surfels: DataFrame, maximum: int = 300_000, key: Sequence[str] = ("session_id",), limit: int | None = None) -> DataFrame:
-    """Keep the ``maximum`` most recently updated per session."""
+def trim_surfels(surfels: DataFrame, maximum: int | None = None, key: Sequence[str] = ("session_id",), limit: int | None = None) -> DataFrame:
+    """Keep the ``maximum`` most recently updated per session (None: all)."""
+    if maximum is None:
+        return surfels
     return _first_n(surfels, key, ["updated_at"], maximum, limit)
 
 

@@ -132,9 +132,11 @@ def latest_per(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*key, "_row.*")
 
 
-def keep_recent(df: DataFrame, group: Sequence[str], source: str, order: Sequence[str], n: int = 32) -> DataFrame:
-    """The newest row of each of the n most recent sources per group."""
+def keep_recent(df: DataFrame, group: Sequence[str], source: str, order: Sequence[str], n: int | None = None) -> DataFrame:
+    """The newest row of each of the n most recent sources per group (None: of all)."""
     newest = latest_per(df, [*group, source], order)
+    if n is None:
+        return newest
     ranked = F.row_number().over(Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order], source))
     return newest.withColumn("_rank", ranked).filter(F.col("_rank") <= n).drop("_rank")
 

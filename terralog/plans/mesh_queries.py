@@ -249,7 +249,7 @@ _SMOOTH = "greatest(p.d, q.d, r.d) - least(p.d, q.d, r.d) <= greatest(0.45e0, le
         JOIN {_GRID} r ON r.frame = p.frame AND r.px = p.px AND r.py = p.py + 1 WHERE {_SMOOTH})""", "S_depth"))
 def grid_meshes(t: Tables) -> DataFrame:
     flat = t.intrinsics().select("frame", F.lit(1.5).alias("scale"), F.lit(-0.2).alias("offset"))
-    _, face = mesh.grid_mesh(t.depth(), t.intrinsics(), flat)
+    _, face = mesh.grid_mesh(t.depth(), t.intrinsics(), flat, max_triangles=600_000)
     return face
 
 
@@ -268,6 +268,6 @@ _FITS = """(SELECT frame, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS scale,
 def calibrated_grid_meshes(t: Tables) -> DataFrame:
     """Vertices and triangles per frame with each frame's own calibration."""
     fits = calibration.fit_calibration(t.depth().withColumnsRenamed({"px": "lx", "py": "ly"}))
-    vertex, face = mesh.grid_mesh(t.depth(), t.intrinsics(), fits)
+    vertex, face = mesh.grid_mesh(t.depth(), t.intrinsics(), fits, max_triangles=600_000)
     counts = face.groupBy("mesh_id").agg(F.count("*").alias("triangles"))
     return vertex.groupBy("mesh_id").agg(F.count("*").alias("vertices"), _near(F.sum("x") / F.count("*"), 1e4).alias("mean_x")).join(counts, "mesh_id")

@@ -62,7 +62,7 @@ def stream_thinned(t: Tables) -> DataFrame:
 def stream_fused(t: Tables) -> DataFrame:
     rows = _streams(t).points().withColumns({"ox": F.lit(0.0), "oy": F.lit(0.0), "oz": F.lit(9.0)})
     cell = ["session_id", "vx", "vy", "vz"]
-    fused = points.trim_surfels(run_available(stateful.stream_surfels(rows, 1.0), "surfels", cell))
+    fused = points.trim_surfels(run_available(stateful.stream_surfels(rows, 1.0), "surfels", cell), 300_000)
     red = F.when(F.col("observation_count") <= 65, F.col("r")).alias("r")
     return fused.select(*cell, "observation_count", "updated_at", quantize(F.col("confidence")).alias("confidence"), *[point_queries._near(F.col(c), 1e5).alias(c) for c in "xyz"], red)
 

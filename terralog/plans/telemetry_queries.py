@@ -110,7 +110,7 @@ def latest_samples(t: Tables) -> DataFrame:
     SELECT kind, source, seq FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY stamp_ns DESC, seq DESC) AS k FROM (
         SELECT kind, source, arg_max(seq, (stamp_ns, seq)) AS seq, max(stamp_ns) AS stamp_ns FROM S_radio GROUP BY ALL)) WHERE k <= 32""", "S_radio"))
 def recent_sources(t: Tables) -> DataFrame:
-    return telemetry.keep_recent(t.radio(), ["kind"], "source", ["stamp_ns", "seq"]).select("kind", "source", "seq")
+    return telemetry.keep_recent(t.radio(), ["kind"], "source", ["stamp_ns", "seq"], 32).select("kind", "source", "seq")
 
 
 @query("E15", sql("""

@@ -10,10 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 HOT_ROWS_CONF = "terralog.hotKeyRows"
-BROADCAST_ROWS_CONF = "terralog.broadcastRows"
-
-DEFAULT_HOT_ROWS = 4_000_000
-DEFAULT_BROADCAST_ROWS = 200_000
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -66,11 +62,7 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_rows(spark: SparkSession) -> int:
-    """Rows of one key that one task may handle; above it the block-wise forms are used."""
-    return int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
-
-
-def broadcast_rows(spark: SparkSession) -> int:
-    """Rows up to which a side may be broadcast after its size was counted."""
-    return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
+def hot_rows(spark: SparkSession) -> int | None:
+    """Rows of one key that one task may handle, if the session sets it; ordered work then goes block by block."""
+    rows = spark.conf.get(HOT_ROWS_CONF, None)
+    return int(rows) if rows else None
