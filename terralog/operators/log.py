@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralog.functions.names import rewrite_topic, rewrite_type
-from terralog.functions.numeric import with_once
+from terralog.functions.numeric import let, with_once
 from terralog.functions.stamps import duration_ns, join_stamp
 from terralog.schemas import MESSAGE_FIELDS
 
@@ -125,13 +125,28 @@ def topic_list(
 
 # --- typed messages ----------------------------------------------------------------------------------------------------
 
-_INTEGERS = {"byte", "char", "octet", "int8", "uint8", "int16", "uint16", "int32", "uint32", "int64"}
+# Fixed ranges of the integer types (lowest, highest).
+_RANGES = {
+    "byte": (0, 255), "char": (0, 255), "octet": (0, 255), "uint8": (0, 255), "int8": (-128, 127), "uint16": (0, 65_535), "int16": (-32_768, 32_767),
+    "uint32": (0, 2**32 - 1), "int32": (-(2**31), 2**31 - 1), "uint64": (0, 2**64 - 1), "int64": (-(2**63), 2**63 - 1),
+}
 _FLOATS = {"float", "double", "float32", "float64"}
 _BYTES = {"byte", "octet", "uint8", "char"}
 
 
+def _sequence(kind) -> tuple[str, int | None] | None:
+    """(element, length if it is fixed) of a list of plain values, declared ``sequence<x>`` or ``x[n]``."""
+    if not isinstance(kind, str):
+        return None
+    if kind.startswith("sequence<"):
+        return kind[9:-1], None
+    name, _, size = kind.partition("[")
+    return (name, int(size[:-1])) if size else None
+
+
 def _is_bytes(kind) -> bool:
-    return isinstance(kind, str) and kind.startswith("sequence<") and kind[9:-1] in _BYTES
+    listed = _sequence(kind)
+    return listed is not None and listed[0] in _BYTES
 
 
 def _raw_type(kind) -> str:
@@ -139,13 +154,40 @@ def _raw_type(kind) -> str:
     if isinstance(kind, (tuple, list)):
         inner = "struct<" + ",".join(f"`{n}`:{_raw_type(k)}" for n, k in kind) + ">"
         return f"array<{inner}>" if isinstance(kind, list) else inner
-    if kind.startswith("sequence<") and not _is_bytes(kind):
-        return "array<string>"
-    return "string"
+    return "array<string>" if _sequence(kind) and not _is_bytes(kind) else "string"
+
+
+def _is_a(node: Column, name: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(node), F.lit(name)), F.lit(False))
+
+
+def _misshapen(node: Column, kind, path: str = "$") -> Column:
+    """Whether a value below ``path`` that is there is not the kind of JSON node its declaration asks for.
+
+    Objects and lists must be that, byte lists may be text, and a number must not be null; a null text or bool is like a
+    missing one.
+    """
+    here = F.try_variant_get(node, path, "variant")
+    if isinstance(kind, tuple):
+        wrong = here.isNotNull() & ~_is_a(here, "OBJECT")
+        for name, inner in kind:
+            wrong = wrong | _misshapen(node, inner, f"{path}.{name}")
+        return wrong
+    if isinstance(kind, list):
+        inner = tuple(kind)
+        items = F.coalesce(F.try_variant_get(node, path, "array<variant>"), F.array().cast("array<variant>"))
+        return (here.isNotNull() & ~_is_a(here, "ARRAY")) | F.exists(items, lambda e: e.isNull() | _misshapen(e, inner))
+    if _is_bytes(kind):
+        return here.isNotNull() & ~_is_a(here, "ARRAY") & ~_is_a(here, "STRING")
+    if _sequence(kind):
+        return here.isNotNull() & ~_is_a(here, "ARRAY")
+    if kind in ("string", "bool"):
+        return F.lit(False)
+    return F.coalesce(F.is_variant_null(here), F.lit(False))
 
 
 def _primitive(raw: Column, kind: str) -> tuple[Column, Column]:
-    """(value, failed) of one leaf; a missing field takes the type's default."""
+    """(value, failed) of one leaf; a missing field takes the type's default, an integer must be in its range."""
     if kind == "string":
         return F.coalesce(raw, F.lit("")), F.lit(False)
     if kind == "bool":
@@ -158,7 +200,8 @@ def _primitive(raw: Column, kind: str) -> tuple[Column, Column]:
     target = "decimal(20,0)" if kind == "uint64" else "bigint"
     words = F.when(raw == "true", F.lit("1")).when(raw == "false", F.lit("0")).otherwise(raw)
     value = F.coalesce(words.try_cast(target), words.try_cast("double").try_cast("decimal(38,6)").try_cast(target))
-    return F.coalesce(value, F.lit(0).cast(target)), raw.isNotNull() & value.isNull()
+    low, high = (F.lit(str(n)).cast(target) for n in _RANGES[kind])
+    return F.coalesce(value, F.lit(0).cast(target)), raw.isNotNull() & F.coalesce(~value.between(low, high), F.lit(True))
 
 
 def _byte_sequence(raw: Column) -> tuple[Column, Column]:
@@ -182,21 +225,33 @@ def _coerce(raw: Column, kind) -> tuple[Column, Column]:
         return F.transform(items, lambda e: _coerce(e, inner)[0]), F.exists(items, lambda e: _coerce(e, inner)[1])
     if _is_bytes(kind):
         return _byte_sequence(raw)
-    if kind.startswith("sequence<"):
-        element = kind[9:-1]
-        items = F.coalesce(raw, F.array().cast("array<string>"))
-        return F.transform(items, lambda e: _primitive(e, element)[0]), F.exists(items, lambda e: _primitive(e, element)[1])
+    listed = _sequence(kind)
+    if listed:
+        element, length = listed
+        items = F.coalesce(raw, F.array_repeat(F.lit(None).cast("string"), length or 0))
+        failed = F.exists(items, lambda e: _primitive(e, element)[1])
+        if element not in ("string", "bool"):
+            failed = failed | (raw.isNotNull() & F.exists(items, lambda e: e.isNull()))
+        if length is not None:
+            failed = failed | (raw.isNotNull() & (F.size(items) != length))
+        return F.transform(items, lambda e: _primitive(e, element)[0]), failed
     return _primitive(raw, kind)
 
 
 def hydrate(df: DataFrame, message_type: str, fields: Mapping[str, tuple] = MESSAGE_FIELDS) -> DataFrame:
-    """``message``: the declared fields of ``msg`` only, coerced to their types; ``_failed`` marks rows that cannot be."""
+    """``message``: the declared fields of ``msg`` only, coerced to their types; ``_failed`` marks rows that cannot be.
+
+    Missing fields take defaults.  A nested value that is not an object, a sequence that is not a list, a null number, a
+    list of another length than a fixed one, and an integer out of range fail the row.
+    """
     if message_type not in fields:
         raise KeyError(f"no schema for {message_type}")
     declared = fields[message_type]
     parsed = with_once(df, "_raw", F.from_json("msg", _raw_type(declared), {"mode": "PERMISSIVE"}))
     value, failed = _coerce(F.col("_raw"), declared)
-    return parsed.withColumn("message", value).withColumn("_failed", F.coalesce(failed, F.lit(True))).drop("_raw")
+    tree = with_once(parsed.withColumn("message", value), "_tree", F.try_parse_json("msg"))
+    bad = failed | F.col("_tree").isNull() | _misshapen(F.col("_tree"), declared)
+    return tree.withColumn("_failed", F.coalesce(bad, F.lit(True))).drop("_raw", "_tree")
 
 
 def hydrate_good(df: DataFrame, message_type: str) -> DataFrame:
@@ -207,6 +262,77 @@ def hydrate_rejects(df: DataFrame, message_type: str) -> DataFrame:
     return hydrate(df, message_type).filter("_failed").drop("message", "_failed")
 
 
+# --- conversion --------------------------------------------------------------------------------------------------------
+
+
+def _text_of(declared: tuple) -> Callable[[Column], Column]:
+    """The typed fields of a raw message as JSON text, and whether they could not be read."""
+    def body(raw: Column) -> Column:
+        value, failed = _coerce(raw, declared)
+        return F.struct(F.to_json(value).alias("text"), F.coalesce(failed, F.lit(True)).alias("bad"))
+
+    return body
+
+
+def convert(
+    messages: DataFrame, types: Sequence[str], topics: DataFrame | None = None, overrides: Mapping[str, str] | DataFrame | None = None,
+    mode: str = "skip", legacy: tuple[str, str] = ("/legacy", "legacy_msgs"), current: tuple[str, str] = ("/mapping", "mapping_msgs"),
+    fields: Mapping[str, tuple] = MESSAGE_FIELDS,
+) -> DataFrame:
+    """A whole log converted in one pass: its own columns with renamed ``topic``, ``type`` and ``stamp_ns``, the typed
+    fields as JSON text in ``message``, and ``reason``, which is null for what converts.
+
+    Names are rewritten, types overridden, topics chosen (by table, before and after a payload names its own), types
+    checked against ``types``, payloads decoded once and hydrated by their type.  ``skip`` keeps the rows that do not
+    convert, with their reason and no message; ``fail`` stops at the first one.  ``converted`` and ``rejected`` part them.
+    """
+    named = rewrite_names(messages, legacy[0], current[0], legacy[1], current[1])
+    named = override_types(named, overrides) if overrides is not None else named
+
+    def chosen(df: DataFrame) -> DataFrame:
+        return df if topics is None else df.join(topics.select("topic"), "topic", "left_semi")
+
+    parsed = with_once(chosen(named), "_v", F.try_parse_json("data"))
+    v = F.col("_v")
+    own = F.try_variant_get(v, "$.topic", "string")
+
+    def stamp(path: str) -> Column:
+        return join_stamp(F.try_variant_get(v, f"{path}.stamp.sec", "bigint"), F.try_variant_get(v, f"{path}.stamp.nanosec", "bigint"))
+
+    decoded = chosen(
+        parsed.withColumns(
+            {
+                "_error": F.when(F.col("type").isin(*types), _envelope_error(v)).otherwise(F.concat(F.lit("no schema for "), F.coalesce("type", F.lit("null")))),
+                "topic": F.when(own.isNotNull() & (own != ""), rewrite_topic(own, legacy[0], current[0])).otherwise(F.col("topic")),
+                "stamp_ns": F.coalesce(stamp("$.msg.header"), stamp("$.msg.transforms[0].header"), F.col("stamp_ns").cast("bigint")),
+                "_msg": F.try_variant_get(v, "$.msg", "variant"),
+            }
+        ).drop("_v")
+    )
+    message = F.lit(None).cast("string")
+    for name in types:
+        declared = fields[name]
+        raw = F.from_json(F.to_json("_msg"), _raw_type(declared), {"mode": "PERMISSIVE"})
+        mine = F.col("_error").isNull() & (F.col("type") == name)
+        parts = let(raw, _text_of(declared))
+        message = F.when(mine, F.when(F.coalesce(_misshapen(F.col("_msg"), declared), F.lit(True)), F.lit(None)).otherwise(F.when(~parts["bad"], parts["text"]))).otherwise(message)
+    out = with_once(decoded, "message", message)
+    reason = F.coalesce("_error", F.when(F.col("message").isNull(), F.concat(F.lit("fields do not fit "), "type")))
+    told = out.withColumn("reason", reason).drop("_error", "_msg")
+    if mode == "fail":
+        return told.filter(F.when(F.col("reason").isNotNull(), F.raise_error(F.concat("topic", F.lit(": "), "reason")).cast("boolean")).otherwise(F.lit(True)))
+    return told
+
+
+def converted(rows: DataFrame) -> DataFrame:
+    return rows.filter("reason is null").drop("reason")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """How many rows of each topic did not convert, by reason."""
+    return rows.filter("reason is not null").groupBy("topic", "reason").agg(F.count("*").alias("messages"))
+
+
 # --- merge and summaries -----------------------------------------------------------------------------------------------
 
 

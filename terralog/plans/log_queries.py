@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog import dimensions
@@ -88,28 +88,71 @@ def uptime_stamps(t: Tables) -> DataFrame:
     return split.select("row_id", "s.sec", whole_div(F.col("s.nanosec"), 1000).alias("micros"))
 
 
+def _fix_text() -> Column:
+    """Fix messages with numbers as text and missing fields, and five ways to be wrong."""
+    e, n = F.col("event_id"), F.col("event_id").cast("string")
+    latitude = F.when(e % 10 == 9, F.lit('"north"')).when(e % 10 == 8, F.lit("null")).otherwise(F.concat(F.lit('"'), F.col("value").cast("string"), F.lit('"')))
+    header = F.when(e % 10 == 7, F.lit("5")).otherwise(F.concat(F.lit('{"stamp":{"sec":"'), n, F.lit('"},"frame_id":"f'), (e % 3).cast("string"), F.lit('"}')))
+    covariance = F.when(e % 10 == 6, "[1.5,2]").when(e % 10 == 5, "7").otherwise('[1,"2",3,4,5,6,7,8,9.5]')
+    status = F.when(e % 10 == 4, F.lit('{"status":300}')).otherwise(F.concat(F.lit('{"service":'), (e % 5).cast("string"), F.lit("}")))
+    return F.concat(F.lit('{"header":'), header, F.lit(',"latitude":'), latitude, F.lit(',"unknown":[1],"status":'), status, F.lit(',"position_covariance":'), covariance, F.lit("}"))
+
+
 @query("B8", """
     SELECT event_id AS row_id, 'f' || (event_id % 3) AS frame_id, event_id AS sec, CAST(0 AS BIGINT) AS nanosec, CAST(floor(value * 100 + 0.5e0) AS BIGINT) AS latitude,
-           CAST(0 AS BIGINT) AS longitude, CAST(event_id % 5 AS BIGINT) AS service, CAST(event_id % 2 + 1 AS BIGINT) AS covariances
-    FROM events WHERE event_id % 10 <> 9""")
+           CAST(0 AS BIGINT) AS longitude, CAST(event_id % 5 AS BIGINT) AS service, '1.0,2.0,3.0,4.0,5.0,6.0,7.0,8.0,9.5' AS covariances
+    FROM events WHERE event_id % 10 < 4""")
 def typed_fixes(t: Tables) -> DataFrame:
-    """Fix messages with numbers as text, missing fields and an unreadable number in every tenth row."""
-    e, n = F.col("event_id"), F.col("event_id").cast("string")
-    latitude = F.when(e % 10 == 9, F.lit("north")).otherwise(F.col("value").cast("string"))
-    msg = F.concat(
-        F.lit('{"header":{"stamp":{"sec":"'), n, F.lit('"},"frame_id":"f'), (e % 3).cast("string"), F.lit('"},"latitude":"'), latitude,
-        F.lit('","unknown":[1],"status":{"service":'), (e % 5).cast("string"), F.lit('},"position_covariance":['),
-        F.when(e % 2 == 0, "1.5").otherwise('1.5,"2"'), F.lit("]}"),
-    )
-    rows = t.table("events").select(e.alias("row_id"), msg.alias("msg"))
+    rows = t.table("events").select(F.col("event_id").alias("row_id"), _fix_text().alias("msg"))
     m = F.col("message")
     return log.hydrate_good(rows, "sensor_msgs/msg/NavSatFix").select(
         "row_id", m["header"]["frame_id"].alias("frame_id"), m["header"]["stamp"]["sec"].alias("sec"), m["header"]["stamp"]["nanosec"].alias("nanosec"),
         F.floor(m["latitude"] * 100 + F.lit(0.5)).alias("latitude"), F.floor(m["longitude"]).alias("longitude"), m["status"]["service"].alias("service"),
-        F.size(m["position_covariance"]).cast("bigint").alias("covariances"),
+        F.array_join(m["position_covariance"].cast("array<string>"), ",").alias("covariances"),
     )
 
 
+_FIX, _IMAGE, _STATS = "sensor_msgs/msg/NavSatFix", "sensor_msgs/msg/CompressedImage", "mapping_msgs/msg/PublisherStats"
+
+
+def _conversion(t: Tables) -> DataFrame:
+    """A log of three known types and an unknown one, under old names, with bad envelopes and bad fields."""
+    e = F.col("event_id")
+    kind = e % 4
+    topic = F.when(kind == 0, "/legacy/fix").when(kind == 1, "/legacy/image").when(kind == 2, "/legacy/stats").otherwise("/legacy/other")
+    type_ = F.when(kind == 0, "sensor_msgs/NavSatFix").when(kind == 1, _IMAGE).when(kind == 2, "legacy_msgs/PublisherStats").otherwise("std_msgs/msg/String")
+    image = F.when(e % 3 == 0, '{"format":"jpeg","data":"***"}').otherwise('{"format":"jpeg","data":[104,105]}')
+    stats = F.format_string('{"depth":%d,"sent_messages":"%d"}', F.when(e % 5 == 0, -1).otherwise(e % 7), e)
+    msg = F.when(kind == 0, _fix_text()).when(kind == 1, image).when(kind == 2, stats).otherwise("{}")
+    op = F.when(e % 13 == 0, "subscribe").otherwise("publish")
+    data = F.when(e % 17 == 0, "not json").otherwise(F.concat(F.lit('{"op":"'), op, F.lit('","msg":'), msg, F.lit("}")))
+    rows = t.table("events").select(e.alias("row_id"), topic.alias("topic"), type_.alias("type"), (e * 7).alias("stamp_ns"), data.alias("data"))
+    wanted = log.topic_list(t.spark, ["/mapping/fix", "/mapping/image"], ["/mapping/other"], extra=["/mapping/stats", "/mapping/fix"])
+    return log.convert(rows, [_FIX, _IMAGE, _STATS], wanted, {"/mapping/image": _IMAGE})
+
+
+_CONVERTED = """
+    SELECT event_id AS e, event_id % 4 AS kind, CASE event_id % 4 WHEN 0 THEN '/mapping/fix' WHEN 1 THEN '/mapping/image' WHEN 2 THEN '/mapping/stats' ELSE '/mapping/other' END AS topic,
+           CASE WHEN kind = 3 THEN 'no schema for std_msgs/msg/String' WHEN e % 17 = 0 THEN 'payload is not JSON' WHEN e % 13 = 0 THEN 'unsupported op subscribe'
+                WHEN kind = 0 AND e % 10 >= 4 THEN 'fields do not fit sensor_msgs/msg/NavSatFix' WHEN kind = 1 AND e % 3 = 0 THEN 'fields do not fit sensor_msgs/msg/CompressedImage'
+                WHEN kind = 2 AND e % 5 = 0 THEN 'fields do not fit mapping_msgs/msg/PublisherStats' END AS reason, value FROM events"""
+
+
+@query("A5 B1 B2 B3 B4 B5 B6 B8 C11", f"""
+    SELECT e AS row_id, topic, CASE kind WHEN 0 THEN 'sensor_msgs/msg/NavSatFix' WHEN 1 THEN 'sensor_msgs/msg/CompressedImage' ELSE 'mapping_msgs/msg/PublisherStats' END AS type,
+           e * 7 AS stamp_ns, CASE kind WHEN 0 THEN 'f' || (e % 3) WHEN 1 THEN 'aGk=' ELSE e::VARCHAR END AS shown FROM ({_CONVERTED}) WHERE reason IS NULL""")
+def converted_log(t: Tables) -> DataFrame:
+    """What converts, with one field of each type."""
+    shown = F.coalesce(F.get_json_object("message", "$.header.frame_id"), F.get_json_object("message", "$.sent_messages"))
+    text = F.when(F.col("type") == _IMAGE, F.get_json_object("message", "$.data")).otherwise(shown)
+    return log.converted(_conversion(t)).select("row_id", "topic", "type", "stamp_ns", text.alias("shown"))
+
+
+@query("A5 B1 B8 C11", f"SELECT topic, reason, count(*) AS messages FROM ({_CONVERTED}) WHERE reason IS NOT NULL GROUP BY ALL")
+def conversion_rejects(t: Tables) -> DataFrame:
+    return log.rejected(_conversion(t))
+
+
 @query("B48 B40", """
     SELECT page_id, regexp_matches(lower(u), '^wss?://[^/?#:@]') AS valid, array_to_string(list_distinct_ordered, '|') AS parts
     FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(url, 'http://', 'ws://') WHEN 1 THEN replace(url, 'http://', 'WSS://') WHEN 2 THEN url ELSE 'ws:///none' END AS u,

@@ -33,12 +33,12 @@ MESSAGE_FIELDS: dict[str, tuple] = {
     "geometry_msgs/msg/PoseStamped": (("header", HEADER), ("pose", POSE)),
     "sensor_msgs/msg/NavSatFix": (
         ("header", HEADER), ("status", (("status", "int8"), ("service", "uint16"))), ("latitude", "float64"), ("longitude", "float64"),
-        ("altitude", "float64"), ("position_covariance", "sequence<float64>"), ("position_covariance_type", "uint8"),
+        ("altitude", "float64"), ("position_covariance", "float64[9]"), ("position_covariance_type", "uint8"),
     ),
     "sensor_msgs/msg/CompressedImage": (("header", HEADER), ("format", "string"), ("data", "sequence<uint8>")),
     "sensor_msgs/msg/CameraInfo": (
         ("header", HEADER), ("height", "uint32"), ("width", "uint32"), ("distortion_model", "string"), ("d", "sequence<float64>"),
-        ("k", "sequence<float64>"), ("r", "sequence<float64>"), ("p", "sequence<float64>"),
+        ("k", "float64[9]"), ("r", "float64[9]"), ("p", "float64[12]"),
     ),
     "sensor_msgs/msg/PointCloud2": (
         ("header", HEADER), ("height", "uint32"), ("width", "uint32"),
@@ -46,16 +46,16 @@ MESSAGE_FIELDS: dict[str, tuple] = {
         ("is_bigendian", "bool"), ("point_step", "uint32"), ("row_step", "uint32"), ("data", "sequence<uint8>"), ("is_dense", "bool"),
     ),
     "sensor_msgs/msg/Imu": (
-        ("header", HEADER), ("orientation", QUATERNION), ("orientation_covariance", "sequence<float64>"), ("angular_velocity", POINT),
-        ("angular_velocity_covariance", "sequence<float64>"), ("linear_acceleration", POINT),
-        ("linear_acceleration_covariance", "sequence<float64>"),
+        ("header", HEADER), ("orientation", QUATERNION), ("orientation_covariance", "float64[9]"), ("angular_velocity", POINT),
+        ("angular_velocity_covariance", "float64[9]"), ("linear_acceleration", POINT),
+        ("linear_acceleration_covariance", "float64[9]"),
     ),
     "tf2_msgs/msg/TFMessage": (
         ("transforms", [("header", HEADER), ("child_frame_id", "string"), ("transform", (("translation", POINT), ("rotation", QUATERNION)))]),
     ),
     "nav_msgs/msg/Odometry": (
-        ("header", HEADER), ("child_frame_id", "string"), ("pose", (("pose", POSE), ("covariance", "sequence<float64>"))),
-        ("twist", (("twist", (("linear", POINT), ("angular", POINT))), ("covariance", "sequence<float64>"))),
+        ("header", HEADER), ("child_frame_id", "string"), ("pose", (("pose", POSE), ("covariance", "float64[36]"))),
+        ("twist", (("twist", (("linear", POINT), ("angular", POINT))), ("covariance", "float64[36]"))),
     ),
     "diagnostic_msgs/msg/DiagnosticArray": (
         ("header", HEADER),

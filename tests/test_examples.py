@@ -341,6 +341,27 @@ def test_typed_messages(spark):
     assert first["header"]["frame_id"] == "map" and first["transform"]["rotation"]["w"] == 1.0 and first["transform"]["translation"]["x"] == 0.0
 
 
+@pytest.mark.parametrize("msg, good", [
+    ('{"latitude":1,"status":{"status":-128}}', True), ('{"header":5}', False), ('{"header":null}', False), ('{"position_covariance":7}', False),
+    ('{"position_covariance":[1,2]}', False), ('{"position_covariance":[1,2,3,4,5,6,7,8,null]}', False), ('{"latitude":null}', False),
+    ('{"status":{"status":300}}', False), ('{"status":{"service":-1}}', False), ('{"header":{"frame_id":null}}', True), ('{"header":{"stamp":[1]}}', False), ("[]", False),
+])
+def test_strict_fields(spark, msg, good):
+    row = log.hydrate(spark.createDataFrame([(msg,)], "msg string"), "sensor_msgs/msg/NavSatFix").first()
+    assert row["_failed"] is not good
+    if good:
+        assert len(row["message"]["position_covariance"]) == 9
+
+
+def test_conversion_can_stop(spark):
+    rows_ = [("/legacy/a", "legacy_msgs/PublisherStats", 1, '{"op":"publish","msg":{"depth":3}}'), ("/legacy/a", "legacy_msgs/PublisherStats", 2, '{"op":"publish","msg":{"depth":[]}}')]
+    df = spark.createDataFrame(rows_, "topic string, type string, stamp_ns bigint, data string")
+    known = ["mapping_msgs/msg/PublisherStats"]
+    assert [r["reason"] for r in log.convert(df, known).orderBy("stamp_ns").collect()] == [None, "fields do not fit mapping_msgs/msg/PublisherStats"]
+    with pytest.raises(Exception, match="do not fit"):
+        log.convert(df, known, mode="fail").collect()
+
+
 def test_overrides_and_lists(spark, tmp_path):
     table = log.parse_overrides(["/legacy/a=x_msgs/A", "/legacy/a = x_msgs/B"], spark=spark)
     assert rows(table) == [("/mapping/a", "x_msgs/msg/B")]
