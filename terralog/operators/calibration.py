@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terralog.functions.numeric import is_finite
-from terralog.operators.ordered import fold_rows
+from terralog.operators.ordered import OrderedRows, fold_rows
 
 STEP = 4
 MIN_SAMPLES = 50
@@ -95,7 +95,7 @@ def reuse_calibration(
 
     ``frames`` is one row per frame with its own fit (``scale, offset``) and transform ``m``, so the pixels were already
     reduced.  A frame that comes later than ``max_age`` after the one before it can reuse nothing, so the fold is cut
-    there; within a run of close frames it goes on in order (``fold_rows``, which splits hot sessions).
+    there, and runs of close frames are folded apart.
     """
     identity = [*key, "stamp_ns", "frame"]
     schema = T.StructType(
@@ -134,4 +134,9 @@ def reuse_calibration(
         )
         return state, out
 
-    return fold_rows(frames, key, ["stamp_ns", "frame"], step, schema, limit)
+    # a frame that comes later than max_age after the one before it starts a run of its own
+    order = ["stamp_ns", "frame"]
+    gaps = OrderedRows(frames, key, order, limit).previous("_b", "stamp_ns").result()
+    apart = ((F.col("stamp_ns") - F.col("_b.stamp_ns")) / F.lit(1e9) > max_age).cast("int")
+    runs = OrderedRows(gaps.withColumn("_apart", F.coalesce(apart, F.lit(0))).drop("_b"), key, order, limit).cumulative("_run", F.col("_apart")).result()
+    return fold_rows(runs.drop("_apart"), [*key, "_run"], order, step, schema, limit)

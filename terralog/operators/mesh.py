@@ -271,6 +271,9 @@ def triangle_soup(face: DataFrame, vertex: DataFrame, meshes: DataFrame, max_poi
     for corner in "abc":
         inside = inside & (F.col(corner) >= 0) & (F.col(corner) < F.coalesce("vertices", F.lit(0)))
     rows = _in_snapshot(counted, meshes).withColumn("_ok", inside).select("snapshot_id", "mesh_order", "mesh_id", "fid", "_ok")
+    # no mesh can take more than the whole budget, so the rest of its faces need not take part
+    first = OrderedRows(rows, ["snapshot_id", "mesh_order", "mesh_id"], ["fid"], limit).rank("_f").result()
+    rows = first.filter(F.col("_f") <= max(0, max_points // 3)).drop("_f")
     out_schema = T.StructType([rows.schema[c] for c in ("snapshot_id", "mesh_order", "mesh_id", "fid")])
 
     def step(state: list | None, part: pd.DataFrame) -> tuple[list | None, pd.DataFrame]:

@@ -19,12 +19,17 @@ BUFFER_BYTES = 20_000_000
 
 
 def check_rates(df: DataFrame, targets: Mapping[str, float] | None = None, tolerance: float = 0.10) -> DataFrame:
-    """Observed rate per session and topic against its target; the targets are a constant map."""
+    """Observed rate per session and topic against its target; a session without the topic has no messages and fails.
+
+    The targets are constants, listed once per session.
+    """
     wanted = targets or {t[1]: t[2] for t in RATE_TARGETS}
-    table = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(float(v)))])
+    listed = F.array(*[F.struct(F.lit(k).alias("topic"), F.lit(float(v)).alias("target_hz")) for k, v in wanted.items()])
+    expected = df.select("session_id").distinct().select("session_id", F.explode(listed).alias("_t")).select("session_id", "_t.*")
     rates = topic_rates(df.filter(F.col("topic").isin(*wanted)))
-    target = table[F.col("topic")]
-    return rates.withColumn("target_hz", target).withColumn("ok", F.abs(F.col("rate_hz") - target) <= target * F.lit(tolerance))
+    told = expected.join(rates, ["session_id", "topic"], "left").fillna(0, ["messages", "bytes"])
+    near = F.abs(F.col("rate_hz") - F.col("target_hz")) <= F.col("target_hz") * F.lit(tolerance)
+    return told.withColumn("ok", F.coalesce(near, F.lit(False)))
 
 
 def check_topics(df: DataFrame, required: Sequence[str], known_types: DataFrame) -> DataFrame:

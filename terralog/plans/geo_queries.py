@@ -188,32 +188,37 @@ def session_origins(t: Tables) -> DataFrame:
 @query("C3 B31", sql(f"""
     SELECT session_id, seq, established,
            CASE WHEN established THEN NULL WHEN pose_ns IS NULL THEN 'waiting_for_arkit_map_pose' ELSE 'waiting_for_accurate_gps_origin' END AS reason,
-           CASE WHEN established THEN {_q('omx + e', '10')} END AS x, CASE WHEN established THEN {_q('omy + u', '10')} END AS y, CASE WHEN established THEN {_q('omz - n', '10')} END AS z
+           CASE WHEN established THEN {_q('omx + e', '10')} END AS x, CASE WHEN established THEN {_q('omy + u', '10')} END AS y, CASE WHEN established THEN {_q('omz - n', '10')} END AS z,
+           CASE WHEN established THEN {_q('e', '10')} END AS e, CASE WHEN established THEN {_q('n', '10')} END AS n, CASE WHEN established THEN {_q('u', '10')} END AS u
     FROM ({_PLACED})""", "S_fix", "S_pose"))
 def georeferenced_fixes(t: Tables) -> DataFrame:
     placed = geo.georeference(t.fixes(), t.poses())
-    return placed.select("session_id", "seq", "established", "reason", *[quantize(F.col(f"map.{c}"), 10.0).alias(c) for c in "xyz"])
+    return placed.select("session_id", "seq", "established", "reason", *[quantize(F.col(f"map.{c}"), 10.0).alias(c) for c in "xyz"], *[quantize(F.col(f"enu.{c}"), 10.0).alias(c) for c in "enu"])
 
 
 @query("J6", sql(f"""
-    SELECT a.session_id, count(*) AS fixes FROM ({_PLACED}) a ASOF JOIN S_pose p ON a.session_id = p.session_id AND a.stamp_ns >= p.stamp_ns WHERE established GROUP BY a.session_id""", "S_fix", "S_pose"))
+    SELECT a.session_id, count(*) AS fixes, {_q('avg(sqrt(pow(omx + e - p.x, 2) + pow(omy + u - p.y, 2) + pow(omz - n - p.z, 2)))', '10')} AS mean_m,
+           {_q('quantile_disc(sqrt(pow(omx + e - p.x, 2) + pow(omy + u - p.y, 2) + pow(omz - n - p.z, 2)), 0.95)', '10')} AS p95_m FROM ({_PLACED}) a ASOF JOIN S_pose p ON a.session_id = p.session_id AND a.stamp_ns >= p.stamp_ns WHERE established GROUP BY a.session_id""", "S_fix", "S_pose"))
 def alignment_residuals(t: Tables) -> DataFrame:
-    return geo.alignment_residuals(t.fixes(), t.poses()).select("session_id", "fixes")
+    return geo.alignment_residuals(t.fixes(), t.poses()).select("session_id", "fixes", *[quantize(F.col(c), 10.0).alias(c) for c in ("mean_m", "p95_m")])
 
 
 @query("B32 B51", sql(f"""
     SELECT p.session_id, count(*) AS poses, 3 * count(*) + count(*) FILTER (WHERE p.stamp_ns >= origin_ns) AS edges,
-           count(*) FILTER (WHERE p.stamp_ns >= origin_ns) AS earth_edges
+           count(*) FILTER (WHERE p.stamp_ns >= origin_ns) AS earth_edges, {_q('sum(p.x)', '1e2')} AS odom_tx, {_q('sum(p.y)', '1e2')} AS odom_ty, {_q('sum(p.z)', '1e2')} AS odom_tz,
+           {_q('sum(p.qy)', '1e3')} AS odom_qy, {_q('sum(p.qw)', '1e3')} AS odom_qw
     FROM S_pose p LEFT JOIN ({_ORIGIN}) o ON p.session_id = o.session_id GROUP BY p.session_id""", "S_fix", "S_pose"))
 def frame_edges(t: Tables) -> DataFrame:
     origins = geo.first_origin(geo.with_pose(t.fixes(), t.poses()))
     edges = geo.tf_rows(t.poses(), origins)
     earth = F.col("parent") == "earth"
-    return edges.groupBy("session_id").agg(F.count_if(F.col("child") == "odom").alias("poses"), F.count("*").alias("edges"), F.count_if(earth).alias("earth_edges"))
+    sums = [quantize(F.sum(F.when(F.col("child") == "base_link", F.col(c))), s).alias(f"odom_{c}") for c, s in (("tx", 1e2), ("ty", 1e2), ("tz", 1e2), ("qy", 1e3), ("qw", 1e3))]
+    return edges.groupBy("session_id").agg(F.count_if(F.col("child") == "odom").alias("poses"), F.count("*").alias("edges"), F.count_if(earth).alias("earth_edges"), *sums)
 
 
 @query("B32", sql(f"""
     SELECT session_id, {_q('ox - (-sin(radians(olon)) * omx + cos(radians(olat)) * cos(radians(olon)) * omy + sin(radians(olat)) * cos(radians(olon)) * omz)', '1e2')} AS tx,
+           {_q('oy - (cos(radians(olon)) * omx + cos(radians(olat)) * sin(radians(olon)) * omy + sin(radians(olat)) * sin(radians(olon)) * omz)', '1e2')} AS ty,
            {_q('oz - (sin(radians(olat)) * omy - cos(radians(olat)) * omz)', '1e2')} AS tz
     FROM (SELECT *, {_ECEF.format(lat='olat', lon='olon', alt='oalt', p='o')} FROM ({_ORIGIN}))""", "S_fix", "S_pose"))
 def earth_to_map_frames(t: Tables) -> DataFrame:
@@ -221,12 +226,13 @@ def earth_to_map_frames(t: Tables) -> DataFrame:
     origins = geo.first_origin(geo.with_pose(t.fixes(), t.poses()))
     at = F.struct(o["mx"].alias("x"), o["my"].alias("y"), o["mz"].alias("z"))
     frame = geodesy.earth_to_map(o["lat"], o["lon"], geodesy.to_ecef(o["lat"], o["lon"], o["alt"]), at)
-    return origins.withColumn("f", frame).select("session_id", quantize(F.col("f.tx"), 1e2).alias("tx"), quantize(F.col("f.tz"), 1e2).alias("tz"))
+    return origins.withColumn("f", frame).select("session_id", *[quantize(F.col(f"f.{c}"), 1e2).alias(c) for c in ("tx", "ty", "tz")])
 
 
 @query("E5", sql(f"""
     SELECT session_id, seq, CASE WHEN dt > 1e-4 THEN {_q("(2e0 * c * c - 1e0) * (x - bx) / dt - 2e0 * s * c * (z - bz) / dt", "1e4")} ELSE 0 END AS vx,
            CASE WHEN dt > 1e-4 THEN {_q("(y - by_) / dt", "1e4")} ELSE 0 END AS vy,
+           CASE WHEN dt > 1e-4 THEN {_q("2e0 * s * c * (x - bx) / dt + (2e0 * c * c - 1e0) * (z - bz) / dt", "1e4")} ELSE 0 END AS vz, CAST(0 AS BIGINT) AS wx, CAST(0 AS BIGINT) AS wz,
            CASE WHEN dt > 1e-4 THEN {_q("(CASE WHEN turn > pi() THEN turn - 2e0 * pi() ELSE turn END) * CASE WHEN side > 0 THEN 1e0 WHEN side < 0 THEN -1e0 ELSE 0e0 END / dt", "1e3")} ELSE 0 END AS wy
     FROM (SELECT *, 2e0 * acos(least(1e0, greatest(-1e0, c * bc + s * bs))) AS turn, CASE WHEN abs(s * bc - c * bs) < 1e-7 THEN 0e0 ELSE s * bc - c * bs END AS side
           FROM (SELECT session_id, seq, x, y, z, qy AS s, qw AS c, lag(x) OVER w AS bx, lag(y) OVER w AS by_, lag(z) OVER w AS bz, lag(qy) OVER w AS bs, lag(qw) OVER w AS bc,
@@ -234,7 +240,7 @@ def earth_to_map_frames(t: Tables) -> DataFrame:
                 FROM S_pose WINDOW w AS (PARTITION BY session_id ORDER BY stamp_ns, seq)))""", "S_pose"))
 def odometry_twists(t: Tables) -> DataFrame:
     rows = geo.odometry_twist(t.poses())
-    return rows.select("session_id", "seq", quantize(F.col("vx"), 1e4).alias("vx"), quantize(F.col("vy"), 1e4).alias("vy"), quantize(F.col("wy"), 1e3).alias("wy"))
+    return rows.select("session_id", "seq", quantize(F.col("vx"), 1e4).alias("vx"), quantize(F.col("vy"), 1e4).alias("vy"), quantize(F.col("vz"), 1e4).alias("vz"), *[quantize(F.col(c), 1e3).alias(c) for c in ("wx", "wy", "wz")])
 
 
 # --- fixes ---------------------------------------------------------------------------------------------------------------

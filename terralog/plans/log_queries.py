@@ -347,11 +347,12 @@ def rotated_chunks(t: Tables) -> DataFrame:
 @query("J1", sql("""
     SELECT session_id, topic, messages, abs(floor(messages / elapsed * 1e3 + 0.5e0) / 1e3 - target) <= target * 0.1e0 AS ok
     FROM (SELECT session_id, topic, count(*) AS messages, (max(stamp_ns) - min(stamp_ns)) / 1e12 AS elapsed, CASE topic WHEN '/view' THEN 0.1e0 ELSE 0.2e0 END AS target
-          FROM S_msg WHERE topic IN ('/view', '/click') GROUP BY ALL)""", "S_msg"))
+          FROM S_msg WHERE topic IN ('/view', '/click') GROUP BY ALL)
+    UNION ALL SELECT DISTINCT session_id, '/silent', CAST(0 AS BIGINT), false FROM S_msg""", "S_msg"))
 def checked_rates(t: Tables) -> DataFrame:
     # log time runs 1000 times slower, so that the rates are in the range of a recording
     rows = t.msg().withColumn("stamp_ns", F.col("stamp_ns") / F.lit(1000.0))
-    return quality.check_rates(rows, {"/view": 0.1, "/click": 0.2}).select("session_id", "topic", "messages", "ok")
+    return quality.check_rates(rows, {"/view": 0.1, "/click": 0.2, "/silent": 1.0}).select("session_id", "topic", "messages", "ok")
 
 
 @query("J2", sql("""
@@ -387,12 +388,13 @@ def sanitized_readings(t: Tables) -> DataFrame:
 
 
 @query("J4", sql("""
-    SELECT session_id, topic, count(*) AS messages, count(*) FILTER (WHERE stamp_ns < b) AS backward_steps
-    FROM (SELECT session_id, topic, stamp_ns - (row_id % 7) * 400000000000 AS stamp_ns,
+    SELECT session_id, topic, count(*) AS messages, count(*) FILTER (WHERE stamp_ns < b) AS backward_steps,
+           CAST(floor((regr_slope((recv_ns - 1700000000000000000) / 1e9, (stamp_ns - 1700000000000000000) / 1e9) - 1) * 1e6 + 0.371931e0) AS BIGINT) AS drift
+    FROM (SELECT session_id, topic, recv_ns, stamp_ns - (row_id % 7) * 400000000000 AS stamp_ns,
                  lag(stamp_ns - (row_id % 7) * 400000000000) OVER (PARTITION BY session_id, topic ORDER BY row_id) AS b FROM S_msg) GROUP BY ALL""", "S_msg"))
 def checked_clock(t: Tables) -> DataFrame:
     rows = t.msg().withColumn("stamp_ns", F.col("stamp_ns") - (F.col("row_id") % 7) * 400_000_000_000)
-    return quality.check_clock(rows).select("session_id", "topic", "messages", "backward_steps")
+    return quality.check_clock(rows).select("session_id", "topic", "messages", "backward_steps", F.floor(F.col("drift") * F.lit(1e6) + F.lit(0.371931)).alias("drift"))
 
 
 @query("J5", sql("""

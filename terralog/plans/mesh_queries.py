@@ -225,13 +225,15 @@ def mesh_sidecar(t: Tables) -> DataFrame:
         SELECT snapshot_id, min(mesh_id) - 1 AS mesh_id, CAST(0 AS BIGINT) AS included, CAST(0 AS BIGINT) AS share FROM flags GROUP BY snapshot_id
         UNION ALL
         SELECT k.snapshot_id, k.mesh_id + 1, k.included + 3 * (SELECT count(*) FROM flags f WHERE f.mesh_id = k.mesh_id + 1 AND f.ok AND f.fid < (4500 - k.included) // 3), (4500 - k.included) // 3
-        FROM took k WHERE k.mesh_id + 1 < (k.snapshot_id + 1) * 16 AND k.mesh_id < (SELECT max(mesh_id) FROM flags))
-    SELECT f.snapshot_id, f.mesh_id, f.fid, {_qn('z + f.mesh_id % 5')} AS x FROM flags f JOIN took k ON f.mesh_id = k.mesh_id AND f.fid < k.share JOIN S_face s ON s.mesh_id = f.mesh_id AND s.fid = f.fid
-    JOIN S_vertex v ON v.mesh_id = f.mesh_id AND v.vid = s.a WHERE f.ok""", "S_vertex", "S_face"))
+        FROM took k WHERE k.mesh_id + 1 < (k.snapshot_id + 1) * 16 AND k.mesh_id < (SELECT max(mesh_id) FROM flags)),
+    chosen AS MATERIALIZED (
+        SELECT f.snapshot_id, f.mesh_id, f.fid, unnest([0, 1, 2]) AS corner, unnest([s.a, s.b, s.c]) AS vid
+        FROM flags f JOIN took k ON f.mesh_id = k.mesh_id AND f.fid < k.share JOIN S_face s ON s.mesh_id = f.mesh_id AND s.fid = f.fid WHERE f.ok)
+    SELECT snapshot_id, mesh_id, fid, corner, {_qn('z + mesh_id % 5')} AS x, {_qn('y + 2e0')} AS y, {_qn('3e0 - x')} AS z FROM chosen JOIN S_vertex USING (mesh_id, vid)""", "S_vertex", "S_face"))
 def triangle_soup(t: Tables) -> DataFrame:
     vertex = t.vertices()
     soup = mesh.triangle_soup(t.faces(vertex), vertex, _meshes(vertex), 4500)
-    return soup.filter("corner = 0").select("snapshot_id", "mesh_id", "fid", _near(F.col("x")).alias("x"))
+    return soup.select("snapshot_id", "mesh_id", "fid", "corner", *[_near(F.col(c)).alias(c) for c in "xyz"])
 
 
 # --- grid mesh -----------------------------------------------------------------------------------------------------------

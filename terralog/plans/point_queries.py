@@ -345,13 +345,15 @@ def cloud_points(t: Tables) -> DataFrame:
 
 @query("H2", sql(f"""
     SELECT session_id, vx AS stamp_ns, row_number() OVER (PARTITION BY session_id, vx ORDER BY vy, vz) - 1 AS seq, observation_count,
-           CAST(floor(CAST(CAST(least(1e0, 0.2e0 + 0.04e0 * (observation_count - 1)) AS FLOAT) AS DOUBLE) * 1e5 + 0.371931e0) AS BIGINT) AS confidence
+           CAST(floor(CAST(CAST(least(1e0, 0.2e0 + 0.04e0 * (observation_count - 1)) AS FLOAT) AS DOUBLE) * 1e5 + 0.371931e0) AS BIGINT) AS confidence,
+           {_qn('CAST(CAST(x AS FLOAT) AS DOUBLE)', '1e3')} AS x, {_qn('CAST(CAST(y AS FLOAT) AS DOUBLE)', '1e3')} AS y, {_qn('CAST(CAST(z AS FLOAT) AS DOUBLE)', '1e3')} AS z, 0 AS nx, 1000 AS ny, 0 AS nz, 375 AS radius
     FROM ({_FUSED.format(voxel='0.5e0')})""", "S_point"))
 def surfel_payloads(t: Tables) -> DataFrame:
     fused = _fused(t, 0.5).withColumns({"normal_x": F.lit(0.0), "normal_y": F.lit(1.0), "normal_z": F.lit(0.0)})
     rows = fused.withColumns({"stamp_ns": F.col("vx"), "seq": F.struct("vy", "vz")})
     out = payloads.explode_surfel_cloud(payloads.collect_surfels(rows))
-    return out.select("session_id", "stamp_ns", "seq", "observation_count", _near(F.col("confidence"), 1e5).alias("confidence"))
+    place = [_near(F.col(c), 1e3).alias(n) for c, n in (("x", "x"), ("y", "y"), ("z", "z"), ("normal_x", "nx"), ("normal_y", "ny"), ("normal_z", "nz"), ("radius", "radius"))]
+    return out.select("session_id", "stamp_ns", "seq", "observation_count", _near(F.col("confidence"), 1e5).alias("confidence"), *place)
 
 
 @query("H14", sql(f"""

@@ -324,19 +324,21 @@ def _positioned(t: Tables) -> DataFrame:
     return joins.radio_position(rows, pose, fix, _TOL)
 
 
-@query("C13", sql(f"SELECT session_id, seq, coalesce(local_ok, false) AS local_ok, world_ok, {_q('coalesce(x, 0e0)')} AS x FROM ({_POSITIONED})", "S_radio"))
+@query("C13", sql(f"""
+    SELECT session_id, seq, coalesce(local_ok, false) AS local_ok, world_ok, {_q('coalesce(x, 0e0)')} AS x, {_q('coalesce(y, 0e0)')} AS y, CAST(0 AS BIGINT) AS z,
+           CASE WHEN world_ok THEN 10000 ELSE 0 END AS lat, CASE WHEN world_ok THEN 20000 ELSE 0 END AS lon, CASE WHEN world_ok THEN 30000 ELSE 0 END AS alt FROM ({_POSITIONED})""", "S_radio"))
 def positioned_radio(t: Tables) -> DataFrame:
     out = _positioned(t)
-    return out.select("session_id", "seq", F.col("map_position_available").alias("local_ok"), F.col("geodetic_position_available").alias("world_ok"), quantize(F.col("x")).alias("x"))
+    return out.select("session_id", "seq", F.col("map_position_available").alias("local_ok"), F.col("geodetic_position_available").alias("world_ok"), *[quantize(F.col(c)).alias(c) for c in ("x", "y", "z", "lat", "lon", "alt")])
 
 
 @query("D15", sql(f"""
-    SELECT session_id, CAST(floor(x / 0.5e0) AS BIGINT) AS cx, CAST(floor(y / 0.5e0) AS BIGINT) AS cy, count(*) AS samples, {_q('max(rssi)')} AS max_rssi, {_q('min(rssi)')} AS min_rssi,
+    SELECT session_id, CAST(floor(x / 0.5e0) AS BIGINT) AS cx, CAST(floor(y / 0.5e0) AS BIGINT) AS cy, CAST(0 AS BIGINT) AS cz, count(*) AS samples, {_q('max(rssi)')} AS max_rssi, {_q('min(rssi)')} AS min_rssi,
            CAST(floor(avg(rssi) * 1e4 + 0.371931e0) AS BIGINT) AS mean_rssi FROM ({_POSITIONED}) WHERE local_ok GROUP BY ALL""", "S_radio"))
 def signal_map(t: Tables) -> DataFrame:
     rows = _positioned(t).withColumnRenamed("rssi", "rssi_dbm")
     out = telemetry.signal_grid(rows, 0.5)
-    return out.select("session_id", "cx", "cy", "samples", quantize(F.col("max_rssi")).alias("max_rssi"), quantize(F.col("min_rssi")).alias("min_rssi"), F.floor(F.col("mean_rssi") * F.lit(1e4) + F.lit(0.371931)).alias("mean_rssi"))
+    return out.select("session_id", "cx", "cy", "cz", "samples", quantize(F.col("max_rssi")).alias("max_rssi"), quantize(F.col("min_rssi")).alias("min_rssi"), F.floor(F.col("mean_rssi") * F.lit(1e4) + F.lit(0.371931)).alias("mean_rssi"))
 
 
 @query("B49", sql("SELECT row_id, greatest(0, recv_ns - stamp_ns - 500000) AS duration_ns FROM S_msg", "S_msg"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from terralog.functions.numeric import whole_div
 from terralog.functions.stamps import message_stamp_ns
-from terralog.operators.log import hydrate_good
+from terralog.operators.log import hydrate
 from terralog.schemas import MESSAGE_FIELDS
+from terralog.session import scratch_path
 
 
 def _received() -> Column:
@@ -49,23 +50,40 @@ def stream_kafka_envelopes(spark: SparkSession, servers: str, topics: str, sessi
     return _message_rows(lines, F.lit(session_id), F.col("_received_ns"))
 
 
-def write_topics(decoded: DataFrame, path: str, types: Sequence[str], force: bool = False, known: Mapping[str, tuple] = MESSAGE_FIELDS) -> list[str]:
-    """One typed Parquet table per message type, partitioned by session and topic.
+def write_topics(
+    decoded: DataFrame, path: str, types: Sequence[str], force: bool = False, known: Mapping[str, tuple] = MESSAGE_FIELDS, mode: str = "skip"
+) -> list[str]:
+    """One typed Parquet table per message type, partitioned by session and topic, and a table ``rejects`` beside them.
 
-    ``decoded`` has ``session_id, topic, type, stamp_ns, msg``.  Existing output is refused unless ``force``.  The loop
-    is over the few message types; each type is one write that reads only its own rows.
+    ``decoded`` has ``session_id, topic, type, stamp_ns, msg``.  Existing output is refused unless ``force``.  The rows
+    are landed once by type, so that decoding runs once and each typed write reads only its own part.  Rows of other
+    types, and rows whose fields do not fit, go to ``rejects`` with their reason; with ``mode="fail"`` the first one
+    stops the write.
     """
-    written = []
     for name in types:
         if name not in known:
             raise KeyError(f"no schema for {name}")
-        target = f"{path}/{name.replace('/', '.')}"
-        rows = hydrate_good(decoded.filter(F.col("type") == name), name)
+    spark, save = decoded.sparkSession, "overwrite" if force else "errorifexists"
+    landed = scratch_path(spark, "by-type")
+    kept = decoded.select("session_id", "topic", F.coalesce("type", F.lit("null")).alias("type"), "stamp_ns", "msg")
+    kept.write.partitionBy("type").parquet(landed)
+    rows = spark.read.schema(kept.schema).parquet(landed)
+
+    def refused(df: DataFrame, reason: str) -> DataFrame:
+        told = df.select("session_id", "topic", "type", "stamp_ns", "msg", F.concat(F.lit(reason), "type").alias("reason"))
+        return told.withColumn("reason", F.raise_error("reason").cast("string")) if mode == "fail" else told
+
+    rejects = refused(rows.filter(~F.col("type").isin(*types)), "no schema for ")
+    written = []
+    for name in types:
+        hydrated = hydrate(rows.filter(F.col("type") == name), name, known)
+        rejects = rejects.unionByName(refused(hydrated.filter("_failed"), "fields do not fit "))
         # a type with a field named like a key column stays nested
         clash = {"session_id", "topic", "stamp_ns"} & {n for n, _ in known[name]}
-        out = rows.select("session_id", "topic", "stamp_ns", "message" if clash else "message.*")
+        out = hydrated.filter(~F.col("_failed")).select("session_id", "topic", "stamp_ns", "message" if clash else "message.*")
+        written.append((f"{path}/{name.replace('/', '.')}", out))
+    rejects.write.mode(save).parquet(f"{path}/rejects")
+    for target, out in written:
         spread = out.repartition("session_id", "topic", whole_div(F.col("stamp_ns"), 3600 * 10**9))
-        spread.write.mode("overwrite" if force else "errorifexists").partitionBy("session_id", "topic").parquet(target)
-        written.append(target)
-    return written
-
+        spread.write.mode(save).partitionBy("session_id", "topic").parquet(target)
+    return [target for target, _ in written]

@@ -114,6 +114,10 @@ def test_conversion(spark, messages, tmp_path):
         envelopes.write_topics(decoded, out, ["sensor_msgs/msg/NavSatFix"])
     envelopes.write_topics(decoded, out, ["sensor_msgs/msg/NavSatFix"], force=True)
     assert log.envelope_rejects(renamed).count() == 1
+    refused = [(r["topic"], r["reason"]) for r in spark.read.parquet(f"{out}/rejects").collect()]
+    assert refused == [("/it's", "no schema for std_msgs/msg/String")]
+    with pytest.raises(Exception):
+        envelopes.write_topics(decoded, str(tmp_path / "strict"), ["sensor_msgs/msg/NavSatFix"], mode="fail")
 
 
 def test_landing(spark, messages, tmp_path):
