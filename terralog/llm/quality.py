@@ -51,11 +51,10 @@ def terms_of(text: str) -> dict[int, float]:
     return found
 
 
-def term_matrix(texts: list[str]) -> np.ndarray:
+def matrix_of(rows: list[dict[int, float]]) -> np.ndarray:
     """Rows of logarithmic term shares: how a text is written, not how long it is."""
-    out = np.zeros((len(texts), WORD_TERMS + STYLE_TERMS), np.float32)
-    for k, text in enumerate(texts):
-        found = terms_of(text)
+    out = np.zeros((len(rows), WORD_TERMS + STYLE_TERMS), np.float32)
+    for k, found in enumerate(rows):
         if found:
             out[k, list(found)] = list(found.values())
     total = np.maximum(out[:, WORD_TERMS:].sum(axis=1, keepdims=True), 1)
@@ -83,18 +82,18 @@ class Space:
             return out
         few = min(VOTERS, len(self.voters))
         for at in range(0, len(texts), BLOCK):
-            near = self.vectors(term_matrix(texts[at : at + BLOCK])) @ self.voters.T
+            near = self.vectors(matrix_of([terms_of(t) for t in texts[at : at + BLOCK]])) @ self.voters.T
             best = np.argpartition(-near, few - 1, axis=1)[:, :few]
             weight = np.maximum(np.take_along_axis(near, best, axis=1).astype(float), 0) ** 4 + 1e-9
             out[at : at + BLOCK] = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
 
 
-def fit_space(texts: list[str], labels: list[int]) -> Space:
+def fit_space(rows: list[dict[int, float]], labels: list[int]) -> Space:
     """Inverse document frequencies and the leading singular vectors of the sample, by subspace iteration."""
     width = WORD_TERMS + STYLE_TERMS
-    matrix = np.concatenate([term_matrix(texts[k : k + BLOCK]) for k in range(0, len(texts), BLOCK)] or [np.zeros((0, width), np.float32)])
-    share = (1 + (matrix > 0).sum(axis=0)) / (1 + len(texts))
+    matrix = matrix_of(rows)
+    share = (1 + (matrix > 0).sum(axis=0)) / (1 + len(rows))
     weight = (1 - np.log(share)).astype(np.float32)
     weight[WORD_TERMS:] *= STYLE_WEIGHT
     matrix *= weight
@@ -102,7 +101,7 @@ def fit_space(texts: list[str], labels: list[int]) -> Space:
     for _ in range(6):
         basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
     space = Space(weight, basis.astype(np.float32), np.zeros((0, LATENT), np.float32), np.array(labels, float))
-    space.voters = space.vectors(matrix / weight) if len(texts) else space.voters
+    space.voters = space.vectors(matrix / weight) if rows else space.voters
     return space
 
 
@@ -118,8 +117,18 @@ def quality_scores(
     labelled rows the score is 0.5.  Repeated rows score alike; a null id is not held out and never trained on.
     """
     sample = labelled_sample(docs, labels, label, in_fold(F.col(id_col), folds, fold), ROWS_PER_CLASS, id_col, text_col)
-    rows = sample.select("id", "body", "label").orderBy("id").toArrow()
-    space = fit_space(rows["body"].to_pylist(), rows["label"].to_pylist())
+
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches(parts):
+            found = [terms_of(t) for t in part.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), part.column("label"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))],
+                ["id", "label", "columns", "counts"],
+            )
+
+    # the driver gets terms of bounded number, not texts
+    rows = sample.mapInArrow(counted, "id bigint, label int, columns array<int>, counts array<double>").toArrow().sort_by("id")
+    space = fit_space([dict(zip(c, n)) for c, n in zip(rows["columns"].to_pylist(), rows["counts"].to_pylist())], rows["label"].to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(space)
     named = docs.select(*[F.col(c).alias(f"_c_{c}") for c in docs.columns], F.coalesce(F.col(text_col), F.lit("")).alias("_body"))
     kept = len(docs.columns)
