@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -168,6 +169,12 @@ def load_dimensions(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
+def listed(rows: Sequence[Sequence], ddl: str) -> Column:
+    """A fixed table as JSON text, a constant of the plan."""
+    names = [c.split(" ")[0] for c in ddl.split(", ")]
+    return F.lit(json.dumps([dict(zip(names, row)) for row in rows]))
+
+
 def provider_array(providers: Sequence[dict] = PROVIDERS, regions: Sequence[tuple] = REGIONS) -> Column:
     """The providers, each with its boxes, as a constant array: rows look up their providers without any join."""
     kinds = dict(c.split(" ") for c in PROVIDER_DDL.split(", "))

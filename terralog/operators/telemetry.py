@@ -7,7 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralog.dimensions import TOPICS, advertised_topics
+from terralog.dimensions import (
+    OPTIONAL_PROVIDER_DDL,
+    OPTIONAL_PROVIDERS,
+    PLATFORM_RESTRICTION_DDL,
+    PLATFORM_RESTRICTIONS,
+    RADIO_CHANNEL_DDL,
+    RADIO_CHANNELS,
+    TOPICS,
+    advertised_topics,
+    listed,
+)
 from terralog.functions import health
 from terralog.functions.localization import global_quality, indoor_quality, quality_label, source_score
 from terralog.operators.ordered import OrderedRows
@@ -190,7 +200,7 @@ def session_state(events: DataFrame) -> DataFrame:
 def session_document(events: DataFrame, metrics: DataFrame, stats: DataFrame, topics: Sequence[tuple] = TOPICS) -> DataFrame:
     """One row per lifecycle event with its scalars and the JSON-text sections.
 
-    The topic list is a constant; metrics are one row per session and stream, counters one row per session.
+    Topics, radio channels, their restrictions and provider slots are constants; metrics are one row per session and stream, counters one row per session.
     """
     with_topics = events.withColumn("advertised_topics", advertised_topics(F.col("enabled_streams"), topics))
     metric_cols = [c for c in metrics.columns if c not in ("session_id", "stream")]
@@ -206,6 +216,9 @@ def session_document(events: DataFrame, metrics: DataFrame, stats: DataFrame, to
             "stream_payload_metrics": F.coalesce("stream_payload_metrics", F.lit("[]")),
             "publish_queue": F.coalesce("publish_queue", F.lit("{}")),
             "enabled_streams": F.array_sort("enabled_streams"),
+            "radio_channels": listed(RADIO_CHANNELS, RADIO_CHANNEL_DDL),
+            "radio_platform_restrictions": listed(PLATFORM_RESTRICTIONS, PLATFORM_RESTRICTION_DDL),
+            "optional_geo_provider_configurations": listed(OPTIONAL_PROVIDERS, OPTIONAL_PROVIDER_DDL),
         }
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog.functions import health, radio, stamps
@@ -138,14 +138,26 @@ def session_states(t: Tables) -> DataFrame:
 
 @query("B53", sql("""
     SELECT session_id, seq, CASE WHEN seq % 1000 % 2 = 0 THEN 'gps,pose' ELSE 'camera,pose' END AS streams, CASE WHEN seq % 1000 % 2 = 0 THEN 3 ELSE 3 END AS topics,
-           '{"sent":' || n || '}' AS publish_queue FROM S_session JOIN (SELECT session_id, count(*) AS n FROM S_session GROUP BY session_id) USING (session_id)""", "S_session"))
+           '{"sent":' || n || '}' AS publish_queue, metrics, 'current_wifi_network,ble_advertisement,network_path,recorder_latency_probe,external_adapter' AS channels,
+           '1,2,1' AS affected, 'copernicus_data_space,open_topography,usgs_eros_earthdata,commercial_imagery,commercial_terrain' AS slots
+    FROM S_session JOIN (SELECT session_id, count(*) AS n FROM S_session GROUP BY session_id) USING (session_id)
+    JOIN (SELECT session_id, '[' || string_agg('{"stream":"' || event || '","messages":' || k || '}', ',' ORDER BY event) || ']' AS metrics
+          FROM (SELECT session_id, event, count(*) AS k FROM S_session GROUP BY ALL) GROUP BY session_id) USING (session_id)""", "S_session"))
 def session_documents(t: Tables) -> DataFrame:
     events = t.session_events()
     sent = events.groupBy("session_id").agg(F.count("*").alias("sent"))
     metrics = events.groupBy("session_id", F.col("event").alias("stream")).agg(F.count("*").alias("messages"))
     out = telemetry.session_document(events, metrics, sent)
-    listed = F.size(F.from_json("advertised_topics", "array<struct<id:string>>"))
-    return out.select("session_id", "seq", F.array_join("enabled_streams", ",").alias("streams"), listed.alias("topics"), "publish_queue")
+    topics = F.size(F.from_json("advertised_topics", "array<struct<id:string>>"))
+
+    def ids(section: str, field: str) -> Column:
+        return F.array_join(F.from_json(section, f"array<struct<{field}:string>>")[field], ",")
+
+    affected = F.transform(F.from_json("radio_platform_restrictions", "array<struct<affected_channels:array<string>>>")["affected_channels"], lambda c: F.size(c).cast("string"))
+    return out.select(
+        "session_id", "seq", F.array_join("enabled_streams", ",").alias("streams"), topics.alias("topics"), "publish_queue", F.col("stream_payload_metrics").alias("metrics"),
+        ids("radio_channels", "channel_id").alias("channels"), F.array_join(affected, ",").alias("affected"), ids("optional_geo_provider_configurations", "provider_id").alias("slots"),
+    )
 
 
 # --- health --------------------------------------------------------------------------------------------------------------
