@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terralog.llm.common import batches
-from terralog.llm.labelled import in_fold, labelled_sample
+from terralog.llm.labelled import in_fold, labelled_sample, usable_labels
 
 #: Bound of the fit, for tables of any size: labelled rows per class that vote.
 ROWS_PER_CLASS = 3000
@@ -69,13 +69,15 @@ class Space:
     basis: np.ndarray  # columns to latent dimensions
     voters: np.ndarray  # unit vectors of the labelled rows
     labels: np.ndarray
+    shares: np.ndarray  # how many labelled rows of its class a voter stands for
 
     def vectors(self, matrix: np.ndarray) -> np.ndarray:
         found = (matrix * self.weight) @ self.basis
         return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
 
     def vote(self, texts: list[str]) -> np.ndarray:
-        """Share of label 1 among the nearest labelled rows, weighted by cosine; products go block by block."""
+        """Share of label 1 among the nearest labelled rows, weighted by cosine and by what a row stands for; products go
+        block by block."""
         out = np.empty(len(texts))
         if not len(self.voters):
             out[:] = 0.5
@@ -85,11 +87,12 @@ class Space:
             near = self.vectors(matrix_of([terms_of(t) for t in texts[at : at + BLOCK]])) @ self.voters.T
             best = np.argpartition(-near, few - 1, axis=1)[:, :few]
             weight = np.maximum(np.take_along_axis(near, best, axis=1).astype(float), 0) ** 4 + 1e-9
+            weight *= self.shares[best]
             out[at : at + BLOCK] = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
 
 
-def fit_space(rows: list[dict[int, float]], labels: list[int]) -> Space:
+def fit_space(rows: list[dict[int, float]], labels: list[int], class_sizes: dict[int, int]) -> Space:
     """Inverse document frequencies and the leading singular vectors of the sample, by subspace iteration."""
     width = WORD_TERMS + STYLE_TERMS
     matrix = matrix_of(rows)
@@ -100,7 +103,8 @@ def fit_space(rows: list[dict[int, float]], labels: list[int]) -> Space:
     basis = np.random.default_rng(11).standard_normal((width, LATENT)).astype(np.float32)
     for _ in range(6):
         basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
-    space = Space(weight, basis.astype(np.float32), np.zeros((0, LATENT), np.float32), np.array(labels, float))
+    shares = np.array([class_sizes[k] / labels.count(k) for k in labels])
+    space = Space(weight, basis.astype(np.float32), np.zeros((0, LATENT), np.float32), np.array(labels, float), shares)
     space.voters = space.vectors(matrix / weight) if rows else space.voters
     return space
 
@@ -111,12 +115,15 @@ def quality_scores(
     """All columns of ``docs`` as they are, then _held_out, _score (0 to 1) and _predicted (1 from ``at_least`` on).
 
     At most ``ROWS_PER_CLASS`` labelled rows of each class span the latent space and vote; they go to every task.  The
-    cosine of every document with every one of them is computed exactly.  Whole texts are read.
+    cosine of every document with every one of them is computed exactly; a vote counts for as many labelled rows as it
+    stands for, so that the sample's balance does not shift the score.  Whole texts are read.
 
     A null or empty text is near to none and gets an even vote of equal weights among the rows first found; without
     labelled rows the score is 0.5.  Repeated rows score alike; a null id is not held out and never trained on.
     """
-    sample = labelled_sample(docs, labels, label, in_fold(F.col(id_col), folds, fold), ROWS_PER_CLASS, id_col, text_col)
+    held_out = in_fold(F.col(id_col), folds, fold)
+    sizes = {r["label"]: r["count"] for r in usable_labels(labels, label, held_out, id_col).groupBy("label").count().collect()}
+    sample = labelled_sample(docs, labels, label, held_out, ROWS_PER_CLASS, id_col, text_col)
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
@@ -128,7 +135,7 @@ def quality_scores(
 
     # the driver gets terms of bounded number, not texts
     rows = sample.mapInArrow(counted, "id bigint, label int, columns array<int>, counts array<double>").toArrow().sort_by("id")
-    space = fit_space([dict(zip(c, n)) for c, n in zip(rows["columns"].to_pylist(), rows["counts"].to_pylist())], rows["label"].to_pylist())
+    space = fit_space([dict(zip(c, n)) for c, n in zip(rows["columns"].to_pylist(), rows["counts"].to_pylist())], rows["label"].to_pylist(), sizes)
     shared = docs.sparkSession.sparkContext.broadcast(space)
     named = docs.select(*[F.col(c).alias(f"_c_{c}") for c in docs.columns], F.coalesce(F.col(text_col), F.lit("")).alias("_body"))
     kept = len(docs.columns)
