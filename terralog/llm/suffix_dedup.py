@@ -107,9 +107,8 @@ class Block:
 
     def marked(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Bytes from first to last (both included) of any pair."""
-        steps = np.zeros(len(self.bytes) + 1, np.int32)
-        np.add.at(steps, first, 1)
-        np.add.at(steps, last + 1, -1)
+        size = len(self.bytes) + 1
+        steps = np.bincount(first, minlength=size) - np.bincount(last + 1, minlength=size)
         return np.cumsum(steps[:-1]) > 0
 
 
@@ -117,7 +116,7 @@ class Distinct:
     """Distinct keys of a block in order of value, so that buckets (ranges of the first word) lie together."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray | None, buckets: int):
-        order = np.argsort(first, kind="stable") if second is None else np.lexsort((second, first))
+        order = np.argsort(first) if second is None else np.lexsort((second, first))
         a = first[order]
         new = np.ones(len(a), bool)
         new[1:] = a[1:] != a[:-1]
@@ -128,7 +127,7 @@ class Distinct:
         self.group[order] = np.cumsum(new) - 1
         self.first = a[new]
         self.second = second[order][new] if second is not None else None
-        self.leader = order[new]  # the earliest of its kind, as the order is stable
+        self.leader = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order  # the earliest of its kind
         self.times = np.bincount(self.group, minlength=len(self.first))
         self.bucket = ((self.first >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
