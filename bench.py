@@ -25,8 +25,10 @@ HEADLINE = (
     "grid_meshes", "vertex_normals", "packed_snapshots", "merged_meshes",
     # telemetry
     "payload_metrics", "publisher_stats", "health_levels", "signal_map", "latest_samples",
+    # folds
+    "reused_calibrations", "triangle_soup", "converted_log",
     # streams
-    "stream_payload_metrics", "stream_topic_rates",
+    "stream_payload_metrics", "stream_topic_rates", "stream_stale",
 )
 RECORDED_RATE = 71.4  # messages per second of a recorded session
 
