@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terralog.functions import camera
 from terralog.functions.numeric import clamp, is_finite
-from terralog.operators.ordered import OrderedRows
+from terralog.operators.ordered import OrderedRows, fold_rows
+from terralog.session import freeze
 
 VOXEL = ("vx", "vy", "vz")
 LIDAR_STEP = 4
 FUSION_CAP = 64
 SURFEL_VOXEL_M = 0.04
-NORMAL_TAIL = 4096
+LISTED_ROWS = 4096  # observations of a cell that one array holds
+NORMAL_BLOCK = 250_000  # observations of a crowded cell that one task folds
 
 
 # --- clouds from depth -------------------------------------------------------------------------------------------------
@@ -153,8 +158,11 @@ def fuse_surfels(
         return out
     facing = [c.alias(f"in{a}") for a, c in zip("xyz", _towards_observer())]
     incoming = ranked.select(*cell, *order, "_i", "_n", *facing)
-    recent = incoming.filter(F.col("_i") > F.col("_n") - NORMAL_TAIL)
-    return out.join(_blended_normals(recent, cell, list(order)), cell)
+    blended = _blended_normals(incoming.filter(F.col("_n") <= LISTED_ROWS), cell, list(order))
+    crowded = freeze(incoming.filter(F.col("_n") > LISTED_ROWS).drop("_n"))
+    if not crowded.isEmpty():
+        blended = blended.unionByName(_crowded_normals(crowded, cell, list(order), limit or NORMAL_BLOCK))
+    return out.join(blended, cell)
 
 
 def _towards_observer() -> list[Column]:
@@ -165,11 +173,10 @@ def _towards_observer() -> list[Column]:
 
 
 def _blended_normals(incoming: DataFrame, cell: list[str], order: list[str]) -> DataFrame:
-    """Blended normal of each cell: a fold over its last ``NORMAL_TAIL`` observations in order.
+    """Blended normal of each cell: a fold over all its observations in order, held in one array.
 
-    A step weighs what came before by 64 in 65 at most, so what lies further back has less than the last bit of a double
-    (64 / 65 to the power of 4096 is below 1e-27).  The array is bounded and one rule serves cells of any size.  The
-    running value keeps the sum and its length, and is brought to unit length when it is next used.
+    Only for cells of at most ``LISTED_ROWS``; ``_crowded_normals`` folds the others.  The running value keeps the sum
+    and its length, and is brought to unit length when it is next used.
     """
     listed = F.array_sort(F.collect_list(F.struct(*order, "inx", "iny", "inz")))
     kind = "struct<n:int,x:double,y:double,z:double,l:double>"
@@ -188,6 +195,28 @@ def _blended_normals(incoming: DataFrame, cell: list[str], order: list[str]) ->
     return folded.select(*cell, *[u.alias(f"n{c}") for c, u in zip("xyz", unit(F.col("_a")))])
 
 
+def _crowded_normals(incoming: DataFrame, cell: list[str], order: list[str], limit: int) -> DataFrame:
+    """The same fold over cells of any size, in blocks of ``limit`` rows that hand on their state.
+
+    The past is never forgotten (what came before is weighed by 64 in 65 at least), so a guessed state is seldom right
+    and the blocks of one cell are then folded one after the other.
+    """
+    schema = T.StructType([incoming.schema[c] for c in [*cell, "_i"]] + [T.StructField(c, T.DoubleType()) for c in ("nx", "ny", "nz")])
+
+    def step(state: list | None, rows: pd.DataFrame) -> tuple[list, pd.DataFrame]:
+        n, x, y, z = state or (0, 0.0, 0.0, 0.0)
+        for a, b, c in rows[["inx", "iny", "inz"]].to_numpy().tolist():
+            x, y, z = x * n + a, y * n + b, z * n + c
+            length = math.sqrt(x * x + y * y + z * z)
+            x, y, z = (x / length, y / length, z / length) if math.isfinite(length) and length > 1e-6 else (0.0, 1.0, 0.0)
+            n = min(n + 1, FUSION_CAP)
+        return [n, x, y, z], rows[[*cell, "_i"]].iloc[-1:].assign(nx=x, ny=y, nz=z)
+
+    ends = fold_rows(incoming, cell, order, step, schema, limit)  # one row per block; the last has the cell's normal
+    last = ends.groupBy(*cell).agg(F.max_by(F.struct("nx", "ny", "nz"), "_i").alias("_a"))
+    return last.select(*cell, "_a.*")
+
+
 def top_surfels(surfels: DataFrame, n: int) -> DataFrame:
     """Highest confidence, then newest; the cell settles ties."""
     return surfels.orderBy(F.col("confidence").desc(), F.col("updated_at").desc(), *VOXEL).limit(max(0, n))

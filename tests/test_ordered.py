@@ -158,6 +158,33 @@ def test_surfels_follow_the_running_mean(spark, limit):
         assert max(abs(g[c] - m) for c, m in zip(("nx", "ny", "nz"), normal)) < 1e-9
 
 
+@pytest.mark.parametrize("limit", [None, 2500])
+def test_normals_of_a_crowded_cell_seen_from_both_sides(spark, limit):
+    """The first 1500 observations see one side, the others two sides in turn: the past stays in the normal."""
+    import numpy as np
+
+    rng = random.Random(8)
+    data = []
+    for i in range(9000):
+        side = 4.0 if i < 1500 or i % 2 else -4.0
+        data.append(("s", i, i, rng.uniform(0, 0.9), rng.uniform(0, 0.9), 0.1, 1, 1, 1, side, rng.uniform(-3, 3), 9.0 if i < 1500 else 0.1))
+    df = spark.createDataFrame(data, "session_id string, stamp_ns bigint, seq bigint, x double, y double, z double, r int, g int, b int, ox double, oy double, oz double")
+    g = points.fuse_surfels(df, 1.0, limit=limit).collect()
+    assert len(g) == 1 and g[0]["observation_count"] == len(data)
+
+    def folded(part):
+        normal, n = np.zeros(3), 0
+        for row in part:
+            towards = np.array(row[9:12]) - np.array(row[3:6])
+            normal = normal * min(n, 64) + towards / np.linalg.norm(towards)
+            normal, n = normal / np.linalg.norm(normal), n + 1
+        return normal
+
+    want = folded(data)
+    assert max(abs(g[0][c] - m) for c, m in zip(("nx", "ny", "nz"), want)) < 1e-9
+    assert max(abs(folded(data[-4096:]) - want)) > 1e-6
+
+
 @pytest.mark.parametrize("limit", [None, 3])
 def test_reused_calibration(spark, limit):
     def matrix(x):
