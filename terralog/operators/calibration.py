@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terralog.functions.numeric import is_finite
-from terralog.operators.ordered import OrderedRows, fold_rows
+from terralog.operators.ordered import FOLD_ROWS, OrderedRows, fold_rows, rows_limit
 
 STEP = 4
 MIN_SAMPLES = 50
@@ -136,7 +136,8 @@ def reuse_calibration(
 
     # a frame that comes later than max_age after the one before it starts a run of its own
     order = ["stamp_ns", "frame"]
-    gaps = OrderedRows(frames, key, order, limit).previous("_b", "stamp_ns").result()
+    across = rows_limit(frames, key, limit, FOLD_ROWS)
+    gaps = OrderedRows(frames, key, order, across).previous("_b", "stamp_ns").result()
     apart = ((F.col("stamp_ns") - F.col("_b.stamp_ns")) / F.lit(1e9) > max_age).cast("int")
-    runs = OrderedRows(gaps.withColumn("_apart", F.coalesce(apart, F.lit(0))).drop("_b"), key, order, limit).cumulative("_run", F.col("_apart")).result()
+    runs = OrderedRows(gaps.withColumn("_apart", F.coalesce(apart, F.lit(0))).drop("_b"), key, order, across).cumulative("_run", F.col("_apart")).result()
     return fold_rows(runs.drop("_apart"), [*key, "_run"], order, step, schema, limit)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralog.operators.ordered import OrderedRows, mark_jumps
+from terralog.operators.ordered import MARK_ROWS, OrderedRows, mark_jumps, rows_limit
 
 
 def rate_gate(
@@ -24,6 +24,7 @@ def assign_chunks(
     limit: int | None = None,
 ) -> DataFrame:
     """``chunk`` (from 0) per row: a new chunk starts where a non-empty one would grow over ``max_bytes``."""
+    limit = rows_limit(df, key, limit, MARK_ROWS)
     ends = OrderedRows(df, key, order, limit).cumulative("_end", F.col(size).cast("bigint")).result()
     starts = ends.withColumn("_start", F.col("_end") - F.col(size))
     marked = mark_jumps(starts, key, order, "_start", "_end", max_bytes, strict=True, name="_new", limit=limit)

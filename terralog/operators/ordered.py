@@ -1,9 +1,11 @@
 """Order-dependent work per key that does not rely on keys being small.
 
-Plans are lazy: a window (one shuffle) does the work, and nothing runs before the action.  Where a caller or the session
-(``terralog.hotKeyRows``) states how many rows of a key one task may hold, rows are range-partitioned on (key, order)
-instead, so one hot key spreads over many even blocks; the blocks are written once to the shared folder, each block
-computes a local result, and a small per-block summary carries the state across block borders.  Both give the same rows.
+Windows are lazy: one shuffle does the work, nothing runs before the action, and Spark spills a large key.  Where a caller
+or the session (``terralog.hotKeyRows``) states how many rows of a key one task may hold, rows are range-partitioned on
+(key, order) instead, so one hot key spreads over many even blocks; the blocks are written once to the shared folder, each
+block computes a local result, and a small per-block summary carries the state across block borders.  Work that holds a
+key's rows in Python counts the rows of the largest key first and goes block by block above a bound (``rows_limit``).
+All give the same rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from terralog.session import freeze, hot_rows
 
 BLOCK = "_blk"
 BEYOND = 1 << 62  # past the last row
+MARK_ROWS = 1_000_000  # rows of one key that one Arrow group holds (key, order, start and end)
+FOLD_ROWS = 250_000  # rows of one key that one pandas group holds
 
 
 def join_same(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "left") -> DataFrame:
@@ -40,6 +44,14 @@ def key_sizes(df: DataFrame, key: Sequence[str]) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
+def rows_limit(df: DataFrame, key: Sequence[str], limit: int | None, most: int) -> int | None:
+    """Rows of a key that one task may hold: as stated by the caller or session, else ``most`` if a key has more, else None."""
+    limit = limit or hot_rows(df.sparkSession)
+    if limit is not None:
+        return limit
+    return most if key_sizes(df.select(*key), key)[0] > most else None
+
+
 class OrderedRows:
     """Rows in order per key; adds columns that look back (or ahead) along that order.
 
@@ -164,11 +176,11 @@ def mark_jumps(
     """Flag each row where ``end`` has moved ``width`` past ``start`` of the last flagged row.
 
     ``start`` and ``end`` must not fall along the order.  This depends on the last *flagged* row, so it is a chain, not
-    a window.  It is walked in one Arrow group per key that holds nothing but key, order, start and end, and the flags
-    are joined back to the rows; with a row limit the jump of every row is found with a look-ahead and the chain is
-    followed block by block (``_mark_chain``).
+    a window.  Keys of at most ``MARK_ROWS`` are walked in one Arrow group each that holds nothing but key, order, start
+    and end, and the flags are joined back to the rows; if one has more, or with a row limit, the jump of every row is
+    found with a look-ahead and the chain is followed block by block (``_mark_chain``).
     """
-    limit = limit or hot_rows(df.sparkSession)
+    limit = rows_limit(df, key, limit, MARK_ROWS)
     if limit is None:
         identity = list(dict.fromkeys([*key, *order]))
         narrow = df.select(*dict.fromkeys([*identity, start, end]))
@@ -304,13 +316,14 @@ def fold_rows(
 ) -> DataFrame:
     """Run a state machine over each key's rows in order: ``step(state, rows) -> (state, output rows)``.
 
-    The state is a JSON-able list (None at the start).  A hot key is cut into blocks.  Every block starts from a state
+    The state is a JSON-able list (None at the start).  If a key has more than ``FOLD_ROWS`` rows, or with a
+    row limit, keys are cut into blocks.  Every block starts from a state
     guessed by running the rows just before it, all blocks run in parallel, and then each guess is compared with the
     state the block before really ended in.  Blocks with a wrong guess run again from the right state until none is
     left, so the outcome is the sequential one whatever the guesses were.
     """
     key, order = list(key), list(order)
-    limit = limit or hot_rows(df.sparkSession)
+    limit = rows_limit(df, key, limit, FOLD_ROWS)
     if limit is None:
 
         def whole(rows: pd.DataFrame) -> pd.DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralog.operators import calibration, gates, joins, points
+from terralog.operators import calibration, gates, joins, ordered, points
 from terralog.operators.ordered import OrderedRows, fold_rows, mark_jumps
 from tests.conftest import rows
 
@@ -84,6 +84,34 @@ def test_assign_chunks(frame, log, limit, size):
             assert got[r[2]] == chunk
 
 
+def test_large_keys_go_block_by_block_without_a_stated_limit(frame, log, monkeypatch):
+    """No group that reaches Python is larger than the bound, and the rows are those of the plain loops."""
+    monkeypatch.setattr(ordered, "MARK_ROWS", 64)
+    monkeypatch.setattr(gates, "MARK_ROWS", 64)
+    monkeypatch.setattr(ordered, "FOLD_ROWS", 64)
+    schema = T.StructType.fromDDL("k string, id bigint, n bigint, held bigint")
+
+    def step(state, part: pd.DataFrame):
+        n = state[0] if state else 0
+        return [n + len(part)], part[["k", "id"]].assign(n=range(n + 1, n + len(part) + 1), held=len(part))
+
+    folded = fold_rows(frame, ["k"], ["id"], step, schema, warm_rows=8).collect()
+    assert max(r["held"] for r in folded) <= 64
+    assert {r["id"]: r["n"] for r in folded} == {r[2]: n for part in by_key(log).values() for n, r in enumerate(part, 1)}
+    kept = set()
+    for part in by_key(log).values():
+        last = None
+        for r in part:
+            if last is None or r[1] - last >= 5:
+                kept.add(r[2])
+                last = r[1]
+    blocks = []
+    monkeypatch.setattr(ordered, "_mark_chain", lambda *a, f=ordered._mark_chain: blocks.append(a[-1]) or f(*a))
+    assert {r["id"] for r in gates.rate_gate(frame, ["k"], 5, stamp="ts", tie=["id"]).collect()} == kept
+    gates.assign_chunks(frame, 60, ["k"], ["id"]).count()
+    assert blocks == [64, 64]
+
+
 def test_marks_by_doubling(spark, monkeypatch):
     """A regular stream whose chains never meet: the graph between blocks is larger than the limit."""
     stream = spark.range(300).select(F.lit("x").alias("k"), F.col("id").alias("ts"), "id")
