@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralog.session import freeze
+from terralog.session import freeze, scratch_path
 
 #: White space of the text contracts: space and the controls from tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -32,6 +32,19 @@ def batches(parts: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iter
             yield part.slice(at, step)
 
 
+def freeze_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared folder, and its place, for ``discard`` when nothing reads it any more."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``freeze_at``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def numbered(df: DataFrame, order: Sequence[Column], position: str) -> DataFrame:
     """Adds the row's position, from 0, in the global ``order``; the rows are written once in that order.
 

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralog.llm import oracles as sql
+from terralog.llm.centroids import clustered
+from terralog.llm.conversations import damaged, repair_digest, repaired
 from terralog.llm.decontamination import contamination
 from terralog.llm.exact_dedup import exact_dedup
 from terralog.llm.hilbert import hilbert_shards
+from terralog.llm.mixing import taken_words
 from terralog.llm.packing import packed_pieces
 from terralog.llm.quality import quality_scores
 from terralog.llm.repair import token_file_digest
@@ -78,7 +82,22 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_documents(spark, folder), tokenizer_path("piece_bpe_32k.model"), 4096)
 
 
-_ALL = (op1_packing, op2_exact_dedup, op3_decontamination, op4_token_files, op5_hilbert_shards, op6_simhash_groups, op7_suffix_dedup, op8_toxicity, op9_quality, op10_token_counts)
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_digest(repaired(damaged(spark.read.parquet(f"{folder}/conversations.parquet"))))
+
+
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustered(spark.read.parquet(f"{folder}/embeddings.parquet"), k=8, rounds=10, size=64)
+
+
+def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return taken_words(_documents(spark, folder))
+
+
+_ALL = (
+    op1_packing, op2_exact_dedup, op3_decontamination, op4_token_files, op5_hilbert_shards, op6_simhash_groups, op7_suffix_dedup, op8_toxicity, op9_quality, op10_token_counts,
+    op11_conversation_repair, op12_centroid_clusters, op13_source_mix,
+)
 
 _SQL = {
     "op2_exact_dedup": r"""
@@ -117,6 +136,9 @@ _SQL = {
             sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
         FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op11_conversation_repair": sql.conversation_repair(),
+    "op12_centroid_clusters": sql.centroid_clusters(),
+    "op13_source_mix": sql.MIXES,
 }
 
 
