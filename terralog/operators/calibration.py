@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terralog.functions.numeric import is_finite
-from terralog.operators.ordered import FOLD_ROWS, OrderedRows, fold_rows, rows_limit
+from terralog.operators.ordered import BUCKET_NS, OrderedRows, fold_rows
 
 STEP = 4
 MIN_SAMPLES = 50
@@ -88,14 +88,14 @@ def _angle(a: np.ndarray, b: np.ndarray) -> float:
 
 def reuse_calibration(
     frames: DataFrame, key: Sequence[str] = ("session_id",), max_age: float = 1.25, max_move: float = 0.20, max_turn: float = 0.25,
-    limit: int | None = None,
+    width: int | None = BUCKET_NS,
 ) -> DataFrame:
     """Which calibration each frame uses: the last computed one while it is fresh, of the same sizes, and the camera has
     hardly moved or turned; else the frame's own fit.  A failed fit keeps the old entry and yields null.
 
     ``frames`` is one row per frame with its own fit (``scale, offset``) and transform ``m``, so the pixels were already
     reduced.  A frame that comes later than ``max_age`` after the one before it can reuse nothing, so the fold is cut
-    there, and runs of close frames are folded apart.
+    there, and runs of close frames are folded apart, each as a stream of rows.
     """
     identity = [*key, "stamp_ns", "frame"]
     schema = T.StructType(
@@ -136,8 +136,8 @@ def reuse_calibration(
 
     # a frame that comes later than max_age after the one before it starts a run of its own
     order = ["stamp_ns", "frame"]
-    across = rows_limit(frames, key, limit, FOLD_ROWS)
-    gaps = OrderedRows(frames, key, order, across).previous("_b", "stamp_ns").result()
+    gaps = OrderedRows(frames, key, order, width=width).previous("_b", "stamp_ns").result()
     apart = ((F.col("stamp_ns") - F.col("_b.stamp_ns")) / F.lit(1e9) > max_age).cast("int")
-    runs = OrderedRows(gaps.withColumn("_apart", F.coalesce(apart, F.lit(0))).drop("_b"), key, order, across).cumulative("_run", F.col("_apart")).result()
-    return fold_rows(runs.drop("_apart"), [*key, "_run"], order, step, schema, limit)
+    marked = gaps.withColumn("_apart", F.coalesce(apart, F.lit(0))).drop("_b")
+    runs = OrderedRows(marked, key, order, width=width).cumulative("_run", F.col("_apart")).result()
+    return fold_rows(runs.drop("_apart"), [*key, "_run"], order, step, schema)

@@ -12,7 +12,7 @@ from terralog.functions import geodesy, tiles
 from terralog.functions.binary import base64_text
 from terralog.functions.numeric import finite_or, is_finite
 from terralog.operators.joins import asof_join, asof_rows
-from terralog.operators.ordered import OrderedRows
+from terralog.operators.ordered import BUCKET_NS, OrderedRows
 
 MAX_ORIGIN_ACCURACY_M = 25.0
 
@@ -45,15 +45,16 @@ def with_pose(fixes: DataFrame, poses: DataFrame, key: Sequence[str] = ("session
 
 
 def georeference(
-    fixes: DataFrame, poses: DataFrame, key: Sequence[str] = ("session_id",), max_accuracy: float = MAX_ORIGIN_ACCURACY_M, limit: int | None = None
+    fixes: DataFrame, poses: DataFrame, key: Sequence[str] = ("session_id",), max_accuracy: float = MAX_ORIGIN_ACCURACY_M, limit: int | None = None,
+    width: int | None = BUCKET_NS,
 ) -> DataFrame:
     """Local position of every fix.
 
     The session's origin is its first usable fix that is accurate enough and has a pose; fixes before it, and unusable
     ones, stay with a ``reason`` and no position.  The latest pose and the first origin are carried along the same
-    ordered rows, so fixes and poses are shuffled once.
+    ordered rows, spread by time as in ``asof_join``.
     """
-    rows = asof_rows(fixes, _poses_for_fixes(poses, key), key, "stamp_ns", "pose_ns", list(POSE_AT_FIX), left_tie=["seq"], right_tie=["seq"], limit=limit)
+    rows = asof_rows(fixes, _poses_for_fixes(poses, key), key, "stamp_ns", "pose_ns", list(POSE_AT_FIX), left_tie=["seq"], right_tie=["seq"], limit=limit, width=width)
     fix, pose = {c: F.col(f"_left.{c}") for c in ORIGIN_FIX}, F.col("_match")
     candidate = F.struct(*[c.alias(n) for n, c in fix.items()], *[pose[c].alias(c) for c in POSE_AT_FIX])
     good = (F.col("_side") == 1) & _good_origin(fix, pose["pose_ns"], max_accuracy)
@@ -105,14 +106,14 @@ def _parts(name: str, axes: str = "xyz") -> dict[str, Column]:
     return {c: F.col(f"{name}.{c}") for c in axes}
 
 
-def odometry_twist(poses: DataFrame, key: Sequence[str] = ("session_id",)) -> DataFrame:
+def odometry_twist(poses: DataFrame, key: Sequence[str] = ("session_id",), width: int | None = BUCKET_NS) -> DataFrame:
     """Body-frame linear (vx, vy, vz) and angular (wx, wy, wz) velocity from the pose before; 0 on the first row and
     where less than 0.1 ms has passed.
 
     Each step is its own column, so that no later formula repeats an earlier one and the code stays small enough to
     compile.
     """
-    rows = OrderedRows(poses, key, ["stamp_ns", "seq"]).previous("_b", "stamp_ns", "x", "y", "z", "qx", "qy", "qz", "qw").result()
+    rows = OrderedRows(poses, key, ["stamp_ns", "seq"], width=width).previous("_b", "stamp_ns", "x", "y", "z", "qx", "qy", "qz", "qw").result()
     q = {c: F.col(f"q{c}") for c in "xyzw"}
     before = {c: F.col(f"_b.q{c}") for c in "xyzw"}
     rows = rows.withColumn("_dt", (F.col("stamp_ns") - F.col("_b.stamp_ns")) / F.lit(1e9))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog.functions.tiles import normal_longitude, region_contains
-from terralog.operators.ordered import OrderedRows
+from terralog.operators.ordered import BUCKET_NS, OrderedRows
 
 
 def with_topic(messages: DataFrame, topics: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def with_topic(messages: DataFrame, topics: DataFrame) -> DataFrame:
 
 def asof_rows(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, right_cols: Sequence[str], *,
-    left_tie: Sequence[str] = (), right_tie: Sequence[str] = (), limit: int | None = None,
+    left_tie: Sequence[str] = (), right_tie: Sequence[str] = (), limit: int | None = None, width: int | None = BUCKET_NS,
 ) -> OrderedRows:
     """Both sides in one stream ordered by stamp, right before left on equal stamps, with the last right row carried
     along as ``_match``.  Left rows have ``_side`` 1 and their columns in ``_left``."""
@@ -41,19 +41,21 @@ def asof_rows(
         F.lit(None).alias("_left"), payload.alias("_right"),
     )
     order = ["_ts", "_side", *[f"_tie{i}" for i in range(ties)]]
-    return OrderedRows(lefts.unionByName(rights), on, order, limit).carry("_match", F.col("_right"))
+    return OrderedRows(lefts.unionByName(rights), on, order, limit, width=width).carry("_match", F.col("_right"))
 
 
 def asof_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, right_cols: Sequence[str], *,
-    left_tie: Sequence[str] = (), right_tie: Sequence[str] = (), tolerance=None, limit: int | None = None,
+    left_tie: Sequence[str] = (), right_tie: Sequence[str] = (), tolerance=None, limit: int | None = None, width: int | None = BUCKET_NS,
 ) -> DataFrame:
     """For each left row the latest right row whose stamp is not after it (within ``tolerance``); left rows all stay.
 
-    One shuffle, no range-join blow-up.  ``*_tie`` columns make the order total.
+    No range-join blow-up: rows are shuffled once by (key, stretch of ``width`` stamps), and the last right row of each
+    stretch is carried over the stretches of its key, so a key that holds most rows is spread by time.  ``*_tie`` columns
+    make the order total.
     """
     on = list(on)
-    rows = asof_rows(left, right, on, left_ts, right_ts, right_cols, left_tie=left_tie, right_tie=right_tie, limit=limit).result()
+    rows = asof_rows(left, right, on, left_ts, right_ts, right_cols, left_tie=left_tie, right_tie=right_tie, limit=limit, width=width).result()
     match = F.col("_match")
     if tolerance is not None:
         match = F.when(F.col("_ts") - F.col("_match._rts") <= F.lit(tolerance), match)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terralog.functions.names import rewrite_topic, rewrite_type
 from terralog.functions.numeric import let, with_once
@@ -157,6 +158,26 @@ def _raw_type(kind) -> str:
     return "array<string>" if _sequence(kind) and not _is_bytes(kind) else "string"
 
 
+def _plain_type(kind: str) -> str:
+    if kind in ("string", "bool"):
+        return {"string": "string", "bool": "boolean"}[kind]
+    return "double" if kind in _FLOATS else "decimal(20,0)" if kind == "uint64" else "bigint"
+
+
+def _typed(kind) -> str:
+    if isinstance(kind, (tuple, list)):
+        inner = "struct<" + ",".join(f"`{n}`:{_typed(k)}" for n, k in kind) + ">"
+        return f"array<{inner}>" if isinstance(kind, list) else inner
+    if _is_bytes(kind):
+        return "binary"
+    return f"array<{_plain_type(_sequence(kind)[0])}>" if _sequence(kind) else _plain_type(kind)
+
+
+def message_type(name: str, fields: Mapping[str, tuple] = MESSAGE_FIELDS) -> T.DataType:
+    """The type of ``message`` for one message type, as ``hydrate`` gives it."""
+    return T.DataType.fromDDL(_typed(fields[name]))
+
+
 def _is_a(node: Column, name: str) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(node), F.lit(name)), F.lit(False))
 

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terralog.functions import camera
 from terralog.functions.numeric import finite_or, is_finite, whole_div
-from terralog.operators.ordered import OrderedRows, fold_rows
+from terralog.operators.ordered import OrderedRows
 from terralog.operators.payloads import envelope_base, fit_snapshot, pack_rows
 from terralog.session import freeze
 
@@ -265,7 +262,12 @@ def merge_meshes(face: DataFrame, vertex: DataFrame, meshes: DataFrame, limit: i
 
 def triangle_soup(face: DataFrame, vertex: DataFrame, meshes: DataFrame, max_points: int, limit: int | None = None) -> DataFrame:
     """Three map-frame points per face.  Here a mesh takes its share of the remaining budget before bad faces are
-    skipped, so bad faces do use the share of their own mesh."""
+    skipped, so bad faces do use the share of their own mesh.
+
+    What a mesh takes depends on the good faces that the meshes before it took.  A mesh is one row of its number of
+    faces and the places of its bad ones, which tells how many good faces are among the first n; the budget is folded over
+    the meshes of a snapshot, and faces meet the share of their mesh afterwards.
+    """
     counted = face.join(vertex_counts(vertex), "mesh_id", "left")
     inside = F.lit(True)
     for corner in "abc":
@@ -273,24 +275,24 @@ def triangle_soup(face: DataFrame, vertex: DataFrame, meshes: DataFrame, max_poi
     rows = _in_snapshot(counted, meshes).withColumn("_ok", inside).select("snapshot_id", "mesh_order", "mesh_id", "fid", "_ok")
     # no mesh can take more than the whole budget, so the rest of its faces need not take part
     first = OrderedRows(rows, ["snapshot_id", "mesh_order", "mesh_id"], ["fid"], limit).rank("_f").result()
-    rows = first.filter(F.col("_f") <= max(0, max_points // 3)).drop("_f")
-    out_schema = T.StructType([rows.schema[c] for c in ("snapshot_id", "mesh_order", "mesh_id", "fid")])
-
-    def step(state: list | None, part: pd.DataFrame) -> tuple[list | None, pd.DataFrame]:
-        # state: points included so far, mesh being read, faces it may take, faces of it already seen
-        included, current, share, seen = state or [0, None, 0, 0]
-        kept = []
-        for order, mesh in part.groupby("mesh_order", sort=True):
-            if order != current:
-                current, share, seen = int(order), max(0, (max_points - included) // 3), 0
-            taken = (np.arange(seen, seen + len(mesh)) < share) & mesh["_ok"].to_numpy(dtype=bool)
-            seen += len(mesh)
-            included += 3 * int(taken.sum())
-            kept.append(mesh[taken])
-        out = pd.concat(kept) if kept else part.iloc[:0]
-        return [included, current, share, seen], out[["snapshot_id", "mesh_order", "mesh_id", "fid"]]
-
-    chosen = fold_rows(rows, ["snapshot_id"], ["mesh_order", "fid"], step, out_schema, limit)
+    ranked = first.filter(F.col("_f") <= max(0, max_points // 3))
+    per_mesh = ranked.groupBy("snapshot_id", "mesh_order", "mesh_id").agg(
+        F.count("*").alias("faces"), F.collect_list(F.when(~F.col("_ok"), F.col("_f"))).alias("bad")
+    )
+    listed = F.array_sort(F.collect_list(F.struct("mesh_order", "mesh_id", "faces", "bad")))
+    kind = "struct<points:bigint,shares:array<bigint>>"
+    start = F.struct(F.lit(0).alias("points"), F.array().alias("shares")).cast(kind)
+
+    def take(state: Column, mesh: Column) -> Column:
+        share = whole_div(F.greatest(F.lit(max_points) - state["points"], F.lit(0)), 3)
+        taken = F.least(share, mesh["faces"]) - F.size(F.filter(mesh["bad"], lambda f: f <= share))
+        return F.struct((state["points"] + taken * 3).alias("points"), F.concat(state["shares"], F.array(share)).alias("shares")).cast(kind)
+
+    folded = per_mesh.groupBy("snapshot_id").agg(listed.alias("_meshes"))
+    shares = folded.select(
+        "snapshot_id", F.explode(F.arrays_zip(F.col("_meshes.mesh_order").alias("mesh_order"), F.col("_meshes.mesh_id").alias("mesh_id"), F.aggregate("_meshes", start, take)["shares"].alias("share"))).alias("_m")
+    ).select("snapshot_id", "_m.*")
+    chosen = ranked.join(shares, ["snapshot_id", "mesh_order", "mesh_id"]).filter("_ok AND _f <= share").select("snapshot_id", "mesh_order", "mesh_id", "fid")
     points = face_vertices(face.join(chosen.select("mesh_id", "fid"), ["mesh_id", "fid"], "left_semi"), vertex)
     placed = chosen.join(points.drop("a", "b", "c"), ["mesh_id", "fid"]).join(meshes.select("mesh_id", "m"), "mesh_id")
     corners = F.array(*[F.struct(F.lit(i).alias("corner"), camera.to_map(F.col(f"p{i}"), F.col("m")).alias("p")) for i in range(3)])

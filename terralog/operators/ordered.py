@@ -1,17 +1,15 @@
-"""Order-dependent work per key that does not rely on keys being small.
-
-Windows are lazy: one shuffle does the work, nothing runs before the action, and Spark spills a large key.  Where a caller
-or the session (``terralog.hotKeyRows``) states how many rows of a key one task may hold, rows are range-partitioned on
-(key, order) instead, so one hot key spreads over many even blocks; the blocks are written once to the shared folder, each
-block computes a local result, and a small per-block summary carries the state across block borders.  Work that holds a
-key's rows in Python counts the rows of the largest key first and goes block by block above a bound (``rows_limit``).
-All give the same rows.
+"""Order-dependent work per key that does not rely on keys being small; nothing runs before the action.
+
+``OrderedRows`` adds look-backs, look-aheads, running sums and ranks.  With a bucket ``width`` the rows of a key are dealt
+over buckets of their first order column (stretches of time, say): windows run inside a bucket, one row per bucket is
+carried over the buckets of the key, and both are joined on (key, bucket), all in one lazy plan.  ``key_stream`` runs a
+state machine over each key's rows: they are shuffled by key, sorted in their partition (Spark spills), and pass through
+Python batch by batch, so a key of any size needs the memory of a batch.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,14 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from terralog.functions.numeric import whole_div
 from terralog.session import freeze, hot_rows
 
-BLOCK = "_blk"
-BEYOND = 1 << 62  # past the last row
-MARK_ROWS = 1_000_000  # rows of one key that one Arrow group holds (key, order, start and end)
-FOLD_ROWS = 250_000  # rows of one key that one pandas group holds
+BLOCK, KEY = "_blk", "_key"
+BUCKET_NS = 600_000_000_000  # ten minutes: some 40 000 rows at the rate of a recorded session
+BUCKET_ROWS = 1 << 16  # row numbers, where these are the order
 
 
 def join_same(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "left") -> DataFrame:
@@ -38,36 +35,36 @@ def join_same(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
-def key_sizes(df: DataFrame, key: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest key, rows in all): one pre-aggregated pass over the key columns."""
-    row = df.groupBy(*key).count().agg(F.max("count"), F.sum("count")).first()
-    return int(row[0] or 0), int(row[1] or 0)
-
-
-def rows_limit(df: DataFrame, key: Sequence[str], limit: int | None, most: int) -> int | None:
-    """Rows of a key that one task may hold: as stated by the caller or session, else ``most`` if a key has more, else None."""
-    limit = limit or hot_rows(df.sparkSession)
-    if limit is not None:
-        return limit
-    return most if key_sizes(df.select(*key), key)[0] > most else None
-
-
 class OrderedRows:
     """Rows in order per key; adds columns that look back (or ahead) along that order.
 
-    ``order`` must be a total order within the key, so that the result does not depend on partitioning.  With ``limit``
-    (or the session's) rows of a key are spread over blocks, unless ``bound``, a proven largest number of rows per key,
-    is within it.
+    ``order`` must be a total order within the key, so that the result does not depend on partitioning.  ``width`` is a
+    stretch of the first order column, a whole number; rows of a key spread over as many buckets as it spans, and each
+    bucket should hold what one task can sort.  Without it a key is one plain window, which spills but sorts in one task.
+
+    Where stamps say nothing about how many rows there are, ``limit`` (or the session's ``terralog.hotKeyRows``) states how
+    many rows of one key a task may hold instead: rows are counted, range-partitioned on (key, order) and written once
+    to the shared folder when the plan is made.  ``bound``, a proven largest number of rows per key, spares that.
+    All give the same rows.
     """
 
-    def __init__(self, df: DataFrame, key: Sequence[str], order: Sequence[str], limit: int | None = None, bound: int | None = None):
+    def __init__(
+        self, df: DataFrame, key: Sequence[str], order: Sequence[str], limit: int | None = None, bound: int | None = None, width: int | None = None
+    ):
         self.key, self.order = list(key), list(order)
         limit = limit or hot_rows(df.sparkSession)
-        self.hot = limit is not None and not (bound is not None and bound <= limit)
-        self.blocks = self.key + ([BLOCK] if self.hot else [])
+        ranged = limit is not None and not (bound is not None and bound <= limit)
+        self.hot = ranged or width is not None
+        self.blocks = [KEY, BLOCK] if self.hot else self.key
+        if ranged:
+            parts = df.repartitionByRange(max(2, -(-df.count() // limit)), *self.key, *self.order)
+            df = freeze(parts.withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
+        elif width is not None:
+            at = F.col(self.order[0]).cast("bigint")
+            df = df.withColumn(BLOCK, F.coalesce(at - F.pmod(at, F.lit(width)), F.lit(-(1 << 63)).cast("bigint")))
         if self.hot:
-            ranged = df.repartitionByRange(max(2, -(-df.count() // limit)), *self.key, *self.order)
-            df = freeze(ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
+            # one column that is never null, so that windows and joins on it share a partitioning
+            df = df.withColumn(KEY, F.struct(*self.key) if self.key else F.struct(F.lit(0).alias("all")))
         self.df = df
 
     def _window(self, reverse: bool, stop: int):
@@ -76,7 +73,15 @@ class OrderedRows:
 
     def _block_window(self, reverse: bool):
         col = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
-        return Window.partitionBy(*self.key).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+        return Window.partitionBy(KEY).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+
+    def _with(self, name: str, local: Column, summary: Column, over_blocks: Column, combine: Callable[[Column, Column], Column]) -> OrderedRows:
+        """A column inside blocks, a value per block carried over blocks, and both combined."""
+        per_block = self.df.groupBy(*self.blocks).agg(summary.alias("_value"))
+        carried = per_block.select(*self.blocks, over_blocks.alias("_carried"))
+        joined = self.df.withColumn(name, local).join(carried, self.blocks, "left")
+        self.df = joined.withColumn(name, combine(F.col(name), F.col("_carried"))).drop("_carried")
+        return self
 
     def carry(self, name: str, value: Column, *, reverse: bool = False, inclusive: bool = True) -> OrderedRows:
         """Last non-null value up to the row (``reverse``: first one from the row on)."""
@@ -85,15 +90,8 @@ class OrderedRows:
             self.df = self.df.withColumn(name, local)
             return self
         pick = F.min_by if reverse else F.max_by
-        summary = self.df.groupBy(*self.blocks).agg(
-            pick(value, F.when(value.isNotNull(), F.struct(*self.order))).alias("_value")
-        )
-        carried = summary.select(
-            *self.blocks, F.last("_value", ignorenulls=True).over(self._block_window(reverse)).alias("_carried")
-        )
-        joined = join_same(self.df.withColumn(name, local), carried, self.blocks)
-        self.df = joined.withColumn(name, F.coalesce(F.col(name), F.col("_carried"))).drop("_carried")
-        return self
+        summary = pick(value, F.when(value.isNotNull(), F.struct(*self.order)))
+        return self._with(name, local, summary, F.last("_value", ignorenulls=True).over(self._block_window(reverse)), F.coalesce)
 
     def first_seen(self, name: str, value: Column) -> OrderedRows:
         """First non-null value of the key, on the row that has it and on all rows after."""
@@ -101,11 +99,8 @@ class OrderedRows:
         if not self.hot:
             self.df = self.df.withColumn(name, local)
             return self
-        summary = self.df.groupBy(*self.blocks).agg(F.min_by(value, F.when(value.isNotNull(), F.struct(*self.order))).alias("_value"))
-        carried = summary.select(*self.blocks, F.first("_value", ignorenulls=True).over(self._block_window(False)).alias("_carried"))
-        joined = join_same(self.df.withColumn(name, local), carried, self.blocks)
-        self.df = joined.withColumn(name, F.coalesce(F.col("_carried"), F.col(name))).drop("_carried")
-        return self
+        summary = F.min_by(value, F.when(value.isNotNull(), F.struct(*self.order)))
+        return self._with(name, local, summary, F.first("_value", ignorenulls=True).over(self._block_window(False)), lambda own, before: F.coalesce(before, own))
 
     def previous(self, name: str, *cols: str) -> OrderedRows:
         """The row before, as a struct of ``cols``; null on the first row."""
@@ -117,23 +112,16 @@ class OrderedRows:
         if not self.hot:
             self.df = self.df.withColumn(name, local)
             return self
-        summary = self.df.groupBy(*self.blocks).agg(F.sum(value).alias("_value"))
-        offset = summary.select(
-            *self.blocks, F.coalesce(F.sum("_value").over(self._block_window(False)), F.lit(0)).alias("_offset")
-        )
-        joined = join_same(self.df.withColumn(name, local), offset, self.blocks)
-        self.df = joined.withColumn(name, F.col(name) + F.col("_offset")).drop("_offset")
-        return self
+        before = F.coalesce(F.sum("_value").over(self._block_window(False)), F.lit(0))
+        return self._with(name, local, F.sum(value), before, lambda own, base: own + base)
 
     def total(self, name: str, value: Column) -> OrderedRows:
         """Sum over all rows of the key, on every row."""
         if not self.hot:
             self.df = self.df.withColumn(name, F.sum(value).over(Window.partitionBy(*self.key)))
             return self
-        summary = self.df.groupBy(*self.blocks).agg(F.sum(value).alias("_value"))
-        totals = summary.select(*self.blocks, F.sum("_value").over(Window.partitionBy(*self.key)).alias(name))
-        self.df = join_same(self.df, totals, self.blocks)
-        return self
+        whole = F.sum("_value").over(Window.partitionBy(KEY))
+        return self._with(name, F.lit(None), F.sum(value), whole, lambda own, all_of: all_of)
 
     def rank(self, name: str) -> OrderedRows:
         """Position in the order, from 1; a plain row number, so that a filter on the first n drops rows before the shuffle."""
@@ -144,224 +132,95 @@ class OrderedRows:
         return self
 
     def result(self) -> DataFrame:
-        return self.df.drop(BLOCK)
+        return self.df.drop(BLOCK, KEY)
+
+
+# --- state machines over a key's rows ----------------------------------------------------------------------------------
+
+Handle = Callable[[object, pa.RecordBatch], tuple[object, pa.RecordBatch | None]]
 
 
-# --- marks along a chain of jumps ------------------------------------------------------------------------------------
+def _runs(batch: pa.RecordBatch, key: Sequence[str]) -> list[int]:
+    """Where a new key begins in sorted rows, with 0 and the number of rows around."""
+    new = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+    for c in key:
+        col = batch.column(c)
+        a, b = col.slice(0, len(col) - 1), col.slice(1)
+        other = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        new |= other | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+    return [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
 
 
-def _jump_flags(start: np.ndarray, end: np.ndarray, width: float, strict: bool) -> np.ndarray:
-    """True for the first row and for each row reached by jumping ``width`` on from the last true row."""
+def key_stream(df: DataFrame, key: Sequence[str], order: Sequence[str], handle: Handle, schema: T.StructType) -> DataFrame:
+    """``handle(state, rows) -> (state, output rows)`` over each key's rows in order, a stretch at a time; None at the start.
+
+    One shuffle by key and one sort in the partition, which spills.  State is handed from batch to batch, and the output
+    leaves with its batch, so memory does not grow with a key.  What does is time: a key's rows pass one task, because
+    each step needs the one before.
+    """
+    key, order = list(key), list(order)
+    out_schema = to_arrow_schema(schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            out, cuts = [], _runs(batch, key)
+            for low, high in zip(cuts, cuts[1:]):
+                this = tuple(batch.column(c)[low].as_py() for c in key)
+                if now is None or this != now:
+                    now, state = this, None
+                state, made = handle(state, batch.slice(low, high - low))
+                if made is not None and made.num_rows:
+                    out.append(made)
+            if out:
+                yield from pa.Table.from_batches(out).cast(out_schema).combine_chunks().to_batches()
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+
+
+def _jump_flags(start: np.ndarray, end: np.ndarray, width, strict: bool, last) -> tuple[np.ndarray, object]:
+    """True for each row reached by jumping ``width`` on from the last true row (``last`` is its start; None: the first
+    row is true), and the start of the last true row."""
     kept = np.zeros(len(start), dtype=bool)
     side = "right" if strict else "left"
-    row = 0
+    row = 0 if last is None else int(np.searchsorted(end, last + width, side=side))
     while row < len(start):
-        kept[row] = True
-        row = max(row + 1, int(np.searchsorted(end, start[row] + width, side=side)))
-    return kept
-
-
-def mark_jumps(
-    df: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str],
-    start: str,
-    end: str,
-    width,
-    *,
-    strict: bool,
-    name: str,
-    limit: int | None = None,
-) -> DataFrame:
+        kept[row], last = True, start[row]
+        row = max(row + 1, int(np.searchsorted(end, last + width, side=side)))
+    return kept, last
+
+
+def mark_jumps(df: DataFrame, key: Sequence[str], order: Sequence[str], start: str, end: str, width, *, strict: bool, name: str) -> DataFrame:
     """Flag each row where ``end`` has moved ``width`` past ``start`` of the last flagged row.
 
-    ``start`` and ``end`` must not fall along the order.  This depends on the last *flagged* row, so it is a chain, not
-    a window.  Keys of at most ``MARK_ROWS`` are walked in one Arrow group each that holds nothing but key, order, start
-    and end, and the flags are joined back to the rows; if one has more, or with a row limit, the jump of every row is
-    found with a look-ahead and the chain is followed block by block (``_mark_chain``).
-    """
-    limit = rows_limit(df, key, limit, MARK_ROWS)
-    if limit is None:
-        identity = list(dict.fromkeys([*key, *order]))
-        narrow = df.select(*dict.fromkeys([*identity, start, end]))
-
-        def walk(table: pa.Table) -> pa.Table:
-            table = table.sort_by([(c, "ascending") for c in order])
-            flags = _jump_flags(table[start].to_numpy(), table[end].to_numpy(), width, strict)
-            return table.select(identity).filter(pa.array(flags))
-
-        chosen = narrow.groupBy(*key).applyInArrow(walk, T.StructType([df.schema[c] for c in identity]))
-        marked = join_same(df, chosen.withColumn(name, F.lit(True)), identity)
-        return marked.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-
-    ranked = freeze(OrderedRows(df, key, order, limit).rank("_idx").result())
-    probe_side, row_side = (1, 0) if strict else (0, 1)
-    kind = df.schema[end].dataType
-    rows = ranked.select(*key, F.col(end).alias("_at"), F.lit(row_side).alias("_side"), "_idx", F.col("_idx").alias("_hit"))
-    probes = ranked.select(
-        *key,
-        (F.col(start) + F.lit(width)).cast(kind).alias("_at"),
-        F.lit(probe_side).alias("_side"),
-        "_idx",
-        F.lit(None).cast("bigint").alias("_hit"),
-    )
-    ahead = OrderedRows(rows.unionByName(probes), key, ["_at", "_side", "_idx"], limit)
-    jumps = (
-        ahead.carry("_next", F.col("_hit"), reverse=True)
-        .result()
-        .filter(F.col("_hit").isNull())
-        .select(*key, "_idx", F.when(F.col("_next").isNotNull(), F.greatest(F.col("_next"), F.col("_idx") + 1)).alias("_next"))
-    )
-    marks = _mark_chain(freeze(jumps), key, limit)
-    joined = join_same(ranked, marks.withColumn(name, F.lit(True)), [*key, "_idx"])
-    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(False))).drop("_idx")
-
-
-def _mark_chain(jumps: DataFrame, key: Sequence[str], limit: int) -> DataFrame:
-    """(key, _idx) of all rows on the chain that starts at row 1 of each key, given every row's next row.
-
-    Rows are cut into blocks of ``limit`` positions.  Each block first reports where a chain entering at one of its
-    entry rows leaves it; only entries that another block points to are kept, so the graph between blocks is small.
-    That graph is walked, and each block then marks its own part from the entries that were reached.
+    ``start`` and ``end`` must not fall along the order, and ``order`` must be total, as flags are joined back on it.
+    This depends on the last *flagged* row, so it is a ``key_stream`` whose state is that row's start; only key, order,
+    start and end reach Python.
     """
-    key = list(key)
-    block = whole_div((F.col("_idx") - 1), limit)
-    rows = jumps.withColumn(BLOCK, block)
-    entries = (
-        rows.filter(whole_div((F.col("_next") - 1), limit) != F.col(BLOCK))
-        .select(*key, F.col("_next").alias("_idx"))
-        .unionByName(rows.select(*key, F.lit(1).cast("bigint").alias("_idx")).distinct())
-        .distinct()
-        .withColumn("_entry", F.lit(True))
-    )
-    rows = join_same(rows, entries, [*key, "_idx"])
-    fields = [jumps.schema[k] for k in key]
-    exit_schema = T.StructType(fields + [T.StructField("_idx", T.LongType()), T.StructField("_next", T.LongType())])
-
-    def exits(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_idx")
-        idx = table["_idx"].to_numpy()
-        leave = pc.fill_null(table["_next"], BEYOND).to_numpy().copy()
-        first, last = int(idx[0]), int(idx[-1])
-        for i in range(len(leave) - 1, -1, -1):
-            if leave[i] <= last:
-                leave[i] = leave[int(leave[i]) - first]
-        out = table.select([*key, "_idx"]).append_column("_next", pa.array(leave))
-        return out.filter(pc.fill_null(table["_entry"], False))
-
-    between = freeze(rows.groupBy(*key, BLOCK).applyInArrow(exits, exit_schema))
-    largest, _ = key_sizes(between, key)
-    if largest <= limit:
-
-        def reached(table: pa.Table) -> pa.Table:
-            follow = dict(zip(table["_idx"].to_pylist(), table["_next"].to_pylist()))
-            on, at = [], 1
-            while at in follow:
-                on.append(at)
-                at = follow[at]
-            seen = set(on)
-            return table.filter(pa.array([i in seen for i in table["_idx"].to_pylist()]))
-
-        visited = between.groupBy(*key).applyInArrow(reached, exit_schema).select(*key, "_idx")
-    else:
-        visited = _visited_by_doubling(between, key)
-    rows = join_same(rows.drop("_entry"), visited.withColumn("_seed", F.lit(True)), [*key, "_idx"])
-    mark_schema = T.StructType(fields + [T.StructField("_idx", T.LongType())])
-
-    def marks(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_idx")
-        first = int(table["_idx"][0].as_py())
-        follow = pc.fill_null(table["_next"], BEYOND).to_numpy()
-        on = np.zeros(len(follow), dtype=bool)
-        for seed in np.flatnonzero(pc.fill_null(table["_seed"], False).to_numpy()):
-            at = int(seed)
-            while at < len(on) and not on[at]:
-                on[at] = True
-                at = int(follow[at]) - first
-        return table.select([*key, "_idx"]).filter(pa.array(on))
-
-    return rows.groupBy(*key, BLOCK).applyInArrow(marks, mark_schema)
-
-
-def _visited_by_doubling(edges: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows on the chain from row 1, by doubling the jump length each round; all joins are on (key, row)."""
-    key = list(key)
-    visited = edges.filter(F.col("_idx") == 1).select(*key, "_idx")
-    jumps, seen = edges.select(*key, "_idx", "_next"), 0
-    while True:
-        reached = join_same(visited, jumps, [*key, "_idx"], "inner").select(*key, F.col("_next").alias("_idx"))
-        visited = freeze(visited.unionByName(reached).distinct())
-        now = visited.count()
-        if now == seen:
-            break
-        seen = now
-        further = jumps.select(*key, F.col("_idx").alias("_next"), F.col("_next").alias("_far"))
-        jumps = freeze(join_same(jumps, further, [*key, "_next"], "inner").select(*key, "_idx", F.col("_far").alias("_next")))
-    return join_same(visited, edges.select(*key, "_idx"), [*key, "_idx"], "inner")
-
-
-# --- ordered folds ---------------------------------------------------------------------------------------------------
+    identity = list(dict.fromkeys([*key, *order]))
+
+    def walk(last, rows: pa.RecordBatch):
+        flags, last = _jump_flags(rows.column(start).to_numpy(), rows.column(end).to_numpy(), width, strict, last)
+        return last, rows.select(identity).filter(pa.array(flags))
+
+    narrow = df.select(*dict.fromkeys([*identity, start, end]))
+    chosen = key_stream(narrow, key, order, walk, T.StructType([df.schema[c] for c in identity]))
+    marked = join_same(df, chosen.withColumn(name, F.lit(True)), identity)
+    return marked.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+
 
 Step = Callable[[list | None, pd.DataFrame], tuple[list | None, pd.DataFrame]]
 
 
-def fold_rows(
-    df: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str],
-    step: Step,
-    schema: T.StructType,
-    limit: int | None = None,
-    warm_rows: int = 4096,
-) -> DataFrame:
-    """Run a state machine over each key's rows in order: ``step(state, rows) -> (state, output rows)``.
-
-    The state is a JSON-able list (None at the start).  If a key has more than ``FOLD_ROWS`` rows, or with a
-    row limit, keys are cut into blocks.  Every block starts from a state
-    guessed by running the rows just before it, all blocks run in parallel, and then each guess is compared with the
-    state the block before really ended in.  Blocks with a wrong guess run again from the right state until none is
-    left, so the outcome is the sequential one whatever the guesses were.
-    """
-    key, order = list(key), list(order)
-    limit = rows_limit(df, key, limit, FOLD_ROWS)
-    if limit is None:
-
-        def whole(rows: pd.DataFrame) -> pd.DataFrame:
-            return step(None, rows.sort_values(order, kind="stable"))[1]
-
-        return df.groupBy(*key).applyInPandas(whole, schema)
-
-    ranked = OrderedRows(df, key, order, limit).rank("_idx").result()
-    rows = freeze(ranked.withColumn(BLOCK, whole_div((F.col("_idx") - 1), limit)))
-    blocks = [*key, BLOCK]
-    state_schema = T.StructType([rows.schema[k] for k in blocks] + [T.StructField("_state", T.StringType())])
-
-    def end_state(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_idx")
-        first = part["_start"].iloc[0] if "_start" in part else None
-        state, _ = step(json.loads(first) if first else None, part)
-        return part[blocks].iloc[:1].assign(_state=json.dumps(state))
-
-    tail = rows.filter((F.col("_idx") - 1) % limit >= limit - min(warm_rows, limit)).withColumn(BLOCK, F.col(BLOCK) + 1)
-    guess = tail.groupBy(*blocks).applyInPandas(end_state, state_schema).withColumnRenamed("_state", "_start")
-    every = rows.groupBy(*blocks).count().drop("count")
-    starts = freeze(join_same(every, guess, blocks))
-    ends = freeze(join_same(rows, starts, blocks).groupBy(*blocks).applyInPandas(end_state, state_schema))
-    while True:
-        wanted = ends.select(*key, (F.col(BLOCK) + 1).alias(BLOCK), F.col("_state").alias("_want"))
-        checked = join_same(starts, wanted, blocks)
-        wrong = freeze(checked.filter((F.col(BLOCK) > 0) & ~F.col("_start").eqNullSafe(F.col("_want"))))
-        if wrong.isEmpty():
-            break
-        again = wrong.select(*blocks, F.col("_want").alias("_start"))
-        redone = join_same(rows, again, blocks, "inner").groupBy(*blocks).applyInPandas(end_state, state_schema)
-        keep = join_same(starts, again.select(*blocks), blocks, "left_anti")
-        starts = freeze(keep.unionByName(again))
-        ends = freeze(join_same(ends, again.select(*blocks), blocks, "left_anti").unionByName(redone))
-
-    def emit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_idx")
-        first = part["_start"].iloc[0]
-        return step(json.loads(first) if first else None, part)[1]
-
-    return join_same(rows, starts, blocks).groupBy(*blocks).applyInPandas(emit, schema)
+def fold_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], step: Step, schema: T.StructType) -> DataFrame:
+    """``key_stream`` for steps on pandas rows: ``step(state, rows) -> (state, output rows)``."""
+    out_schema = to_arrow_schema(schema)
+
+    def handle(state, rows: pa.RecordBatch):
+        state, out = step(state, rows.to_pandas())
+        made = pa.Table.from_pandas(out[out_schema.names], out_schema, preserve_index=False).combine_chunks().to_batches()
+        return state, made[0] if made else None
+
+    return key_stream(df, key, order, handle, schema)

@@ -6,22 +6,19 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terralog.functions import camera
 from terralog.functions.numeric import clamp, is_finite
-from terralog.operators.ordered import OrderedRows, fold_rows
-from terralog.session import freeze
+from terralog.operators.ordered import OrderedRows, key_stream
 
 VOXEL = ("vx", "vy", "vz")
 LIDAR_STEP = 4
 FUSION_CAP = 64
 SURFEL_VOXEL_M = 0.04
-LISTED_ROWS = 4096  # observations of a cell that one array holds
-NORMAL_BLOCK = 250_000  # observations of a crowded cell that one task folds
 
 
 # --- clouds from depth -------------------------------------------------------------------------------------------------
@@ -111,7 +108,7 @@ def remove_outliers(points: DataFrame, max_distance: float = 20.0, radius: float
 # --- surfels -----------------------------------------------------------------------------------------------------------
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
+def unit(v: np.ndarray) -> np.ndarray:
     length = float(np.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]))
     return v / length if np.isfinite(length) and length > 1e-6 else np.array([0.0, 1.0, 0.0])
 
@@ -147,25 +144,25 @@ def fuse_surfels(
         F.count("*").alias("observation_count"),
         F.max(F.when(F.col("_i") == F.col("_n"), F.col("stamp_ns"))).alias("updated_at"),
     )
-    out = fused.withColumns(
+    out = surfel_values(fused, voxel)
+    if not normals:
+        return out
+    facing = [c.alias(f"in{a}") for a, c in zip("xyz", towards_observer())]
+    return out.join(_blended_normals(ranked.select(*cell, *order, "_i", "_n", *facing), cell, list(order)), cell)
+
+
+def surfel_values(fused: DataFrame, voxel: float) -> DataFrame:
+    """Confidence and radius from the number of observations, and colours as whole numbers."""
+    return fused.withColumns(
         {
             "confidence": F.least(F.lit(1.0), F.lit(0.2) + F.lit(0.04) * (F.col("observation_count") - 1)),
             "radius": F.lit(voxel * 0.75),
             **{c: clamp(F.round(F.col(c)), 0, 255).cast("smallint") for c in "rgb"},
         }
     )
-    if not normals:
-        return out
-    facing = [c.alias(f"in{a}") for a, c in zip("xyz", _towards_observer())]
-    incoming = ranked.select(*cell, *order, "_i", "_n", *facing)
-    blended = _blended_normals(incoming.filter(F.col("_n") <= LISTED_ROWS), cell, list(order))
-    crowded = freeze(incoming.filter(F.col("_n") > LISTED_ROWS).drop("_n"))
-    if not crowded.isEmpty():
-        blended = blended.unionByName(_crowded_normals(crowded, cell, list(order), limit or NORMAL_BLOCK))
-    return out.join(blended, cell)
 
 
-def _towards_observer() -> list[Column]:
+def towards_observer() -> list[Column]:
     delta = [F.col(f"o{c}") - F.col(c) for c in "xyz"]
     length = F.sqrt(delta[0] * delta[0] + delta[1] * delta[1] + delta[2] * delta[2])
     usable = is_finite(length) & (length > F.lit(1e-6))
@@ -173,48 +170,28 @@ def _towards_observer() -> list[Column]:
 
 
 def _blended_normals(incoming: DataFrame, cell: list[str], order: list[str]) -> DataFrame:
-    """Blended normal of each cell: a fold over all its observations in order, held in one array.
-
-    Only for cells of at most ``LISTED_ROWS``; ``_crowded_normals`` folds the others.  The running value keeps the sum
-    and its length, and is brought to unit length when it is next used.
-    """
-    listed = F.array_sort(F.collect_list(F.struct(*order, "inx", "iny", "inz")))
-    kind = "struct<n:int,x:double,y:double,z:double,l:double>"
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("l")).cast(kind)
-
-    def unit(a: Column) -> list[Column]:
-        usable = is_finite(a["l"]) & (a["l"] > F.lit(1e-6))
-        return [F.when(usable, a[c] / a["l"]).otherwise(F.lit(f)) for c, f in zip("xyz", (0.0, 1.0, 0.0))]
-
-    def merge(a: Column, p: Column) -> Column:
-        x, y, z = (u * a["n"] + p[f"in{c}"] for u, c in zip(unit(a), "xyz"))
-        seen = F.least(a["n"] + 1, F.lit(FUSION_CAP))
-        return F.struct(seen.alias("n"), x.alias("x"), y.alias("y"), z.alias("z"), F.sqrt(x * x + y * y + z * z).alias("l")).cast(kind)
-
-    folded = incoming.groupBy(*cell).agg(F.aggregate(listed, start, merge).alias("_a"))
-    return folded.select(*cell, *[u.alias(f"n{c}") for c, u in zip("xyz", unit(F.col("_a")))])
-
-
-def _crowded_normals(incoming: DataFrame, cell: list[str], order: list[str], limit: int) -> DataFrame:
-    """The same fold over cells of any size, in blocks of ``limit`` rows that hand on their state.
+    """Blended normal of each cell: a fold over all its observations in order, as a stream of rows.
 
-    The past is never forgotten (what came before is weighed by 64 in 65 at least), so a guessed state is seldom right
-    and the blocks of one cell are then folded one after the other.
+    The state is the number of observations (up to the cap) and the unit normal so far; the past is never forgotten
+    (what came before is weighed by 64 in 65 at least), so each step needs the one before.  A row leaves with the last
+    observation of its cell (``_i`` is ``_n``).
     """
-    schema = T.StructType([incoming.schema[c] for c in [*cell, "_i"]] + [T.StructField(c, T.DoubleType()) for c in ("nx", "ny", "nz")])
+    schema = T.StructType([incoming.schema[c] for c in cell] + [T.StructField(c, T.DoubleType()) for c in ("nx", "ny", "nz")])
 
-    def step(state: list | None, rows: pd.DataFrame) -> tuple[list, pd.DataFrame]:
+    def blend(state, rows: pa.RecordBatch):
         n, x, y, z = state or (0, 0.0, 0.0, 0.0)
-        for a, b, c in rows[["inx", "iny", "inz"]].to_numpy().tolist():
+        for a, b, c in zip(*[rows.column(f"in{k}").to_pylist() for k in "xyz"]):
             x, y, z = x * n + a, y * n + b, z * n + c
             length = math.sqrt(x * x + y * y + z * z)
             x, y, z = (x / length, y / length, z / length) if math.isfinite(length) and length > 1e-6 else (0.0, 1.0, 0.0)
             n = min(n + 1, FUSION_CAP)
-        return [n, x, y, z], rows[[*cell, "_i"]].iloc[-1:].assign(nx=x, ny=y, nz=z)
+        last = rows.num_rows - 1
+        if rows.column("_i")[last] != rows.column("_n")[last]:
+            return (n, x, y, z), None
+        made = [*rows.select(cell).slice(last).columns, *[pa.array([v]) for v in (x, y, z)]]
+        return None, pa.RecordBatch.from_arrays(made, schema.names)
 
-    ends = fold_rows(incoming, cell, order, step, schema, limit)  # one row per block; the last has the cell's normal
-    last = ends.groupBy(*cell).agg(F.max_by(F.struct("nx", "ny", "nz"), "_i").alias("_a"))
-    return last.select(*cell, "_a.*")
+    return key_stream(incoming, cell, order, blend, schema)
 
 
 def top_surfels(surfels: DataFrame, n: int) -> DataFrame:

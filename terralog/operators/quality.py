@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terralog.dimensions import RATE_TARGETS
 from terralog.functions.numeric import is_finite
 from terralog.operators.log import missing_topics, topic_rates
-from terralog.operators.ordered import OrderedRows
+from terralog.operators.ordered import BUCKET_ROWS, OrderedRows
 
 MAX_FRAME_POINTS = 2_000_000
 QUEUE_CAPACITY = 120
@@ -46,9 +46,9 @@ def check_finite(df: DataFrame, fields: Sequence[str], key: Sequence[str] = ("to
     return counts.unpivot(list(key), list(fields), "field", "non_finite")
 
 
-def check_clock(df: DataFrame, key: Sequence[str] = ("session_id", "topic")) -> DataFrame:
+def check_clock(df: DataFrame, key: Sequence[str] = ("session_id", "topic"), width: int | None = BUCKET_ROWS) -> DataFrame:
     """Drift of receive time against stamp (slope - 1) and number of steps back, in arrival order."""
-    rows = OrderedRows(df, key, ["row_id"]).previous("_b", "stamp_ns").result()
+    rows = OrderedRows(df, key, ["row_id"], width=width).previous("_b", "stamp_ns").result()
     # offsets from the first value keep the squared sums within double precision
     seconds = {c: (F.col(c) - F.lit(1_700_000_000_000_000_000)) / F.lit(1e9) for c in ("stamp_ns", "recv_ns")}
     return rows.groupBy(*key).agg(

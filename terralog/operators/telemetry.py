@@ -20,7 +20,7 @@ from terralog.dimensions import (
 )
 from terralog.functions import health
 from terralog.functions.localization import global_quality, indoor_quality, quality_label, source_score
-from terralog.operators.ordered import OrderedRows
+from terralog.operators.ordered import BUCKET_NS, OrderedRows
 
 GRAVITY = 9.81
 THERMAL_INTERVALS = {"nominal": 0.1, "fair": 0.1, "serious": 0.25, "critical": 0.5}
@@ -151,19 +151,20 @@ def keep_recent(df: DataFrame, group: Sequence[str], source: str, order: Sequenc
     return newest.withColumn("_rank", ranked).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def staleness(df: DataFrame, key: Sequence[str], stamp: str, tie: str, seconds: float = health.STALE_SECONDS) -> DataFrame:
+def staleness(df: DataFrame, key: Sequence[str], stamp: str, tie: str, seconds: float = health.STALE_SECONDS, width: int | None = BUCKET_NS) -> DataFrame:
     """Gap to the row before (null on the first) and whether it is longer than ``seconds``."""
-    rows = OrderedRows(df, key, [stamp, tie]).previous("_before", stamp).result()
+    rows = OrderedRows(df, key, [stamp, tie], width=width).previous("_before", stamp).result()
     gap = (F.col(stamp) - F.col(f"_before.{stamp}")) / F.lit(1e9)
     return rows.withColumn("gap_s", gap).withColumn("stale", F.coalesce(gap > seconds, F.lit(False))).drop("_before")
 
 
-def thermal_interval(df: DataFrame, key: Sequence[str], order: Sequence[str], state: str = "state") -> DataFrame:
-    """Processing interval in force: from the state, unknown states keep the one before, 0.2 s at the start."""
+def thermal_interval(df: DataFrame, key: Sequence[str], order: Sequence[str], state: str = "state", width: int | None = BUCKET_NS) -> DataFrame:
+    """Processing interval in force: from the state, unknown states keep the one before, 0.2 s at the start.  ``width`` is
+    in units of the first order column."""
     known = F.lit(None).cast("double")
     for name, value in THERMAL_INTERVALS.items():
         known = F.when(F.col(state) == name, F.lit(value)).otherwise(known)
-    rows = OrderedRows(df.withColumn("_known", known), key, order).carry("interval_s", F.col("_known")).result()
+    rows = OrderedRows(df.withColumn("_known", known), key, order, width=width).carry("interval_s", F.col("_known")).result()
     return rows.withColumn("interval_s", F.coalesce("interval_s", F.lit(INITIAL_INTERVAL))).drop("_known")
 
 

@@ -9,6 +9,7 @@ from terralog.functions import health, radio, stamps
 from terralog.functions.names import topic_summary
 from terralog.functions.numeric import quantize
 from terralog.operators import joins, log, telemetry
+from terralog.operators.ordered import BUCKET_ROWS
 from terralog.plans.registry import query, sql
 from terralog.plans.views import Tables, whole
 
@@ -120,7 +121,7 @@ def thermal_intervals(t: Tables) -> DataFrame:
     r = F.col("row_id") % 9
     state = F.when(r == 4, "nominal").when(r == 5, "fair").when(r == 6, "serious").when(r == 7, "critical").otherwise("odd")
     rows = t.msg().select("session_id", "row_id", state.alias("state"))
-    return telemetry.thermal_interval(rows, ["session_id"], ["row_id"]).select("session_id", "row_id", F.floor(F.col("interval_s") * 100 + F.lit(0.5)).cast("int").alias("interval_ms_10"))
+    return telemetry.thermal_interval(rows, ["session_id"], ["row_id"], width=BUCKET_ROWS).select("session_id", "row_id", F.floor(F.col("interval_s") * 100 + F.lit(0.5)).cast("int").alias("interval_ms_10"))
 
 
 # --- sessions ------------------------------------------------------------------------------------------------------------

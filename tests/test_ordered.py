@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralog.operators import calibration, gates, joins, ordered, points
-from terralog.operators.ordered import OrderedRows, fold_rows, mark_jumps
+from terralog.operators import calibration, gates, geo, joins, points, quality, telemetry
+from terralog.operators.ordered import OrderedRows, fold_rows, key_stream
 from tests.conftest import rows
 
 HOT = 16
@@ -38,10 +38,20 @@ def by_key(log):
     return out
 
 
-@pytest.mark.parametrize("limit", [None, HOT])
-def test_carry_previous_total_rank(frame, log, limit):
-    o = OrderedRows(frame, ["k"], ["ts", "id"], limit)
-    assert o.hot == (limit is not None)
+@pytest.fixture(params=[3, 10_000])
+def batch_rows(spark, request):
+    """Rows of an Arrow batch: few, so that a key goes on from batch to batch, or many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(request.param))
+    yield request.param
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("limit, width", [(None, None), (HOT, None), (None, 5), (None, 10**9)])
+def test_carry_previous_total_rank(frame, log, limit, width):
+    o = OrderedRows(frame, ["k"], ["ts", "id"], limit, width=width)
+    assert o.hot == (limit is not None or width is not None)
     o.carry("last", F.col("v")).carry("ahead", F.col("v"), reverse=True).first_seen("first", F.col("v")).previous("before", "id").cumulative("sum", F.col("bytes")).rank("n").total("all", F.col("bytes"))
     got = {r["id"]: r for r in o.result().collect()}
     for part in by_key(log).values():
@@ -57,10 +67,9 @@ def test_carry_previous_total_rank(frame, log, limit):
             before = r[2]
 
 
-@pytest.mark.parametrize("limit", [None, HOT, 7])
 @pytest.mark.parametrize("strict", [False, True])
-def test_rate_gate(frame, log, limit, strict):
-    got = {r["id"] for r in gates.rate_gate(frame, ["k"], 5, stamp="ts", tie=["id"], strict=strict, limit=limit).collect()}
+def test_rate_gate(frame, log, batch_rows, strict):
+    got = {r["id"] for r in gates.rate_gate(frame, ["k"], 5, stamp="ts", tie=["id"], strict=strict).collect()}
     want = set()
     for part in by_key(log).values():
         last = None
@@ -71,10 +80,9 @@ def test_rate_gate(frame, log, limit, strict):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [None, HOT])
 @pytest.mark.parametrize("size", [1, 60, 100])
-def test_assign_chunks(frame, log, limit, size):
-    got = {r["id"]: r["chunk"] for r in gates.assign_chunks(frame, size, ["k"], ["id"], limit=limit).collect()}
+def test_assign_chunks(frame, log, batch_rows, size):
+    got = {r["id"]: r["chunk"] for r in gates.assign_chunks(frame, size, ["k"], ["id"]).collect()}
     for part in by_key(log).values():
         chunk, held, count = 0, 0, 0
         for r in part:
@@ -84,46 +92,43 @@ def test_assign_chunks(frame, log, limit, size):
             assert got[r[2]] == chunk
 
 
-def test_large_keys_go_block_by_block_without_a_stated_limit(frame, log, monkeypatch):
-    """No group that reaches Python is larger than the bound, and the rows are those of the plain loops."""
-    monkeypatch.setattr(ordered, "MARK_ROWS", 64)
-    monkeypatch.setattr(gates, "MARK_ROWS", 64)
-    monkeypatch.setattr(ordered, "FOLD_ROWS", 64)
-    schema = T.StructType.fromDDL("k string, id bigint, n bigint, held bigint")
+def test_one_key_of_many_rows_in_little_memory(spark):
+    """Five million rows of one key; the Python worker may take 200 MB more than it has at the start."""
+    import pyarrow as pa
 
-    def step(state, part: pd.DataFrame):
-        n = state[0] if state else 0
-        return [n + len(part)], part[["k", "id"]].assign(n=range(n + 1, n + len(part) + 1), held=len(part))
+    def handle(state, rows: pa.RecordBatch):
+        import resource
 
-    folded = fold_rows(frame, ["k"], ["id"], step, schema, warm_rows=8).collect()
-    assert max(r["held"] for r in folded) <= 64
-    assert {r["id"]: r["n"] for r in folded} == {r[2]: n for part in by_key(log).values() for n, r in enumerate(part, 1)}
-    kept = set()
-    for part in by_key(log).values():
-        last = None
-        for r in part:
-            if last is None or r[1] - last >= 5:
-                kept.add(r[2])
-                last = r[1]
-    blocks = []
-    monkeypatch.setattr(ordered, "_mark_chain", lambda *a, f=ordered._mark_chain: blocks.append(a[-1]) or f(*a))
-    assert {r["id"] for r in gates.rate_gate(frame, ["k"], 5, stamp="ts", tie=["id"]).collect()} == kept
-    gates.assign_chunks(frame, 60, ["k"], ["id"]).count()
-    assert blocks == [64, 64]
+        count, low = state or (0, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+        count += rows.num_rows
+        grown = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - low
+        return (count, low), pa.RecordBatch.from_arrays([rows.column("k")[:1], pa.array([count]), pa.array([grown])], ["k", "n", "grown"])
 
+    rows_ = spark.range(5_000_000).select(F.lit("x").alias("k"), F.col("id").alias("ts"), F.lit(7).alias("bytes"))
+    out = key_stream(rows_, ["k"], ["ts"], handle, T.StructType.fromDDL("k string, n bigint, grown bigint")).agg(F.max("n"), F.max("grown")).first()
+    assert out[0] == 5_000_000 and out[1] < 200_000
+    chunks = gates.assign_chunks(rows_, 7_000, ["k"], ["ts"]).agg(F.max("chunk"), F.count("*")).first()
+    assert tuple(chunks) == (4_999, 5_000_000)
+    assert gates.rate_gate(rows_, ["k"], 1000, stamp="ts", tie=[]).count() == 5_000
 
-def test_marks_by_doubling(spark, monkeypatch):
-    """A regular stream whose chains never meet: the graph between blocks is larger than the limit."""
-    stream = spark.range(300).select(F.lit("x").alias("k"), F.col("id").alias("ts"), "id")
-    got = sorted(r["id"] for r in mark_jumps(stream, ["k"], ["ts"], "ts", "ts", 7, strict=False, name="on", limit=4).filter("on").collect())
-    assert got == list(range(0, 300, 7))
 
+def test_keys_that_are_null_or_end_with_a_batch(spark, batch_rows):
+    data = [(k, i) for k in (None, "a", "b") for i in range(6)]
+    df = spark.createDataFrame(data, "k string, id bigint")
 
-@pytest.mark.parametrize("limit", [None, HOT])
+    def step(state, part: pd.DataFrame):
+        n = state or 0
+        return n + len(part), part.assign(n=range(n + 1, n + len(part) + 1))
+
+    got = fold_rows(df, ["k"], ["id"], step, T.StructType.fromDDL("k string, id bigint, n bigint")).collect()
+    assert sorted((r["k"] or "", r["id"], r["n"]) for r in got) == sorted((k or "", i, i + 1) for k, i in data)
+
+
+@pytest.mark.parametrize("limit, width", [(None, None), (HOT, None), (None, 4), (None, 10**9)])
 @pytest.mark.parametrize("tolerance", [None, 2])
-def test_asof(spark, frame, log, limit, tolerance):
+def test_asof(spark, frame, log, limit, width, tolerance):
     right = frame.filter("id % 3 = 0").select("k", "ts", "id", F.col("id").alias("match"))
-    out = joins.asof_join(frame, right, ["k"], "ts", "ts", ["match"], left_tie=["id"], right_tie=["id"], tolerance=tolerance, limit=limit)
+    out = joins.asof_join(frame, right, ["k"], "ts", "ts", ["match"], left_tie=["id"], right_tie=["id"], tolerance=tolerance, limit=limit, width=width)
     got = {r["id"]: r["match"] for r in out.collect()}
     for r in log:
         found = [x for x in log if x[0] == r[0] and x[2] % 3 == 0 and x[1] <= r[1]]
@@ -132,9 +137,8 @@ def test_asof(spark, frame, log, limit, tolerance):
         assert got[r[2]] == want
 
 
-@pytest.mark.parametrize("warm", [0, 8])
-def test_fold_is_sequential_whatever_the_guess(frame, log, warm):
-    """A state that never forgets: every guess is wrong at first, and the outcome is still the sequential one."""
+def test_fold_is_sequential(frame, log, batch_rows):
+    """A state that never forgets."""
     schema = T.StructType.fromDDL("k string, id bigint, sum bigint")
 
     def step(state, part: pd.DataFrame):
@@ -145,7 +149,7 @@ def test_fold_is_sequential_whatever_the_guess(frame, log, warm):
             sums.append(total)
         return [total], part[["k", "id"]].assign(sum=sums)
 
-    got = {r["id"]: r["sum"] for r in fold_rows(frame, ["k"], ["id"], step, schema, 64, warm).collect()}
+    got = {r["id"]: r["sum"] for r in fold_rows(frame, ["k"], ["id"], step, schema).collect()}
     for part in by_key(log).values():
         total = 0
         for r in part:
@@ -153,6 +157,31 @@ def test_fold_is_sequential_whatever_the_guess(frame, log, warm):
             assert got[r[2]] == total
 
 
+def session_rows(spark, n=600):
+    """All rows of one session, in steps of 0.1 to 90 seconds."""
+    rng, stamp, out = random.Random(9), 0, []
+    for i in range(n):
+        stamp += int(rng.choice([0.1, 1, 30, 90]) * 1e9)
+        out.append(("s", "t", stamp, i, i, stamp + i, float(i), 0.5, 0.1, 0.0, 0.0, 0.6, 0.8, rng.choice(["nominal", "hot?", "serious"])))
+    cols = "session_id string, topic string, stamp_ns bigint, seq bigint, row_id bigint, recv_ns bigint, x double, y double, z double, qx double, qy double, qz double, qw double, state string"
+    return spark.createDataFrame(out, cols)
+
+
+@pytest.mark.parametrize("width", [1, 45 * 10**9, 10**15])
+def test_one_session_of_all_rows(spark, width):
+    """Operators that look back give the rows of a plain window, whatever the stretch."""
+    df = session_rows(spark)
+    same = lambda make: rows(make(width)) == rows(make(None))
+    assert same(lambda w: telemetry.staleness(df, ["session_id"], "stamp_ns", "seq", 20.0, width=w).select("seq", "gap_s", "stale"))
+    assert same(lambda w: telemetry.thermal_interval(df, ["session_id"], ["stamp_ns", "seq"], width=w).select("seq", "interval_s"))
+    assert same(lambda w: geo.odometry_twist(df, width=w).select("seq", "vx", "vy", "vz", "wx", "wy", "wz"))
+    assert same(lambda w: quality.check_clock(df, width=w).select("messages", "backward_steps"))
+    assert same(lambda w: joins.asof_join(df, df.filter("seq % 50 = 0").withColumnRenamed("x", "px"), ["session_id"], "stamp_ns", "stamp_ns", ["px"], left_tie=["seq"], right_tie=["seq"], width=w).select("seq", "px"))
+    fixes = df.select("session_id", "stamp_ns", "seq", (F.lit(40) + F.col("seq") / 1000).alias("lat"), F.lit(-105.0).alias("lon"), F.lit(1600.0).alias("alt"), F.when(F.col("seq") < 300, 90.0).otherwise(5.0).alias("hacc"))
+    placed = lambda w: rows(geo.georeference(fixes, df.filter("seq % 7 = 0"), width=w).select("seq", "reason", "established", "map.x", "map.y", "map.z", "origin.seq"))
+    assert placed(width) == placed(None)
+
+
 def _observations(spark, n=300):
     rng = random.Random(5)
     data = [("s", i, i, rng.uniform(0, 0.9), rng.uniform(0, 0.9), 0.1, rng.randint(0, 255), 10, 20, rng.uniform(-3, 3), rng.uniform(-3, 3), 5.0) for i in range(n)]
@@ -186,8 +215,7 @@ def test_surfels_follow_the_running_mean(spark, limit):
         assert max(abs(g[c] - m) for c, m in zip(("nx", "ny", "nz"), normal)) < 1e-9
 
 
-@pytest.mark.parametrize("limit", [None, 2500])
-def test_normals_of_a_crowded_cell_seen_from_both_sides(spark, limit):
+def test_normals_of_a_crowded_cell_seen_from_both_sides(spark, batch_rows):
     """The first 1500 observations see one side, the others two sides in turn: the past stays in the normal."""
     import numpy as np
 
@@ -197,7 +225,7 @@ def test_normals_of_a_crowded_cell_seen_from_both_sides(spark, limit):
         side = 4.0 if i < 1500 or i % 2 else -4.0
         data.append(("s", i, i, rng.uniform(0, 0.9), rng.uniform(0, 0.9), 0.1, 1, 1, 1, side, rng.uniform(-3, 3), 9.0 if i < 1500 else 0.1))
     df = spark.createDataFrame(data, "session_id string, stamp_ns bigint, seq bigint, x double, y double, z double, r int, g int, b int, ox double, oy double, oz double")
-    g = points.fuse_surfels(df, 1.0, limit=limit).collect()
+    g = points.fuse_surfels(df, 1.0).collect()
     assert len(g) == 1 and g[0]["observation_count"] == len(data)
 
     def folded(part):
@@ -213,8 +241,8 @@ def test_normals_of_a_crowded_cell_seen_from_both_sides(spark, limit):
     assert max(abs(folded(data[-4096:]) - want)) > 1e-6
 
 
-@pytest.mark.parametrize("limit", [None, 3])
-def test_reused_calibration(spark, limit):
+@pytest.mark.parametrize("width", [None, 10**9])
+def test_reused_calibration(spark, batch_rows, width):
     def matrix(x):
         return [1.0, 0.0, 0.0, x, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
@@ -223,7 +251,7 @@ def test_reused_calibration(spark, limit):
     for c in ("relative_w", "relative_h", "lidar_w", "lidar_h"):
         df = df.withColumn(c, F.lit(8))
     df = df.withColumns({"confidence_w": F.lit(None).cast("int"), "confidence_h": F.lit(None).cast("int")})
-    got = rows(calibration.reuse_calibration(df, limit=limit).select("frame", "scale", "reused"))
+    got = rows(calibration.reuse_calibration(df, width=width).select("frame", "scale", "reused"))
     assert got == [(1, 2.0, False), (2, 2.0, True), (3, 4.0, False), (4, 4.0, True), (5, None, False), (6, 6.0, False), (7, 6.0, True)]
 
 

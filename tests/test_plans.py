@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from terralog.operators import gates, geo, joins, mesh, points, telemetry
+from terralog.operators import calibration, gates, geo, joins, mesh, points, quality, telemetry
 
 
 def plan_of(df):
@@ -16,6 +16,53 @@ def rows(spark):
     return base.withColumns({c: F.rand(1) for c in ("x", "y", "z", "confidence")} | {c: F.lit(0).cast("bigint") for c in ("vx", "vy", "vz")} | {"updated_at": F.col("row_id")})
 
 
+def frames_of(rows):
+    sizes = {c: F.lit(8) for c in ("relative_w", "relative_h", "lidar_w", "lidar_h", "confidence_w", "confidence_h")}
+    return rows.withColumns(sizes | {"frame": F.col("row_id"), "scale": F.lit(1.0), "offset": F.lit(0.0), "m": F.array_repeat(F.lit(0.0), 16)})
+
+
+def meshes_of(spark):
+    vertex = spark.range(30).select((F.col("id") % 3).alias("mesh_id"), F.col("id").alias("vid"), *[F.lit(0.0).alias(c) for c in "xyz"])
+    face = vertex.select("mesh_id", F.col("vid").alias("fid"), *[F.lit(0).cast("bigint").alias(c) for c in "abc"])
+    meshes = spark.range(3).select(F.lit(0).alias("snapshot_id"), F.col("id").alias("mesh_id"), F.col("id").alias("mesh_order"), F.array_repeat(F.lit(0.0), 16).alias("m"))
+    return face, vertex, meshes
+
+
+def windows_of(df):
+    """Partitioning columns of every window in the plan, with whether it stands on an aggregate (one row per stretch)."""
+    import re
+
+    lines = plan_of(df).splitlines()
+    out = []
+    for k, line in enumerate(lines):
+        if re.search(r"\bWindow \[", line):
+            spec = re.search(r"windowspecdefinition\((.*?) (?:ASC|DESC)", line)
+            below = [x for x in lines[k + 1 : k + 7]]
+            out.append((spec.group(1), any("HashAggregate" in x or "SortAggregate" in x or "ObjectHashAggregate" in x for x in below)))
+    return out
+
+
+def test_no_window_over_the_rows_of_a_session(spark, rows):
+    tied = rows.withColumn("seq", F.col("row_id"))
+    fixes = tied.select("session_id", "stamp_ns", "seq", *[F.lit(1.0).alias(c) for c in ("lat", "lon", "alt", "hacc")])
+    plans = [
+        joins.asof_join(tied, tied, ["session_id"], "stamp_ns", "stamp_ns", ["x"], left_tie=["seq"], right_tie=["seq"]), geo.georeference(fixes, tied),
+        geo.odometry_twist(tied.withColumns({f"q{c}": F.lit(0.5) for c in "xyzw"})), telemetry.staleness(rows, ["session_id"], "stamp_ns", "row_id"),
+        telemetry.thermal_interval(rows.withColumn("state", F.lit("nominal")), ["session_id"], ["stamp_ns", "row_id"]),
+        quality.check_clock(rows.withColumns({"topic": F.lit("t"), "recv_ns": F.col("stamp_ns")})),
+        joins.radio_position(tied.drop("x", "y", "z"), tied, fixes, 10**9), calibration.reuse_calibration(frames_of(tied)),
+    ]
+    for plan in plans:
+        found = windows_of(plan)
+        assert found
+        for columns, on_summary in found:
+            assert "_blk" in columns or on_summary, (columns, plan_of(plan))
+
+
+def test_no_face_reaches_python(spark):
+    assert "Python" not in plan_of(mesh.triangle_soup(*meshes_of(spark), 9)) and "InArrow" not in plan_of(mesh.triangle_soup(*meshes_of(spark), 9))
+
+
 def test_nothing_runs_before_the_action(spark, rows):
     tied = rows.withColumn("seq", F.col("row_id"))
     spark.sparkContext.setJobGroup("lazy", "plans only")
@@ -24,11 +71,13 @@ def test_nothing_runs_before_the_action(spark, rows):
             gates.rate_gate(rows, ["session_id"], 5000), gates.assign_chunks(rows, 100), points.trim_surfels(rows, 10), points.top_surfels_per(rows, 10),
             joins.asof_join(tied, tied, ["session_id"], "stamp_ns", "stamp_ns", ["x"], left_tie=["seq"], right_tie=["seq"]),
             telemetry.staleness(rows, ["session_id"], "stamp_ns", "row_id"), geo.odometry_twist(tied.withColumns({f"q{c}": F.lit(0.5) for c in "xyzw"})),
+            points.fuse_surfels(tied.withColumns({c: F.lit(1) for c in ("r", "g", "b", "ox", "oy", "oz")})), quality.check_clock(rows.withColumns({"topic": F.lit("t"), "recv_ns": F.col("stamp_ns")})),
+            calibration.reuse_calibration(frames_of(tied)), mesh.triangle_soup(*meshes_of(spark), 9),
         ]
         assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")) == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert len(built) == 7
+    assert len(built) == 11
 
 
 def test_first_n_is_cut_before_the_shuffle(spark, rows):
@@ -42,5 +91,5 @@ def test_first_n_is_cut_before_the_shuffle(spark, rows):
 
 def test_only_narrow_columns_reach_python(rows):
     plan = plan_of(gates.rate_gate(rows, ["session_id"], 5000))
-    python = next(line for line in plan.splitlines() if "FlatMapGroupsInArrow" in line)
+    python = next(line for line in plan.splitlines() if "MapInArrow" in line)
     assert "data" not in python
