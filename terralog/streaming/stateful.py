@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from terralog.functions import geodesy
-from terralog.operators.points import FUSION_CAP, VOXEL, _unit, voxel_columns
+from terralog.operators.points import FUSION_CAP, VOXEL, unit, voxel_columns
 from terralog.streaming.stateless import event_time
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -57,6 +57,49 @@ class _JsonState(StatefulProcessor):
         pass
 
 
+class _InOrder(_JsonState):
+    """The same, across batches: rows wait in the state until the watermark has passed them, and are then advanced in order.
+
+    ``fields`` are the row's columns, with the stamp in nanoseconds.  What waits is what arrived within the watermark's delay.
+    """
+
+    def __init__(self, order: Sequence[str], fields: T.StructType, stamp: str):
+        super().__init__(order)
+        self.fields, self.stamp = fields, stamp
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", self.fields)
+
+    def _wake(self, stamps) -> None:
+        self.handle.registerTimer(-(-int(min(stamps)) // 1_000_000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [p[self.fields.names] for p in rows if len(p)]
+        if parts:
+            arrived = pd.concat(parts, ignore_index=True)
+            self.waiting.appendList(list(arrived.astype(object).itertuples(index=False, name=None)))
+            self._wake(arrived[self.stamp])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.waiting.get()), columns=self.fields.names)
+        ready = held[self.stamp].astype("int64") // 1000 < timerValues.getCurrentWatermarkInMs() * 1000
+        rest = held[~ready]
+        if len(rest):
+            self.waiting.put(list(rest.astype(object).itertuples(index=False, name=None)))
+            self._wake(rest[self.stamp])
+        else:
+            self.waiting.clear()
+        if ready.any():
+            ordered = held[ready].sort_values(self.order, kind="stable").infer_objects()
+            before = json.loads(self.state.get()[0]) if self.state.exists() else None
+            after, out = self.advance(before, ordered)
+            self.state.update((json.dumps(after),))
+            if len(out):
+                yield out
+
+
 def _apply(df: DataFrame, key: Sequence[str], processor: StatefulProcessor, schema: T.StructType, mode: str = "Append", time: str = "None") -> DataFrame:
     return df.groupBy(*key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time)
 
@@ -64,10 +107,10 @@ def _apply(df: DataFrame, key: Sequence[str], processor: StatefulProcessor, sche
 # --- rate gate ---------------------------------------------------------------------------------------------------------
 
 
-class _RateGate(_JsonState):
-    def __init__(self, order, stamp, interval, strict):
-        super().__init__(order)
+class _Gate:
+    def gate(self, stamp, interval, strict):
         self.stamp, self.interval, self.strict = stamp, interval, strict
+        return self
 
     def advance(self, state, rows):
         stamps = rows[self.stamp].to_numpy()
@@ -84,8 +127,23 @@ class _RateGate(_JsonState):
         return [last], rows.iloc[kept]
 
 
-def stream_rate_gate(df: DataFrame, key: Sequence[str], interval, stamp: str = "stamp_ns", tie: Sequence[str] = ("row_id",), strict: bool = False) -> DataFrame:
-    return _apply(df, key, _RateGate([stamp, *tie], stamp, interval, strict), df.schema)
+class _RateGate(_Gate, _JsonState):
+    pass
+
+
+class _OrderedRateGate(_Gate, _InOrder):
+    pass
+
+
+def stream_rate_gate(
+    df: DataFrame, key: Sequence[str], interval, stamp: str = "stamp_ns", tie: Sequence[str] = ("row_id",), strict: bool = False, watermark: str | None = None
+) -> DataFrame:
+    """The gate in the order of arrival; with a ``watermark``, in the order of stamps, whichever batch a row came in."""
+    order = [stamp, *tie]
+    if watermark is None:
+        return _apply(df, key, _RateGate(order).gate(stamp, interval, strict), df.schema)
+    timed = df.withColumn("event_time", event_time(F.col(stamp))).withWatermark("event_time", watermark)
+    return _apply(timed, key, _OrderedRateGate(order, df.schema, stamp).gate(stamp, interval, strict), df.schema, "Append", "EventTime")
 
 
 # --- voxels and surfels ------------------------------------------------------------------------------------------------
@@ -112,10 +170,10 @@ class _Surfel(_JsonState):
         observed = rows[["x", "y", "z", "r", "g", "b"]].to_numpy(dtype=float)
         delta = rows[["ox", "oy", "oz"]].to_numpy(dtype=float) - observed[:, :3]
         for value, towards in zip(observed, delta):
-            incoming = _unit(towards)
+            incoming = unit(towards)
             weight = min(n, FUSION_CAP)
             mean = value if n == 0 else (np.asarray(mean) * weight + value) / (weight + 1)
-            normal = incoming if n == 0 else _unit(np.asarray(normal) * weight + incoming)
+            normal = incoming if n == 0 else unit(np.asarray(normal) * weight + incoming)
             n += 1
         updated = int(rows["stamp_ns"].iloc[-1])
         mean, normal = [float(v) for v in mean], [float(v) for v in normal]
@@ -193,13 +251,63 @@ def stream_staleness(fixes: DataFrame, seconds: float = 10.0, watermark: str = "
     return _apply(timed.select(key, "stamp_ns", "event_time"), [key], _Staleness(key, seconds), schema, "Append", "EventTime")
 
 
+# --- published keys ----------------------------------------------------------------------------------------------------
+
+
+class _Published(StatefulProcessor):
+    """Keys that were published, until the session's next reset (rows with ``is_reset``)."""
+
+    def __init__(self, order: Sequence[str], name: str, kept: Sequence[str]):
+        self.order, self.name, self.kept = list(order), name, list(kept)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        text = T.StructType([T.StructField("key", T.StringType())])
+        self.seen = handle.getMapState("seen", text, T.StructType([T.StructField("told", T.BooleanType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # on equal stamps a reset comes first
+        parts = [p.assign(plain_row=~p["is_reset"].astype(bool)) for p in rows if len(p)]
+        ordered = _ordered(iter(parts), [self.order[0], "plain_row", *self.order[1:]])
+        if ordered.empty:
+            return
+        run = ordered["is_reset"].cumsum()
+        for number, part in ordered.groupby(run, sort=True):
+            if number > 0 and part["is_reset"].iloc[0]:
+                self.seen.clear()
+            fresh = part[part["plain_row"]].drop_duplicates(self.name)
+            new = [not self.seen.containsKey((k,)) for k in fresh[self.name]]
+            for k in fresh[self.name][new]:
+                self.seen.updateValue((k,), (True,))
+            if any(new):
+                yield fresh[new][self.kept]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_unpublished(
+    rows: DataFrame, resets: DataFrame, dedup_key: str = "dedup_key", order: Sequence[str] = ("stamp_ns", "seq"), key: str = "session_id", spread: int = 16
+) -> DataFrame:
+    """The first row of each key in a session: a key is never forgotten until the session is reset (``resets``: key and order).
+
+    Keys live in the state store, a row each, and a session is spread over ``spread`` parts by the hash of its keys; a reset
+    reaches all of them.  A null key is a key.  (Pandas renames columns that begin with an underscore, so helper columns don't.)
+    """
+    named = F.coalesce(F.col(dedup_key).cast("string"), F.lit("\0")).alias("key_text")
+    columns = [c for c in rows.columns if c != key]
+    left = rows.select(key, F.pmod(F.xxhash64(named), F.lit(spread)).alias("spread_part"), F.lit(False).alias("is_reset"), named, *columns)
+    right = resets.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))).alias("spread_part"), F.lit(True).alias("is_reset"), *order)
+    both = left.unionByName(right, allowMissingColumns=True)
+    return _apply(both, [key, "spread_part"], _Published(order, "key_text", rows.columns), rows.schema)
+
+
 # --- origin ------------------------------------------------------------------------------------------------------------
 
 
-class _Origin(_JsonState):
-    def __init__(self, key: str, max_accuracy: float):
-        super().__init__(["stamp_ns", "side", "seq"])
+class _Placing:
+    def placing(self, key: str, max_accuracy: float):
         self.key, self.max_accuracy = key, max_accuracy
+        return self
 
     def advance(self, state, rows):
         pose, origin = state or [None, None]
@@ -219,10 +327,22 @@ class _Origin(_JsonState):
         return [pose, origin], pd.DataFrame(out, columns=names).astype({c: "float64" for c in ("olat", "olon", "oalt", "mx", "my", "mz")})
 
 
-def stream_origin(fixes: DataFrame, poses: DataFrame, starts: DataFrame | None = None, max_accuracy: float = 25.0, key: str = "session_id") -> DataFrame:
+class _Origin(_Placing, _JsonState):
+    pass
+
+
+class _OrderedOrigin(_Placing, _InOrder):
+    pass
+
+
+def stream_origin(
+    fixes: DataFrame, poses: DataFrame, starts: DataFrame | None = None, max_accuracy: float = 25.0, key: str = "session_id", watermark: str | None = None
+) -> DataFrame:
     """Live georeference: the newest pose is held, the first good fix becomes the origin, a session start resets both.
 
-    The state only finds the origin; positions are Column expressions on the output.
+    Without a ``watermark`` the order of arrival counts.  With one, rows wait until it has passed them and are taken in the
+    order of their stamps, so a pose that comes a batch after its fix still counts, as in ``geo.georeference``.  The state
+    only finds the origin; positions are Column expressions on the output.
     """
     def side(df: DataFrame, number: int) -> DataFrame:
         def number_or_null(name: str):
@@ -239,7 +359,12 @@ def stream_origin(fixes: DataFrame, poses: DataFrame, starts: DataFrame | None =
         + [T.StructField("usable", T.BooleanType()), T.StructField("reason", T.StringType())]
         + [T.StructField(c, T.DoubleType()) for c in ("olat", "olon", "oalt", "mx", "my", "mz")]
     )
-    found = _apply(rows, [key], _Origin(key, max_accuracy), schema)
+    order = ["stamp_ns", "side", "seq"]
+    if watermark is None:
+        found = _apply(rows, [key], _Origin(order).placing(key, max_accuracy), schema)
+    else:
+        timed = rows.withColumn("event_time", event_time(F.col("stamp_ns"))).withWatermark("event_time", watermark)
+        found = _apply(timed, [key], _OrderedOrigin(order, rows.schema, "stamp_ns").placing(key, max_accuracy), schema, "Append", "EventTime")
     c = F.col
     enu = geodesy.to_enu(geodesy.to_ecef(c("lat"), c("lon"), c("alt")), geodesy.to_ecef(c("olat"), c("olon"), c("oalt")), c("olat"), c("olon"))
     at = F.struct(c("mx").alias("x"), c("my").alias("y"), c("mz").alias("z"))
