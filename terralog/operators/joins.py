@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ from terralog.functions.tiles import normal_longitude, region_contains
 from terralog.operators.ordered import BUCKET_NS, OrderedRows
 
 
+#: Sides of cells in degrees, cells that a box may be wide and high, and shares that the fixes of a cell are dealt to.
+CELL_SIZES = (1 / 128, 1 / 8, 2.0, 32.0)
+CELL_SPAN, CELL_SALTS = 16, 16
+
+
 def with_topic(messages: DataFrame, topics: DataFrame) -> DataFrame:
     """Topic name and type per message; topic ids repeat between chunks, so the chunk is part of the key."""
     return messages.join(topics, ["chunk", "topic_id"])
@@ -93,31 +99,77 @@ def nearest_sample(
     return keyed.join(b, [key, *b_xy])
 
 
-def in_region(fixes: DataFrame, regions: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Fixes inside a region box.  Boxes are listed by the degree cells they touch and joined on the cell; the planner
-    sends the list to all tasks where it is small in bytes."""
+def _cell_index(degrees: Column, size: float) -> Column:
+    return F.floor(degrees / F.lit(size)).cast("bigint")
+
+
+def region_cells(regions: DataFrame, size: float) -> DataFrame:
+    """The boxes whose cover is made of cells of ``size`` degrees, one row per cell that a box touches and salt.
+
+    A box goes to the smallest cells of which it is at most 16 wide and high, so it touches 17 by 17 of them at most,
+    whether it is a hundredth of a degree or the globe.
+    """
     boxes = regions.select(*[F.col(c).alias(f"_r_{c}") for c in regions.columns])
-    south, north = F.floor("_r_south"), F.floor("_r_north")
-    left, right = normal_longitude(F.col("_r_west")), normal_longitude(F.col("_r_east"))
-    west, east = F.floor(left), F.floor(right)
-    around = F.concat(F.sequence(west, F.lit(180).cast("bigint")), F.sequence(F.lit(-180).cast("bigint"), east))
-    lons = F.when(left <= right, F.sequence(west, east)).otherwise(around)
-    listed = boxes.withColumn("_r_row", F.explode(F.sequence(south, north))).withColumn("_r_column", F.explode(lons))
-    inside = region_contains(F.col("lat"), F.col("lon"), F.col("_r_south"), F.col("_r_west"), F.col("_r_north"), F.col("_r_east"))
-    cell = (F.floor("lat") == F.col("_r_row")) & (F.floor(normal_longitude(F.col("lon"))) == F.col("_r_column"))
-    return fixes.join(listed, cell & inside, how).drop("_r_row", "_r_column")
+    south, north = F.col("_r_south"), F.col("_r_north")
+    west, east = normal_longitude(F.col("_r_west")), normal_longitude(F.col("_r_east"))
+    extent = F.greatest(north - south, F.when(west <= east, east - west).otherwise(east - west + 360))
+    fits, too_small = extent <= F.lit(CELL_SPAN * size), F.lit(False)
+    smaller = [s for s in CELL_SIZES if s < size]
+    if smaller:
+        too_small = extent <= F.lit(CELL_SPAN * max(smaller))
+    around = F.concat(F.sequence(_cell_index(west, size), _cell_index(F.lit(180.0), size)), F.sequence(_cell_index(F.lit(-180.0), size), _cell_index(east, size)))
+    columns = F.when(west <= east, F.sequence(_cell_index(west, size), _cell_index(east, size))).otherwise(around)
+    chosen = boxes.filter(fits & ~too_small)
+    listed = chosen.withColumn("_r_row", F.explode(F.sequence(_cell_index(south, size), _cell_index(north, size)))).withColumn("_r_column", F.explode(columns))
+    return listed.withColumn("_r_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CELL_SALTS - 1).cast("bigint"))))
+
+
+def position_cells(fixes: DataFrame) -> DataFrame:
+    """Adds ``_salt`` and, per cell size, the row and column of the fix: the keys that regions are met on.
+
+    Fixes of one cell, a city's worth, are dealt over salts, and boxes are listed once per salt.
+    """
+    lon = normal_longitude(F.col("lon"))
+    salted = fixes.withColumn("_salt", F.pmod(F.xxhash64(*fixes.columns), F.lit(CELL_SALTS)))
+    return salted.withColumns({f"_{axis}{k}": _cell_index(degrees, size) for k, size in enumerate(CELL_SIZES) for axis, degrees in (("row", F.col("lat")), ("column", lon))})
+
+
+def in_region(fixes: DataFrame, regions: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Fixes inside a region box (``inner``: with the box's columns, once per box that holds them).
+
+    Boxes are covered by cells of a size that suits them and fixes are looked up in each size, so a table may mix boxes of
+    any extent.  Every look-up is an equi join on cell and salt; the planner sends a list to all tasks where it is small
+    in bytes.  Fixes without position are in no box.
+    """
+    placed = position_cells(fixes)
+    helpers = [c for c in placed.columns if c not in fixes.columns]
+
+    def met(size: float, k: int, position) -> Column:
+        cell = (F.col("_r_salt") == position("_salt")) & (F.col("_r_row") == position(f"_row{k}")) & (F.col("_r_column") == position(f"_column{k}"))
+        return cell & region_contains(position("lat"), position("lon"), F.col("_r_south"), F.col("_r_west"), F.col("_r_north"), F.col("_r_east"))
+
+    if how == "left_semi":
+        found = [region_cells(regions, size).where(met(size, k, lambda c: F.col(c).outer())).exists() for k, size in enumerate(CELL_SIZES)]
+        return placed.where(reduce(lambda a, b: a | b, found)).drop(*helpers)
+    parts = [placed.join(region_cells(regions, size), met(size, k, F.col), how) for k, size in enumerate(CELL_SIZES)]
+    return reduce(DataFrame.unionByName, parts).drop(*helpers, "_r_row", "_r_column", "_r_salt")
 
 
 TILE_KEY = ("provider", "layer", "date", "z", "x", "y")
 
 
-def tile_hits(wanted: DataFrame, cached: DataFrame, key: Sequence[str] = TILE_KEY) -> DataFrame:
+def tile_hits(wanted: DataFrame, cached: DataFrame, key: Sequence[str] = TILE_KEY, newest: Sequence[str] | None = None) -> DataFrame:
     """Cache look-up: every wanted tile stays, with ``is_cached`` and the cached columns (null on a miss).
 
+    Of several cached rows of a tile the last one by ``newest`` counts, by default by all its other columns.
+
     ``date`` is the text "static" where a layer has no date, so keys compare without nulls.  Many fixes ask for the
     same tile, so the cached side is unique per key and the wanted side is not deduplicated.
     """
-    tiles = cached.dropDuplicates(list(key)).withColumn("is_cached", F.lit(True))
+    rest = [c for c in cached.columns if c not in key]
+    order = F.struct(*[F.col(c) for c in [*(newest or ()), *rest]]) if rest else F.lit(0)
+    last = cached.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*key, "_row.*") if rest else cached.distinct()
+    tiles = last.withColumn("is_cached", F.lit(True))
     joined = wanted.join(tiles, list(key), "left")
     return joined.withColumn("is_cached", F.coalesce("is_cached", F.lit(False)))
 
