@@ -150,14 +150,6 @@ def _is_bytes(kind) -> bool:
     return listed is not None and listed[0] in _BYTES
 
 
-def _raw_type(kind) -> str:
-    """The shape to read JSON with: every leaf stays text, so that coercion is ours."""
-    if isinstance(kind, (tuple, list)):
-        inner = "struct<" + ",".join(f"`{n}`:{_raw_type(k)}" for n, k in kind) + ">"
-        return f"array<{inner}>" if isinstance(kind, list) else inner
-    return "array<string>" if _sequence(kind) and not _is_bytes(kind) else "string"
-
-
 def _plain_type(kind: str) -> str:
     if kind in ("string", "bool"):
         return {"string": "string", "bool": "boolean"}[kind]
@@ -178,35 +170,6 @@ def message_type(name: str, fields: Mapping[str, tuple] = MESSAGE_FIELDS) -> T.D
     return T.DataType.fromDDL(_typed(fields[name]))
 
 
-def _is_a(node: Column, name: str) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(node), F.lit(name)), F.lit(False))
-
-
-def _misshapen(node: Column, kind, path: str = "$") -> Column:
-    """Whether a value below ``path`` that is there is not the kind of JSON node its declaration asks for.
-
-    Objects and lists must be that, byte lists may be text, and a number must not be null; a null text or bool is like a
-    missing one.
-    """
-    here = F.try_variant_get(node, path, "variant")
-    if isinstance(kind, tuple):
-        wrong = here.isNotNull() & ~_is_a(here, "OBJECT")
-        for name, inner in kind:
-            wrong = wrong | _misshapen(node, inner, f"{path}.{name}")
-        return wrong
-    if isinstance(kind, list):
-        inner = tuple(kind)
-        items = F.coalesce(F.try_variant_get(node, path, "array<variant>"), F.array().cast("array<variant>"))
-        return (here.isNotNull() & ~_is_a(here, "ARRAY")) | F.exists(items, lambda e: e.isNull() | _misshapen(e, inner))
-    if _is_bytes(kind):
-        return here.isNotNull() & ~_is_a(here, "ARRAY") & ~_is_a(here, "STRING")
-    if _sequence(kind):
-        return here.isNotNull() & ~_is_a(here, "ARRAY")
-    if kind in ("string", "bool"):
-        return F.lit(False)
-    return F.coalesce(F.is_variant_null(here), F.lit(False))
-
-
 def _primitive(raw: Column, kind: str) -> tuple[Column, Column]:
     """(value, failed) of one leaf; a missing field takes the type's default, an integer must be in its range."""
     if kind == "string":
@@ -225,54 +188,93 @@ def _primitive(raw: Column, kind: str) -> tuple[Column, Column]:
     return F.coalesce(value, F.lit(0).cast(target)), raw.isNotNull() & F.coalesce(~value.between(low, high), F.lit(True))
 
 
-def _byte_sequence(raw: Column) -> tuple[Column, Column]:
+def _text(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "string")
+
+
+def _both(value: Column, bad: Column) -> Column:
+    return F.struct(value.alias("value"), F.coalesce(bad, F.lit(True)).alias("bad"))
+
+
+def _bytes_read(node: Column) -> Column:
     """Base64 text or a list of numbers."""
-    numbers = F.from_json(raw, "array<int>")
+    numbers = F.try_variant_get(node, "$", "array<int>")
     hexes = F.array_join(F.transform(numbers, lambda n: F.lpad(F.hex(n), 2, "0")), "")
-    value = F.when(F.startswith(raw, F.lit("[")), F.unhex(hexes)).otherwise(F.try_to_binary(raw, F.lit("base64")))
-    return F.coalesce(value, F.lit(b"")), raw.isNotNull() & value.isNull()
+    # a list is no text, and the text of one is no base64
+    value = F.coalesce(F.when(numbers.isNotNull() & ~F.exists(numbers, lambda n: n.isNull()), F.unhex(hexes)), F.try_to_binary(_text(node), F.lit("base64")))
+    return let(value, lambda v: _both(F.coalesce(v, F.lit(b"")), node.isNotNull() & v.isNull()))
 
 
-def _coerce(raw: Column, kind) -> tuple[Column, Column]:
+def _plain_read(node: Column, kind: str) -> Column:
+    """One leaf.  A null number fails; a null text or bool is like a missing one."""
+    null = F.lit(False) if kind in ("string", "bool") else F.coalesce(F.is_variant_null(node), F.lit(False))
+
+    def body(raw: Column) -> Column:
+        value, failed = _primitive(raw, kind)
+        return _both(value, failed | null)
+
+    return let(_text(node), body)
+
+
+def _list_read(node: Column, read: Callable[[Column], Column], length: int | None, typed: str) -> Column:
+    """A list of what ``read`` makes of its items; a missing one is empty, or of defaults if its length is fixed."""
+    items = F.try_variant_get(node, "$", "array<variant>")
+    missing = F.array_repeat(F.lit(None).cast("variant"), length or 0)
+    made = F.transform(F.coalesce(items, missing), read)
+
+    def body(parts: Column) -> Column:
+        bad = F.exists(parts, lambda p: p["bad"]) | (node.isNotNull() & items.isNull())
+        if length is not None:
+            bad = bad | (F.size(parts) != length)
+        return _both(F.transform(parts, lambda p: p["value"]).cast(typed), bad)
+
+    return let(made, body)
+
+
+def _read(node: Column, kind) -> Column:
+    """(value, bad) of a declared kind from one JSON node, a variant: its shape, its leaves and its faults in one pass.
+
+    An object is opened once to a struct of its declared fields' nodes, and each is read from there.  A node that is there
+    and not of the declared kind is bad; a missing field takes its type's default.
+    """
     if isinstance(kind, tuple):
-        parts = [(n, *_coerce(raw[n], k)) for n, k in kind]
-        failed = F.lit(False)
-        for _, _, bad in parts:
-            failed = failed | bad
-        return F.struct(*[v.alias(n) for n, v, _ in parts]), failed
+        opened = F.try_variant_get(node, "$", "struct<" + ",".join(f"`{n}`:variant" for n, _ in kind) + ">")
+
+        def fields(s: Column) -> Column:
+            parts = F.struct(*[_read(s[n], k).alias(n) for n, k in kind])
+
+            def both(p: Column) -> Column:
+                bad = node.isNotNull() & s.isNull()
+                for n, _ in kind:
+                    bad = bad | p[n]["bad"]
+                return _both(F.struct(*[p[n]["value"].alias(n) for n, _ in kind]), bad)
+
+            return let(parts, both)
+
+        return let(opened, fields)
     if isinstance(kind, list):
-        items = F.coalesce(raw, F.array().cast(_raw_type(kind)))
-        inner = tuple(kind)
-        return F.transform(items, lambda e: _coerce(e, inner)[0]), F.exists(items, lambda e: _coerce(e, inner)[1])
+        # an item that is null is no object
+        return _list_read(node, lambda e: let(_read(e, tuple(kind)), lambda p: _both(p["value"], p["bad"] | e.isNull() | F.is_variant_null(e))), None, _typed(kind))
     if _is_bytes(kind):
-        return _byte_sequence(raw)
+        return _bytes_read(node)
     listed = _sequence(kind)
     if listed:
-        element, length = listed
-        items = F.coalesce(raw, F.array_repeat(F.lit(None).cast("string"), length or 0))
-        failed = F.exists(items, lambda e: _primitive(e, element)[1])
-        if element not in ("string", "bool"):
-            failed = failed | (raw.isNotNull() & F.exists(items, lambda e: e.isNull()))
-        if length is not None:
-            failed = failed | (raw.isNotNull() & (F.size(items) != length))
-        return F.transform(items, lambda e: _primitive(e, element)[0]), failed
-    return _primitive(raw, kind)
+        return _list_read(node, lambda e: _plain_read(e, listed[0]), listed[1], _typed(kind))
+    return _plain_read(node, kind)
 
 
 def hydrate(df: DataFrame, message_type: str, fields: Mapping[str, tuple] = MESSAGE_FIELDS) -> DataFrame:
     """``message``: the declared fields of ``msg`` only, coerced to their types; ``_failed`` marks rows that cannot be.
 
     Missing fields take defaults.  A nested value that is not an object, a sequence that is not a list, a null number, a
-    list of another length than a fixed one, and an integer out of range fail the row.
+    list of another length than a fixed one, and an integer out of range fail the row.  The text is parsed once.
     """
     if message_type not in fields:
         raise KeyError(f"no schema for {message_type}")
-    declared = fields[message_type]
-    parsed = with_once(df, "_raw", F.from_json("msg", _raw_type(declared), {"mode": "PERMISSIVE"}))
-    value, failed = _coerce(F.col("_raw"), declared)
-    tree = with_once(parsed.withColumn("message", value), "_tree", F.try_parse_json("msg"))
-    bad = failed | F.col("_tree").isNull() | _misshapen(F.col("_tree"), declared)
-    return tree.withColumn("_failed", F.coalesce(bad, F.lit(True))).drop("_raw", "_tree")
+    parsed = with_once(df, "_tree", F.try_parse_json("msg"))
+    read = with_once(parsed, "_read", _read(F.col("_tree"), fields[message_type]))
+    failed = F.col("_tree").isNull() | F.col("_read.bad")
+    return read.withColumns({"message": F.col("_read.value"), "_failed": F.coalesce(failed, F.lit(True))}).drop("_read", "_tree")
 
 
 def hydrate_good(df: DataFrame, message_type: str) -> DataFrame:
@@ -286,15 +288,6 @@ def hydrate_rejects(df: DataFrame, message_type: str) -> DataFrame:
 # --- conversion --------------------------------------------------------------------------------------------------------
 
 
-def _text_of(declared: tuple) -> Callable[[Column], Column]:
-    """The typed fields of a raw message as JSON text, and whether they could not be read."""
-    def body(raw: Column) -> Column:
-        value, failed = _coerce(raw, declared)
-        return F.struct(F.to_json(value).alias("text"), F.coalesce(failed, F.lit(True)).alias("bad"))
-
-    return body
-
-
 def convert(
     messages: DataFrame, types: Sequence[str], topics: DataFrame | None = None, overrides: Mapping[str, str] | DataFrame | None = None,
     mode: str = "skip", legacy: tuple[str, str] = ("/legacy", "legacy_msgs"), current: tuple[str, str] = ("/mapping", "mapping_msgs"),
@@ -332,11 +325,9 @@ def convert(
     )
     message = F.lit(None).cast("string")
     for name in types:
-        declared = fields[name]
-        raw = F.from_json(F.to_json("_msg"), _raw_type(declared), {"mode": "PERMISSIVE"})
         mine = F.col("_error").isNull() & (F.col("type") == name)
-        parts = let(raw, _text_of(declared))
-        message = F.when(mine, F.when(F.coalesce(_misshapen(F.col("_msg"), declared), F.lit(True)), F.lit(None)).otherwise(F.when(~parts["bad"], parts["text"]))).otherwise(message)
+        text = let(_read(F.col("_msg"), fields[name]), lambda p: F.when(~p["bad"], F.to_json(p["value"])))
+        message = F.when(mine, text).otherwise(message)
     out = with_once(decoded, "message", message)
     reason = F.coalesce("_error", F.when(F.col("message").isNull(), F.concat(F.lit("fields do not fit "), "type")))
     told = out.withColumn("reason", reason).drop("_error", "_msg")
