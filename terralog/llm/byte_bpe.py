@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -30,21 +31,20 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(others)}
 
 
-class Recent:
+class Recent(dict):
     """The ids of what was met lately: a full generation becomes the old one, from which what is met again returns."""
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, size: int, make: Callable[[str], bytes]):
+        self.size, self.make, self.old = size, make, {}
 
     def turn(self) -> None:
-        if len(self.new) > self.size:
-            self.new, self.old = {}, self.new
-
-    def of(self, key: str, make: Callable[[str], bytes]) -> bytes:
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            self.new[key] = found = make(key) if found is None else found
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        self[key] = found = self.make(key) if found is None else found
         return found
 
 
@@ -68,21 +68,21 @@ class UnitEncoder:
         plain = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         self.cut = bool(level and plain and not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and spec["model"]["type"] == "BPE")
         self.added = [t["content"] for t in added]
-        self.letters = _byte_letters()
-        self.words = Recent(WORDS)
+        self.words = Recent(WORDS, self._speller())
+
+    def _speller(self) -> Callable[[str], bytes]:
+        letters, tokenize = _byte_letters(), self.tokenizer.model.tokenize
+
+        def spell(word: str) -> bytes:
+            return array("I", [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        spelt = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+        return spell
 
     def _plain(self, text: str) -> bool:
         return self.cut and _PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
 
     def _spelt(self, text: str) -> bytes:
-        words = _SPLIT.findall(text)
-        for word in set(words).difference(self.words.new):
-            self.words.of(word, self._word)
-        return b"".join(map(self.words.new.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text)))
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -103,4 +103,5 @@ def encoder(path: str) -> UnitEncoder:
     """The worker's encoder for a tokenizer file."""
     if path not in _loaded:
         _loaded[path] = UnitEncoder(path)
+        gc.freeze()  # the words met are many; the collector need not look at them again and again
     return _loaded[path]

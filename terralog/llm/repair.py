@@ -36,8 +36,8 @@ def _round(symbols: np.ndarray, next_symbol: int) -> tuple[np.ndarray, np.ndarra
     named[bins] = keys  # one pair per bin is a candidate; its count is exact
     own = named[bins] == keys
     counts = np.bincount(bins[own], minlength=1 << _HASH_BITS)
-    best = np.argsort(-counts, kind="stable")[:RULES]
-    best = best[counts[best] >= LEAST_USES]
+    best = np.flatnonzero(counts >= LEAST_USES)
+    best = best[np.argsort(-counts[best], kind="stable")[:RULES]]
     if not len(best):
         return symbols, np.zeros((0, 2), np.uint32)
     rule_of = np.full(1 << _HASH_BITS, -1, np.int64)
@@ -73,17 +73,43 @@ def _lengths(symbols: np.ndarray, base: int, rule_lengths: np.ndarray) -> np.nda
     return table[np.where(symbols >= base, symbols.astype(np.int64) - base, len(rule_lengths))]
 
 
-def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """The ids that the symbols stand for; each pass opens one level of rules."""
-    while len(symbols) and int(symbols.max()) >= base:
-        rule = symbols.astype(np.int64) - base
-        opened = rule >= 0
-        ends = np.cumsum(np.where(opened, 2, 1))
-        out = np.empty(int(ends[-1]), np.uint32)
-        out[ends - 1] = np.where(opened, rules[rule * opened, 1] if len(rules) else symbols, symbols)
-        out[ends[opened] - 2] = rules[rule[opened], 0]
-        symbols = out
-    return symbols
+def _flat(base: int, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that each rule stands for, one after the other, and where each begins.
+
+    A rule is written from its two symbols; rules that hold no rule that is still open are written together.
+    """
+    starts = np.cumsum(lengths) - lengths
+    flat, done = np.empty(int(lengths.sum()), np.uint32), np.zeros(len(rules) + 1, bool)
+    done[-1] = True  # plain ids
+    inner = np.where(rules >= base, rules.astype(np.int64) - base, len(rules))
+    left = np.arange(len(rules))
+    while len(left):
+        ready = left[done[inner[left]].all(axis=1)]
+        for side, shift in ((0, 0), (1, _lengths(rules[ready, 0], base, lengths))):
+            symbols, at = rules[ready, side], starts[ready] + shift
+            _write(flat, at, symbols, base, flat, starts, lengths)
+        done[ready] = True
+        left = left[~done[left]]
+    return flat, starts
+
+
+def _write(out: np.ndarray, at: np.ndarray, symbols: np.ndarray, base: int, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+    """Write what each symbol stands for to its place: plain ids themselves, rules from ``flat``."""
+    plain = symbols < base
+    out[at[plain]] = symbols[plain]
+    rule = symbols[~plain].astype(np.int64) - base
+    size = lengths[rule]
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(at[~plain], size) + inside] = flat[np.repeat(starts[rule], size) + inside]
+
+
+def expand(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids that the symbols stand for: each rule is written out once, and then copied wherever it stands."""
+    flat, starts = _flat(base, rules, lengths)
+    sizes = _lengths(symbols, base, lengths)
+    out = np.empty(int(sizes.sum()), np.uint32)
+    _write(out, np.cumsum(sizes) - sizes, symbols, base, flat, starts, lengths)
+    return out
 
 
 def ids_between(base: int, symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
@@ -93,7 +119,7 @@ def ids_between(base: int, symbols: np.ndarray, rules: np.ndarray, lengths: np.n
     ends = np.cumsum(_lengths(symbols, base, lengths))
     first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
     before = int(ends[first - 1]) if first else 0
-    return expand(symbols[first : last + 1], base, rules)[start - before : stop - before]
+    return expand(symbols[first : last + 1], base, rules, lengths)[start - before : stop - before]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -139,7 +165,7 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
         for rows in parts:
             for row in rows.to_pylist():
                 rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
-                ids = expand(np.frombuffer(row["symbols"], "<u4"), row["base"], rules).tobytes()
+                ids = expand(np.frombuffer(row["symbols"], "<u4"), row["base"], rules, np.frombuffer(row["expansions"], "<i8")).tobytes()
                 ends = np.cumsum(row["doc_lengths"])
                 starts = ends - row["doc_lengths"]
                 yield pa.RecordBatch.from_arrays(

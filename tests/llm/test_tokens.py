@@ -65,13 +65,13 @@ def test_repair_round_trip_and_random_access():
     ids = np.concatenate([motifs[k] for k in r.integers(0, 5, 400)] + [r.integers(0, 50000, 500), np.full(999, 7)]).astype(np.uint32)
     base, symbols, rules, lengths = repair.compress(ids)
     assert len(symbols) < len(ids) / 2 and len(rules) == len(lengths)
-    assert repair.expand(symbols, base, rules).tolist() == ids.tolist()
+    assert repair.expand(symbols, base, rules, lengths).tolist() == ids.tolist()
     for _ in range(200):
         a, b = sorted(r.integers(0, len(ids) + 1, 2).tolist())
         assert repair.ids_between(base, symbols, rules, lengths, a, b).tolist() == ids[a:b].tolist()
     for few in ([], [3], [3, 3], [0, 0, 0]):
-        base, symbols, rules, _ = repair.compress(np.array(few, np.uint32))
-        assert repair.expand(symbols, base, rules).tolist() == few
+        base, symbols, rules, lengths = repair.compress(np.array(few, np.uint32))
+        assert repair.expand(symbols, base, rules, lengths).tolist() == few
 
 
 def test_token_files_read_back_in_id_order(spark):
