@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from terralog.functions.names import rewrite_topic, rewrite_type
 from terralog.functions.numeric import let, with_once
 from terralog.functions.stamps import duration_ns, join_stamp
+from terralog.operators.ordered import join_same
 from terralog.schemas import MESSAGE_FIELDS
 
 # --- envelopes ---------------------------------------------------------------------------------------------------------
@@ -403,15 +404,18 @@ def bag_summary(df: DataFrame) -> DataFrame:
 
 
 def session_preview(df: DataFrame, camera_topics: Sequence[str]) -> DataFrame:
-    """Per session: count, its topics in name order, time range, payload of the first camera message."""
-    is_camera = F.col("topic").isin(*camera_topics)
-    return df.groupBy("session_id").agg(
+    """Per session: count, its topics in name order, time range, payload of the first camera message.
+
+    The counts read no payload; pictures come from a scan that the camera filter reaches.
+    """
+    counts = df.groupBy("session_id").agg(
         F.count("*").alias("messages"),
         F.array_sort(F.collect_set("topic")).alias("topics"),
         F.min("stamp_ns").alias("start_ns"),
         F.max("stamp_ns").alias("end_ns"),
-        F.min_by("data", F.when(is_camera, F.struct("stamp_ns", "chunk", "row_id"))).alias("first_image"),
     )
+    pictures = first_image(df, camera_topics).select("session_id", F.col("data").alias("first_image"))
+    return join_same(counts, pictures, ["session_id"])
 
 
 def first_image(df: DataFrame, camera_topics: Sequence[str]) -> DataFrame:

@@ -35,6 +35,18 @@ def join_same(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
+def in_sequence(df: DataFrame, name: str = "position") -> DataFrame:
+    """The rows with their place, from 1, in the order that the frame has.  They are written once in that order; only the
+    row counts of its partitions are summed up, on one task."""
+    rows = freeze(df.withColumn("_mono", F.monotonically_increasing_id()))
+    part = F.shiftright("_mono", 33)
+    counts = rows.groupBy(part.alias("_part")).count()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    placed = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row per partition
+    return placed.withColumn(name, F.col("_base") + F.col("_mono").bitwiseAND((1 << 33) - 1) + 1).drop("_mono", "_part", "_base")
+
+
 class OrderedRows:
     """Rows in order per key; adds columns that look back (or ahead) along that order.
 

@@ -259,14 +259,14 @@ def navsat_messages(t: Tables) -> DataFrame:
 
 
 @query("B11", sql("""
-    SELECT seq, true AS coordinate, vacc >= 0 AS vertical_accuracy, seq % 7 <> 0 AS speed, false AS course,
+    SELECT seq, true AS coordinate, true AS altitude, hacc >= 0 AS horizontal_accuracy, vacc >= 0 AS vertical_accuracy, seq % 7 <> 0 AS speed, seq % 3 = 0 AS speed_accuracy, false AS course, false AS course_accuracy,
            CAST(floor(abs(1700001000000000000 - stamp_ns) / 1e9 + 0.5e0) AS BIGINT) AS age FROM S_fix""", "S_fix"))
 def fix_flags(t: Tables) -> DataFrame:
     c = F.col
     speed = F.when(c("seq") % 7 == 0, F.lit(float("nan"))).otherwise(F.lit(1.5))
-    flags = localization.fix_validity(c("lat"), c("lon"), c("alt"), vertical_accuracy=c("vacc"), speed=speed, course=F.lit(-1.0))
+    flags = localization.fix_validity(c("lat"), c("lon"), c("alt"), horizontal_accuracy=c("hacc"), vertical_accuracy=c("vacc"), speed=speed, speed_accuracy=F.when(c("seq") % 3 == 0, F.lit(0.5)), course=F.lit(-1.0))
     return t.fixes().withColumn("f", flags).select(
-        "seq", "f.coordinate", "f.vertical_accuracy", "f.speed", "f.course", whole(age_seconds(F.lit(1_700_001_000_000_000_000), c("stamp_ns"))).alias("age")
+        "seq", "f.*", whole(age_seconds(F.lit(1_700_001_000_000_000_000), c("stamp_ns"))).alias("age")
     )
 
 

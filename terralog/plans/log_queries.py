@@ -11,8 +11,9 @@ from terralog.functions.binary import base64_text
 from terralog.functions.numeric import sanitize, whole_div
 from terralog.functions.radio import dedup_key
 from terralog.operators import gates, joins, log, quality
+from terralog.operators.ordered import in_sequence
 from terralog.plans.registry import query, sql
-from terralog.plans.views import Tables, nanos
+from terralog.plans.views import Tables, whole
 
 
 # --- envelopes and names -------------------------------------------------------------------------------------------------
@@ -186,9 +187,9 @@ def bag_files(t: Tables) -> DataFrame:
     return log.bag_files(t.msg())
 
 
-@query("D1 F5", sql("SELECT session_id, topic, count(*) AS messages FROM S_msg GROUP BY ALL", "S_msg"))
+@query("D1 F5", sql("SELECT session_id, topic, count(*) AS messages, row_number() OVER (ORDER BY session_id, topic) AS position FROM S_msg GROUP BY session_id, topic", "S_msg"))
 def bag_topics(t: Tables) -> DataFrame:
-    return log.ordered_by_name(log.bag_topics(t.msg()), "session_id", "topic")
+    return in_sequence(log.ordered_by_name(log.bag_topics(t.msg()), "session_id", "topic"))
 
 
 @query("D2 E10 B49", sql("""
@@ -217,12 +218,13 @@ def dry_run(t: Tables) -> DataFrame:
 
 
 @query("D5 I8", sql("""
-    SELECT session_id, topic, messages, bytes, CAST(floor(messages / elapsed * 1e9 + 0.5e0) AS BIGINT) AS nano_hz, CAST(floor(bytes * 8 / elapsed * 1e3 + 0.5e0) AS BIGINT) AS milli_bps
+    SELECT session_id, topic, messages, bytes, CAST(floor(messages / elapsed * 1e9 + 0.5e0) AS BIGINT) AS nano_hz, CAST(floor(bytes * 8 / elapsed * 1e3 + 0.5e0) AS BIGINT) AS milli_bps,
+           CAST(floor(messages / elapsed * 1e3 + 0.5e0) AS BIGINT) AS rate_milli_hz, CAST(floor(bytes * 8 / 1e6 / elapsed * 1e3 + 0.5e0) AS BIGINT) AS kilobit
     FROM (SELECT session_id, topic, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS bytes, (max(stamp_ns) - min(stamp_ns)) / 1e9 AS elapsed FROM S_msg GROUP BY ALL)""", "S_msg"))
 def topic_rates(t: Tables) -> DataFrame:
     out = log.topic_rates(t.msg())
     exact = F.floor(F.col("messages") / F.col("elapsed_s") * F.lit(1e9) + F.lit(0.5)).alias("nano_hz")
-    return out.select("session_id", "topic", "messages", "bytes", exact, F.floor(F.col("bytes") * 8 / F.col("elapsed_s") * F.lit(1e3) + F.lit(0.5)).alias("milli_bps"))
+    return out.select("session_id", "topic", "messages", "bytes", exact, F.floor(F.col("bytes") * 8 / F.col("elapsed_s") * F.lit(1e3) + F.lit(0.5)).alias("milli_bps"), whole(F.col("rate_hz") * 1000).alias("rate_milli_hz"), whole(F.col("mbps") * 1000).alias("kilobit"))
 
 
 @query("E9", sql("""
@@ -233,14 +235,14 @@ def topic_ids(t: Tables) -> DataFrame:
     return log.topic_ids(t.msg())
 
 
-@query("F1", sql("SELECT stamp_ns, chunk, row_id, topic FROM S_msg", "S_msg"))
+@query("F1", sql("SELECT stamp_ns, chunk, row_id, topic, row_number() OVER (ORDER BY stamp_ns, chunk, row_id) AS position FROM S_msg", "S_msg"))
 def merged_chunks(t: Tables) -> DataFrame:
-    return log.merge_chunks(t.msg()).select("stamp_ns", "chunk", "row_id", "topic")
+    return in_sequence(log.merge_chunks(t.msg()).select("stamp_ns", "chunk", "row_id", "topic"))
 
 
-@query("F4", sql(f"SELECT session_id, min(start_ns) AS start_ns FROM ({_FILES}) GROUP BY session_id", "S_msg"))
+@query("F4", sql(f"SELECT session_id, min(start_ns) AS start_ns, row_number() OVER (ORDER BY min(start_ns) DESC, session_id) AS position FROM ({_FILES}) GROUP BY session_id", "S_msg"))
 def recent_sessions(t: Tables) -> DataFrame:
-    return log.recent_sessions(log.bag_summary(t.msg())).select("session_id", "start_ns")
+    return in_sequence(log.recent_sessions(log.bag_summary(t.msg())).select("session_id", "start_ns"))
 
 
 @query("G1", """

@@ -203,13 +203,12 @@ def merged_meshes(t: Tables) -> DataFrame:
 @query("A9 H10", sql(f"""
     SELECT 2 AS section, fid AS position, 'f ' || (a + 1) || ' ' || (b + 1) || ' ' || (c + 1) AS value FROM {_MERGED_FACES}
     UNION ALL SELECT 1, vid + o, printf('v %.6f %.6f %.6f', CAST(CAST(z + mesh_id % 5 AS FLOAT) AS DOUBLE), CAST(CAST(y + 2e0 AS FLOAT) AS DOUBLE), CAST(CAST(3e0 - x AS FLOAT) AS DOUBLE)) FROM S_vertex JOIN {_OFFSETS} USING (mesh_id)
-    UNION ALL SELECT 0, 0, '# vertex_count: ' || (SELECT count(*) FROM S_vertex)""", "S_vertex", "S_face"))
+    UNION ALL SELECT 0, 0, concat_ws(chr(10), '# final overlay mesh', '# source: s', '# coordinate_frame: map', '# captured_at: then', '# vertex_count: ' || (SELECT count(*) FROM S_vertex),
+        '# triangle_count: ' || (SELECT count(*) FROM {_MERGED_FACES}), 'o final_overlay_mesh')""", "S_vertex", "S_face"))
 def obj_lines(t: Tables) -> DataFrame:
     vertex = t.vertices()
     whole, face = mesh.merge_meshes(t.faces(vertex), vertex, _meshes(vertex, None))
-    lines = artifacts.obj_lines(whole.withColumnRenamed("snapshot_id", "mesh_id"), face.withColumnRenamed("snapshot_id", "mesh_id"), "s", "map", "")
-    header = F.regexp_extract("value", r"# vertex_count: \d+", 0)
-    return lines.withColumn("value", F.when(F.col("section") == 0, header).otherwise(F.col("value")))
+    return artifacts.obj_lines(whole.withColumnRenamed("snapshot_id", "mesh_id"), face.withColumnRenamed("snapshot_id", "mesh_id"), "s", "map", "then")
 
 
 @query("A10", sql(f"""

@@ -167,7 +167,9 @@ def converted_colours(t: Tables) -> DataFrame:
 
 
 @query("B12 B13", """
-    SELECT o_orderkey AS seq, CAST(o_custkey AS BIGINT) AS k0, CAST(o_orderkey % 480 AS BIGINT) AS k5, CAST(o_orderkey % 640 AS BIGINT) AS p2, CAST(1 AS BIGINT) AS p10, CAST(o_orderkey % 9 * 25 AS BIGINT) AS c7, CAST(0 AS BIGINT) AS c8
+    SELECT o_orderkey AS seq, o_custkey || ',0,' || o_orderkey % 640 || ',0,590,' || o_orderkey % 480 || ',0,0,1' AS k, '1,0,0,0,1,0,0,0,1' AS r,
+           o_custkey || ',0,' || o_orderkey % 640 || ',0,0,590,' || o_orderkey % 480 || ',0,0,0,1,0' AS p, '0,0,0,0,0' AS d,
+           array_to_string(list_transform(range(36), lambda i: CASE i WHEN 0 THEN 25 WHEN 7 THEN o_orderkey % 9 * 25 WHEN 14 THEN 25 WHEN 21 THEN 4 WHEN 28 THEN 4 WHEN 35 THEN 4 ELSE 0 END), ',') AS covariance
     FROM orders""")
 def camera_messages(t: Tables) -> DataFrame:
     c = F.col
@@ -176,7 +178,8 @@ def camera_messages(t: Tables) -> DataFrame:
         camera.camera_matrices(c("o_custkey").cast("double"), F.lit(590.0), (c("o_orderkey") % 640).cast("double"), (c("o_orderkey") % 480).cast("double")).alias("m"),
         camera.diag_covariance(0.0025, (c("o_orderkey") % 9) / F.lit(400.0), *camera.POSE_DIAGONAL[2:]).alias("v"),
     )
-    return rows.select("seq", *[c(f"m.{x}")[i].cast("bigint").alias(f"{x}{i}") for x, i in (("k", 0), ("k", 5), ("p", 2), ("p", 10))], quantize(c("v")[7]).alias("c7"), quantize(c("v")[8]).alias("c8"))
+    text = {x: F.array_join(c(f"m.{x}").cast("array<bigint>").cast("array<string>"), ",").alias(x) for x in "krpd"}
+    return rows.select("seq", *text.values(), F.array_join(F.transform("v", lambda x: quantize(x).cast("string")), ",").alias("covariance"))
 
 
 _FIT_RAW = _fit("w").replace("CAST(floor((sw * sxy - sx * sy) / d * 1e6 + 0.371931e0) AS BIGINT)", "(sw * sxy - sx * sy) / d")
@@ -232,14 +235,7 @@ def fused_surfels(t: Tables) -> DataFrame:
     return rows.select("session_id", "vx", "vy", "vz", "observation_count", "updated_at", quantize(F.col("confidence")).alias("confidence"), *[_near(F.col(c), 1e5).alias(c) for c in "xyz"], red)
 
 
-@query("D10 H13")
-def surfel_normals(t: Tables) -> DataFrame:
-    """Fused surfels with normals, as preview triangles."""
-    corners = surfel_triangles(_fused(t, 0.5, True))
-    return corners.select("session_id", "vx", "vy", "vz", "corner", *[_near(F.col(c), 1e5).alias(c) for c in "xyz"])
-
-
-@query("D10", sql(f"""
+_BLEND = f"""
     WITH RECURSIVE seen AS MATERIALIZED (
         SELECT session_id, vx, vy, vz, i, dx / l AS ix, dy / l AS iy, dz / l AS iz FROM (
             SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS l, row_number() OVER (PARTITION BY session_id, vx, vy, vz ORDER BY stamp_ns, seq) AS i
@@ -250,12 +246,31 @@ def surfel_normals(t: Tables) -> DataFrame:
         SELECT session_id, vx, vy, vz, i, ux / l, uy / l, uz / l FROM (
             SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS l FROM (
                 SELECT s.session_id, s.vx, s.vy, s.vz, s.i, b.nx * least(b.i, 64) + s.ix AS ux, b.ny * least(b.i, 64) + s.iy AS uy, b.nz * least(b.i, 64) + s.iz AS uz
-                FROM blend b JOIN seen s ON s.session_id = b.session_id AND s.vx = b.vx AND s.vy = b.vy AND s.vz = b.vz AND s.i = b.i + 1)))
+                FROM blend b JOIN seen s ON s.session_id = b.session_id AND s.vx = b.vx AND s.vy = b.vy AND s.vz = b.vz AND s.i = b.i + 1)))"""
+
+
+@query("D10", sql(f"""{_BLEND}
     SELECT session_id, vx, vy, vz, {_qn('arg_max(nx, i)', '1e6')} AS nx, {_qn('arg_max(ny, i)', '1e6')} AS ny, {_qn('arg_max(nz, i)', '1e6')} AS nz FROM blend GROUP BY ALL""", "S_point"))
 def blended_normals(t: Tables) -> DataFrame:
     return _fused(t, 0.5, True).select("session_id", "vx", "vy", "vz", *[_near(F.col(c), 1e6).alias(c) for c in ("nx", "ny", "nz")])
 
 
+_FACE = """,
+    spans AS (
+        SELECT *, hx / h AS tx, hy / h AS ty, hz / h AS tz FROM (SELECT *, sqrt(hx * hx + hy * hy + hz * hz) AS h FROM (
+            SELECT *, CASE WHEN abs(ny) < 0.9e0 THEN nz ELSE 0e0 END AS hx, CASE WHEN abs(ny) < 0.9e0 THEN 0e0 ELSE -nz END AS hy, CASE WHEN abs(ny) < 0.9e0 THEN -nx ELSE ny END AS hz
+            FROM (SELECT session_id, vx, vy, vz, arg_max(nx, i) AS nx, arg_max(ny, i) AS ny, arg_max(nz, i) AS nz FROM blend GROUP BY ALL))))"""
+
+
+@query("D10 H13", sql(f"""{_BLEND}{_FACE}
+    SELECT session_id, vx, vy, vz, corner, {_qn('x + (tx * along + (ny * tz - nz * ty) * across) * 0.045e0', '1e5')} AS x, {_qn('y + (ty * along + (nz * tx - nx * tz) * across) * 0.045e0', '1e5')} AS y, {_qn('z + (tz * along + (nx * ty - ny * tx) * across) * 0.045e0', '1e5')} AS z
+    FROM spans JOIN ({_FUSED.format(voxel='0.5e0')}) USING (session_id, vx, vy, vz), (VALUES (0, 1e0, 0e0), (1, -0.5e0, 0.86e0), (2, -0.5e0, -0.86e0)) k(corner, along, across)""", "S_point"))
+def surfel_normals(t: Tables) -> DataFrame:
+    """Fused surfels with normals, as preview triangles."""
+    corners = surfel_triangles(_fused(t, 0.5, True))
+    return corners.select("session_id", "vx", "vy", "vz", "corner", *[_near(F.col(c), 1e5).alias(c) for c in "xyz"])
+
+
 _UPRIGHT = "abs(ny) < 0.9e0"
 
 
@@ -308,12 +323,11 @@ def final_points(t: Tables) -> DataFrame:
 
 @query("A8", sql("""
     SELECT 1 AS section, frame * 8 + session_id AS position, printf('%.6f %.6f %.6f %d %d %d', CAST(CAST(x AS FLOAT) AS DOUBLE), CAST(CAST(y AS FLOAT) AS DOUBLE), CAST(CAST(z AS FLOAT) AS DOUBLE), r, g, b) AS value FROM S_point
-    UNION ALL SELECT 0, 0, 'element vertex ' || count(*) FROM S_point""", "S_point"))
+    UNION ALL SELECT 0, 0, concat_ws(chr(10), 'ply', 'format ascii 1.0', 'comment final point cloud', 'comment source: s', 'comment coordinate_frame: map', 'comment captured_at: then', 'element vertex ' || count(*),
+        'property float x', 'property float y', 'property float z', 'property uchar red', 'property uchar green', 'property uchar blue', 'end_header') FROM S_point""", "S_point"))
 def ply_lines(t: Tables) -> DataFrame:
     rows = t.points().withColumn("position", F.col("frame") * 8 + F.col("session_id"))
-    lines = artifacts.ply_lines(rows, "position", "s", "map", "")
-    header = F.regexp_extract("value", r"element vertex \d+", 0)
-    return lines.withColumn("value", F.when(F.col("section") == 0, header).otherwise(F.col("value")))
+    return artifacts.ply_lines(rows, "position", "s", "map", "then")
 
 
 @query("A10", sql("""

@@ -57,15 +57,16 @@ def publisher_stats(t: Tables) -> DataFrame:
 
 
 @query("D13", """
-    SELECT session_id, count(*) AS probes, count(*) FILTER (WHERE NOT ok) AS failures, CAST(floor(avg(bytes * n / (greatest(ms, 1e0) / 1000e0)) FILTER (WHERE ok) + 0.371931e0) AS BIGINT) AS mean_rate
-    FROM (SELECT o_custkey % 16 AS session_id, o_orderstatus <> 'F' AS ok, 65536 AS bytes, o_orderkey % 8 + 1 AS n, (o_orderkey % 50) / 4e0 AS ms FROM orders) GROUP BY session_id""")
+    SELECT session_id, count(*) AS probes, count(*) FILTER (WHERE NOT ok) AS failures, CAST(floor(avg(bytes * n / (greatest(ms, 1e0) / 1000e0)) FILTER (WHERE ok) + 0.371931e0) AS BIGINT) AS mean_rate,
+           quantile_disc(rtt, 0.5) FILTER (WHERE ok) AS median_ms, quantile_disc(rtt, 0.95) FILTER (WHERE ok) AS p95_ms
+    FROM (SELECT o_custkey % 16 AS session_id, o_orderstatus <> 'F' AS ok, 65536 AS bytes, o_orderkey % 8 + 1 AS n, (o_orderkey % 50) / 4e0 AS ms, (o_orderkey % 90) / 2e0 AS rtt FROM orders) GROUP BY session_id""")
 def probe_summary(t: Tables) -> DataFrame:
     o = F.col("o_orderkey")
     rows = t.table("orders").select(
         (F.col("o_custkey") % 16).alias("session_id"), (F.col("o_orderstatus") != "F").alias("success"), F.lit(65536).alias("payload_bytes"), (o % 8 + 1).alias("message_count"),
         ((o % 50) / F.lit(4.0)).alias("elapsed_ms"), ((o % 90) / F.lit(2.0)).alias("rtt_ms"),
     )
-    return telemetry.probe_summary(rows).select("session_id", "probes", "failures", F.floor(F.col("mean_rate") + F.lit(0.371931)).alias("mean_rate"))
+    return telemetry.probe_summary(rows).select("session_id", "probes", "failures", F.floor(F.col("mean_rate") + F.lit(0.371931)).alias("mean_rate"), F.col("rtt_ms")[0].alias("median_ms"), F.col("rtt_ms")[1].alias("p95_ms"))
 
 
 @query("D13", """
