@@ -73,6 +73,24 @@ def asof_join(
     )
 
 
+def asof_topics(
+    messages: DataFrame, left: str, right: str, right_cols: Sequence[str], key: Sequence[str] = ("session_id",), stamp: str = "stamp_ns", tie: Sequence[str] = ("row_id",),
+    tolerance=None, width: int | None = BUCKET_NS, block: str | None = None,
+) -> DataFrame:
+    """As-of join of two topics of one message table: each message of ``left`` with the latest one of ``right`` not after it.
+
+    The table is read once, and with ``block`` (``bag.land_ordered``) its rows are not shuffled.
+    """
+    both = messages.filter(F.col("topic").isin(left, right)).withColumn("_side", (F.col("topic") == left).cast("int"))
+    found = F.struct(F.col(stamp).alias("_rts"), *right_cols)
+    rows = OrderedRows(both, key, [stamp, "_side", *tie], width=width, block=block).carry("_match", F.when(F.col("_side") == 0, found)).result()
+    match = F.col("_match")
+    if tolerance is not None:
+        match = F.when(F.col(stamp) - match["_rts"] <= F.lit(tolerance), match)
+    lefts = rows.filter(F.col("_side") == 1).withColumn("_match", match)
+    return lefts.select(*messages.columns, *[F.col(f"_match.{c}").alias(f"right_{c}") for c in right_cols])
+
+
 def pair_stamp(left: DataFrame, right: DataFrame, key: Sequence[str] = ("session_id", "stamp_ns")) -> DataFrame:
     """Messages of two topics that carry the identical header stamp."""
     return left.join(right, list(key))

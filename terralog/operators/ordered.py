@@ -57,17 +57,24 @@ class OrderedRows:
     Where stamps say nothing about how many rows there are, ``limit`` (or the session's ``terralog.hotKeyRows``) states how
     many rows of one key a task may hold instead: rows are counted, range-partitioned on (key, order) and written once
     to the shared folder when the plan is made.  ``bound``, a proven largest number of rows per key, spares that.
+    ``block`` names a column that holds the bucket already, as in a table that is landed by (key, bucket): windows and
+    joins are then on the columns themselves, which must not be null, and rows of such a table are not shuffled again.
     All give the same rows.
     """
 
     def __init__(
-        self, df: DataFrame, key: Sequence[str], order: Sequence[str], limit: int | None = None, bound: int | None = None, width: int | None = None
+        self, df: DataFrame, key: Sequence[str], order: Sequence[str], limit: int | None = None, bound: int | None = None, width: int | None = None,
+        block: str | None = None,
     ):
         self.key, self.order = list(key), list(order)
         limit = limit or hot_rows(df.sparkSession)
-        ranged = limit is not None and not (bound is not None and bound <= limit)
-        self.hot = ranged or width is not None
-        self.blocks = [KEY, BLOCK] if self.hot else self.key
+        ranged = block is None and limit is not None and not (bound is not None and bound <= limit)
+        self.hot = ranged or width is not None or block is not None
+        self.over, self.block = (self.key, block) if block else ([KEY], BLOCK)
+        self.blocks = [*self.over, self.block] if self.hot else self.key
+        if block is not None:
+            self.df = df
+            return
         if ranged:
             parts = df.repartitionByRange(max(2, -(-df.count() // limit)), *self.key, *self.order)
             df = freeze(parts.withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
@@ -84,8 +91,8 @@ class OrderedRows:
         return Window.partitionBy(*self.blocks).orderBy(*cols).rowsBetween(Window.unboundedPreceding, stop)
 
     def _block_window(self, reverse: bool):
-        col = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
-        return Window.partitionBy(KEY).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+        col = F.col(self.block).desc() if reverse else F.col(self.block).asc()
+        return Window.partitionBy(*self.over).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
 
     def _with(self, name: str, local: Column, summary: Column, over_blocks: Column, combine: Callable[[Column, Column], Column]) -> OrderedRows:
         """A column inside blocks, a value per block carried over blocks, and both combined."""
@@ -132,7 +139,7 @@ class OrderedRows:
         if not self.hot:
             self.df = self.df.withColumn(name, F.sum(value).over(Window.partitionBy(*self.key)))
             return self
-        whole = F.sum("_value").over(Window.partitionBy(KEY))
+        whole = F.sum("_value").over(Window.partitionBy(*self.over))
         return self._with(name, F.lit(None), F.sum(value), whole, lambda own, all_of: all_of)
 
     def rank(self, name: str) -> OrderedRows:

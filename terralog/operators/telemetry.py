@@ -151,9 +151,9 @@ def keep_recent(df: DataFrame, group: Sequence[str], source: str, order: Sequenc
     return newest.withColumn("_rank", ranked).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def staleness(df: DataFrame, key: Sequence[str], stamp: str, tie: str, seconds: float = health.STALE_SECONDS, width: int | None = BUCKET_NS) -> DataFrame:
+def staleness(df: DataFrame, key: Sequence[str], stamp: str, tie: str, seconds: float = health.STALE_SECONDS, width: int | None = BUCKET_NS, block: str | None = None) -> DataFrame:
     """Gap to the row before (null on the first) and whether it is longer than ``seconds``."""
-    rows = OrderedRows(df, key, [stamp, tie], width=width).previous("_before", stamp).result()
+    rows = OrderedRows(df, key, [stamp, tie], width=width, block=block).previous("_before", stamp).result()
     gap = (F.col(stamp) - F.col(f"_before.{stamp}")) / F.lit(1e9)
     return rows.withColumn("gap_s", gap).withColumn("stale", F.coalesce(gap > seconds, F.lit(False))).drop("_before")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralog.functions.binary import base64_text
-from terralog.operators import joins, log, quality
+from terralog.operators import joins, log, quality, telemetry
 from terralog.plans.registry import query, sql
 from terralog.plans.views import Tables
 from terralog.session import scratch_path
@@ -98,3 +98,27 @@ def typed_tables(t: Tables) -> DataFrame:
     written = envelopes.write_topics(rows, scratch_path(t.spark, "typed"), ["sensor_msgs/msg/CompressedImage"])
     back = t.spark.read.parquet(written[0])
     return back.select(F.col("session_id").cast("bigint").alias("session_id"), "topic", "stamp_ns", F.col("data").cast("string").alias("image"))
+
+
+# --- landed in order -------------------------------------------------------------------------------------------------------
+
+
+def _in_order(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "ordered")
+    return bag.land_ordered(t.msg(), f"ordered_{path[-32:]}", path, 16, 6 * 3600 * 10**9)
+
+
+@query("A5 C2", sql("""
+    SELECT e.session_id, e.row_id, v.row_id AS right_row_id, v.bytes AS right_bytes FROM (SELECT * FROM S_msg WHERE topic = '/error') e
+    ASOF LEFT JOIN (SELECT * FROM S_msg WHERE topic = '/view') v ON e.session_id = v.session_id AND e.stamp_ns >= v.stamp_ns""", "S_msg"))
+def landed_view_at_error(t: Tables) -> DataFrame:
+    """The last view before each error, from a table landed by session and stretch of time."""
+    rows = joins.asof_topics(_in_order(t), "/error", "/view", ["row_id", "bytes"], block="stretch")
+    return rows.select("session_id", "row_id", "right_row_id", "right_bytes")
+
+
+@query("A5 E13", sql("""
+    SELECT session_id, row_id, stamp_ns - lag(stamp_ns) OVER (PARTITION BY session_id ORDER BY stamp_ns, row_id) > 3600000000000 IS TRUE AS stale FROM S_msg""", "S_msg"))
+def landed_gaps(t: Tables) -> DataFrame:
+    """Silences of an hour, from the same table."""
+    return telemetry.staleness(_in_order(t), ["session_id"], "stamp_ns", "row_id", 3600.0, block="stretch").select("session_id", "row_id", "stale")
