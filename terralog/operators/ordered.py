@@ -51,7 +51,7 @@ class OrderedRows:
     """Rows in order per key; adds columns that look back (or ahead) along that order.
 
     ``order`` must be a total order within the key, so that the result does not depend on partitioning.  ``width`` is a
-    stretch of the first order column, a whole number; rows of a key spread over as many buckets as it spans, and each
+    stretch of the first order column, a whole number (nanoseconds, where it is a time); rows of a key spread over as many buckets as it spans, and each
     bucket should hold what one task can sort.  Without it a key is one plain window, which spills but sorts in one task.
 
     Where stamps say nothing about how many rows there are, ``limit`` (or the session's ``terralog.hotKeyRows``) states how
@@ -79,7 +79,8 @@ class OrderedRows:
             parts = df.repartitionByRange(max(2, -(-df.count() // limit)), *self.key, *self.order)
             df = freeze(parts.withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
         elif width is not None:
-            at = F.col(self.order[0]).cast("bigint")
+            first, kind = F.col(self.order[0]), df.schema[self.order[0]].dataType
+            at = F.unix_micros(first.cast("timestamp")) * 1000 if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else first.cast("bigint")
             df = df.withColumn(BLOCK, F.coalesce(at - F.pmod(at, F.lit(width)), F.lit(-(1 << 63)).cast("bigint")))
         if self.hot:
             # one column that is never null, so that windows and joins on it share a partitioning

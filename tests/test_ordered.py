@@ -260,3 +260,13 @@ def test_top_and_trim_with_a_hot_session(spark):
     for limit in (None, 9):
         assert rows(points.trim_surfels(df, 20, limit=limit).select("vx")) == rows(df.orderBy(F.col("updated_at").desc(), "vx").limit(20).select("vx"))
         assert rows(points.top_surfels_per(df, 20, limit=limit).select("vx")) == rows(points.top_surfels(df, 20).select("vx"))
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "double"])
+def test_stretches_of_times_and_numbers(spark, log, kind):
+    """The first order column may be a time, whose stretches are in nanoseconds, or a number."""
+    frame = spark.createDataFrame(log, "k string, ts bigint, id bigint, v bigint, bytes bigint")
+    ts = F.timestamp_seconds("ts").cast(kind) if kind != "double" else F.col("ts").cast(kind)
+    timed = frame.withColumn("ts", ts)
+    get = lambda w: rows(OrderedRows(timed, ["k"], ["ts", "id"], width=w).previous("b", "id").result().select("id", "b.id"))
+    assert get(40 * 10**9 if kind != "double" else 40) == get(None)
