@@ -233,30 +233,65 @@ STATUS_NAMES = (
 )
 
 
-def status_row(name: str, outcome: Column, values: dict[str, Column]) -> Column:
-    """One named status; the keys are known here, so their order is fixed without sorting at run time."""
+def status_row(name: str, outcome: Column, values: dict[str, Column] | Column) -> Column:
+    """One named status; where the keys are known here, their order is fixed without sorting at run time."""
+    if isinstance(values, Column):
+        return F.struct(F.lit(name).alias("name"), outcome.alias("outcome"), values.alias("values"))
     pairs = [F.struct(F.lit(k).alias("key"), F.coalesce(values[k].cast("string"), F.lit("")).alias("value")) for k in sorted(values)]
     entries = F.array(*pairs) if pairs else F.array().cast("array<struct<key:string,value:string>>")
     return F.struct(F.lit(name).alias("name"), outcome.alias("outcome"), entries.alias("values"))
 
 
+#: Values that each stream adds to the payload status, under its own name.
+METRIC_VALUES = (
+    "message_count", "original_bytes_total", "encoded_bytes_total", "max_encoded_bytes", "last_encoded_bytes", "last_compression", "compression_ratio", "last_recorded_at",
+)
+
+
+def metric_entries(metrics: Column) -> Column:
+    """{key, value} per stream and value of an array of metrics (``stream`` and ``METRIC_VALUES``), sorted by key."""
+    def shown(m: Column, name: str) -> Column:
+        value = F.format_string("%.4f", m[name].cast("double")) if name == "compression_ratio" else m[name].cast("string")
+        return F.struct(F.concat(m["stream"], F.lit(f"_{name}")).alias("key"), F.coalesce(value, F.lit("")).alias("value"))
+
+    pairs = F.flatten(F.transform(metrics, lambda m: F.array(*[shown(m, n) for n in METRIC_VALUES])))
+    return health.status_values(F.map_from_entries(F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>"))))
+
+
 def health_report(ticks: DataFrame) -> DataFrame:
-    """Thirteen named statuses per tick (one input row per session and tick, columns as in ``plans.views.ticks``)."""
+    """Thirteen named statuses per tick (one input row per session and tick, columns as in ``plans.telemetry_queries.ticks``).
+
+    A reading whose column ``ticks`` does not have is shown as an empty value.  ``metrics`` holds an entry per stream.
+    """
     c = F.col
+
+    def known(name: str) -> Column:
+        return F.col(name) if name in ticks.columns else F.lit(None).cast("string")
+
     optional = F.struct(F.lit(0).alias("level"), F.lit("Optional geospatial provider configuration slots available").alias("message"))
     outcomes = (
-        (health.bridge_health(c("connected")), {"connected": c("connected")}),
+        (health.bridge_health(c("connected")), {"connected": c("connected"), "recorder_url": known("recorder_url"), "enabled_streams": known("enabled_streams")}),
         (
             health.queue_health(c("failed"), c("dropped"), c("depth"), c("capacity")),
-            {"capacity": c("capacity"), "depth": c("depth"), "dropped_messages": c("dropped"), "failed_messages": c("failed")},
+            {
+                "capacity": c("capacity"), "depth": c("depth"), "in_flight": known("in_flight"), "sent_messages": known("sent"), "dropped_messages": c("dropped"),
+                "retried_messages": known("retried"), "failed_messages": c("failed"), "last_error": known("queue_error"),
+            },
         ),
         (
             health.buffer_health(c("buffer_dropped"), c("buffer_bytes"), c("buffer_max_bytes"), c("buffer_samples"), c("buffer_replayed")),
-            {"total_bytes": c("buffer_bytes"), "max_total_bytes": c("buffer_max_bytes"), "dropped_samples": c("buffer_dropped"), "replayed_samples": c("buffer_replayed")},
+            {
+                "point_cloud_samples": known("buffer_clouds"), "mesh_samples": known("buffer_meshes"), "total_bytes": c("buffer_bytes"), "max_total_bytes": c("buffer_max_bytes"),
+                "max_point_cloud_samples": known("buffer_max_clouds"), "max_mesh_samples": known("buffer_max_meshes"), "dropped_samples": c("buffer_dropped"),
+                "replayed_samples": c("buffer_replayed"), "last_buffered_at": known("buffered_at"),
+            },
         ),
         (health.bag_health(c("bag_error"), c("recording"), c("bag_enabled")), {"recording": c("recording"), "enabled": c("bag_enabled")}),
-        (health.metrics_health(c("metric_streams")), {"streams": c("metric_streams")}),
-        (health.tile_health(c("tile_error")), {"last_error": c("tile_error")}),
+        (health.metrics_health(c("metric_streams")), metric_entries(c("metrics")) if "metrics" in ticks.columns else {}),
+        (
+            health.tile_health(c("tile_error")),
+            {"running": known("tiles_running"), "last_published_at": known("tiles_published_at"), "publish_interval_seconds": known("tile_interval_s")},
+        ),
         (optional, {}),
         (
             health.gps_health(c("authorization"), c("running"), c("precise"), c("age_s"), c("hacc"), c("heading_available"), c("heading_acc"), c("heading_age_s")),

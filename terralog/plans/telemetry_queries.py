@@ -188,6 +188,18 @@ def ticks(t: Tables) -> DataFrame:
         F.when(e % 4 == 0, "no route").otherwise("").alias("path_reason"), every(5, "monitor failed").alias("path_error"),
         F.when(e % 5 != 2, e % 5 != 0).alias("probe_success"), F.lit("timeout").alias("probe_error"), (e % 300).cast("double").alias("probe_rtt_ms"), (e % 50 * 1024).cast("double").alias("probe_rate"),
         F.lit(None).cast("string").alias("probe_last_error"),
+        # what the statuses show besides
+        F.concat(F.lit("ws://h"), (e % 3).cast("string")).alias("recorder_url"), F.when(e % 2 == 0, "gps,pose").otherwise("pose").alias("enabled_streams"), (e % 4).alias("in_flight"),
+        (e % 1000).alias("sent"), (e % 6).alias("retried"), every(19, "socket closed").alias("queue_error"), (e % 30).alias("buffer_clouds"), (e % 5).alias("buffer_meshes"),
+        F.lit(30).alias("buffer_max_clouds"), F.lit(5).alias("buffer_max_meshes"), every(2, "2024-01-01T00:00:00Z").alias("buffered_at"), (e % 21 != 0).alias("tiles_running"),
+        every(3, "2024-01-02T00:00:00Z").alias("tiles_published_at"), F.lit(60).alias("tile_interval_s"),
+        F.transform(
+            F.slice(F.array(F.lit("camera"), F.lit("lidar")), 1, (e % 3).cast("int")),
+            lambda s: F.struct(
+                s.alias("stream"), (e % 50).alias("message_count"), (e % 50 * 100).alias("original_bytes_total"), (e % 50 * 40).alias("encoded_bytes_total"), (e % 40).alias("max_encoded_bytes"),
+                (e % 39).alias("last_encoded_bytes"), F.lit("zlib").alias("last_compression"), F.lit(2.5).alias("compression_ratio"), F.lit(None).cast("string").alias("last_recorded_at"),
+            ),
+        ).alias("metrics"),
     )
 
 
@@ -236,12 +248,33 @@ def health_messages(t: Tables) -> DataFrame:
 
 @query("B46", """
     SELECT key, count(*) AS entries, CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS total FROM (
-        SELECT unnest(['capacity', 'depth', 'dropped_messages', 'failed_messages']) AS key, unnest([120, event_id % 120, (event_id % 7 = 0)::BIGINT, (event_id % 19 = 0)::BIGINT]) AS value FROM events) GROUP BY key""")
+        SELECT unnest(['capacity', 'depth', 'dropped_messages', 'failed_messages', 'in_flight', 'sent_messages', 'retried_messages']) AS key,
+               unnest([120, event_id % 120, (event_id % 7 = 0)::BIGINT, (event_id % 19 = 0)::BIGINT, event_id % 4, event_id % 1000, event_id % 6]) AS value FROM events) GROUP BY key""")
 def status_entries(t: Tables) -> DataFrame:
-    flat = telemetry.flatten_status(telemetry.health_report(ticks(t)).filter("name = 'mapping/publish_queue'"))
+    flat = telemetry.flatten_status(telemetry.health_report(ticks(t)).filter("name = 'mapping/publish_queue'")).filter("key <> 'last_error'")
     return flat.groupBy("key").agg(F.count("*").alias("entries"), F.sum(F.col("value").cast("bigint")).alias("total"))
 
 
+_SHOWN = """
+    SELECT e AS tick, 'mapping/ros2_bridge' AS name, ['connected', 'enabled_streams', 'recorder_url'] AS keys, [(e % 5 <> 0)::VARCHAR, CASE WHEN e % 2 = 0 THEN 'gps,pose' ELSE 'pose' END, 'ws://h' || (e % 3)] AS vals FROM E
+    UNION ALL SELECT e, 'mapping/publish_queue', ['last_error'], [CASE WHEN e % 19 = 0 THEN 'socket closed' ELSE '' END] FROM E
+    UNION ALL SELECT e, 'mapping/local_sample_buffer',
+        ['dropped_samples', 'last_buffered_at', 'max_mesh_samples', 'max_point_cloud_samples', 'max_total_bytes', 'mesh_samples', 'point_cloud_samples', 'replayed_samples', 'total_bytes'],
+        [(e % 17 = 0)::BIGINT::VARCHAR, CASE WHEN e % 2 = 0 THEN '2024-01-01T00:00:00Z' ELSE '' END, '5', '30', '20000000', (e % 5)::VARCHAR, (e % 30)::VARCHAR, (e % 2)::VARCHAR, (e % 100 * 200000)::VARCHAR] FROM E
+    UNION ALL SELECT e, 'mapping/geotiles', ['last_published_at', 'publish_interval_seconds', 'running'], [CASE WHEN e % 3 = 0 THEN '2024-01-02T00:00:00Z' ELSE '' END, '60', (e % 21 <> 0)::VARCHAR] FROM E
+    UNION ALL SELECT e, 'mapping/stream_payload_metrics', list_transform(k, lambda x: s || '_' || x),
+        ['2.5000', (e % 50 * 40)::VARCHAR, 'zlib', (e % 39)::VARCHAR, '', (e % 40)::VARCHAR, (e % 50)::VARCHAR, (e % 50 * 100)::VARCHAR]
+    FROM E, (VALUES ('camera', 0), ('lidar', 1)) m(s, nth), (SELECT ['compression_ratio', 'encoded_bytes_total', 'last_compression', 'last_encoded_bytes', 'last_recorded_at', 'max_encoded_bytes', 'message_count', 'original_bytes_total'] AS k) WHERE e % 3 > nth"""
+
+
+@query("B54 B46", f"WITH E AS (SELECT event_id AS e FROM events) SELECT tick, name, unnest(keys) AS key, unnest(vals) AS value FROM ({_SHOWN})")
+def status_values_shown(t: Tables) -> DataFrame:
+    """Every value of five statuses: bridge, queue error, buffer, tiles, and the metrics of each stream."""
+    names = ("ros2_bridge", "publish_queue", "local_sample_buffer", "geotiles", "stream_payload_metrics")
+    flat = telemetry.flatten_status(telemetry.health_report(ticks(t)).filter(F.col("name").isin(*[f"mapping/{n}" for n in names])))
+    return flat.filter("name <> 'mapping/publish_queue' OR key = 'last_error'").select("tick", "name", "key", "value")
+
+
 @query("B47 A13", """
     SELECT p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN 'disabled' WHEN p_partkey % 3 = 0 THEN 'missing_credentials' WHEN p_partkey % 5 = 0 THEN 'recording_not_allowed' ELSE 'configured' END AS status FROM part""")
 def provider_states(t: Tables) -> DataFrame:
