@@ -219,14 +219,24 @@ def frame_edges(t: Tables) -> DataFrame:
 @query("B32", sql(f"""
     SELECT session_id, {_q('ox - (-sin(radians(olon)) * omx + cos(radians(olat)) * cos(radians(olon)) * omy + sin(radians(olat)) * cos(radians(olon)) * omz)', '1e2')} AS tx,
            {_q('oy - (cos(radians(olon)) * omx + cos(radians(olat)) * sin(radians(olon)) * omy + sin(radians(olat)) * sin(radians(olon)) * omz)', '1e2')} AS ty,
-           {_q('oz - (sin(radians(olat)) * omy - cos(radians(olat)) * omz)', '1e2')} AS tz
+           {_q('oz - (sin(radians(olat)) * omy - cos(radians(olat)) * omz)', '1e2')} AS tz,
+           {_q('-sin(radians(olon))', '1e3')} AS r00, {_q('cos(radians(olon))', '1e3')} AS r10, CAST(0 AS BIGINT) AS r20,
+           {_q('sin(radians(olat)) * cos(radians(olon))', '1e3')} AS r02, {_q('sin(radians(olat)) * sin(radians(olon))', '1e3')} AS r12, {_q('-cos(radians(olat))', '1e3')} AS r22
     FROM (SELECT *, {_ECEF.format(lat='olat', lon='olon', alt='oalt', p='o')} FROM ({_ORIGIN}))""", "S_fix", "S_pose"))
 def earth_to_map_frames(t: Tables) -> DataFrame:
     o = F.col("origin")
     origins = geo.first_origin(geo.with_pose(t.fixes(), t.poses()))
     at = F.struct(o["mx"].alias("x"), o["my"].alias("y"), o["mz"].alias("z"))
     frame = geodesy.earth_to_map(o["lat"], o["lon"], geodesy.to_ecef(o["lat"], o["lon"], o["alt"]), at)
-    return origins.withColumn("f", frame).select("session_id", *[quantize(F.col(f"f.{c}"), 1e2).alias(c) for c in ("tx", "ty", "tz")])
+    x, y, z, w = (F.col(f"f.rotation.q{c}") for c in "xyzw")
+    # two axes that the rotation gives, which hold all of it
+    axes = {
+        "r00": 1 - 2 * (y * y + z * z), "r10": 2 * (x * y + z * w), "r20": 2 * (x * z - y * w),
+        "r02": 2 * (x * z + y * w), "r12": 2 * (y * z - x * w), "r22": 1 - 2 * (x * x + y * y),
+    }
+    return origins.withColumn("f", frame).select(
+        "session_id", *[quantize(F.col(f"f.{c}"), 1e2).alias(c) for c in ("tx", "ty", "tz")], *[quantize(v, 1e3).alias(n) for n, v in axes.items()]
+    )
 
 
 @query("E5", sql(f"""
