@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terralog.functions.numeric import fixed
+
 STALE_SECONDS = 10.0
 POOR_ACCURACY_M = 25.0
 POOR_HEADING_DEG = 45.0
@@ -149,7 +151,7 @@ def probe_health(running: Column, success: Column, error: Column, rtt_ms: Column
             (success.isNull(), 1, F.coalesce(last_error, F.lit("Waiting for recorder endpoint probe"))),
             (_not(success), 1, F.concat(F.lit("Recorder endpoint probe failed: "), error)),
         ],
-        (0, F.format_string("Recorder RTT %.1f ms, upload %.1f KB/s", rtt_ms, rate / F.lit(1024.0))),
+        (0, F.concat(F.lit("Recorder RTT "), fixed(rtt_ms, 1), F.lit(" ms, upload "), fixed(rate / F.lit(1024.0), 1), F.lit(" KB/s"))),
     )
 
 

@@ -43,6 +43,36 @@ def whole_div(value: Column, by: int | Column) -> Column:
     return F.call_function("div", value, by if isinstance(by, Column) else F.lit(by))
 
 
+def fixed(value: Column, digits: int = 6) -> Column:
+    """A double with ``digits`` decimals, six at most, as C prints it: its exact value is rounded, exact ties go to the even
+    digit.  ``format_string`` rounds the shortest decimal that names the double, half up; it still writes what is not
+    finite or has no fraction left (2^53 and more).
+    """
+    value, scale, cut = value.cast("double"), 10**digits, F.lit(float(1 << 26))
+
+    def rounded(whole: Column, count: Column) -> Column:
+        text = whole_div(count, scale) + whole, F.lpad((count % scale).cast("string"), digits, "0")
+        return F.concat(F.when(F.startswith(value.cast("string"), F.lit("-")), "-").otherwise(""), text[0].cast("string"), F.lit("."), text[1])
+
+    def digits_of(part: Column, whole: Column) -> Column:
+        # both halves of the fraction are short enough to be multiplied without rounding
+        high = F.floor(part * cut) / cut
+        return let(
+            F.struct((high * F.lit(float(scale))).alias("a"), ((part - high) * F.lit(float(scale))).alias("b")),
+            lambda s: let(
+                F.struct(F.floor(s["a"]).alias("n"), (s["a"] - F.floor(s["a"]) + s["b"]).alias("r")),
+                lambda s: let(
+                    F.struct((s["n"] + F.floor(s["r"])).alias("n"), (s["r"] - F.floor(s["r"])).alias("r")),
+                    lambda s: rounded(whole, s["n"] + F.when((s["r"] > 0.5) | ((s["r"] == 0.5) & (s["n"] % 2 == 1)), 1).otherwise(0)),
+                ),
+            ),
+        )
+
+    size = F.abs(value)
+    exact = F.when(size < F.lit(float(1 << 53)), let(F.floor(size), lambda whole: let(size - whole, lambda part: digits_of(part, whole))))
+    return F.coalesce(exact, F.format_string(f"%.{digits}f", value))
+
+
 def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that is computed once per row.
 

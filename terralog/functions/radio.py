@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralog.functions.numeric import finite_or
+from terralog.functions.numeric import finite_or, fixed
 
 SCHEMA_VERSION = 1
 
@@ -60,7 +60,7 @@ def path_quality(status: Column) -> Column:
 
 
 def dedup_key(channel: Column, kind: Column, source: Column, seconds: Column) -> Column:
-    return F.concat_ws(":", channel, kind, source, F.format_string("%.6f", seconds))
+    return F.concat_ws(":", channel, kind, source, fixed(seconds))
 
 
 def _default(kind: str, value: object) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terralog.functions.numeric import whole_div
+from terralog.functions.numeric import fixed, whole_div
 
 # Fixed values of the web-mercator scheme.
 MAX_LATITUDE = 85.05112878
@@ -74,7 +74,7 @@ def tile_bounds_3857(key: Column) -> Column:
 
 
 def bbox_param(bounds: Column) -> Column:
-    return F.format_string("%.6f,%.6f,%.6f,%.6f", bounds["min_x"], bounds["min_y"], bounds["max_x"], bounds["max_y"])
+    return F.concat_ws(",", *[fixed(bounds[c]) for c in ("min_x", "min_y", "max_x", "max_y")])
 
 
 def tile_date(stamp: Column, offset_days: Column) -> Column:

@@ -20,6 +20,7 @@ from terralog.dimensions import (
 )
 from terralog.functions import health
 from terralog.functions.localization import global_quality, indoor_quality, quality_label, source_score
+from terralog.functions.numeric import fixed
 from terralog.operators.ordered import BUCKET_NS, OrderedRows
 
 GRAVITY = 9.81
@@ -251,7 +252,7 @@ METRIC_VALUES = (
 def metric_entries(metrics: Column) -> Column:
     """{key, value} per stream and value of an array of metrics (``stream`` and ``METRIC_VALUES``), sorted by key."""
     def shown(m: Column, name: str) -> Column:
-        value = F.format_string("%.4f", m[name].cast("double")) if name == "compression_ratio" else m[name].cast("string")
+        value = fixed(m[name], 4) if name == "compression_ratio" else m[name].cast("string")
         return F.struct(F.concat(m["stream"], F.lit(f"_{name}")).alias("key"), F.coalesce(value, F.lit("")).alias("value"))
 
     pairs = F.flatten(F.transform(metrics, lambda m: F.array(*[shown(m, n) for n in METRIC_VALUES])))
