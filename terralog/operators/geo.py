@@ -12,7 +12,7 @@ from terralog.functions import geodesy, tiles
 from terralog.functions.binary import base64_text
 from terralog.functions.numeric import finite_or, is_finite
 from terralog.operators.joins import asof_join, asof_rows
-from terralog.operators.ordered import BUCKET_NS, OrderedRows
+from terralog.operators.ordered import BUCKET_NS, OrderedRows, quantile_of, ranked_values
 
 MAX_ORIGIN_ACCURACY_M = 25.0
 
@@ -288,6 +288,7 @@ def alignment_residuals(fixes: DataFrame, poses: DataFrame, key: Sequence[str] =
     distance = F.sqrt(
         F.pow(F.col("map.x") - F.col("_px"), 2) + F.pow(F.col("map.y") - F.col("_py"), 2) + F.pow(F.col("map.z") - F.col("_pz"), 2)
     )
-    return both.filter(F.col("_px").isNotNull()).withColumn("_d", distance).groupBy(*key).agg(
-        F.count("*").alias("fixes"), F.avg("_d").alias("mean_m"), F.percentile_approx("_d", 0.95, 10000).alias("p95_m")
+    ranked = ranked_values(both.withColumn("_d", distance).select(*key, "_d"), key, "_d")
+    return ranked.groupBy(*key).agg(
+        F.sum("n").alias("fixes"), (F.sum(F.col("_d") * F.col("n")) / F.sum("n")).alias("mean_m"), quantile_of("_d", "0.95").alias("p95_m")
     )
