@@ -21,7 +21,7 @@ from terralog.dimensions import (
 from terralog.functions import health
 from terralog.functions.localization import global_quality, indoor_quality, quality_label, source_score
 from terralog.functions.numeric import fixed
-from terralog.operators.ordered import BUCKET_NS, OrderedRows
+from terralog.operators.ordered import BUCKET_NS, OrderedRows, join_same, quantile_of, ranked_values
 
 GRAVITY = 9.81
 THERMAL_INTERVALS = {"nominal": 0.1, "fair": 0.1, "serious": 0.25, "critical": 0.5}
@@ -100,14 +100,17 @@ def probe_throughput(df: DataFrame) -> DataFrame:
 
 
 def probe_summary(df: DataFrame) -> DataFrame:
-    """Per session: probes, failures, mean rate and round-trip quantiles of the successful ones."""
+    """Per session: probes, failures, mean rate and exact round-trip quantiles (half, 95 %) of the successful ones."""
     ok = F.col("success")
-    return probe_throughput(df).groupBy("session_id").agg(
+    rates = probe_throughput(df)
+    sums = rates.groupBy("session_id").agg(
         F.count("*").alias("probes"),
         F.count_if(~ok).alias("failures"),
         F.avg(F.when(ok, F.col("rate"))).alias("mean_rate"),
-        F.percentile_approx(F.when(ok, F.col("rtt_ms")), [0.5, 0.95], 10000).alias("rtt_ms"),
     )
+    trips = ranked_values(rates.filter(ok).select("session_id", "rtt_ms"), ["session_id"], "rtt_ms")
+    quantiles = trips.groupBy("session_id").agg(F.array(quantile_of("rtt_ms", "0.5"), quantile_of("rtt_ms", "0.95")).alias("rtt_ms"))
+    return join_same(sums, quantiles, ["session_id"])
 
 
 def bytes_by_kind(files: DataFrame) -> DataFrame:

@@ -18,3 +18,17 @@ def test_fixed_is_exact(spark, digits):
     df = spark.createDataFrame(list(enumerate(values)), "i int, v double").repartition(2)
     got = {x["i"]: x["t"] for x in df.select("i", fixed(F.col("v"), digits).alias("t")).collect()}
     assert [got[i] for i in range(len(values))] == [f"%.{digits}f" % v for v in values]
+
+
+def test_quantiles_are_exact(spark):
+    r = random.Random(5)
+    # more distinct values than an approximate quantile keeps
+    trips = {1: [r.expovariate(0.01) for _ in range(60_001)], 2: [float(r.randrange(3)) for _ in range(1000)], 3: [-5.0, 0.0, 1e-300, math.inf]}
+    data = [(k, True, v) for k, values in trips.items() for v in values] + [(1, False, 9e9), (4, False, 1.0)]
+    df = spark.createDataFrame(data, "session_id int, success boolean, rtt_ms double").repartition(6)
+    full = df.withColumns({"payload_bytes": F.lit(8.0), "message_count": F.lit(1), "elapsed_ms": F.lit(2.0)})
+    got = {x["session_id"]: x for x in telemetry.probe_summary(full).collect()}
+    for k, values in trips.items():
+        values = sorted(values)
+        assert got[k]["rtt_ms"] == [values[math.ceil(len(values) * p / 100) - 1] for p in (50, 95)]
+    assert got[4]["rtt_ms"] is None and got[1]["failures"] == 1 and got[1]["probes"] == 60_002
