@@ -156,21 +156,14 @@ def merged_surfels(live: DataFrame, arrived: DataFrame, voxel: float, order: Seq
     state = touched.withColumn("_order", F.lit(None).cast(new.schema["_order"].dataType))  # null: in front
 
     def fold(held, rows: pa.RecordBatch):
-        counts = rows.column("observation_count").to_pylist()
-        stamps = rows.column("updated_at").to_pylist()
-        n, mean, normal, stamp = held or (0, None, None, None)
-        values = np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in _MEANS], axis=1)
-        ways = np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in _NORMAL], axis=1)
-        for count, at, value, way in zip(counts, stamps, values, ways):
-            if count is not None:
-                n, mean, normal = count, value, way
-            else:
-                weight = min(n, points.FUSION_CAP)
-                mean = value if n == 0 else (mean * weight + value) / (weight + 1)
-                normal = way if n == 0 else points.unit(normal * weight + way)
-                n += 1
-            stamp = at
-        return (n, mean, normal, stamp), _surfel_row(rows, cell, mean, normal, n, stamp)
+        values = list(zip(*[rows.column(c).to_pylist() for c in _MEANS]))
+        ways = list(zip(*[rows.column(c).to_pylist() for c in _NORMAL]))
+        count = rows.column("observation_count")[0].as_py()
+        # the cell's state, if there is one, is its first row
+        state, at = (held, 0) if count is None else ((count, values[0], ways[0]), 1)
+        n, mean, normal = points.fold_observations(state or (0, None, None), values[at:], ways[at:])
+        stamp = rows.column("updated_at")[rows.num_rows - 1].as_py()
+        return (n, mean, normal), _surfel_row(rows, cell, mean, normal, n, stamp)
 
     # a cell that goes on from one Arrow batch to the next gives a row in each; the one of most observations is the last
     folded = key_stream(state.unionByName(new), cell, ["_order"], fold, schema)

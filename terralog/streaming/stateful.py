@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from terralog.functions import geodesy
-from terralog.operators.points import FUSION_CAP, VOXEL, unit, voxel_columns
+from terralog.operators.points import VOXEL, fold_observations, units, voxel_columns
 from terralog.streaming.stateless import event_time
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -166,17 +166,10 @@ class _Surfel(_JsonState):
         self.key, self.voxel = key, voxel
 
     def advance(self, state, rows):
-        n, mean, normal, updated = state or [0, None, None, 0]
         observed = rows[["x", "y", "z", "r", "g", "b"]].to_numpy(dtype=float)
-        delta = rows[["ox", "oy", "oz"]].to_numpy(dtype=float) - observed[:, :3]
-        for value, towards in zip(observed, delta):
-            incoming = unit(towards)
-            weight = min(n, FUSION_CAP)
-            mean = value if n == 0 else (np.asarray(mean) * weight + value) / (weight + 1)
-            normal = incoming if n == 0 else unit(np.asarray(normal) * weight + incoming)
-            n += 1
+        ways = units(rows[["ox", "oy", "oz"]].to_numpy(dtype=float) - observed[:, :3])
+        n, mean, normal = fold_observations((state or [0, None, None])[:3], observed.tolist(), ways.tolist())
         updated = int(rows["stamp_ns"].iloc[-1])
-        mean, normal = [float(v) for v in mean], [float(v) for v in normal]
         out = rows.iloc[:1][self.key].assign(
             **dict(zip(("x", "y", "z"), mean[:3])),
             **{c: int(max(0.0, min(255.0, np.floor(v + 0.5)))) for c, v in zip("rgb", mean[3:])},
@@ -190,7 +183,8 @@ def stream_surfels(points: DataFrame, voxel: float = 0.04, order: Sequence[str]
     """Fused surfel of each cell that a batch touched (update rows).  ``points.trim_surfels`` over the newest row per
     cell enforces the cap in ``foreachBatch``."""
     finite = points.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xyz"))
-    cells = finite.withColumns(voxel_columns(voxel))
+    used = dict.fromkeys([*key, *order, "stamp_ns", *"xyzrgb", "ox", "oy", "oz"])
+    cells = finite.select(*used).withColumns(voxel_columns(voxel))
     fields = [cells.schema[c] for c in (*key, *VOXEL)]
     fields += [T.StructField(c, T.DoubleType()) for c in "xyz"] + [T.StructField(c, T.LongType()) for c in "rgb"]
     fields += [T.StructField(c, T.DoubleType()) for c in ("nx", "ny", "nz")]
@@ -270,16 +264,18 @@ class _Published(StatefulProcessor):
         ordered = _ordered(iter(parts), [self.order[0], "plain_row", *self.order[1:]])
         if ordered.empty:
             return
-        run = ordered["is_reset"].cumsum()
-        for number, part in ordered.groupby(run, sort=True):
-            if number > 0 and part["is_reset"].iloc[0]:
-                self.seen.clear()
-            fresh = part[part["plain_row"]].drop_duplicates(self.name)
-            new = [not self.seen.containsKey((k,)) for k in fresh[self.name]]
-            for k in fresh[self.name][new]:
-                self.seen.updateValue((k,), (True,))
-            if any(new):
-                yield fresh[new][self.kept]
+        run = ordered["is_reset"].astype(bool).cumsum()
+        plain = ordered["plain_row"]
+        fresh = ordered[plain].assign(run_number=run[plain]).drop_duplicates(["run_number", self.name])
+        # what was told before counts until the first reset of the batch; what counts after the batch is told since its last
+        last = int(run.iloc[-1])
+        new = np.array([n > 0 or not self.seen.containsKey((k,)) for n, k in zip(fresh["run_number"], fresh[self.name])], dtype=bool)
+        if last > 0:
+            self.seen.clear()
+        for k in fresh[self.name][new & (fresh["run_number"] == last).to_numpy()]:
+            self.seen.updateValue((k,), (True,))
+        if new.any():
+            yield fresh[new][self.kept]
 
     def close(self) -> None:
         pass

@@ -1,13 +1,17 @@
-"""Numbers as text against Python's formatting, which is C's; exact quantiles against sorted lists."""
+"""Numbers as text against Python's formatting, which is C's; exact quantiles against sorted lists; folds of streams
+against plain loops."""
 
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from terralog.functions.numeric import fixed
-from terralog.operators import telemetry
+from terralog.operators import points, telemetry
+from terralog.streaming import stateful
 
 
 @pytest.mark.parametrize("digits", [1, 4, 6])
@@ -32,3 +36,53 @@ def test_quantiles_are_exact(spark):
         values = sorted(values)
         assert got[k]["rtt_ms"] == [values[math.ceil(len(values) * p / 100) - 1] for p in (50, 95)]
     assert got[4]["rtt_ms"] is None and got[1]["failures"] == 1 and got[1]["probes"] == 60_002
+
+
+class _Seen:
+    """Map state that counts its calls."""
+
+    def __init__(self):
+        self.keys, self.calls = set(), 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.keys
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.keys.add(key)
+
+    def clear(self):
+        self.calls += 1
+        self.keys.clear()
+
+
+def test_resets_inside_a_batch_do_not_touch_the_state():
+    seen = _Seen()
+    part = stateful._Published(["seq"], "key_text", ["seq", "key_text"])
+    part.seen, told, want = seen, [], []
+    held = set()
+    for batch in range(3):
+        data = [(s, s % 5 == 4, None if s % 5 == 4 else "abc"[s * 7 % 3]) for s in range(batch * 1002, batch * 1002 + 1002)]
+        for s, is_reset, k in data:
+            held, new = (set(), False) if is_reset else (held | {k}, k not in held)
+            want += [s] if new else []
+        told += [s for out in part.handleInputRows(("s",), iter([pd.DataFrame(data, columns=["seq", "is_reset", "key_text"])]), None) for s in out["seq"]]
+    assert sorted(told) == want and seen.keys == {(k,) for k in held}
+    assert seen.calls <= 3 * (3 + 1 + 3)  # looked up, forgotten, told: not once per reset
+
+
+def test_fused_observations_follow_the_rule():
+    r = np.random.default_rng(3)
+    values, towards = r.uniform(-9, 9, (200, 6)), r.uniform(-1, 1, (200, 3))
+    towards[5], towards[90] = 0.0, np.inf
+    ways = points.units(towards)
+    unit = lambda v: v / np.sqrt(v @ v) if np.isfinite(v).all() and v @ v > 1e-12 else np.array([0.0, 1.0, 0.0])
+    assert np.allclose(ways, [unit(v) for v in towards], rtol=1e-14, atol=0)
+    mean, normal = values[0], ways[0]
+    for n in range(1, 200):
+        w = min(n, points.FUSION_CAP)
+        mean, normal = (mean * w + values[n]) / (w + 1), unit(normal * w + ways[n])
+    state = points.fold_observations((0, None, None), values[:70].tolist(), ways[:70].tolist())
+    n, means, way = points.fold_observations(state, values[70:].tolist(), ways[70:].tolist())
+    assert n == 200 and np.allclose(means, mean, rtol=1e-12) and np.allclose(way, normal, rtol=1e-12)
