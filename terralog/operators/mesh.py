@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terralog.functions import camera
 from terralog.functions.numeric import finite_or, is_finite, whole_div
-from terralog.operators.ordered import OrderedRows
+from terralog.operators.ordered import BUCKET_ROWS, OrderedRows
 from terralog.operators.payloads import envelope_base, fit_snapshot, pack_rows
 from terralog.session import freeze
 
@@ -87,12 +87,13 @@ def _corners(face: DataFrame, *more: str) -> DataFrame:
 
 def face_vertices(face: DataFrame, vertex: DataFrame) -> DataFrame:
     """Each face ``(mesh_id, fid, a, b, c)`` with its three points ``p0, p1, p2``; a face with a missing vertex is left out."""
-    found = _corners(face).join(vertex.select("mesh_id", "vid", "x", "y", "z"), ["mesh_id", "vid"])
-    # plain numbers, so that the aggregation is a hash aggregation
-    at = [F.max(F.when(F.col("corner") == i, F.col(v))).alias(f"_{v}{i}") for i in range(3) for v in ("vid", *"xyz")]
-    wide = found.groupBy("mesh_id", "fid").agg(F.count("*").alias("_k"), *at).filter("_k = 3")
+    # one join per corner: a face travels three times as one row, not as three rows and once more to be put together
+    wide = face.select("mesh_id", "fid", *"abc")
+    at = vertex.select("mesh_id", "vid", "x", "y", "z")
+    for i, corner in enumerate("abc"):
+        wide = wide.join(at.withColumnsRenamed({"vid": corner, **{v: f"_{v}{i}" for v in "xyz"}}), ["mesh_id", corner])
     points = [F.struct(*[F.col(f"_{v}{i}").alias(v) for v in "xyz"]).alias(f"p{i}") for i in range(3)]
-    return wide.select("mesh_id", "fid", *[F.col(f"_vid{i}").alias(x) for i, x in enumerate("abc")], *points)
+    return wide.select("mesh_id", "fid", *"abc", *points)
 
 
 def mesh_stats(face: DataFrame, vertex: DataFrame, published: DataFrame | None = None, key: Sequence[str] = ("session_id",)) -> DataFrame:
@@ -244,19 +245,31 @@ def merge_meshes(face: DataFrame, vertex: DataFrame, meshes: DataFrame, limit: i
     index is dropped from the index list, and the list is then read in threes again."""
     counts = vertex_counts(vertex).join(face.select("mesh_id").distinct(), "mesh_id", "left_semi")
     usable = meshes.join(counts, "mesh_id")
-    # vertices of the meshes before; one row per mesh, read by both results below
-    ends = OrderedRows(usable, ["snapshot_id"], ["mesh_order"], limit).cumulative("_o", F.col("vertices")).result()
-    offsets = ends.withColumn("_o", F.col("_o") - F.col("vertices"))
+    # good corners up to each face of its mesh, counted in stretches of faces; a mesh is then one row of its totals
+    listed = F.array(*[F.col(x) for x in "abc"])
+    inside = F.filter(listed, lambda v: (v >= 0) & (v < F.col("vertices"))).alias("_good")
+    sized = face.join(counts, "mesh_id").select("mesh_id", "fid", inside)
+    walked = OrderedRows(sized, ["mesh_id"], ["fid"], limit, width=BUCKET_ROWS).cumulative("_i", F.size("_good").cast("bigint")).result()
+    per_mesh = sized.groupBy("mesh_id").agg(F.sum(F.size("_good")).alias("_corners"))
+    ends = OrderedRows(usable.join(per_mesh, "mesh_id"), ["snapshot_id"], ["mesh_order"], limit)
+    ends = ends.cumulative("_o", F.col("vertices")).cumulative("_c", F.col("_corners")).result()
+    offsets = ends.withColumns({"_o": F.col("_o") - F.col("vertices"), "_c": F.col("_c") - F.col("_corners")})
     moved = vertex.join(offsets.select("snapshot_id", "mesh_id", "m", "_o"), "mesh_id")
     world = camera.to_map(F.struct("x", "y", "z"), F.col("m"))
     out_vertex = moved.select("snapshot_id", (F.col("vid") + F.col("_o")).alias("vid"), world.alias("_w")).select("snapshot_id", "vid", "_w.*")
-    index = _corners(face).join(offsets.select("snapshot_id", "mesh_id", "mesh_order", "vertices", "_o"), "mesh_id")
-    good = index.filter((F.col("vid") >= 0) & (F.col("vid") < F.col("vertices")))
-    ranked = OrderedRows(good, ["snapshot_id"], ["mesh_order", "fid", "corner"], limit).rank("_i").result()
-    place = F.col("_i") - 1
-    rows = ranked.select("snapshot_id", whole_div(place, 3).alias("fid"), (place % 3).alias("k"), (F.col("vid") + F.col("_o")).alias("v"))
-    corners = [F.max(F.when(F.col("k") == i, F.col("v"))).alias(x) for i, x in enumerate("abc")]
-    out_face = rows.groupBy("snapshot_id", "fid").agg(*corners).filter("a is not null and b is not null and c is not null")
+    # a face's good corners are neighbours in the list: they fall into two new faces at most, which are put together by their place
+    placed = walked.join(offsets.select("snapshot_id", "mesh_id", "_o", "_c"), "mesh_id").filter(F.size("_good") > 0)
+    placed = placed.select("snapshot_id", "_o", "_good", (F.col("_c") + F.col("_i") - F.size("_good")).alias("_p"))
+    first = whole_div(F.col("_p"), 3)
+
+    def corner(fid: Column, k: int) -> Column:
+        at = fid * 3 + k - F.col("_p")
+        return F.when((at >= 0) & (at < F.size("_good")), F.get("_good", at.cast("int")) + F.col("_o"))
+
+    parts = F.sequence(first, whole_div(F.col("_p") + F.size("_good") - 1, 3))
+    rows = placed.select("*", F.explode(parts).alias("fid"))
+    rows = rows.select("snapshot_id", "fid", *[corner(F.col("fid"), k).alias(x) for k, x in enumerate("abc")])
+    out_face = rows.groupBy("snapshot_id", "fid").agg(*[F.max(x).alias(x) for x in "abc"]).filter("a is not null and b is not null and c is not null")
     return out_vertex, out_face
 
 
