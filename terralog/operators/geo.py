@@ -234,17 +234,32 @@ def tile_requests(fixes: DataFrame, providers: Sequence[dict] = PROVIDERS, regio
         *fixes.columns,
         p["kind"].alias("kind"), p["name"].alias("provider"), p["layer"].alias("layer"), F.coalesce("date", F.lit("static")).alias("date"),
         key["z"].alias("z"), key["x"].alias("x"), key["y"].alias("y"), "key", p.alias("p"),
-        tiles.tile_bounds(key).alias("bounds"),
-        tiles.tile_pixel(F.col("lat"), F.col("lon"), key, p["tile_size"]).alias("pixel"),
-        tiles.tile_source(p["template"], key, F.col("date")).alias("source"),
-        tiles.tile_cache_path(p["name"], p["layer"], F.col("date"), key, p["extension"]).alias("path"),
-        tiles.tile_id(p["kind"], p["name"], p["layer"], F.col("date"), key).alias("id"),
+        tiles.tile_pixel(F.col("lat"), F.col("lon"), key, p["tile_size"]).alias("pixel"), *_tile_text(p, key, F.col("date")),
     )
 
 
+def _tile_text(p: Column, key: Column, date: Column) -> list[Column]:
+    """Bounds, request text, cache path and id of a provider's tile; ``date`` is null where the provider has none."""
+    return [
+        tiles.tile_bounds(key).alias("bounds"),
+        tiles.tile_source(p["template"], key, date).alias("source"),
+        tiles.tile_cache_path(p["name"], p["layer"], date, key, p["extension"]).alias("path"),
+        tiles.tile_id(p["kind"], p["name"], p["layer"], date, key).alias("id"),
+    ]
+
+
 def tile_records(requests: DataFrame) -> DataFrame:
-    """Cached-tile table: one record per tile id."""
-    flat = requests.select(
+    """Cached-tile table: one record per tile id.
+
+    Tiles are told apart by provider, date and key first, as numbers and a date that are hashed before the shuffle; only what is left
+    gets its texts.  The providers are those that occur in the requests.
+    """
+    providers = requests.select("p").distinct().withColumn("_name", F.xxhash64("p"))
+    tiles_of = requests.select(F.xxhash64("p").alias("_name"), "date", "z", "x", "y").distinct()
+    named = tiles_of.join(providers, "_name").withColumn("key", F.struct("z", "x", "y"))
+    p, date = F.col("p"), F.nullif(F.col("date"), F.lit("static"))
+    records = named.select(p["name"].alias("provider"), p["layer"].alias("layer"), p["kind"].alias("kind"), "date", "z", "x", "y", "p", *_tile_text(p, F.col("key"), date))
+    flat = records.select(
         "id", "provider", "layer", "kind", "date", "z", "x", "y", "bounds.*", "path", "source", F.col("p.recordable").alias("recordable"),
         F.col("p.attribution").alias("attribution"),
     )

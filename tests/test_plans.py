@@ -93,3 +93,18 @@ def test_only_narrow_columns_reach_python(rows):
     plan = plan_of(gates.rate_gate(rows, ["session_id"], 5000))
     python = next(line for line in plan.splitlines() if "MapInArrow" in line)
     assert "data" not in python
+
+
+def test_merged_faces_are_counted_in_stretches_of_a_mesh(spark):
+    rows = [(m, v, 0.0, 0.0, 0.0) for m in range(3) for v in range(5)]
+    vertex = spark.createDataFrame(rows, "mesh_id bigint, vid bigint, x double, y double, z double")
+    corners = [(m, f, (f * 2 + m) % 7 - 1, f % 6, 4) for m in range(3) for f in range(11)]
+    face = spark.createDataFrame(corners, "mesh_id bigint, fid bigint, a bigint, b bigint, c bigint")
+    unit = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
+    meshes = vertex.select("mesh_id").distinct().select(F.lit(0).alias("snapshot_id"), "mesh_id", (-F.col("mesh_id")).alias("mesh_order"), unit.alias("m"))
+    _, merged = mesh.merge_meshes(face, vertex, meshes)
+    listed = [(2 - m) * 5 + v for m in (2, 1, 0) for k, _, *abc in corners if k == m for v in abc if 0 <= v < 5]
+    want = [(i, *listed[3 * i : 3 * i + 3]) for i in range(len(listed) // 3)]
+    assert sorted(tuple(r) for r in merged.select("fid", "a", "b", "c").collect()) == want
+    windows = [line for line in merged._jdf.queryExecution().analyzed().toString().split("\n") if "Window" in line]
+    assert not any("mesh_order" in w and "fid" in w for w in windows), windows

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from terralog.operators import joins
+from terralog.operators import geo, joins
 from tests.conftest import rows
 
 
@@ -62,3 +62,18 @@ def test_the_newest_cached_row_of_a_tile_counts(spark):
     wanted = spark.createDataFrame([tile, ("p", "l", "static", 3, 1, 4)], cached.select(*key).schema)
     assert [(r.y, r.is_cached, r.bytes) for r in joins.tile_hits(wanted, cached, newest=["stored_ns"]).orderBy("y").collect()] == [(2, True, 7), (4, False, None)]
     assert joins.tile_hits(wanted, cached).orderBy("y").first().bytes == 10
+
+
+def test_tile_records_are_told_apart_before_they_get_their_texts(spark):
+    r = random.Random(4)
+    data = [(1, s, 1_700_000_000_000_000_000 + s % 3 * 86_400_000_000_000, r.choice([10.0, 47.5, -33.0]), r.choice([-100.0, 11.0]), 0.0) for s in range(300)]
+    requests = geo.tile_requests(spark.createDataFrame(data, "session_id int, seq int, stamp_ns bigint, lat double, lon double, alt double"))
+    got = geo.tile_records(requests)
+    want = {}
+    for q in requests.collect():
+        record = q["id"], q["provider"], q["layer"], q["kind"], q["date"], q["z"], q["x"], q["y"], *q["bounds"], q["path"], q["source"], q["p"]["recordable"], q["p"]["attribution"]
+        assert want.setdefault(q["id"], record) == record
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.values(), key=repr) and len(want) > 5
+    # what is aggregated next to the scan is hashed: sorting wide rows there held all requests of a file in one task
+    aggregates = [line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Aggregate" in line]
+    assert "HashAggregate" in aggregates[-1] and "Sort" not in aggregates[-1]
