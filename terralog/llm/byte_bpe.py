@@ -78,6 +78,11 @@ class UnitEncoder:
 
         return spell
 
+    def forget(self) -> None:
+        """Drop the words met: a worker goes on to tasks that do not need them."""
+        self.words.clear()
+        self.words.old = {}
+
     def _plain(self, text: str) -> bool:
         return self.cut and _PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
 

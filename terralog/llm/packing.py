@@ -100,6 +100,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str, most: int = 1024, id_col: str
                     ids, tokens, held = [], [], 0
         if ids:
             yield packed()
+        encoder(tokenizer).forget()
 
     plain = texts_of(docs.withColumn(id_col, F.col(id_col).cast("bigint")), id_col, text_col)
     schema = "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"

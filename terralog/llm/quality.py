@@ -137,15 +137,16 @@ def quality_scores(
     rows = sample.mapInArrow(counted, "id bigint, label int, columns array<int>, counts array<double>").toArrow().sort_by("id")
     space = fit_space([dict(zip(c, n)) for c, n in zip(rows["columns"].to_pylist(), rows["counts"].to_pylist())], rows["label"].to_pylist(), sizes)
     shared = docs.sparkSession.sparkContext.broadcast(space)
-    named = docs.select(*[F.col(c).alias(f"_c_{c}") for c in docs.columns], F.coalesce(F.col(text_col), F.lit("")).alias("_body"))
-    kept = len(docs.columns)
+    # the text travels once, as the column that it is
+    named = docs.select(*[F.col(c).alias(f"_c_{c}") for c in docs.columns])
+    body = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(parts):
-            found = shared.value.vote(part.column("_body").to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(found, pa.float64())], [*part.schema.names[:kept], "_score"])
+        for part in batches(parts, 8 << 20):
+            found = shared.value.vote([t or "" for t in part.column(body).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, "_score"])
 
-    scored = named.mapInArrow(score, T.StructType([*named.schema.fields[:kept], T.StructField("_score", T.DoubleType())]))
+    scored = named.mapInArrow(score, T.StructType([*named.schema.fields, T.StructField("_score", T.DoubleType())]))
     return scored.select(
         *[F.col(f"_c_{c}").alias(c) for c in docs.columns], in_fold(F.col(f"_c_{id_col}"), folds, fold).alias("_held_out"), "_score",
         (F.col("_score") >= at_least).cast("int").alias("_predicted"),
