@@ -34,21 +34,25 @@ def _round(symbols: np.ndarray, next_symbol: int) -> tuple[np.ndarray, np.ndarra
     bins = ((keys * _ODD) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
     named = np.zeros(1 << _HASH_BITS, np.uint64)
     named[bins] = keys  # one pair per bin is a candidate; its count is exact
-    own = named[bins] == keys
-    counts = np.bincount(bins[own], minlength=1 << _HASH_BITS)
+    at = np.flatnonzero(named[bins] == keys)
+    bins = bins[at]
+    counts = np.bincount(bins, minlength=1 << _HASH_BITS)
     best = np.flatnonzero(counts >= LEAST_USES)
     best = best[np.argsort(-counts[best], kind="stable")[:RULES]]
     if not len(best):
         return symbols, np.zeros((0, 2), np.uint32)
-    rule_of = np.full(1 << _HASH_BITS, -1, np.int64)
+    rule_of = np.full(1 << _HASH_BITS, -1, np.int32)
     rule_of[best] = np.arange(len(best))
-    rule = np.where(own, rule_of[bins], -1)
-    at = np.flatnonzero(rule >= 0)
+    rule = rule_of[bins]
+    used = np.flatnonzero(rule >= 0)
+    at, rule = at[used], rule[used]
     starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-    run = np.repeat(starts, np.diff(starts, append=len(at)))
-    at = at[(np.arange(len(at)) - run) % 2 == 0]  # pairs must not overlap
+    odd = np.repeat(starts & 1 == 1, np.diff(starts, append=len(at)))
+    odd[1::2] ^= True
+    alone = np.flatnonzero(~odd)  # pairs must not overlap: every other one of a run, from its first on
+    at = at[alone]
     out = symbols.copy()
-    out[at] = next_symbol + rule[at]
+    out[at] = next_symbol + rule[alone]
     keep = np.ones(len(out), bool)
     keep[at + 1] = False
     pairs = named[best]
@@ -99,8 +103,9 @@ def _write(out: np.ndarray, at: np.ndarray, symbols: np.ndarray, base: int, flat
     out[at[plain]] = symbols[plain]
     rule = symbols[~plain].astype(np.int64) - base
     size = lengths[rule]
-    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(at[~plain], size) + inside] = flat[np.repeat(starts[rule], size) + inside]
+    before = np.cumsum(size) - size
+    every = np.arange(int(size.sum()))
+    out[np.repeat(at[~plain] - before, size) + every] = flat[np.repeat(starts[rule] - before, size) + every]
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:

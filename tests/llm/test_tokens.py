@@ -30,6 +30,19 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(b, "<u4").tolist() + [0] for b in encoder.encode(texts)] == H.token_ids(texts)
 
 
+def test_words_are_split_as_arrays_as_the_library_splits_them(monkeypatch):
+    r = random.Random(4)
+    parts = [*"a Zé9²'!×ªɏ\n\t\r  ", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S", "'l", "'r", " '", "''", "  ", "\n\n", "漢", "\0"]
+    texts = ["", "'", "'s", "'l", " 'll", "'sad", "a'll 's", "a  ", " \n", "\n b", "é's\t c"] + ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    encoder, wanted = byte_bpe.UnitEncoder(tokenizer_path(BPE)), H.token_ids(texts)
+    met, make = [], encoder.words.make
+    encoder.words.make = lambda w: met.append(w) or make(w)
+    assert [np.frombuffer(b, "<u4").tolist() + [0] for b in encoder.encode(texts)] == wanted
+    assert len(met) == len(set(met)) and all(isinstance(w, bytes) for w in met)  # words stay arrays, and each is spelt once
+    monkeypatch.setattr(byte_bpe, "TEXT_BYTES", 3)  # texts are cut before lone spaces, and groups end all the time
+    assert [np.frombuffer(b, "<u4").tolist() + [0] for b in encoder.encode(texts)] == wanted
+
+
 def check_packing(rows, pieces, most):
     ids = dict(zip((r[0] for r in rows), H.token_ids([r[1] for r in rows])))
     of_doc, of_sequence = defaultdict(list), defaultdict(list)
