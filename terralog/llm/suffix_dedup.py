@@ -72,12 +72,10 @@ class Block:
         self.lengths = np.asarray(lengths, np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
-        size = len(self.bytes)
-        self.place = np.arange(size) - np.repeat(self.starts, self.lengths)  # in the document
-        self.left = np.repeat(self.lengths, self.lengths) - self.place  # bytes from here to the document's end
-        covered = np.zeros(PERIOD, bool)
-        covered[list(COVER)] = True
-        self.sample = np.flatnonzero(covered[self.place % PERIOD] & (self.left >= self.head))
+        period = np.zeros(PERIOD, bool)
+        period[list(COVER)] = True
+        covered = np.tile(period, int(self.lengths.max(initial=0)) // PERIOD + 1)
+        self.sample = np.flatnonzero(self._ahead(covered, self.head))
         self._sums: dict[int, np.ndarray] = {}
 
     @property
@@ -85,11 +83,21 @@ class Block:
         """What two equal windows share from their common sample position on, at least."""
         return self.window - PERIOD + 1
 
+    def _ahead(self, like: np.ndarray, size: int) -> np.ndarray:
+        """Per document the beginning of ``like``, but nothing where fewer than ``size`` bytes follow."""
+        short = np.zeros(size - 1, bool)
+        return np.concatenate([short[:0], *(p for n in self.lengths.tolist() for p in (like[: max(0, n - size + 1)], short[:n]))])
+
+    def whole(self) -> np.ndarray:
+        """Where a window begins that its document holds."""
+        return self._ahead(np.ones(int(self.lengths.max(initial=0)), bool), self.window)
+
     def hashes(self, which: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         base = _BASES[which]
         if which not in self._sums:
-            terms = _letters(which)[self.bytes] * _powers(base, len(self.bytes))
-            self._sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+            sums = np.zeros(len(self.bytes) + 1, np.uint64)
+            np.multiply(_letters(which)[self.bytes], _powers(base, len(self.bytes)), out=sums[1:])
+            self._sums[which] = np.cumsum(sums, out=sums)
         sums = self._sums[which]
         back = _powers(pow(base, -1, 1 << 64), len(self.bytes) + 1)
         return (sums[stop] - sums[start]) * back[start]
@@ -99,36 +107,55 @@ class Block:
 
     def contexts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, last + 1) byte that windows over a sample position can hold, within the document."""
-        return at - np.minimum(PERIOD - 1, self.place[at]), at + np.minimum(self.window, self.left[at])
+        doc = np.searchsorted(self.ends, at, "right")
+        return np.maximum(at - (PERIOD - 1), self.starts[doc]), np.minimum(at + self.window, self.ends[doc])
 
     def keys(self, start: np.ndarray, stop: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         length = (stop - start).astype(np.uint64) * _U(1 << 32) + shift.astype(np.uint64)
         return tuple(_mixed(self.hashes(k, start, stop) + _mixed(length + _U(k + 1))) for k in (0, 1))
 
     def marked(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Bytes from first to last (both included) of any pair."""
-        size = len(self.bytes) + 1
-        steps = np.bincount(first, minlength=size) - np.bincount(last + 1, minlength=size)
-        return np.cumsum(steps[:-1]) > 0
+        """Bytes from first to last (both included) of any pair; both ascend."""
+        steps = np.zeros(len(self.bytes) + 1, np.int8)
+        if len(first):
+            apart = first[1:] > last[:-1] + 1
+            steps[first[np.append(True, apart)]] = 1
+            steps[last[np.append(apart, True)] + 1] = -1
+        return np.cumsum(steps[:-1], dtype=np.int8).view(bool)
+
 
+def _order(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """Places of the keys in order of the first word; equal keys are together, by place.
 
-class Distinct:
+    The leading bits in which keys of this range can differ and the place are sorted as one word; where different keys
+    share these bits, whole keys are sorted.
+    """
+    if not len(first):
+        return np.zeros(0, np.int64)
+    least = first.min()
+    spread = (first - least) << _U(64 - max(1, int(first.max() - least).bit_length()))
+    low = _U((1 << int(len(first)).bit_length()) - 1)
+    order = (np.sort((spread & ~low) | np.arange(len(first), dtype=np.uint64)) & low).astype(np.int64)
+    a = spread[order]
+    mixed = ((a[1:] ^ a[:-1]) <= low) & (a[1:] != a[:-1])
+    if second is not None:
+        b = second[order]
+        mixed |= (a[1:] == a[:-1]) & (b[1:] != b[:-1])
+    if mixed.any():
+        return np.argsort(first, kind="stable") if second is None else np.lexsort((second, first))
+    return order
+
+
+def _same_as_before(a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
+    """Whether each key but the first equals the one before it."""
+    return a[1:] == a[:-1] if b is None else (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+
+
+class Keys:
     """Distinct keys of a block in order of value, so that buckets (ranges of the first word) lie together."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray | None, buckets: int):
-        order = np.argsort(first) if second is None else np.lexsort((second, first))
-        a = first[order]
-        new = np.ones(len(a), bool)
-        new[1:] = a[1:] != a[:-1]
-        if second is not None:
-            b = second[order]
-            new[1:] |= b[1:] != b[:-1]
-        self.group = np.empty(len(a), np.int64)
-        self.group[order] = np.cumsum(new) - 1
-        self.first = a[new]
-        self.second = second[order][new] if second is not None else None
-        self.leader = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order  # the earliest of its kind
-        self.times = np.bincount(self.group, minlength=len(self.first))
+    def __init__(self, first: np.ndarray, second: np.ndarray | None, new: np.ndarray, buckets: int):
+        self.first, self.second = first[new], second[new] if second is not None else None
         self.bucket = ((self.first >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
     def rows(self, block: int, width: int) -> pa.RecordBatch:
@@ -156,6 +183,37 @@ class Distinct:
         return out
 
 
+class Heads(Keys):
+    """Head keys of a block; which keys stand more than once is known, but not where they stand."""
+
+    def __init__(self, keys: np.ndarray, buckets: int):
+        self.keys, ordered = keys, np.sort(keys)
+        new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+        super().__init__(ordered, None, new, buckets)
+        self.again = np.diff(np.flatnonzero(new), append=len(keys)) > 1
+
+    def tied(self, answers: list[dict] | None) -> np.ndarray:
+        """Which of the keys, as they stand, occur elsewhere.  A table of leading bits sorts out most of the others."""
+        known = self.first[self.told(answers) | self.again]
+        table = np.zeros(1 << 20, bool)
+        table[(known >> _U(44)).astype(np.int64)] = True
+        maybe = np.flatnonzero(table[(self.keys >> _U(44)).astype(np.int64)])
+        keys = self.keys[maybe]
+        at = np.searchsorted(known, keys)
+        return maybe[known[np.minimum(at, len(known) - 1)] == keys] if len(known) else maybe
+
+
+class Distinct(Keys):
+    """Keys of a block, and where each stands first."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, buckets: int):
+        order = _order(first, second)
+        a, b = first[order], second[order]
+        new = np.append(True, ~_same_as_before(a, b))[: len(a)]
+        super().__init__(a, b, new, buckets)
+        self.leader = order[new]  # the earliest of its kind
+
+
 def _bucket_sorter(width: int, earlier_only: bool) -> Callable[[pa.Table], pa.Table]:
     """Sorts one bucket: which keys does an earlier block have (or, else, any other block)?"""
 
@@ -165,14 +223,12 @@ def _bucket_sorter(width: int, earlier_only: bool) -> Callable[[pa.Table], pa.Ta
         sizes = [len(b) // width for b in blobs]
         joined = b"".join(blobs)
         if width == 4:
-            a = np.frombuffer(joined, "<u4")
-            order = np.argsort(a, kind="stable")
-            same = a[order][1:] == a[order][:-1]
+            a, b = np.frombuffer(joined, "<u4").astype(np.uint64) << _U(32), None
         else:
             raw = np.frombuffer(joined, [("a", "<u8"), ("b", f"<u{width - 8}")])
             a, b = np.ascontiguousarray(raw["a"]), np.ascontiguousarray(raw["b"])
-            order = np.lexsort((b, a))
-            same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        order = _order(a, b)
+        same = _same_as_before(a[order], b[order] if b is not None else None)
         again = np.concatenate([[False], same])
         if not earlier_only:
             again[:-1] |= same
@@ -192,12 +248,11 @@ class Rounds:
         self.number = row["block"]
         self.answers = {k: row.get(f"answers{k}") for k in (1, 2, 3)}
 
-    def heads(self) -> Distinct:
-        return Distinct(self.block.head_keys(), None, self.buckets)
+    def heads(self) -> Heads:
+        return Heads(self.block.head_keys(), self.buckets)
 
     def tied(self) -> np.ndarray:
-        heads = self.heads()
-        return self.block.sample[(heads.told(self.answers[1]) | (heads.times > 1))[heads.group]]
+        return self.block.sample[self.heads().tied(self.answers[1])]
 
     def ties(self, tied: np.ndarray) -> Distinct:
         start, stop = self.block.contexts(tied)
@@ -211,7 +266,7 @@ class Rounds:
         later[ties.leader] = ties.told(self.answers[2])
         block = self.block
         start, _ = block.contexts(tied)
-        whole = block.left >= block.window
+        whole = block.whole()
         settled = block.marked(start[later], tied[later]) & whole
         return settled, np.flatnonzero(block.marked(start, tied) & whole & ~settled)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,36 @@ def test_repeated_bytes_against_brute_force(spark, block_bytes, bucket_bytes):
     assert any(m[2] for m in mine)
 
 
+def test_a_block_holds_no_words_per_byte():
+    block = suffix_dedup.Block(b"ab" * 50_000, [60_000, 0, 20, 39_980])
+    assert sum(v.nbytes for v in vars(block).values() if isinstance(v, np.ndarray)) < 3 * len(block.bytes)
+    place = np.concatenate([np.arange(n) for n in block.lengths])
+    left = np.repeat(block.ends, block.lengths) - np.arange(len(block.bytes))
+    assert block.sample.tolist() == np.flatnonzero(np.isin(place % suffix_dedup.PERIOD, suffix_dedup.COVER) & (left >= block.head)).tolist()
+    assert (block.whole() == (left >= block.window)).all()
+    start, stop = block.contexts(block.sample)
+    assert (start == block.sample - np.minimum(suffix_dedup.PERIOD - 1, place[block.sample])).all()
+    assert (stop == block.sample + np.minimum(block.window, left[block.sample])).all()
+
+
+@pytest.mark.parametrize("most", [3, 1 << 40, (1 << 64) - 1])
+@pytest.mark.parametrize("paired", [False, True])
+def test_keys_are_ordered_whole(most, paired):
+    r = np.random.default_rng(3)
+    kinds = r.integers(0, most, 300, dtype=np.uint64)
+    first = np.concatenate([r.choice(kinds, 2000), kinds + np.uint64(1)])  # neighbours differ in the last bit only
+    second = r.integers(0, 2, len(first), dtype=np.uint64) if paired else None
+    order = suffix_dedup._order(first, second)
+    keys = [(int(first[k]), int(second[k]) if paired else 0) for k in order]
+    assert [k[0] for k in keys] == sorted(first.tolist()) and sorted(order.tolist()) == list(range(len(first)))
+    runs = [k for k, before in zip(keys, [None, *keys]) if k != before]
+    assert len(runs) == len(set(keys)) and all(a < b for a, b, x, y in zip(order, order[1:], keys, keys[1:]) if x == y)
+    assert suffix_dedup._order(first[:0]).tolist() == []
+    heads = suffix_dedup.Heads(first, 1)
+    counts = np.unique(first, return_counts=True)
+    assert heads.tied(None).tolist() == np.flatnonzero(np.isin(first, counts[0][counts[1] > 1])).tolist()
+
+
 def test_cover_has_all_differences():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
     with pytest.raises(ValueError):
