@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terralog.functions import camera
 from terralog.functions.numeric import finite_or, is_finite, whole_div
-from terralog.operators.ordered import BUCKET_ROWS, OrderedRows
+from terralog.operators.ordered import BUCKET_ROWS, OrderedRows, key_stream, runs
 from terralog.operators.payloads import envelope_base, fit_snapshot, pack_rows
 from terralog.session import freeze
 
@@ -191,6 +194,45 @@ def remapped_faces(budgeted: DataFrame, remap: DataFrame) -> DataFrame:
     return corners.groupBy("snapshot_id", "tri").agg(*points)
 
 
+def numbered_faces(face: DataFrame, vertex: DataFrame, meshes: DataFrame, n: int | None) -> DataFrame:
+    """``triangle_budget``, ``remap_vertices`` and ``remapped_faces`` in one pass: (snapshot_id, mesh_id, tri, and per corner
+    x of a, b, c: x its ``vid``, gx its dense id, nx whether it is its vertex's first use).
+
+    A stream of each snapshot's faces in mesh and face order: one shuffle and one sort of faces, and no row per corner.
+    Vertices belong to a mesh, so the state is two counts and the ids given to the vertices of one mesh.
+    """
+    rows = _in_snapshot(valid_faces(face, vertex), meshes).select("snapshot_id", "mesh_order", "mesh_id", "fid", *[F.col(x).cast("bigint").alias(x) for x in "abc"])
+    corner = [(x, T.LongType()) for x in "abc"] + [(f"g{x}", T.LongType()) for x in "abc"] + [(f"n{x}", T.BooleanType()) for x in "abc"]
+    schema = T.StructType([rows.schema["snapshot_id"], rows.schema["mesh_id"], *[T.StructField(c, t) for c, t in [("tri", T.LongType()), *corner]]])
+
+    def number(state, batch: pa.RecordBatch):
+        faces, used, mesh, ids = state or (0, 0, None, np.zeros(0, np.int64))
+        batch = batch if n is None else batch.slice(0, max(0, n - faces))
+        if not batch.num_rows:
+            return (faces, used, mesh, ids), None
+        vids = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in "abc"], axis=1)
+        dense, new = np.empty(vids.shape, np.int64), np.zeros(vids.size, bool)
+        cuts = runs(batch, ["mesh_id"])
+        for low, high in zip(cuts, cuts[1:]):
+            if (this := (batch.column("mesh_id")[low].as_py(),)) != mesh:
+                mesh, ids = this, np.zeros(0, np.int64)
+            v = vids[low:high].ravel()
+            if v.max() >= len(ids):
+                ids = np.append(ids, np.full(max(int(v.max()) + 1, 2 * len(ids)) - len(ids), -1))
+            fresh = np.flatnonzero(ids[v] < 0)
+            at = fresh[np.sort(np.unique(v[fresh], return_index=True)[1])]
+            ids[v[at]] = used + np.arange(len(at))
+            new[3 * low + at] = True
+            used += len(at)
+            dense[low:high] = ids[vids[low:high]]
+        tri = faces + 1 + np.arange(len(vids))
+        columns = [*vids.T, *dense.T, *new.reshape(-1, 3).T]
+        made = [batch.column("snapshot_id"), batch.column("mesh_id"), pa.array(tri), *[pa.array(np.ascontiguousarray(c)) for c in columns]]
+        return (faces + len(vids), used, mesh, ids), pa.RecordBatch.from_arrays(made, schema.names)
+
+    return key_stream(rows, ["snapshot_id"], ["mesh_order", "mesh_id", "fid"], number, schema)
+
+
 def source_counts(face: DataFrame, vertex: DataFrame, meshes: DataFrame) -> DataFrame:
     per_mesh = vertex_counts(vertex).join(face.groupBy("mesh_id").agg(F.count("*").alias("faces")), "mesh_id", "full")
     return meshes.join(per_mesh, "mesh_id", "left").groupBy("snapshot_id").agg(
@@ -210,8 +252,7 @@ def collect_snapshot(
     ``meshes`` is (snapshot_id, mesh_id, mesh_order, m) with the 4x4 transform to the map frame.
     """
     # what is left of a snapshot is read several times below, so it is written once
-    budgeted = freeze(triangle_budget(face, vertex, meshes, max_points and max_points // 3, limit))
-    remap = freeze(remap_vertices(budgeted, limit, bound=max_points))
+    chosen = freeze(numbered_faces(face, vertex, meshes, max_points and max_points // 3))
     totals = source_counts(face, vertex, meshes)
     header = F.struct(F.lit("map").alias("frame_id"))
     sized = totals.withColumn(
@@ -219,15 +260,15 @@ def collect_snapshot(
         envelope_base(topic, header, F.col("snapshot_id").cast("string"), "arkit_mesh", "map", F.col("anchor_count"), F.col("original_vertex_count"), F.col("original_triangle_count")),
     )
     if max_bytes is not None:
-        new = remap.groupBy("snapshot_id", (whole_div(F.col("first"), 3) + 1).cast("bigint").alias("tri")).agg(F.count("*").alias("new_vertices"))
-        per_tri = budgeted.select("snapshot_id", "tri").join(new, ["snapshot_id", "tri"], "left").fillna(0, ["new_vertices"])
-        fitted = fit_snapshot(per_tri, sized, max_bytes)
-        budgeted = budgeted.join(fitted, "snapshot_id").filter(F.col("tri") <= F.col("fitted")).drop("fitted")
-        remap = remap.join(fitted, "snapshot_id").filter(F.col("first") < F.col("fitted") * 3).drop("fitted")
+        new = sum((F.col(f"n{x}").cast("bigint") for x in "abc"), F.lit(0))
+        fitted = fit_snapshot(chosen.select("snapshot_id", "tri", new.alias("new_vertices")), sized, max_bytes, limit)
+        chosen = chosen.join(fitted, "snapshot_id").filter(F.col("tri") <= F.col("fitted")).drop("fitted")
+    used = F.array(*[F.struct(F.col(x).alias("vid"), F.col(f"g{x}").alias("gid"), F.col(f"n{x}").alias("_new")) for x in "abc"])
+    remap = chosen.select("snapshot_id", "mesh_id", F.inline(used)).filter("_new").drop("_new")
     placed = remap.join(vertex, ["mesh_id", "vid"]).join(meshes.select("snapshot_id", "mesh_id", "m"), ["snapshot_id", "mesh_id"])
     world = camera.to_map(F.struct("x", "y", "z"), F.col("m"))
-    points = placed.select("snapshot_id", "gid", world.alias("_w")).select("snapshot_id", "gid", *[finite_or(F.col(f"_w.{c}"), 0.0).alias(c) for c in "xyz"])
-    indexed = remapped_faces(budgeted, remap).withColumn("_i", F.col("tri") - 1)
+    points = placed.select("snapshot_id", "gid", world.alias("_w")).select("snapshot_id", "gid", *[finite_or(F.col(f"_w.{c}"), 0.0).cast("float").alias(c) for c in "xyz"])
+    indexed = chosen.select("snapshot_id", (F.col("tri") - 1).alias("_i"), *[F.col(f"g{x}").alias(x) for x in "abc"])
     vertices = pack_rows(points, ["snapshot_id"], "gid", [(c, "<f4") for c in "xyz"]).select("snapshot_id", F.col("rows").alias("vertex_count"), F.col("data").alias("vertex_data"))
     triangles = pack_rows(indexed, ["snapshot_id"], "_i", [(c, "<u4") for c in "abc"]).select("snapshot_id", F.col("rows").alias("triangle_count"), F.col("data").alias("index_data"))
     out = sized.join(vertices, "snapshot_id", "left").join(triangles, "snapshot_id", "left")

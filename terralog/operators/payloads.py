@@ -140,8 +140,8 @@ def pack_rows(rows: DataFrame, group: Sequence[str], index: str, fields: Sequenc
 
     needed = rows.select(*group, index, *[c for c, _ in fields]).withColumn("_part", whole_div(F.col(index), PACK_ROWS))
     parts = needed.groupBy(*group, "_part").applyInArrow(pack, schema)
-    listed = F.array_sort(F.collect_list(F.struct("_part", base64_text(F.col("_bytes")).alias("_text"))))
-    return parts.groupBy(*group).agg(F.sum("_rows").alias("rows"), F.concat_ws("", F.transform(listed, lambda p: p["_text"])).alias("data"))
+    listed = F.array_sort(F.collect_list(F.struct("_part", "_bytes")))  # bytes travel, texts do not
+    return parts.groupBy(*group).agg(F.sum("_rows").alias("rows"), F.concat_ws("", F.transform(listed, lambda p: base64_text(p["_bytes"]))).alias("data"))
 
 
 def _collect(points: DataFrame, key: Sequence[str], order: str, fields: Sequence[tuple[str, int, int]], step: int) -> DataFrame:

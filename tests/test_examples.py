@@ -2,6 +2,7 @@
 
 import base64
 import json
+import random
 import struct
 
 import pytest
@@ -161,6 +162,30 @@ def test_packed_mesh(spark):
     assert struct.unpack("<6I", base64.b64decode(packed["index_data"])) == (0, 1, 2, 0, 2, 3)
 
 
+@pytest.mark.parametrize("n", [None, 25])
+def test_snapshot_faces_are_numbered_in_one_stream(spark, n):
+    r = random.Random(5)
+    vertices = {m: [(0, 0, 0)] * r.randint(3, 12) for m in range(6)}
+    faces = {m: [tuple(r.randint(-1, len(v)) for _ in range(3)) for _ in range(r.randint(0, 60))] + [(1, 1, 0)] for m, v in vertices.items()}
+    face, vertex, meshes = mesh_tables(spark, vertices, faces)
+    meshes = meshes.withColumn("mesh_order", -F.col("mesh_id")).unionByName(meshes.filter("mesh_id > 2").withColumn("snapshot_id", F.lit("other")))
+    budget = mesh.triangle_budget(face, vertex, meshes, n)
+    remap = mesh.remap_vertices(budget)
+    plain = mesh.remapped_faces(budget, remap)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # meshes and snapshots are cut over batches
+    try:
+        numbered = mesh.numbered_faces(face, vertex, meshes, n)
+        found = numbered.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((f.snapshot_id, f.tri, f.ga, f.gb, f.gc) for f in found) == rows(plain.select("snapshot_id", "tri", "a", "b", "c"))
+    first = {(f.snapshot_id, f.mesh_id, f[x], (f.tri - 1) * 3 + k, f[f"g{x}"]) for f in found for k, x in enumerate("abc") if f[f"n{x}"]}
+    assert sorted(first) == rows(remap.select("snapshot_id", "mesh_id", "vid", "first", "gid"))
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and plan.count("Join") == 2  # counts and meshes; no row per corner, no join back
+
+
 def test_payload_limit(spark):
     n = 3000
     face, vertex, meshes = mesh_tables(spark, {1: [(i, i % 7, 0) for i in range(n * 3)]}, {1: [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(n)]})
