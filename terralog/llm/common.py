@@ -62,15 +62,24 @@ def numbered(df: DataFrame, order: Sequence[Column], position: str) -> DataFrame
     return joined.withColumn(position, (F.col("_base") + place).cast("bigint")).drop("_mono", "_part", "_base")
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every node of ``links`` (a, b; distinct) is an ``a`` once and no ``b``, or a ``b`` only."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    of_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not of_node.agg(F.bool_or(F.expr("up + down > 1"))).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node that can be reached.
 
     Alternating stars: in turn every node hands its larger, then its smaller neighbours to the smallest one.  Each step
     is a pre-aggregated minimum per node and an equi join; the links never grow in number, and the rounds grow with the
-    logarithm of the longest chain.  Each round is a table in the shared folder, so lineage stays short.
+    logarithm of the longest chain.  Each round is a table in the shared folder, so lineage stays short.  The links keep
+    what is connected and lead to smaller nodes, so they are done when they are stars, which steps no longer change.
     """
     now = freeze(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+    while not _all_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
@@ -78,10 +87,6 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         held = large.join(low, "a")
         small = held.select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        after = freeze(small.filter(F.col("a") != F.col("b")).distinct())
-        changed = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
-        now = after
-        if changed:
-            break
+        now = freeze(small.filter(F.col("a") != F.col("b")).distinct())
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

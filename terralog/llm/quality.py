@@ -11,6 +11,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,14 +52,29 @@ def terms_of(text: str) -> dict[int, float]:
     return found
 
 
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Rows of logarithmic term shares, in place of the counts: how a text is written, not how long it is."""
+    counts *= 1000 / np.maximum(counts[:, WORD_TERMS:].sum(axis=1, keepdims=True), 1)
+    return np.log1p(counts, out=counts)
+
+
 def matrix_of(rows: list[dict[int, float]]) -> np.ndarray:
-    """Rows of logarithmic term shares: how a text is written, not how long it is."""
+    """Term shares of texts by their terms."""
     out = np.zeros((len(rows), WORD_TERMS + STYLE_TERMS), np.float32)
     for k, found in enumerate(rows):
         if found:
             out[k, list(found)] = list(found.values())
-    total = np.maximum(out[:, WORD_TERMS:].sum(axis=1, keepdims=True), 1)
-    return np.log1p(out * (1000 / total))
+    return _shares(out)
+
+
+def matrix_of_table(rows: pa.Table) -> np.ndarray:
+    """Term shares of the rows' lists ``columns`` and ``counts``, batch by batch and without Python objects."""
+    out, at = np.zeros((rows.num_rows, WORD_TERMS + STYLE_TERMS), np.float32), 0
+    for part in rows.select(["columns", "counts"]).to_batches():
+        row = np.repeat(np.arange(at, at + part.num_rows), pc.list_value_length(part.column("columns")).to_numpy())
+        out[row, part.column("columns").flatten().to_numpy()] = part.column("counts").flatten().to_numpy()
+        at += part.num_rows
+    return _shares(out)
 
 
 @dataclass
@@ -92,20 +108,24 @@ class Space:
         return np.clip(out, 0, 1)
 
 
-def fit_space(rows: list[dict[int, float]], labels: list[int], class_sizes: dict[int, int]) -> Space:
-    """Inverse document frequencies and the leading singular vectors of the sample, by subspace iteration."""
+def fit_space(matrix: np.ndarray, labels: list[int], class_sizes: dict[int, int]) -> Space:
+    """Inverse document frequencies and the leading singular vectors of the sample, by subspace iteration.
+
+    The matrix is weighted in place, and no second one of its size is made: the driver holds it once.
+    """
     width = WORD_TERMS + STYLE_TERMS
-    matrix = matrix_of(rows)
-    share = (1 + (matrix > 0).sum(axis=0)) / (1 + len(rows))
+    share = (1 + np.count_nonzero(matrix, axis=0)) / (1 + len(matrix))
     weight = (1 - np.log(share)).astype(np.float32)
     weight[WORD_TERMS:] *= STYLE_WEIGHT
     matrix *= weight
     basis = np.random.default_rng(11).standard_normal((width, LATENT)).astype(np.float32)
     for _ in range(6):
         basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
-    shares = np.array([class_sizes[k] / labels.count(k) for k in labels])
-    space = Space(weight, basis.astype(np.float32), np.zeros((0, LATENT), np.float32), np.array(labels, float), shares)
-    space.voters = space.vectors(matrix / weight) if rows else space.voters
+    sampled = Counter(labels)
+    shares = np.array([class_sizes[k] / sampled[k] for k in labels])
+    space = Space(weight, basis.astype(np.float32), np.zeros((len(matrix), LATENT), np.float32), np.array(labels, float), shares)
+    for at in range(0, len(matrix), BLOCK):
+        space.voters[at : at + BLOCK] = space.vectors(matrix[at : at + BLOCK] / weight)
     return space
 
 
@@ -135,7 +155,7 @@ def quality_scores(
 
     # the driver gets terms of bounded number, not texts
     rows = sample.mapInArrow(counted, "id bigint, label int, columns array<int>, counts array<double>").toArrow().sort_by("id")
-    space = fit_space([dict(zip(c, n)) for c, n in zip(rows["columns"].to_pylist(), rows["counts"].to_pylist())], rows["label"].to_pylist(), sizes)
+    space = fit_space(matrix_of_table(rows), rows["label"].to_pylist(), sizes)
     shared = docs.sparkSession.sparkContext.broadcast(space)
     # the text travels once, as the column that it is
     named = docs.select(*[F.col(c).alias(f"_c_{c}") for c in docs.columns])

@@ -1,9 +1,11 @@
 """Shards, decontamination, classifiers and the pipeline."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,24 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
 
 
+def test_quality_fit_holds_its_matrix_once():
+    """The driver fits from Arrow lists: no Python object per term, and no second matrix."""
+    r = random.Random(8)
+    rows = [quality.terms_of(" ".join(r.choices(H.PROSE, k=r.randint(0, 300)))) for _ in range(2000)]
+    labels = [k % 3 % 2 for k in range(len(rows))]
+    table = pa.table({"columns": pa.array([list(f) for f in rows], pa.list_(pa.int32())), "counts": pa.array([list(f.values()) for f in rows], pa.list_(pa.float64()))})
+    table = pa.concat_tables([table.slice(0, 700), table.slice(700)])
+    want = quality.matrix_of(rows)
+    tracemalloc.start()
+    matrix = quality.matrix_of_table(table)
+    same = all((matrix[k : k + 100] == want[k : k + 100]).all() for k in range(0, len(rows), 100))
+    space = quality.fit_space(matrix, labels, {0: 20_000, 1: 5000})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert same and peak < 1.6 * want.nbytes
+    assert space.voters.shape == (len(rows), quality.LATENT) and np.allclose(np.linalg.norm(space.voters, axis=1), 1, atol=1e-3)
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = accuracy(spark, queries.op8_toxicity, "toxic", "/root/testdata/sf0.1")
     assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)

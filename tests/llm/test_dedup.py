@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terralog.llm import exact_dedup, simhash, suffix_dedup
+from terralog.llm import common, exact_dedup, simhash, suffix_dedup
 from tests.llm import helpers as H
 
 
@@ -105,6 +105,19 @@ def test_components_of_a_long_chain(spark):
     assert len(found) == 401 and {r.root for r in found} == {0}
 
 
+@pytest.mark.parametrize("links, tables", [([], 1), ([(5, 1), (1, 6), (7, 1), (9, 8), (4, 4)], 1), ([(5, 1), (5, 2), (2, 9), (8, 7)], 3)])
+def test_components_stop_at_stars(spark, monkeypatch, links, tables):
+    """Links that are stars already are written once; no further round finds that out."""
+    made, freeze = [], common.freeze
+    monkeypatch.setattr(common, "freeze", lambda df: made.append(1) or freeze(df))
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    joined = {k: {k} for pair in links for k in pair if pair[0] != pair[1]}
+    for x, y in links * len(links):
+        if x != y:
+            joined[x] = joined[y] = joined[x] | joined[y]
+    assert got == {k: min(of) for k, of in joined.items()} and len(made) == tables
+
+
 @pytest.mark.parametrize("block_bytes, bucket_bytes", [(1 << 22, 1 << 24), (700, 3000)])
 def test_repeated_bytes_against_brute_force(spark, block_bytes, bucket_bytes):
     rows = H.doc_rows(grown_texts(5, 40)) + [(None, "null id " * 40, "en", "s", 1), (3, "null id " * 40, "en", "s", 1)]
